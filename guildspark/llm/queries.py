@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, simhash
+from . import decontaminate, simhash, substring, suffixes
 from .common import read
 
 QUERIES: dict = {}
@@ -59,3 +59,52 @@ from dw left join words using (r) left join items using (r)
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+@query
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, c = substring.deduplicate(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.aggregate(c["removed"], F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    return found.select("doc_id", F.col(c["n_words"]).alias("n_words"), removed.alias("n_removed"), F.sha2(F.coalesce(c["kept"], F.lit("")), 256).alias("kept_sha256"))
+
+
+SQL["op4_substring_dedup"] = r"""
+with d as (select row_number() over () as r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+win as (select r, doc_id, i, md5(array_to_string(w[i : i + 49], ' ')) as h from d, unnest(range(1, len(w) - 48)) as t(i) where len(w) >= 50),
+low as (select h, min(doc_id) as m from win group by h),
+gone as (select distinct r, k from (select win.r, win.i from win join low using (h) where low.m < win.doc_id), unnest(range(i, i + 50)) as t(k)),
+kept as (
+  select d.r, string_agg(w[t.k], ' ' order by t.k) as s
+  from d, unnest(range(1, len(w) + 1)) as t(k) left join gone on gone.r = d.r and gone.k = t.k
+  where gone.k is null group by d.r),
+n as (select r, count(*) as n_removed from gone group by r)
+select doc_id, len(w)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_removed, sha256(coalesce(s, '')) as kept_sha256
+from d left join n using (r) left join kept using (r)
+"""
+
+
+@query
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, c = suffixes.deduplicate(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.aggregate(c["removed"], F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    return found.select("doc_id", F.col(c["n_bytes"]).alias("n_bytes"), removed.alias("n_removed"), F.size(c["removed"]).cast("long").alias("n_spans"), F.sha2(c["kept"], 256).alias("kept_sha256"))
+
+
+SQL["op9_suffix_dedup"] = r"""
+with d as (select row_number() over () as r, doc_id, hex(encode(coalesce(text, ''))) as x from documents),
+piece as (select r, doc_id, c, substr(x, 2 * c + 1, 498) as p from d, unnest(range(0, strlen(x) // 2 - 49, 200)) as t(c) where strlen(x) >= 100),
+win as (select r, doc_id, c + k as i, md5_number(substr(p, 2 * k - 1, 100)) as h from piece, unnest(range(1, least(201, strlen(p) // 2 - 48))) as t(k)),
+low as (select h, min(doc_id) as m from win group by h having min(doc_id) < max(doc_id)),
+starts as (select r, i from win join low using (h) where low.m < win.doc_id),
+marked as (select r, i, case when i - lag(i) over (partition by r order by i) <= 50 then 0 else 1 end as fresh from starts),
+grouped as (select r, i, sum(fresh) over (partition by r order by i) as g from marked),
+gone as (select r, min(i) as a, max(i) + 50 as b from grouped group by r, g),
+borders as (
+  select r, a, b, lag(b, 1, 1) over (partition by r order by a) as previous, lead(a) over (partition by r order by a) as following from gone),
+kept as (
+  select d.r, string_agg(substr(x, 2 * previous - 1, 2 * (a - previous)) || case when following is null then substr(x, 2 * b - 1) else '' end, '' order by a) as k,
+         sum(b - a) as n_removed, count(*) as n_spans
+  from d join borders using (r) group by d.r)
+select doc_id, (strlen(x) // 2)::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans, sha256(unhex(coalesce(k, x))) as kept_sha256
+from d left join kept using (r)
+"""
