@@ -58,7 +58,7 @@ def field_paths(record: Column) -> Column:
     """Sorted distinct field paths of a JSON object, to two levels, over all elements of its lists."""
 
     def below(k: Column) -> Column:
-        value = F.get_json_object(record, F.concat(F.lit("$['"), k, F.lit("']")))
+        value = F.call_function("get_json_object", record, F.concat(F.lit("$['"), k, F.lit("']")))
         items = F.filter(F.from_json(value, "array<string>"), lambda x: x.isNotNull())
         listed = F.transform(F.flatten(F.transform(items, lambda x: F.coalesce(F.json_object_keys(x), F.array().cast("array<string>")))), lambda x: F.concat(k, F.lit("[]."), x))
         nested = F.transform(F.json_object_keys(value), lambda x: F.concat(k, F.lit("."), x))
