@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, sentencepiece_trie, sharding, simhash, substring, suffixes, token_store
+from . import chat, decontaminate, sentencepiece_trie, sharding, simhash, substring, suffixes, token_store, toxicity
 from .common import read, shared_dir
 
 QUERIES: dict = {}
@@ -177,3 +177,12 @@ select conv_id, count(*)::bigint as n_turns,
        sum(length('<|im_start|><|im_end|>') + 2 + length(replace(r, chr(10), '<|nl|>')) + length(t))::bigint as formatted_chars
 from e group by conv_id
 """
+
+
+@query
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    model = toxicity.train(docs, read(spark, sf_dir, "labels"), usable=~held_out)
+    found = toxicity.score(docs, model).withColumnRenamed("id", "doc_id")
+    return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
