@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, sentencepiece_trie, sharding, simhash, substring, suffixes, token_store, toxicity
+from . import chat, chroma, decontaminate, sentencepiece_trie, sharding, simhash, substring, suffixes, token_store, toxicity
 from .common import read, shared_dir
 
 QUERIES: dict = {}
@@ -186,3 +186,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.train(docs, read(spark, sf_dir, "labels"), usable=~held_out)
     found = toxicity.score(docs, model).withColumnRenamed("id", "doc_id")
     return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query
+def op10_chroma_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recordings are derived from the vectors: a note per number. Every 20th asks for the recordings it aligns with."""
+    prints = chroma.fingerprints(read(spark, sf_dir, "embeddings"), "embedding", "vec_id", decode=lambda v: chroma.read_wav(chroma.melody(v)))
+    return chroma.align(prints, F.col("id") % 20 == 0).withColumnRenamed("id", "vec_id")
