@@ -90,6 +90,24 @@ def as_strings(rows: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(rows).view(f"S{rows.shape[1]}").ravel()
 
 
+def distinct_rows(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An index of each distinct row, and every row's place among them, in an order that the rows alone decide."""
+    wide = np.zeros((len(rows), -(-rows.shape[1] // 8) * 8), np.uint8)
+    wide[:, : rows.shape[1]] = rows
+    h = np.zeros(len(rows), np.uint64)
+    for column in wide.view(np.uint64).T:
+        h = R.mix(h * np.uint64(R.BASE) + column)
+    order = np.argsort(h)
+    new = np.concatenate(([True], h[order[1:]] != h[order[:-1]]))
+    same = np.flatnonzero(~new)
+    if len(same) and (rows[order[same]] != rows[order[same - 1]]).any():  # two rows with one hash
+        _, first, place = np.unique(as_strings(rows), return_index=True, return_inverse=True)
+        return first, place
+    place = np.empty(len(rows), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return order[new], place
+
+
 class _Slice:
     """What a slice knows of its samples with shared grams: distinct surroundings, and each sample's place in them."""
 
@@ -110,12 +128,25 @@ class _Slice:
         self.rows, first, self.place = np.zeros((0, 2), np.uint8), None, np.zeros(0, np.int64)
         if len(self.ids):
             rows = np.concatenate(found)
-            _, first, self.place = np.unique(as_strings(rows), return_index=True, return_inverse=True)
+            first, self.place = distinct_rows(rows)
             self.rows, self.tiles = rows[first], np.concatenate(tiles)[first]
             self.low = np.full(len(first), R.NO_ID)
             np.minimum.at(self.low, self.place, self.ids)
 
 
+def dense_ranks(keys: np.ndarray, bound: int) -> np.ndarray:
+    """Each key's rank among the distinct keys; by a table where keys are small, else by sorting."""
+    if bound <= 1 << 24:
+        seen = np.zeros(bound, bool)
+        seen[keys] = True
+        return (np.cumsum(seen, dtype=np.int32) - 1)[keys].astype(np.int64)
+    order = np.argsort(keys)
+    inner = keys[order]
+    rank = np.empty(len(keys), np.int64)
+    rank[order] = np.cumsum(np.concatenate(([False], inner[1:] != inner[:-1])))
+    return rank
+
+
 def triple_names(columns: list[np.ndarray]) -> list[np.ndarray]:
     """Sorts the triples of three consecutive names and gives each its rank: one step of the recursion.
 
@@ -123,12 +154,12 @@ def triple_names(columns: list[np.ndarray]) -> list[np.ndarray]:
     n, zero = len(columns[0]), np.zeros(len(columns[0]), np.int64)
     columns = columns + [zero] * (-len(columns) % 3)
     a, b, c = (np.concatenate(columns[k::3]) for k in range(3))
-    order = np.lexsort((c, b, a))
-    rank = np.empty(len(order), np.int64)
-    a, b, c = a[order], b[order], c[order]
-    new = np.zeros(len(order), np.int64)
-    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1])
-    rank[order] = np.cumsum(new)
+    names = int(max(x.max(initial=0) for x in (a, b, c))) + 1
+    if names**3 < 1 << 62:
+        rank = dense_ranks((a * names + b) * names + c, names**3)
+    else:
+        pair = dense_ranks(a * names + b, names**2)
+        rank = dense_ranks(pair * names + c, (len(pair) + 1) * names)
     return [rank[k : k + n] for k in range(0, len(rank), n)]
 
 
@@ -137,12 +168,19 @@ def suffix_order(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     names = [text[:, k].astype(np.int64) for k in range(text.shape[1])]
     while len(names) > 1:
         names = triple_names(names)
-    order = np.argsort(names[0], kind="stable")
+    order = np.argsort(names[0])
     same = text[order[1:]] == text[order[:-1]]
     common = np.where(same.all(axis=1), text.shape[1], same.argmin(axis=1))
     return order, np.concatenate(([0], common))
 
 
+def longest_common(order: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Each suffix's longest common prefix with any other, which is with one of its neighbours."""
+    out = np.empty(len(order), np.int64)
+    out[order] = np.maximum(common, np.append(common[1:], 0))
+    return out
+
+
 def shift_bits(rows: np.ndarray, ids: np.ndarray, size: int) -> np.ndarray:
     """Bit o of a row: the string that starts o bytes before its sample also starts in a document with a smaller id."""
     n, before = len(rows), size - GRAM
@@ -150,25 +188,29 @@ def shift_bits(rows: np.ndarray, ids: np.ndarray, size: int) -> np.ndarray:
     order, common = suffix_order(text[:, before:])
     back, back_common = suffix_order(text[:, before - 1 :: -1] if before > 0 else text[:, :0])
     bits = np.zeros(n, np.uint32)
+    longest, back_longest = longest_common(order, common), longest_common(back, back_common)
     name, back_name = np.empty(n, np.int64), np.empty(n, np.int64)
-    for o in range(before + 1):
-        valid = np.flatnonzero((left >= o) & (right >= size - o))
-        if len(valid) < 2:
+    for o in range(before + 1):  # only suffixes that agree with a neighbour that far, on either side
+        some = np.flatnonzero((longest >= size - o) & (back_longest >= o) & (left >= o) & (right >= size - o))
+        if len(some) < 2:
             continue
         name[order] = np.cumsum(common < size - o)
         back_name[back] = np.cumsum(back_common < o)
-        pair = back_name[valid] * (n + 1) + name[valid]
-        by = np.argsort(pair, kind="stable")
+        pair = back_name[some] * (n + 1) + name[some]
+        by = np.argsort(pair)
         at = R.runs(pair[by])
-        who = ids[valid[by]]
+        who = ids[some[by]]
         low = np.repeat(np.minimum.reduceat(who, at), np.diff(np.append(at, len(by))))
-        bits[valid[by][low < who]] |= np.uint32(1 << o)
+        bits[some[by][low < who]] |= np.uint32(1 << o)
     return bits
 
 
-def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 50) -> tuple[DataFrame, dict[str, str]]:
+def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 50, as_text: bool = False) -> tuple[DataFrame, dict[str, str]]:
     """docs with three more columns, and their names: n_bytes long, removed array<struct<start,end>>
-    (maximal runs, in bytes) and kept binary (the bytes that stay). size is between 21 and 51."""
+    (maximal runs, in bytes) and kept binary (the bytes that stay). size is between 21 and 51.
+
+    as_text: kept is a string instead, null for a null text; bytes that a removal has left of a character
+    go with it."""
     if not GRAM < size <= GRAM + 31:
         raise ValueError(f"size must be between {GRAM + 1} and {GRAM + 31}")
     n_tiles = partitions(docs.sparkSession)
@@ -212,6 +254,11 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", siz
     decided = sent.groupBy("tile").applyInArrow(decide, R.ENTRY)
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
+    def done(kept: list[bytes], batch) -> pa.Array:
+        if not as_text:
+            return pa.array(kept, pa.binary())
+        return pa.array([k.decode("utf-8", "ignore") if v else None for k, v in zip(kept, batch.column("text").is_valid().to_pylist(), strict=True)], pa.string())
+
     def finish(own: pa.Table, got: pa.Table) -> pa.Table:
         s, out, first = _Slice(own, got, size, n_tiles), [], 0
         bits = np.zeros(len(s.rows), np.uint32)
@@ -241,12 +288,12 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", siz
                 mask = R.covered(flags, size, b - a)
                 removed.append([{"start": x, "end": y} for x, y in R.spans(mask)])
                 kept.append(np.frombuffer(t, np.uint8)[~mask].tobytes())
-            out.append(pa.Table.from_batches([batch]).append_column("n_bytes", pa.array(n_bytes, pa.int64())).append_column("removed", pa.array(removed, span)).append_column("kept", pa.array(kept, pa.binary())))
+            out.append(pa.Table.from_batches([batch]).append_column("n_bytes", pa.array(n_bytes, pa.int64())).append_column("removed", pa.array(removed, span)).append_column("kept", done(kept, batch)))
         order = ["id", "text", *carry, "n_bytes", "removed", "kept"]
         return pa.concat_tables(out).select(order) if out else own.slice(0, 0)
 
     inner = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
-    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("text", T.StringType()), *[T.StructField(k, R.type_of(docs, c)) for k, c in carry.items()], T.StructField("n_bytes", T.LongType()), T.StructField("removed", T.ArrayType(inner)), T.StructField("kept", T.BinaryType())])
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("text", T.StringType()), *[T.StructField(k, R.type_of(docs, c)) for k, c in carry.items()], T.StructField("n_bytes", T.LongType()), T.StructField("removed", T.ArrayType(inner)), T.StructField("kept", T.StringType() if as_text else T.BinaryType())])
     found = packs.groupBy("slice").cogroup(told.unionByName(decided).groupBy("slice")).applyInArrow(finish, schema)
     back = {doc_id: "id", text: "text", **{c: k for k, c in carry.items()}}
     return found.select(*[F.col(back[c]).alias(c) for c in docs.columns], *[F.col(k).alias(v) for k, v in names.items()]), names
