@@ -39,7 +39,7 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def map_texts(df: DataFrame, keep: dict[str, Column], out: str, per_batch: Callable, per_bytes: int = 8 << 20) -> DataFrame:
+def map_texts(df: DataFrame, keep: dict[str, Column], out, per_batch: Callable, per_bytes: int = 8 << 20) -> DataFrame:
     """Runs per_batch(pa.RecordBatch) -> pa.RecordBatch over the selected columns in slices of about per_bytes.
 
     keep names the input columns, so extra or clashing columns of df never reach the function."""

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_texts, record_batch, utf8
+from .common import cut, fresh, map_texts, record_batch, utf8
 
 #: Word bytes keep their place (A-Z in lower case), all others become a space.
 TO_WORDS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -170,3 +170,27 @@ def _ranges_block(numbered: DataFrame, patterns: dict) -> DataFrame:
         return record_batch(schema, **out)
 
     return map_texts(numbered, {"row": F.col("row"), "text": F.col("text")}, "row long, ranges array<struct<a:long,b:long>>, items array<long>", per_batch)
+
+
+def without(docs: DataFrame, items: DataFrame, most_hit: float = 0.05, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 13, max_pattern_bytes: int = 64 << 20) -> DataFrame:
+    """docs without the rows of which hit words make up most_hit of all words or more; columns as they are.
+
+    Judged row by row, so null and repeated ids do no harm."""
+    found = list(blocks(items, item_id, item_text, window, max_pattern_bytes))
+    if len(found) > 1:
+        row = fresh(docs, "row")
+        numbered = cut(docs.withColumn(row, F.monotonically_increasing_id()), "decontaminate-rows")
+        judged = find(numbered, items, window, row, text, item_id, item_text, max_pattern_bytes)
+        hit = judged.where((F.col("n_hit") > 0) & (F.col("n_hit") >= most_hit * F.col("n_words"))).select(F.col("id").alias(row))
+        return numbered.join(hit, row, "left_anti").select(*docs.columns)
+    sent, key = docs.sparkSession.sparkContext.broadcast(found[0] if found else {}), uuid.uuid4().hex
+
+    def clean(batch: pa.RecordBatch) -> pa.RecordBatch:
+        automate, keep = automaton(key, sent.value), []
+        for t in batch.column(text).to_pylist():
+            n, ranges, _, _ = scan(t, automate)
+            n_hit = sum(b - a for a, b in merge(ranges))
+            keep.append(not (n_hit and n_hit >= most_hit * n))
+        return batch.filter(pa.array(keep, pa.bool_()))
+
+    return map_texts(docs, {c: F.col(f"`{c}`") for c in docs.columns}, docs.schema, clean)
