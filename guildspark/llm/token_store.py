@@ -17,6 +17,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -96,7 +97,7 @@ class Encoder:
 
     What is met first, and so what is frequent, stays in memory; the rest is encoded anew in each batch."""
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 400_000):
         import regex
         from tokenizers import Tokenizer
 
@@ -107,23 +108,36 @@ class Encoder:
         self.limit, self.pieces, self.tokens = limit, {}, {}
         self.pre_tokens = regex.compile(PRE_TOKEN).findall
 
+    def _split(self, texts: list[str | None]) -> tuple[list[list[str]], set[str]]:
+        """Pieces of each text, cut at its borders, and those not known. Nearly every space is a border: the
+        texts where one is not show a piece that is empty or has white space at an end, and are cut by pattern."""
+        parts = [t.split(" ") if t else [] for t in texts]
+        new = set().union(*parts).difference(self.pieces)
+        odd = {p for p in new if not p or p[0].isspace() or p[-1].isspace()}
+        if odd:
+            for i, p in enumerate(parts):
+                if not odd.isdisjoint(p):
+                    parts[i] = BORDER.split(texts[i])
+            new = set().union(*parts).difference(self.pieces)
+        return parts, new
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        pieces, tokens, cut = self.pieces, self.tokens, BORDER.split
-        parts = [cut(t) if t else [] for t in texts]
-        new = set().union(*(p[1:] for p in parts)).difference(pieces)
-        split = {p: self.pre_tokens(" " + p) for p in new}
-        heads = [self.pre_tokens(p[0]) if p else [] for p in parts]
+        pieces, tokens, find = self.pieces, self.tokens, self.pre_tokens
+        parts, new = self._split(texts)
+        split = {p: (" " + p,) if p.isalpha() else find(" " + p) for p in new}
+        heads = [find(p[0]) if p else [] for p in parts]
         fresh = list(set().union(*split.values(), *heads).difference(tokens))
+        kind = "H" if self.dtype.itemsize == 2 else "I"
         for at in range(0, len(fresh), 20_000):
             some = fresh[at : at + 20_000]
             for key, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                tokens[key] = np.array(e.ids, self.dtype).tobytes()
+                tokens[key] = array(kind, e.ids).tobytes()
         token, piece = tokens.__getitem__, pieces.__getitem__
-        pieces.update((p, b"".join(map(token, ts))) for p, ts in split.items())
+        pieces.update((p, token(ts[0]) if len(ts) == 1 else b"".join(map(token, ts))) for p, ts in split.items())
         out = [b"".join(map(token, h)) + b"".join(map(piece, p[1:])) for h, p in zip(heads, parts, strict=True)]
-        if len(pieces) > self.limit:
-            for p in new:
-                del pieces[p]
+        odd = {p for p in new if not p or p[0].isspace() or p[-1].isspace()}
+        for p in new if len(pieces) > self.limit else odd:  # an odd piece must show itself again
+            pieces.pop(p, None)
         if len(tokens) > 2 * self.limit:
             for t in fresh:
                 del tokens[t]
