@@ -1,10 +1,13 @@
-"""Connected components of a link table by alternating large-star and small-star steps.
+"""Connected components of a link table by local contraction and large-star and small-star steps.
 
-Every step is a group-by with a minimum (combined before the shuffle) and a join; the links are
-written to the shared folder after each round, and only two numbers per round reach the driver."""
+A round first contracts the links of each task in pieces of bounded size (any links may be contracted
+together), then connects the tasks' results: every star step is a group-by with a minimum (combined
+before the shuffle) and a join. The links are written to the shared folder after each round, and only
+two numbers per round reach the driver."""
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +22,7 @@ def components(links: DataFrame, left: str = "u", right: str = "v", max_rounds:
     edges = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     before = None
     for _ in range(max_rounds):
-        edges = cut(_small_star(_large_star(edges)), "links")
+        edges = cut(_small_star(_large_star(edges.mapInArrow(_contract, "u long, v long"))), "links")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(now) == before:
             break
@@ -29,6 +32,40 @@ def components(links: DataFrame, left: str = "u", right: str = "v", max_rounds:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
 
 
+def _contract(batches, piece: int = 500_000):
+    """Links (u, v) of each piece as links of every node to the smallest node that the piece connects it to."""
+
+    def forest(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            top = x
+            while (up := root.setdefault(top, top)) != top:
+                top = up
+            while x != top:
+                root[x], x = top, root[x]
+            return top
+
+        for b in rows:
+            for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                a, b_ = find(u), find(v)
+                if a != b_:
+                    root[max(a, b_)] = min(a, b_)
+        ends = [(x, find(x)) for x in list(root)]
+        ends = [(x, y) for x, y in ends if x != y]
+        return pa.RecordBatch.from_arrays([pa.array([e[k] for e in ends], pa.int64()) for k in range(2)], names=["u", "v"])
+
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= piece:
+            yield forest(held)
+            held, n = [], 0
+    if held:
+        yield forest(held)
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Links each larger neighbour of a node to the smallest of the node and its neighbours."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -106,6 +106,8 @@ def _links_in_tables(rows: DataFrame, radius: int, dense: int) -> DataFrame:
         def settle(mask, fp):
             if len(fp) < 2:
                 return [], [], []
+            if 64 - (mask & (1 << 64) - 1).bit_count() <= radius:  # all that share the key are linked
+                return [int(fp[0])] * (len(fp) - 1), fp[1:].tolist(), [None] * (len(fp) - 1)
             if len(fp) > dense:
                 return fp.tolist(), [0] * len(fp), [mask] * len(fp)
             pairs = forest(fp, radius)
