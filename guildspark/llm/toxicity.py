@@ -216,11 +216,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str
     weight = np.array([min(10.0, r["t"]) for r in bad] + [1.0] * len(good))
     marks = [r["word"] for r in bad[: landmarks // 2]] + good[: landmarks // 2]
     phi, known = kernel.vectors(marks)
-    full = np.concatenate([kernel.vectors(words[a : a + 500], dict(known))[0][:, : len(known)] for a in range(0, len(words), 500)])
+    near = np.concatenate([kernel.vectors(words[a : a + 250], dict(known))[0][:, : len(known)] @ phi.T for a in range(0, len(words), 250)])  # words x landmarks
     values, roots = np.linalg.eigh((phi @ phi.T).astype(np.float64))
     kept = values > 1e-6 * values.max()
     inverse_root = roots[:, kept] / np.sqrt(values[kept])
-    x = np.column_stack((full @ phi.T @ inverse_root, np.ones(len(words))))
+    x = np.column_stack((near @ inverse_root, np.ones(len(words))))
     for _ in range(4):
         w = linear_svm(x, y, weight)
         turned = (y > 0) & (np.arange(len(y)) < len(bad)) & (x @ w < 0)
