@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from guildspark.sources.staging import cut
+
 from .network import adjacency, strongest
 
 #: Ladder constants (fixed values).
@@ -94,14 +96,14 @@ def power_walk(edges: DataFrame, seeds: DataFrame, alpha: float = 0.15, steps: i
     """(condition, node, p): `steps` lazy-walk steps of personalised PageRank from the seeds (condition, node), as joins."""
     adj = weighted_adjacency(edges, weighted)
     w = Window.partitionBy("condition", "u")
-    move = adj.withColumn("m", F.col("w") / F.sum("w").over(w)).select("condition", "u", "v", "m")
-    start = seeds.select("condition", "node", F.lit(1.0).alias("p"))
+    move = cut(adj.withColumn("m", F.col("w") / F.sum("w").over(w)).select("condition", "u", "v", "m"), "moves")
+    start = cut(seeds.select("condition", "node", F.lit(1.0).alias("p")), "seeds")
     now = start
     for _ in range(steps):
         stay = now.select("condition", "node", (F.col("p") * (1 - alpha) / 2).alias("p"))
         go = now.withColumnRenamed("node", "u").join(move, ["condition", "u"]).select("condition", F.col("v").alias("node"), (F.col("p") * F.col("m") * (1 - alpha) / 2).alias("p"))
         back = start.select("condition", "node", F.lit(alpha).alias("p"))
-        now = stay.unionByName(go).unionByName(back).groupBy("condition", "node").agg(F.sum("p").alias("p"))
+        now = cut(stay.unionByName(go).unionByName(back).groupBy("condition", "node").agg(F.sum("p").alias("p")), "walk")
     return now
 
 
@@ -110,15 +112,15 @@ def sweep(edges: DataFrame, scores: DataFrame, weighted: bool = True, signed: bo
 
     Ordered by score over degree (at least 1), names among equals. The weight inside a prefix grows by the
     edges whose later end is its last node, so cut is one running sum."""
-    best = strongest(edges)
+    best = cut(strongest(edges), "graph")
     m = best.groupBy("condition").agg(F.count("*").alias("m"))
     walk = best.where("weight > 0") if signed else best
-    adj = weighted_adjacency(walk, weighted)
+    adj = adjacency(walk).select("condition", "u", "v", (F.abs("weight") if weighted else F.lit(1.0)).alias("w"))
     deg = adj.groupBy("condition", F.col("u").alias("node")).agg(F.sum("w").alias("d"))
     total = deg.groupBy("condition").agg(F.sum("d").alias("total_volume"))
     own = scores.join(deg, ["condition", "node"], "left").withColumn("d", F.coalesce("d", F.lit(0.0)))
     order = Window.partitionBy("condition").orderBy(F.desc(F.col("p") / F.greatest("d", F.lit(1.0))), "node")
-    ranked = own.withColumn("k", F.row_number().over(order))
+    ranked = cut(own.withColumn("k", F.row_number().over(order)), "ranked")  # scored nodes only; read by three joins below
     place = ranked.select("condition", F.col("node").alias("n"), F.col("k").alias("kn"))
 
     def inside(e: DataFrame, weight: Column, name: str) -> DataFrame:
@@ -259,6 +261,6 @@ def cluster(edges: DataFrame, seeds: DataFrame, ladder: Ladder, signed: bool = F
     eps = F.lit(1.0) / (2.0**ladder.b * 48 * F.ceil(F.log2(F.greatest("_m", F.lit(2)).cast("double"))))
     runs = seeds.join(m, "condition").select(F.xxhash64("condition", "node").alias("run_id"), "condition", "node", F.lit(ladder.alpha).alias("alpha"), eps.alias("epsilon"), F.lit(order_seed).cast("long").alias("order_seed"))
     vector = push(edges, runs, weighted=weighted, walk_positive=signed).where("p > 0").select("condition", "node", "p")
-    prefixes = sweep(edges, vector, weighted, signed, sign_lambda)
-    chosen = select(prefixes, seeds, ladder)
+    prefixes = cut(sweep(edges, vector, weighted, signed, sign_lambda), "prefixes")
+    chosen = cut(select(prefixes, seeds, ladder), "chosen")
     return members(prefixes, seeds, chosen), chosen

@@ -9,9 +9,12 @@ from guildspark.operators import abundance as A
 from guildspark.operators import association as S
 from guildspark.operators import community as C
 from guildspark.operators import compare as X
+from guildspark.operators import experiments as XP
+from guildspark.operators import methods as MD
 from guildspark.operators import network as N
 from guildspark.operators import stability as T
 from guildspark.sources import demo
+from guildspark.sources.staging import cut
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -81,7 +84,7 @@ def rho(spark, sf) -> DataFrame:
 def edges(spark, sf) -> DataFrame:
     own = S.in_condition(demo.bacteria(spark, sf), demo.conditions(spark, sf), ["FURNITURE", "MACHINERY"])
     e = S.spearman(S.pair_cells(own)).select("condition", F.col("left").alias("source"), F.col("right").alias("target"), F.round("rho", 6).alias("weight"))
-    return e.where(F.abs("weight") >= 0.04).persist()  # a graph is small beside its cells, and its readers use it many times
+    return cut(e.where(F.abs("weight") >= 0.04), "edges")
 
 
 def one(e: DataFrame, condition: str) -> DataFrame:
@@ -434,13 +437,13 @@ SWEEP = f"""{WALK}, tv as (select condition, sum(d) as total_volume from deg gro
 
 
 def seeds_of(e: DataFrame) -> DataFrame:
-    return N.degrees(e).groupBy("condition").agg(F.min("node").alias("node"))
+    return cut(N.degrees(e).groupBy("condition").agg(F.min("node").alias("node")), "seeds")
 
 
 def walk(spark, sf):
     e = edges(spark, sf)
     s = seeds_of(e)
-    return e, s, C.power_walk(e, s, 0.15, 3).withColumn("p", F.round("p", 9)).persist()
+    return e, s, C.power_walk(e, s, 0.15, 3).withColumn("p", F.round("p", 9))
 
 
 @query(f"with {WALK} select condition, node, round(p, 6) as p from sc")
@@ -587,3 +590,60 @@ def sc1_slug(spark, sf):
 def sc3_taxon(spark, sf):
     label = F.concat(F.lit("x; g__"), "p_brand", F.lit(" |p_"), "p_type", F.lit("_"))
     return demo.table(spark, sf, "part").select(label.alias("label"), A.taxon_of(label, "genus").alias("genus"), A.taxon_of(label, "phylum").alias("phylum")).distinct()
+
+
+# --- matrix methods over one segment ------------------------------------------------------------------
+
+
+def method_cells(spark, sf) -> DataFrame:
+    """Brands of two segments of customers; the matrix methods get every sample and feature of them."""
+    return S.in_condition(demo.bacteria(spark, sf), demo.conditions(spark, sf), ["FURNITURE", "MACHINERY"])
+
+
+@query()
+def md2_sparcc(spark, sf):
+    return MD.sparcc(method_cells(spark, sf), iterations=5, permutations=20)
+
+
+@query()
+def md3_cclasso(spark, sf):
+    return MD.cclasso(method_cells(spark, sf), bootstraps=8)
+
+
+@query()
+def md4_spieceasi(spark, sf):
+    return MD.spieceasi(method_cells(spark, sf), penalties=10, subsamples=8)
+
+
+@query()
+def md5_spring(spark, sf):
+    return MD.spring(method_cells(spark, sf), penalties=10, subsamples=8)
+
+
+@query()
+def stars_instability(spark, sf):
+    picked = MD.selections(method_cells(spark, sf), lambda x: MD.correlation_of(MD.centred_logs(x)), 8, 10, 1e-2, None, 4, 17)
+    return MD.instability(picked, 8, 10)
+
+
+# --- experiments ------------------------------------------------------------------------------------
+
+
+@query()
+def xp1_repeatability(spark, sf):
+    e = edges(spark, sf)
+    runs = XP.repeatability(e, seeds_of(e), C.Ladder(b=4), n=20)
+    return T.consensus(runs)
+
+
+@query()
+def xp2_nested(spark, sf):
+    e = edges(spark, sf)
+    base, nested = XP.nested(e, seeds_of(e).where("condition = 'FURNITURE'"), C.Ladder(b=4))
+    return T.support(nested, base)
+
+
+@query()
+def xp5_parameter_sweep(spark, sf):
+    e = edges(spark, sf)
+    return XP.parameter_sweep(e, seeds_of(e), C.Ladder(b=4), {"alpha": [0.05, 0.1], "phi": [0.4, 0.75]})
