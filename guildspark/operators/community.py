@@ -107,19 +107,20 @@ def power_walk(edges: DataFrame, seeds: DataFrame, alpha: float = 0.15, steps: i
     return now
 
 
-def sweep(edges: DataFrame, scores: DataFrame, weighted: bool = True, signed: bool = False, sign_lambda: float = 1.0) -> DataFrame:
+def sweep(edges: DataFrame, scores: DataFrame, weighted: bool = True, signed: bool = False, sign_lambda: float = 1.0, cap: float = 0.5, by_count: bool = False) -> DataFrame:
     """(condition, k, node, volume, cut, score, mass, total_volume, m): the prefixes up to half of the volume.
 
     Ordered by score over degree (at least 1), names among equals. The weight inside a prefix grows by the
-    edges whose later end is its last node, so cut is one running sum."""
+    edges whose later end is its last node, so cut is one running sum. cap: the share of the total volume where the prefixes end; by_count: the order
+    divides by the number of neighbours even in a weighted graph."""
     best = cut(strongest(edges), "graph")
     m = best.groupBy("condition").agg(F.count("*").alias("m"))
     walk = best.where("weight > 0") if signed else best
     adj = adjacency(walk).select("condition", "u", "v", (F.abs("weight") if weighted else F.lit(1.0)).alias("w"))
-    deg = adj.groupBy("condition", F.col("u").alias("node")).agg(F.sum("w").alias("d"))
+    deg = adj.groupBy("condition", F.col("u").alias("node")).agg(F.sum("w").alias("d"), F.count("*").alias("c"))
     total = deg.groupBy("condition").agg(F.sum("d").alias("total_volume"))
     own = scores.join(deg, ["condition", "node"], "left").withColumn("d", F.coalesce("d", F.lit(0.0)))
-    order = Window.partitionBy("condition").orderBy(F.desc(F.col("p") / F.greatest("d", F.lit(1.0))), "node")
+    order = Window.partitionBy("condition").orderBy(F.desc(F.col("p") / F.greatest("c" if by_count else "d", F.lit(1.0))), "node")
     ranked = cut(own.withColumn("k", F.row_number().over(order)), "ranked")  # scored nodes only; read by three joins below
     place = ranked.select("condition", F.col("node").alias("n"), F.col("k").alias("kn"))
 
@@ -136,7 +137,7 @@ def sweep(edges: DataFrame, scores: DataFrame, weighted: bool = True, signed: bo
         rows = rows.withColumn("ni", F.lit(0.0))
     run = Window.partitionBy("condition").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
     out = rows.select("condition", "k", "node", F.sum("d").over(run).alias("volume"), F.sum(F.col("d") - 2 * F.coalesce("wi", F.lit(0.0))).over(run).alias("cut"), F.sum(F.coalesce("ni", F.lit(0.0))).over(run).alias("neg_inside"), F.sum("p").over(run).alias("mass"))
-    out = out.join(total, "condition").join(m, "condition").where(F.col("volume") <= F.floor(F.col("total_volume") / 2))
+    out = out.join(total, "condition").join(m, "condition").where(F.col("volume") <= F.floor(F.col("total_volume") * cap))
     least = F.least("volume", F.col("total_volume") - F.col("volume"))
     lam = sign_lambda if signed else 0.0
     return out.withColumn("score", F.when(least > 0, F.try_divide(F.col("cut") + lam * F.col("neg_inside"), least)).otherwise(F.lit(float("inf"))))
@@ -175,6 +176,14 @@ def select(prefixes: DataFrame, seeds: DataFrame, ladder: Ladder) -> DataFrame:
     return out.select("condition", step.alias("step"), rule.alias("rule"), F.coalesce("w.k", F.lit(1)).alias("size"), F.col("w.score").alias("score"), F.col("w.volume").alias("volume"), F.col("w.mass").alias("mass"), F.col("w.r.phi_used").alias("phi_used"), F.col("w.r.floor_used").alias("floor_used"))
 
 
+def legacy_nibble(edges: DataFrame, scores: DataFrame, phi: float = 0.3, b: int = 5, weighted: bool = False) -> DataFrame:
+    """(condition, size, score, volume): the best prefix under phi whose volume lies strictly between 2^(b-1) and two
+    thirds of the total and whose mass passes the threshold; conditions without one have no row."""
+    p = sweep(edges, scores, weighted, cap=2 / 3, by_count=True)
+    ok = (F.col("volume") > 2.0 ** (b - 1)) & (F.col("volume") < F.floor(F.col("total_volume") * 2 / 3)) & (F.col("score") < phi) & (F.col("mass") > mass_threshold(F.col("m")))
+    return p.where(ok).groupBy("condition").agg(F.min(F.struct("score", F.col("k").alias("size"), "volume")).alias("w")).select("condition", "w.size", "w.score", "w.volume")
+
+
 def members(prefixes: DataFrame, seeds: DataFrame, chosen: DataFrame) -> DataFrame:
     """(condition, node, rank) of the selected prefixes; the seed alone at step 0."""
     big = prefixes.join(chosen.where("step > 0").select("condition", "size"), "condition").where("k <= size").select("condition", "node", F.col("k").alias("rank"))

@@ -647,3 +647,14 @@ def xp2_nested(spark, sf):
 def xp5_parameter_sweep(spark, sf):
     e = edges(spark, sf)
     return XP.parameter_sweep(e, seeds_of(e), C.Ladder(b=4), {"alpha": [0.05, 0.1], "phi": [0.4, 0.75]})
+
+
+@query()
+def gr3_legacy_nibble(spark, sf):
+    e, _, p = walk(spark, sf)
+    return C.legacy_nibble(e, p, phi=0.9, b=3)
+
+
+@query(f"with {B}, sm as (select sample_id, row_number() over (order by sample_id) as rk, count(*) over () as t from (select distinct sample_id from b where value > 0)), ps as (select sample_id from sm where list_contains(list_transform(range(0, 40), lambda i: round_even(1 + i * (t - 1) / 39.0, 0)::bigint), rk)), c as (select * from b where value > 0 and sample_id in (select sample_id from ps)), g as (select feature, count(*) as k, sum(value) as v, min(value) as lo, max(value) as hi from c group by 1), vr as (select * from g where case when k < (select count(*) from ps) then least(lo, 0) else lo end <> case when k < (select count(*) from ps) then greatest(hi, 0) else hi end), fr as (select *, row_number() over (order by k, v, feature) as rk, count(*) over () as t from vr), pf as (select feature from fr where list_contains(list_transform(range(0, 9), lambda i: round_even(1 + i * (t - 1) / 8.0, 0)::bigint), rk)) select sample_id, feature, value from c where feature in (select feature from pf)")
+def xp9_subset(spark, sf):
+    return A.subset(demo.bacteria(spark, sf), 40, 9).select("sample_id", "feature", "value")

@@ -182,7 +182,7 @@ def test_methods_recover(spark):
 
 def test_stream(spark, tmp_path):
     src = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
-    stream = spark.readStream.schema(src.schema).parquet("/root/testdata/sf0.001/events.parquet")
+    stream = spark.readStream.schema(src.schema).option("pathGlobFilter", "events.parquet").parquet("/root/testdata/sf0.001")
     q = windowed_counts(stream).writeStream.outputMode("complete").format("memory").queryName("counts").start()
     q.processAllAvailable()
     q.stop()
