@@ -11,6 +11,9 @@ in the landmarks' subsequences, the fitted machine is folded into one weight per
 gives the same decision values. A document is scored by the three highest of its distinct words with a
 logistic fit on the sample's documents.
 
+Words are counted by the distinct words before them: a copied document then counts once, and a word that
+stands in many places of toxic documents counts many times.
+
 The sample has at most `per_class` labelled documents of each class (those with the lowest MD5 of their
 id), the bound on everything that is gathered from the labels; word counts are summed in Spark and only
 `max_words` words of each kind come to the driver. Scoring covers all words of all texts.
@@ -28,12 +31,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, record_batch
+from .common import cut, map_texts, record_batch
 
 DECAY, SPAN, WORD, ALPHABET = 0.6, 7, 48, 64
 EDGE = " \t\r\n.,;:!?\"'()[]{}<>|/\\*_-~`=+&^%$#@"
 START, STOP, OTHER = 1, 2, 3
 TOP = 3
+#: A word is a candidate of the toxic class from this gain on (chi-square of one degree of freedom).
+GAIN = 12.0
 
 
 def words_of(text) -> set[str]:
@@ -124,7 +129,7 @@ def linear_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 1.0,
     return w
 
 
-def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.3, rounds: int = 50) -> np.ndarray:
     x = np.column_stack((x, np.ones(len(x))))
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
@@ -181,25 +186,32 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str
     empty = Model("", np.zeros(ALPHABET**3), 0.0, None, prior)
     if not (shares.get(0) and shares.get(1)):
         return empty
-    schema = pa.schema([("word", pa.string()), ("t", pa.int64()), ("n", pa.int64())])
+    schema = pa.schema([("word", pa.string()), ("before", pa.string()), ("t", pa.int32()), ("n", pa.int32())])
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found: dict[str, list[int]] = {}
+        found: dict[tuple[str, str], int] = {}
         for y, t in zip(batch.column("y").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            for w in words_of(t):
-                if len(w) <= WORD:
-                    found.setdefault(w, [0, 0])[1 - y] += 1
-        return record_batch(schema, word=list(found), t=[x[0] for x in found.values()], n=[x[1] for x in found.values()])
-
-    counted = map_texts(sample, {"y": F.col("y"), "text": F.col("text")}, "word string, t long, n long", count).groupBy("word").agg(F.sum("t").alias("t"), F.sum("n").alias("n"))
-    n1, n0 = sum(r["y"] for r in picked), sum(1 - r["y"] for r in picked)
+            last = ""
+            for w in t.lower().split():
+                w = w.strip(EDGE)
+                if w and len(w) <= WORD:
+                    found[w, last] = found.get((w, last), 0) | (1 if y else 2)
+                last = w
+        return record_batch(schema, word=[k[0] for k in found], before=[k[1] for k in found], t=[v & 1 for v in found.values()], n=[v >> 1 for v in found.values()])
+
+    # a word counts once for each word before it, so copies of a document add nothing
+    seen_in = map_texts(sample, {"y": F.col("y"), "text": F.col("text")}, "word string, before string, t int, n int", count).groupBy("word", "before").agg(F.max("t").alias("t"), F.max("n").alias("n"))
+    counted = cut(seen_in.groupBy("word").agg(F.sum("t").alias("t"), F.sum("n").alias("n")), "toxicity-words")
+    n1, n0 = (x or 0 for x in counted.agg(F.sum("t"), F.sum("n")).first())
+    if not n1 or not n0:
+        return empty
     share = n1 / (n1 + n0)
-    # twice the log-likelihood gain of a rate of the word's own over the sample's share of toxic documents
+    # twice the log-likelihood gain of a rate of the word's own over the sample's share of toxic occurrences
     both, rate = F.col("t") + F.col("n"), F.col("t") / (F.col("t") + F.col("n"))
     part = lambda k, p, q: F.when(F.col(k) > 0, F.col(k) * F.log(p / q)).otherwise(0.0)
     gain = 2 * (part("t", rate, F.lit(share)) + part("n", 1 - rate, F.lit(1 - share)))
     scored = counted.withColumn("gain", F.when(rate > share, gain).otherwise(-gain)).where(both >= 1)
-    bad = scored.where("gain > 6").orderBy(F.desc("gain"), "word").limit(max_words).collect()
+    bad = scored.where(F.col("gain") > GAIN).orderBy(F.desc("gain"), "word").limit(max_words).collect()
     common = scored.where("gain <= 2").orderBy(F.desc("n"), "word").limit(max_words // 2).collect()
     spread = scored.where("gain <= 2 and n > 0").orderBy(F.md5("word"), "word").limit(max_words).collect()
     if not bad or not (common or spread):
