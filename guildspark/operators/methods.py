@@ -207,7 +207,7 @@ def normal_tail(z):
 # --- neighbourhood selection and StARS (Meinshausen & Bühlmann 2006, Liu et al. 2010) ---------------
 
 
-def lasso_path(r: np.ndarray, target: int, penalties: np.ndarray, cap: int = 1000, tol: float = 1e-5) -> np.ndarray:
+def lasso_path(r: np.ndarray, target: int, penalties: np.ndarray, cap: int = 200, tol: float = 1e-4) -> np.ndarray:
     """Coordinate descent on correlations r for one target column, warm-started along falling penalties; rows of non-zero flags."""
     p = len(r)
     beta, out = np.zeros(p), np.zeros((len(penalties), p), bool)
@@ -309,7 +309,7 @@ def kendall_matrix(x: np.ndarray) -> np.ndarray:
     return (s.T @ s / max(1, len(i))) if p else np.zeros((0, 0))
 
 
-def latent_table(grid: int = 41, points: int = 4000, seed: int = 5):
+def latent_table(grid: int = 21, points: int = 2000, seed: int = 5):
     """Kendall's tau of two truncated normals by latent correlation and shares of zeros, on fixed quasi-random points."""
     rng = np.random.default_rng(seed)
     z = rng.standard_normal((points, 4))
