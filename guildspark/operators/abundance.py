@@ -150,6 +150,18 @@ def varying_features(abundance: DataFrame, samples: DataFrame) -> DataFrame:
     return present.crossJoin(F.broadcast(n)).where(lo != hi).select("feature")
 
 
+def varying_by_condition(cells: DataFrame) -> DataFrame:
+    """(condition, feature) of the features with more than one value over all samples of the condition, a missing cell being 0.
+
+    A condition's samples are those with any of its cells (condition, sample_id, feature, value)."""
+    n = cells.groupBy("condition").agg(F.countDistinct("sample_id").alias("_n"))
+    present = cells.groupBy("condition", "feature").agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"), F.countDistinct("sample_id").alias("_k"))
+    absent = F.col("_k") < F.col("_n")
+    lo = F.when(absent, F.least("_lo", F.lit(0.0))).otherwise(F.col("_lo"))
+    hi = F.when(absent, F.greatest("_hi", F.lit(0.0))).otherwise(F.col("_hi"))
+    return present.join(n, "condition").where(lo != hi).select("condition", "feature")
+
+
 def non_empty_samples(abundance: DataFrame) -> DataFrame:
     return abundance.groupBy("sample_id").agg(F.sum("value").alias("total")).where("total > 0").select("sample_id")
 

@@ -190,6 +190,12 @@ def flt9_constant_features(spark, sf):
     return A.varying_features(b, s)
 
 
+@query(f"with {CELLS}, n as (select condition, count(distinct sample_id) as n from cells group by 1), g as (select condition, feature, count(distinct sample_id) as k, min(value) as lo, max(value) as hi from cells group by 1, 2) select condition, feature from g join n using (condition) where case when k < n then least(lo, 0) else lo end <> case when k < n then greatest(hi, 0) else hi end")
+def flt9_varying_by_condition(spark, sf):
+    """flt9_constant_features judges an id subset of one condition, as its SQL says; this judges every sample of every condition."""
+    return A.varying_by_condition(S.in_condition(demo.bacteria(spark, sf), demo.conditions(spark, sf)))
+
+
 @query(f"with {FU} select sample_id from fu where feature <> 'view' group by 1 having sum(value) > 0")
 def flt10_empty_samples(spark, sf):
     return A.non_empty_samples(demo.fungi(spark, sf).where("feature <> 'view'"))

@@ -43,6 +43,17 @@ def test_filters(spark):
     assert A.removal_reasons(exact, A.TaxaFilter(25.1, 50.0, 0.126)).first()["reasons"] == ["prevalence", "variability"]
 
 
+def test_varying_by_condition(spark):
+    # x varies only in sample 8 (8 % 7 <> 0), y is constant in a, z is absent from one sample of a
+    rows = [("a", 7, "x", 1.0), ("a", 14, "x", 1.0), ("a", 8, "x", 2.0), ("a", 7, "y", 3.0), ("a", 14, "y", 3.0), ("a", 8, "y", 3.0), ("a", 7, "z", 1.0), ("a", 8, "z", 1.0), ("b", 1, "y", 3.0), ("b", 2, "y", 4.0), ("b", 1, "z", 1.0), ("b", 2, "z", 1.0)]
+    cells = spark.createDataFrame(rows, "condition string, sample_id long, feature string, value double")
+    assert sorted(map(tuple, A.varying_by_condition(cells).collect())) == [("a", "x"), ("a", "z"), ("b", "y")]
+    from guildspark.plans import catalog
+
+    whole = catalog.QUERIES["flt9_varying_by_condition"](spark, "/root/testdata/sf0.001")
+    assert whole.select("condition").distinct().count() == 5
+
+
 def test_taxa(spark):
     labels = [("k_B;p__Firm_;g__Lacto", "Firm", "Lacto"), ("P_Act|x", "Act", "genus_unknown"), ("g_", "phylum_unknown", "genus_unknown"), ("a, g_ b_", "phylum_unknown", "b")]
     df = spark.createDataFrame([(x,) for x, _, _ in labels], "l string")
