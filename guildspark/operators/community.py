@@ -21,6 +21,8 @@ from .network import adjacency, strongest
 MIN_CUT_SIZE, SCALE_RELAXATIONS, PHI_FACTORS, TIE = 5, 2, (1.25, 1.5, 1.75, 2.0), 0.10
 VOLUME_WEIGHT, MASS_WEIGHT = 0.5, 0.10
 DEFAULT_PHI, DEFAULT_ALPHA, CLUSTER_SHARE = 0.4, 0.05, 0.10
+#: Runs of a condition that one task pushes.
+PER_LANE = 8
 RULES = {1: "strict", 2: "quality_without_mass", 3: "multi_scale", 4: "relaxed_phi", 5: "penalty_best_effort", 0: "no_admissible_cluster"}
 
 
@@ -196,12 +198,12 @@ def push(edges: DataFrame, runs: DataFrame, max_pushes: int = 100_000, weighted:
 
     runs: (run_id, condition, node, alpha, epsilon, order_seed); order_seed null keeps edge order. A run is
     sequential, so each (condition, run) is a task's unit of work; a condition's graph meets its runs by
-    cogroup, runs of a condition are spread over `lane`s. Degrees under 1 count as 1."""
+    cogroup, runs of a condition are spread over `lane`s, one per PER_LANE runs. Degrees under 1 count as 1."""
     walk = edges.where("weight > 0") if walk_positive else edges
     adj = weighted_adjacency(walk, weighted)
-    lanes = 8
-    spread = runs.withColumn("lane", F.pmod(F.xxhash64("run_id"), F.lit(lanes)).cast("int"))
-    graphs = adj.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
+    lanes = runs.groupBy("condition").agg(F.ceil(F.count("*") / PER_LANE).alias("lanes"))
+    spread = runs.join(lanes, "condition").withColumn("lane", F.pmod(F.xxhash64("run_id"), "lanes").cast("int"))
+    graphs = adj.join(lanes, "condition").withColumn("lane", F.explode(F.sequence(F.lit(0), (F.col("lanes") - 1).cast("int"))))
     schema = "run_id long, condition string, node string, p double, r double, pushes long, converged boolean"
     out = pa.schema([("run_id", pa.int64()), ("condition", pa.string()), ("node", pa.string()), ("p", pa.float64()), ("r", pa.float64()), ("pushes", pa.int64()), ("converged", pa.bool_())])
 

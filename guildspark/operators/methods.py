@@ -2,7 +2,7 @@
 
 A matrix is one condition's samples by features, tens to hundreds wide; the work is in its many repeats
 (permutations, bootstraps, subsamples). So the unit of work is (condition, repeat): a condition's cells
-are sent to a few lanes, each lane runs its share of the repeats with NumPy, and what they return (pair
+are sent to one lane per PER_LANE repeats, each lane runs its repeats with NumPy, and what they return (pair
 statistics or selections per repeat) is reduced by group-bys. Every repeat seeds its own generator from
 (seed, repeat), so results do not depend on partitioning.
 
@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from guildspark.sources.staging import cut
 
-LANES = 8
+#: Repeats of a lane; the number of lanes grows with the repeats.
+PER_LANE = 4
 PAIRS = "condition string, repeat long, left string, right string, value double"
 PAIRS_ARROW = pa.schema([("condition", pa.string()), ("repeat", pa.int64()), ("left", pa.string()), ("right", pa.string()), ("value", pa.float64())])
 
@@ -28,7 +29,7 @@ def repeats(cells: DataFrame, n: int, kernel, min_samples: int = 3, drop_empty:
     """kernel(x, repeat) -> symmetric matrix (or None) for repeats 0..n-1; rows (condition, repeat, left, right, value).
 
     NaN values give no row. x has a row per sample and a column per varying feature, 0 where a cell is missing."""
-    lanes = min(LANES, n)
+    lanes = math.ceil(n / PER_LANE)
     sent = cells.select("condition", "sample_id", "feature", "value").withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
 
     def run(table: pa.Table) -> pa.Table:
@@ -52,6 +53,18 @@ def repeats(cells: DataFrame, n: int, kernel, min_samples: int = 3, drop_empty:
     return sent.groupBy("condition", "lane").applyInArrow(run, PAIRS)
 
 
+class Once:
+    """f, with its value for the last matrix kept, as a lane asks for the same one in each of its repeats."""
+
+    def __init__(self, f):
+        self.f, self.x, self.value = f, None, None
+
+    def __call__(self, x):
+        if x is not self.x:
+            self.x, self.value = x, self.f(x)
+        return self.value
+
+
 def matrix(table: pa.Table, drop_empty: bool = False) -> tuple[np.ndarray, list[str]]:
     samples, features, values = (table.column(c).to_pylist() for c in ("sample_id", "feature", "value"))
     rows, columns = sorted(set(samples)), sorted(set(features))
@@ -175,10 +188,11 @@ def cclasso_penalty(logs: np.ndarray, folds: int, rng: np.random.Generator) -> f
 def cclasso(cells: DataFrame, pseudo: float = 0.5, folds: int = 3, bootstraps: int = 20, seed: int = 17) -> DataFrame:
     """(condition, left, right, rho, p): p from the bootstrap deviation, two-sided normal."""
 
+    penalty_of = Once(lambda x: cclasso_penalty(centred_logs(x, pseudo), folds, np.random.default_rng([seed, 0])))
+
     def kernel(x, k):
         logs = centred_logs(x, pseudo)
-        rng = np.random.default_rng([seed, 0])
-        penalty = cclasso_penalty(logs, folds, rng)
+        penalty = penalty_of(x)
         if k:
             logs = logs[np.random.default_rng([seed, k]).integers(len(logs), size=len(logs))]
         return to_correlation(cclasso_fit(np.cov(logs, rowvar=False), penalty))
@@ -252,8 +266,10 @@ def correlation_of(x: np.ndarray) -> np.ndarray:
 def selections(cells: DataFrame, correlate, subsamples: int, count: int, ratio: float, share, min_samples: int, seed: int, drop_empty: bool = False) -> DataFrame:
     """(condition, repeat, left, right, value): value codes the penalties (bit a = a-th) that select the pair; repeat 0 is all samples."""
 
+    whole = Once(correlate)
+
     def kernel(x, k):
-        full = correlate(x)
+        full = whole(x)
         lam = penalties_of(full, count, ratio)
         if k:
             n = len(x)

@@ -81,8 +81,8 @@ def rho(spark, sf) -> DataFrame:
     return S.spearman(S.pair_cells(cells(spark, sf)))
 
 
-def edges(spark, sf) -> DataFrame:
-    own = S.in_condition(demo.bacteria(spark, sf), demo.conditions(spark, sf), ["FURNITURE", "MACHINERY"])
+def edges(spark, sf, wanted: tuple[str, ...] | None = ("FURNITURE", "MACHINERY")) -> DataFrame:
+    own = S.in_condition(demo.bacteria(spark, sf), demo.conditions(spark, sf), wanted)
     e = S.spearman(S.pair_cells(own)).select("condition", F.col("left").alias("source"), F.col("right").alias("target"), F.round("rho", 6).alias("weight"))
     return cut(e.where(F.abs("weight") >= 0.04), "edges")
 
@@ -598,38 +598,38 @@ def sc3_taxon(spark, sf):
     return demo.table(spark, sf, "part").select(label.alias("label"), A.taxon_of(label, "genus").alias("genus"), A.taxon_of(label, "phylum").alias("phylum")).distinct()
 
 
-# --- matrix methods over one segment ------------------------------------------------------------------
+# --- matrix methods ------------------------------------------------------------------
 
 
 def method_cells(spark, sf) -> DataFrame:
-    """Brands of two segments of customers; the matrix methods get every sample and feature of them."""
-    return S.in_condition(demo.bacteria(spark, sf), demo.conditions(spark, sf), ["FURNITURE", "MACHINERY"])
+    """Brands of all segments of customers; the matrix methods get every sample and feature of them."""
+    return S.in_condition(demo.bacteria(spark, sf), demo.conditions(spark, sf))
 
 
 @query()
 def md2_sparcc(spark, sf):
-    return MD.sparcc(method_cells(spark, sf), iterations=5, permutations=20)
+    return MD.sparcc(method_cells(spark, sf))
 
 
 @query()
 def md3_cclasso(spark, sf):
-    return MD.cclasso(method_cells(spark, sf), bootstraps=8)
+    return MD.cclasso(method_cells(spark, sf))
 
 
 @query()
 def md4_spieceasi(spark, sf):
-    return MD.spieceasi(method_cells(spark, sf), penalties=10, subsamples=8)
+    return MD.spieceasi(method_cells(spark, sf))
 
 
 @query()
 def md5_spring(spark, sf):
-    return MD.spring(method_cells(spark, sf), penalties=10, subsamples=8)
+    return MD.spring(method_cells(spark, sf))
 
 
 @query()
 def stars_instability(spark, sf):
-    picked = MD.selections(method_cells(spark, sf), lambda x: MD.correlation_of(MD.centred_logs(x)), 8, 10, 1e-2, None, 4, 17)
-    return MD.instability(picked, 8, 10)
+    picked = MD.selections(method_cells(spark, sf), lambda x: MD.correlation_of(MD.centred_logs(x)), 20, 20, 1e-2, None, 4, 17)
+    return MD.instability(picked, 20, 20)
 
 
 # --- experiments ------------------------------------------------------------------------------------
@@ -637,8 +637,8 @@ def stars_instability(spark, sf):
 
 @query()
 def xp1_repeatability(spark, sf):
-    e = edges(spark, sf)
-    runs = XP.repeatability(e, seeds_of(e), C.Ladder(b=4), n=20)
+    e = edges(spark, sf, None)
+    runs = XP.repeatability(e, seeds_of(e), C.Ladder(b=4))
     return T.consensus(runs)
 
 

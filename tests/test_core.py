@@ -191,6 +191,30 @@ def test_methods_recover(spark):
         MD.sparcc(cells, permutations=3)
 
 
+def test_method_queries_do_the_whole_job(spark, monkeypatch):
+    from guildspark.plans import catalog
+
+    seen = {}
+
+    def note(name):
+        def f(cells, *args, **settings):
+            seen[name] = (cells.select("condition").distinct().count(), args[1:], settings)
+            return cells
+
+        return f
+
+    for name in ("sparcc", "cclasso", "spieceasi", "spring", "selections"):
+        monkeypatch.setattr(MD, name, note(name))
+    monkeypatch.setattr(MD, "instability", lambda picked, *counts: seen.update(counts=counts))
+    monkeypatch.setattr(catalog.XP, "repeatability", note("runs"))
+    monkeypatch.setattr(catalog.T, "consensus", lambda runs: runs)
+    for name in ("md2_sparcc", "md3_cclasso", "md4_spieceasi", "md5_spring", "stars_instability", "xp1_repeatability"):
+        catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert {n: seen[n] for n in ("sparcc", "cclasso", "spieceasi", "spring")} == dict.fromkeys(("sparcc", "cclasso", "spieceasi", "spring"), (5, (), {}))
+    assert seen["selections"][0] == 5 and seen["selections"][1][:2] == (20, 20) and seen["counts"] == (20, 20)
+    assert seen["runs"][0] == 5 and not seen["runs"][2]
+
+
 def test_stream(spark, tmp_path):
     src = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     stream = spark.readStream.schema(src.schema).option("pathGlobFilter", "events.parquet").parquet("/root/testdata/sf0.001")
