@@ -221,31 +221,61 @@ def normal_tail(z):
 # --- neighbourhood selection and StARS (Meinshausen & Bühlmann 2006, Liu et al. 2010) ---------------
 
 
-def lasso_path(r: np.ndarray, target: int, penalties: np.ndarray, cap: int = 200, tol: float = 1e-4) -> np.ndarray:
-    """Coordinate descent on correlations r for one target column, warm-started along falling penalties; rows of non-zero flags."""
+def lasso_exact(r: np.ndarray, target: int, lam: float, beta: np.ndarray) -> np.ndarray | None:
+    """The optimum if it has the signs of beta: the solution for these signs, if it meets the optimum's conditions."""
+    some = np.flatnonzero(beta)
+    sign = np.sign(beta[some])
+    try:
+        found = np.linalg.solve(r[np.ix_(some, some)], r[some, target] - lam * sign)
+    except np.linalg.LinAlgError:
+        return None
+    rest = np.abs(r[:, target] - r[:, some] @ found)
+    rest[some] = rest[target] = 0.0
+    if (np.sign(found) != sign).any() or (rest > lam * (1 + 1e-9)).any():
+        return None
+    out = np.zeros(len(r))
+    out[some] = found
+    return out
+
+
+def lasso_paths(r: np.ndarray, penalties: np.ndarray, cap: int = 100_000, tol: float = 1e-10, every: int = 20) -> np.ndarray:
+    """Coordinate descent on correlations r for every target column at once, warm-started along falling penalties, until each
+    column is at its exact optimum or rests; (penalties, target, p) non-zero flags. Raises where cap rounds do not suffice."""
     p = len(r)
-    beta, out = np.zeros(p), np.zeros((len(penalties), p), bool)
-    others = [k for k in range(p) if k != target]
-    fit = np.zeros(p)  # r @ beta
+    beta, fit = np.zeros((p, p)), np.zeros((p, p))  # coefficients by target column, r @ beta
+    out = np.zeros((len(penalties), p, p), bool)
     for a, lam in enumerate(penalties):
-        for _ in range(cap):
+        exact = np.zeros(p, bool)
+        for n in range(1, cap + 1):
             change = 0.0
-            for k in others:
-                g = r[k, target] - fit[k] + r[k, k] * beta[k]
-                new = math.copysign(max(abs(g) - lam, 0.0), g) / r[k, k]
-                if new != beta[k]:
-                    fit += r[:, k] * (new - beta[k])
-                    change = max(change, abs(new - beta[k]))
+            for k in range(p):
+                g = r[k] - fit[k] + r[k, k] * beta[k]
+                new = np.sign(g) * np.maximum(np.abs(g) - lam, 0.0) / r[k, k]
+                new[k] = 0.0
+                step = new - beta[k]
+                most = np.abs(step).max()
+                if most > 0:
+                    fit += np.outer(r[:, k], step)
                     beta[k] = new
+                    change = max(change, most)
             if change < tol:
                 break
-        out[a] = beta != 0
+            if n % every == 0:
+                for t in np.flatnonzero(~exact):
+                    found = lasso_exact(r, t, lam, beta[:, t])
+                    if found is not None:
+                        beta[:, t], fit[:, t], exact[t] = found, r @ found, True
+                if exact.all():
+                    break
+        else:
+            raise RuntimeError(f"the lasso has not converged in {cap} rounds at penalty {lam}")
+        out[a] = (beta != 0).T
     return out
 
 
 def neighbourhoods(r: np.ndarray, penalties: np.ndarray) -> np.ndarray:
     """(penalties, p, p) supports, an edge if either end selects the other."""
-    picked = np.stack([lasso_path(r, k, penalties) for k in range(len(r))], axis=1)
+    picked = lasso_paths(r, penalties)
     return picked | picked.transpose(0, 2, 1)
 
 
@@ -301,7 +331,7 @@ def instability(picked: DataFrame, subsamples: int, count: int) -> DataFrame:
     return f.groupBy("condition", "a").agg(F.avg(2 * F.col("f") * (1 - F.col("f"))).alias("instability"))
 
 
-def spieceasi(cells: DataFrame, penalties: int = 20, ratio: float = 1e-2, subsamples: int = 20, threshold: float = 0.05, pseudo: float = 0.5, seed: int = 17) -> DataFrame:
+def spieceasi(cells: DataFrame, penalties: int = 20, ratio: float = 1e-3, subsamples: int = 20, threshold: float = 0.05, pseudo: float = 0.5, seed: int = 17) -> DataFrame:
     """(condition, left, right, weight, p, selected): MB on centred log-ratios with StARS; weight is the selection share, p is null."""
     picked = selections(cells, lambda x: correlation_of(centred_logs(x, pseudo)), subsamples, penalties, ratio, None, 4, seed)
     return stars(picked, subsamples, penalties, threshold).select("condition", "left", "right", F.col("stability").alias("weight"), F.lit(None).cast("double").alias("p"), F.lit(True).alias("selected"))
@@ -325,7 +355,7 @@ def kendall_matrix(x: np.ndarray) -> np.ndarray:
     return (s.T @ s / max(1, len(i))) if p else np.zeros((0, 0))
 
 
-def latent_table(grid: int = 21, points: int = 2000, seed: int = 5):
+def latent_table(grid: int = 41, points: int = 4000, seed: int = 5):
     """Kendall's tau of two truncated normals by latent correlation and shares of zeros, on fixed quasi-random points."""
     rng = np.random.default_rng(seed)
     z = rng.standard_normal((points, 4))

@@ -215,6 +215,38 @@ def test_method_queries_do_the_whole_job(spark, monkeypatch):
     assert seen["runs"][0] == 5 and not seen["runs"][2]
 
 
+def test_lasso_converges():
+    import inspect
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(40, 1)) + 0.1 * rng.normal(size=(40, 12))
+    r = MD.correlation_of(x)
+    lam = MD.penalties_of(r, 20, 1e-3)
+
+    def support(target, penalty):
+        # one column at a time, far beyond the tolerance under test, and checked against the conditions of the optimum
+        others = [k for k in range(len(r)) if k != target]
+        b = np.zeros(len(r))
+        for _ in range(200_000):
+            before = b.copy()
+            for k in others:
+                g = r[k, target] - r[k] @ b + r[k, k] * b[k]
+                b[k] = np.sign(g) * max(abs(g) - penalty, 0) / r[k, k]
+            if np.abs(b - before).max() < 1e-12:
+                break
+        g = r[others, target] - r[others] @ b
+        assert (np.abs(g) <= penalty + 1e-8).all()
+        return b != 0
+
+    got = MD.lasso_paths(r, lam)
+    for a in (5, 12, 19):
+        assert got[a, 0].tolist() == support(0, lam[a]).tolist()
+    with pytest.raises(RuntimeError):
+        MD.lasso_paths(r, lam, cap=3)
+    assert inspect.signature(MD.spieceasi).parameters["ratio"].default == 1e-3
+    assert len(MD.latent_table()[1]) == 41 and len(MD.latent_table()[0]) == 4000
+
+
 def test_stream(spark, tmp_path):
     src = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     stream = spark.readStream.schema(src.schema).option("pathGlobFilter", "events.parquet").parquet("/root/testdata/sf0.001")
