@@ -348,11 +348,24 @@ def mclr_matrix(x: np.ndarray) -> np.ndarray:
     return np.where(x > 0, c - low + 1, 0)
 
 
-def kendall_matrix(x: np.ndarray) -> np.ndarray:
-    p = x.shape[1]
-    i, j = np.triu_indices(len(x), 1)
-    s = np.sign(x[i] - x[j])
-    return (s.T @ s / max(1, len(i))) if p else np.zeros((0, 0))
+def kendall_matrix(x: np.ndarray, pairs: int = 1 << 18) -> np.ndarray:
+    """Kendall's tau-a of every two columns. Sample pairs are taken in blocks of about `pairs`, so memory does not grow with their number."""
+    n, p = x.shape
+    if n < 2 or not p:
+        return np.zeros((p, p))
+    codes = np.column_stack([np.unique(c, return_inverse=True)[1] for c in x.T]).astype(np.int32)
+    step, total = max(1, pairs // n), np.zeros((p, p))
+
+    def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        s = np.sign(a[:, None] - b[None]).reshape(-1, p).astype(np.float32)
+        return (s.T @ s).astype(float)  # sums of at most 2^24 signs are exact
+
+    for at in range(0, n, step):
+        block, after = codes[at : at + step], codes[at + step :]
+        total += products(block, block) / 2
+        if len(after):
+            total += products(block, after)
+    return total / (n * (n - 1) / 2)
 
 
 def latent_table(grid: int = 41, points: int = 4000, seed: int = 5):

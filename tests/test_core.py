@@ -247,6 +247,21 @@ def test_lasso_converges():
     assert len(MD.latent_table()[1]) == 41 and len(MD.latent_table()[0]) == 4000
 
 
+def test_kendall_in_bounded_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(6)
+    x = rng.integers(0, 5, size=(1500, 8)).astype(float)
+    i, j = np.triu_indices(len(x), 1)
+    s = np.sign(x[i] - x[j])
+    tracemalloc.start()
+    got = MD.kendall_matrix(x)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.array_equal(got, s.T @ s / len(i)) and peak < s.nbytes / 2
+    assert np.array_equal(got, MD.kendall_matrix(x, pairs=1)) and MD.kendall_matrix(x[:1]).tolist() == np.zeros((8, 8)).tolist()
+
+
 def test_stream(spark, tmp_path):
     src = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     stream = spark.readStream.schema(src.schema).option("pathGlobFilter", "events.parquet").parquet("/root/testdata/sf0.001")
