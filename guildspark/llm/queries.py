@@ -128,7 +128,8 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op8_interleaved_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = sharding.shards(read(spark, sf_dir, "documents"), 24)
+    path = f"{shared_dir(spark)}/guildspark-shards-{uuid.uuid4().hex}"
+    found = sharding.digests(*sharding.write(read(spark, sf_dir, "documents"), path, 24))
     return found.select(F.col("id").alias("doc_id"), "size", F.col("crc").alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 

@@ -10,30 +10,43 @@ No rank is taken over a whole source or over all rows in one task: the hash orde
 construction; a rank is the count of the buckets before plus the place inside the bucket.
 
 Defined results: null texts have no bytes; a null source is a source of its own; ties of id are broken
-by the text's checksum and size, and rows equal in all of these are interchangeable; an empty table
+by the text's checksum and size, and rows equal in all of these may swap places; an empty table
 gives no rows; more shards than rows leave some empty."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, fresh
 
 TIES = ("_h", "id", "crc", "size")
 
 
+def size_of(text: str) -> Column:
+    return (F.coalesce(F.octet_length(text), F.lit(0)) + 8).cast("long")
+
+
+def crc_of(text: str) -> Column:
+    return F.crc32(F.coalesce(F.col(text), F.lit("")))
+
+
 def _offsets(counts: DataFrame, by: list[str], order: str, name: str) -> DataFrame:
     """Rows before each bucket: a running sum over bucket counts."""
     w = (Window.partitionBy(*by) if by else Window).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     return counts.withColumn(name, F.coalesce(F.sum("n").over(w), F.lit(0)))
 
 
-def shards(docs: DataFrame, n_shards: int = 24, seed: str = "17", digits: int = 3, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """Rows (id, size, crc, shard, slot): slot counts the rows of a shard from 0 without gaps."""
+def place(docs: DataFrame, n_shards: int = 24, seed: str = "17", digits: int = 3, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> tuple[DataFrame, dict[str, str]]:
+    """docs with two more columns, and their names: shard int, and slot long, which counts the rows of a shard from 0 without gaps.
+
+    Ranks are taken on keys and checksums; a row meets its place by a number of its own, as ids may repeat or be null."""
+    names = {k: fresh(docs, k) for k in ("shard", "slot")}
+    own = fresh(docs, "row")
+    whole = cut(docs.withColumn(own, F.monotonically_increasing_id()), "shard-docs")
     stratum = F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit("none"))
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit("null"))))
-    rows = docs.select(F.col(doc_id).cast("long").alias("id"), stratum.alias("_s"), key.alias("_h"), (F.coalesce(F.octet_length(text), F.lit(0)) + 8).cast("long").alias("size"), F.crc32(F.coalesce(F.col(text), F.lit(""))).alias("crc"))
+    rows = whole.select(F.col(own).alias("_row"), F.col(doc_id).cast("long").alias("id"), stratum.alias("_s"), key.alias("_h"), size_of(text).alias("size"), crc_of(text).alias("crc"))
     rows = cut(rows, "shard-rows").withColumn("_b", F.substring("_h", 1, digits))
     counts = rows.groupBy("_s", "_b").agg(F.count("*").alias("n"))
     totals = counts.groupBy("_s").agg(F.sum("n").alias("_n"))
@@ -42,10 +55,30 @@ def shards(docs: DataFrame, n_shards: int = 24, seed: str = "17", digits: int =
     ranked = rows.withColumn("_r", inside).join(starts, ["_s", "_b"])
     cells = 16**digits
     ranked = ranked.withColumn("_f", (F.col("_before") + F.col("_r") - 0.5) / F.col("_n"))
-    ranked = cut(ranked.select("id", "size", "crc", "_s", "_h", "_f", F.floor(F.col("_f") * cells).alias("_c")), "shard-ranks")
+    ranked = cut(ranked.select("_row", "id", "size", "crc", "_s", "_h", "_f", F.floor(F.col("_f") * cells).alias("_c")), "shard-ranks")
     total = ranked.count()
     cell_starts = _offsets(ranked.groupBy("_c").agg(F.count("*").alias("n")), [], "_c", "_before").drop("n")
-    place = F.row_number().over(Window.partitionBy("_c").orderBy("_f", "_s", *TIES))
-    placed = ranked.withColumn("_p", place).join(cell_starts, "_c").select("id", "size", "crc", (F.col("_before") + F.col("_p") - 1).alias("_g"))
-    shard = F.expr(f"(_g * {n_shards}) div {max(1, total)}")
-    return placed.select("id", "size", "crc", shard.cast("int").alias("shard"), "_g").select("id", "size", "crc", "shard", (F.col("_g") - F.expr(f"(shard * {total}L + {n_shards - 1}) div {n_shards}")).alias("slot"))
+    inside = F.row_number().over(Window.partitionBy("_c").orderBy("_f", "_s", *TIES))
+    placed = ranked.withColumn("_p", inside).join(cell_starts, "_c").select("_row", (F.col("_before") + F.col("_p") - 1).alias("_g"))
+    placed = placed.withColumn("_shard", F.expr(f"(_g * {n_shards}) div {max(1, total)}").cast("int"))
+    slot = F.col("_g") - F.expr(f"(_shard * {total}L + {n_shards - 1}) div {n_shards}")
+    placed = placed.select(F.col("_row").alias(own), F.col("_shard").alias(names["shard"]), slot.alias(names["slot"]))
+    return whole.join(placed, own).select(*docs.columns, *names.values()), names
+
+
+def write(docs: DataFrame, path: str, n_shards: int = 24, **how) -> tuple[DataFrame, dict[str, str]]:
+    """Writes every row of docs into a folder per shard, its files in slot order, and returns the rows as read from there, and the names of place()."""
+    placed, names = place(docs, n_shards, **how)
+    at = list(names.values())
+    placed.repartitionByRange(*at).sortWithinPartitions(*at).write.partitionBy(names["shard"]).option("compression", "zstd").parquet(path)
+    return docs.sparkSession.read.schema(placed.schema).parquet(path).select(*placed.columns), names
+
+
+def digests(rows: DataFrame, names: dict[str, str], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Rows (id, size, crc, shard, slot) of placed rows."""
+    return rows.select(F.col(doc_id).cast("long").alias("id"), size_of(text).alias("size"), crc_of(text).alias("crc"), F.col(names["shard"]).alias("shard"), F.col(names["slot"]).alias("slot"))
+
+
+def shards(docs: DataFrame, n_shards: int = 24, seed: str = "17", digits: int = 3, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """Digests (id, size, crc, shard, slot) of place()."""
+    return digests(*place(docs, n_shards, seed, digits, doc_id, text, source), doc_id, text)

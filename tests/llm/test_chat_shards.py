@@ -55,3 +55,14 @@ def test_shards(spark):
     assert {tuple(r) for r in out} == {tuple(r) for r in sharding.shards(df.repartition(3), 7, digits=2).collect()}
     assert sharding.shards(df.limit(0), 7).count() == 0
     assert {r["shard"] for r in sharding.shards(df.limit(3), 24).collect()} == {0, 8, 16}
+
+
+def test_shard_files_hold_the_rows(spark, tmp_path):
+    rows = [(i % 40, f"text {i}", "big" if i % 3 else None, i) for i in range(90)] + [(None, None, "big", 90), (None, "x", "big", 91)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, shard int")
+    found, names = sharding.write(df, str(tmp_path / "out"), 5, digits=1)
+    assert names == {"shard": "shard_", "slot": "slot"} and found.columns == [*df.columns, "shard_", "slot"]
+    assert sorted((tuple(r)[:4] for r in found.collect()), key=repr) == sorted(rows, key=repr)
+    assert sorted(map(tuple, sharding.digests(found, names).collect()), key=repr) == sorted(map(tuple, sharding.shards(df, 5, digits=1).collect()), key=repr)
+    assert sorted(p.name for p in (tmp_path / "out").iterdir() if p.is_dir()) == [f"shard_={i}" for i in range(5)]
+    assert sharding.write(df.limit(0), str(tmp_path / "none"), 5)[0].count() == 0
