@@ -85,3 +85,19 @@ def test_align(spark):
     assert got[102]["best_id"] == 3 and got[102]["best_errors"] < 0.2
     assert got[9]["n_matches"] == 0 and got[103]["n_ints"] == 0 and got[5]["n_matches"] is None
     assert chroma.align(chroma.fingerprints(df.limit(0), "audio", "rec_id"), F.lit(True)).count() == 0
+
+
+def test_align_judges_tied_offsets(spark):
+    rng = np.random.default_rng(9)
+    base = rng.integers(-(2**31), 2**31, 30)
+    late = np.concatenate((rng.integers(-(2**31), 2**31, 10), base ^ 1))
+    late[10:12] = base[0:2]  # one equal pair at the true offset 10 ...
+    late[5:7] = base[5:7]  # ... and one by chance at offset 0
+    short, noisy = base[:4].copy(), base[:4].copy()
+    noisy[3] ^= 1
+    rows = [(i, [int(v) for v in x]) for i, x in enumerate((base, late, short, noisy))]
+    prints = spark.createDataFrame(rows, "id long, ints array<int>")
+    got = {r["id"]: r for r in chroma.align(prints.where("id < 2"), F.lit(True)).collect()}
+    assert (got[0]["best_id"], got[0]["best_offset"], got[0]["n_matches"]) == (1, 10, 1)
+    got = {r["id"]: r for r in chroma.align(prints.where("id >= 2"), F.lit(True)).collect()}
+    assert got[2]["best_id"] == 3 and abs(got[2]["best_errors"] - 1 / 128) < 1e-6
