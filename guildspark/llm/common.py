@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,9 +25,11 @@ def utf8(value) -> bytes:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local session (tests) gets a new one and a cluster an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="guildspark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -48,11 +54,25 @@ def map_texts(df: DataFrame, keep: dict[str, Column], out, per_batch: Callable,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, per_bytes):
-                yield per_batch(part)
+                with no_gc():
+                    out = per_batch(part)
+                yield out
 
     return selected.mapInArrow(run, out)
 
 
+@contextlib.contextmanager
+def no_gc():
+    """Without the search for cycles, which costs much where many objects are made and none refer to each other."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 def slices(batch, per_bytes: int) -> Iterable:
     """Cuts a batch into runs of rows of about per_bytes, one row at least."""
     n = batch.num_rows
@@ -63,6 +83,60 @@ def slices(batch, per_bytes: int) -> Iterable:
         yield batch.slice(at, step)
 
 
+class Memory:
+    """A bounded memory of values by key: keys that were used lately stay.
+
+    There are two generations; a key that is used moves to the younger one, and when that is full the
+    older one is forgotten. A value is never None."""
+
+    def __init__(self, limit: int = 400_000):
+        self.limit, self.young, self.old = limit, {}, {}
+
+    def values(self, keys: list, make: Callable[[list], list]) -> list:
+        """The value of each key; make(keys) gives those of the unknown ones."""
+        young, old = self.young, self.old
+        out = list(map(young.get, keys))
+        unknown = []
+        for i in [i for i, v in enumerate(out) if v is None]:
+            if (v := old.get(keys[i])) is None:
+                unknown.append(i)
+            else:
+                out[i] = young[keys[i]] = v
+        for i, v in zip(unknown, make([keys[i] for i in unknown]) if unknown else (), strict=True):
+            out[i] = young[keys[i]] = v
+        if len(young) > self.limit:
+            self.young, self.old = {}, young
+        return out
+
+
+def split_on_spaces(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """What stands between the single spaces of each text, as one dictionary array, and where each text begins in it.
+
+    A null or empty text has one empty word."""
+    lists = pc.split_pattern(texts.fill_null(""), pattern=" ")
+    return lists.flatten().dictionary_encode(), lists.offsets.to_numpy()
+
+
+def gather(values: list[bytes] | pa.Array, places: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """values[places[0]], values[places[1]], ... in one piece, and the end of each."""
+    taken = (values if isinstance(values, pa.Array) else pa.array(values, pa.large_binary())).take(pa.array(places))
+    _, ends, data = taken.buffers()
+    ends = np.frombuffer(ends, np.int64)[taken.offset + 1 : taken.offset + 1 + len(taken)]
+    return (data.to_pybytes()[: int(ends[-1])] if data is not None and len(ends) else b""), ends
+
+
+def used(places: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which of n entries are used, ascending, and each place's rank among them."""
+    seen = np.zeros(n, bool)
+    seen[places] = True
+    return np.flatnonzero(seen), (np.cumsum(seen) - 1)[places]
+
+
+def any_in(flags: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Whether a flag is set in each run from starts[i] up to starts[i + 1]."""
+    return np.diff(np.concatenate(([0], np.cumsum(flags)))[starts]) > 0
+
+
 def record_batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in schema], schema=schema)
 
@@ -83,4 +157,4 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-__all__ = ["ASCII_LOWER", "F", "T", "cut", "fresh", "map_texts", "partitions", "read", "record_batch", "shared_dir", "slices", "utf8"]
+__all__ = ["ASCII_LOWER", "F", "Memory", "T", "any_in", "cut", "fresh", "gather", "map_texts", "no_gc", "partitions", "read", "record_batch", "shared_dir", "slices", "split_on_spaces", "used", "utf8"]

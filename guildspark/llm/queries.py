@@ -116,7 +116,7 @@ from d left join kept using (r)
 @query
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/guildspark-tokens-{uuid.uuid4().hex}"
-    token_store.write(read(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    token_store.write(read(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), special_as_text=False)
     return token_store.documents(spark, path).withColumnRenamed("id", "doc_id")
 
 

@@ -5,10 +5,11 @@ the vocabulary holds a mark after another character, so words are encoded alone.
 a batch are sorted, which is a depth-first walk of their trie: the forward state of the prefix that a
 word shares with the one before stays, and only the rest is computed.
 
-Forward state of a prefix: for a unigram vocabulary, its best score and last piece (Viterbi). For a BPE
-vocabulary the encoding of every prefix is unique, and a piece may end it if it and the last piece of
-what stands before it stay two pieces when merged together; so the state is the last piece. This gives
-the merges' own result, which the best sum of scores would not.
+Forward state of a prefix: its best score and last piece (Viterbi), over the pieces that end there, found
+in a trie of the pieces read backwards. In a unigram vocabulary every piece is an arc. In a BPE vocabulary
+the best sum of scores over all arcs would not be the merges' result: there a piece is an arc only if it
+and the last piece before it stay two pieces when merged together. One arc is left for each prefix, as its
+encoding is unique, and the forward scores along them are those of the merges' own pieces.
 
 Defined results: a null text has null ids (empty: none); the mark itself in a text decodes to a space;
 characters outside the vocabulary become bytes if it has byte pieces, else the unknown id."""
@@ -16,15 +17,17 @@ characters outside the vocabulary become bytes if it has byte pieces, else the u
 from __future__ import annotations
 
 import heapq
+import itertools
 import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, record_batch
+from .common import Memory, gather, map_texts, record_batch, split_on_spaces
 
 MARK = "▁"
 WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -44,9 +47,11 @@ class Vocabulary:
         self.longest = max(map(len, self.ids), default=1)
         self.least = min(self.scores.values(), default=0.0) - 10
         self.words_alone = not any(INNER_MARK.search(p) for p in self.ids)
-        self.meet: dict[tuple[str, str], bool] = {}
+        self.endings = self._endings()
+        self.meet: dict[str, dict[str, bool]] = {}
+        self.met = 0
         self.own: dict[str, bool] = {}
-        self.raw = {i: p.replace(MARK, " ").encode() for p, i in self.ids.items()} | {i: bytes([b]) for b, i in byte_ids.items()}
+        self.raw = {i: p.replace(MARK, " ").encode() for p, i in self.ids.items()} | {i: bytes([b]) for b, i in byte_ids.items()} | {unknown: b"\xef\xbf\xbd"}
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
@@ -84,11 +89,15 @@ class Vocabulary:
 
     def follows(self, left: str, right: str) -> bool:
         """Whether the two pieces stay apart when their text is merged."""
-        key = (left, right)
-        if (known := self.meet.get(key)) is None:
-            if len(self.meet) > 2_000_000:
+        after = self.meet.get(left)
+        if after is None:
+            after = self.meet[left] = {}
+        if (known := after.get(right)) is None:
+            if self.met > 2_000_000:
                 self.meet.clear()
-            known = self.meet[key] = left + right not in self.scores and self.merged(left + right) == [left, right] if len(left) + len(right) > 2 else left + right not in self.scores
+                after, self.met = self.meet.setdefault(left, {}), 0
+            self.met += 1
+            known = after[right] = left + right not in self.scores and (len(left) + len(right) == 2 or self.merged(left + right) == [left, right])
         return known
 
     def stands(self, piece: str) -> bool:
@@ -107,7 +116,7 @@ class Vocabulary:
     def encode_words(self, words) -> dict[str, list[str]]:
         """The pieces of distinct words, walked in sorted order so that shared prefixes are computed once."""
         out, last, start, best = {}, "", [0], [0.0]
-        step = self._bpe_step if self.bpe else self._best_step
+        step = self._step
         for w in sorted(words):
             if self.bpe and w[:2] == MARK * 2:  # runs of marks have equal scores, where order decides
                 out[w] = self.merged(w)
@@ -125,64 +134,121 @@ class Vocabulary:
             out[w] = pieces[::-1]
         return out
 
-    def _bpe_step(self, w: str, end: int, start: list, best: list) -> None:
-        for s in range(max(0, end - self.longest), end):
-            p = w[s:end]
-            if (end - s == 1 or p in self.scores and self.stands(p)) and (s == 0 or self.follows(w[start[s] : s], p)):
+    def _endings(self) -> dict:
+        """The pieces as a trie read from their last character; a node's piece is under the empty key."""
+        root: dict = {}
+        for p in self.ids:
+            node = root
+            for c in reversed(p):
+                node = node.setdefault(c, {})
+            node[""] = p
+        return root
+
+    def _step(self, w: str, end: int, start: list, best: list) -> None:
+        """The forward score of w[:end]: the best of the arcs that end there, each the score of the prefix before a
+        piece plus the piece's own. In a BPE vocabulary an arc counts only if its piece stays apart from the last
+        piece before it; one arc does, and the search ends with it."""
+        choice, at, s = None, 0, end
+        node, scores, bpe = self.endings, self.scores, self.bpe
+        while s:
+            s -= 1
+            node = node.get(w[s])
+            if node is None:
+                if s < end - 1:
+                    break
+                p, node = w[s], {}  # a character that is no piece
+            elif (p := node.get("")) is None:
+                if s < end - 1:
+                    continue
+                p = w[s]
+            if bpe:
+                if (s < end - 1 and not self.stands(p)) or (s and not self.follows(w[start[s] : s], p)):
+                    continue
+                best.append(best[s] + scores.get(p, self.least))
                 start.append(s)
-                best.append(0.0)
                 return
-        raise AssertionError(w)
-
-    def _best_step(self, w: str, end: int, start: list, best: list) -> None:
-        choice = (float("-inf"), 0)
-        for s in range(max(0, end - self.longest), end):
-            p = w[s:end]
-            score = self.scores.get(p, self.least if end - s == 1 else None)
-            if score is not None and best[s] + score > choice[0]:
-                choice = (best[s] + score, s)
-        best.append(choice[0])
-        start.append(choice[1])
+            score = best[s] + scores.get(p, self.least)
+            if choice is None or score > choice:
+                choice, at = score, s
+        if choice is None:
+            raise AssertionError(w)
+        best.append(choice)
+        start.append(at)
 
 
 class Codec:
-    """Encodes and decodes texts; keeps the ids of words, up to a limit."""
+    """Encodes and decodes texts with a bounded memory of words' ids."""
 
     def __init__(self, vocabulary: Vocabulary, limit: int = 400_000):
-        self.v, self.limit, self.known = vocabulary, limit, {}
+        self.v, self.known, self.coded = vocabulary, Memory(limit), {}
+        raw = vocabulary.raw
+        self.spelled = pa.array([raw.get(i, b"") for i in range(max(raw, default=-1) + 1)] + [b""], pa.large_binary())
 
     def words(self, text: str) -> list[str]:
         """Marked words; one that has a single mark in front comes without it."""
         marked = ((" " if self.v.dummy_prefix else "") + text).replace(" ", MARK)
         if not self.v.words_alone:
             return [MARK + marked]
-        if marked[0] == MARK and MARK * 2 not in marked and marked[-1] != MARK:
-            return marked[1:].split(MARK)
         return [w[1:] if w[0] == MARK and w[1:2] not in ("", MARK) else MARK + w for w in WORD.findall(marked)]
 
-    def encode(self, texts: list[str | None]) -> list[np.ndarray | None]:
-        known = self.known
-        cut = [self.words(t) if t else [] for t in texts]
-        new = set().union(*cut).difference(known)
+    def _of_words(self, words: list[str]) -> list[bytes]:
         # a leading mark beside others is doubled by words(): it stands for a word that keeps its own marks
-        full = {(w[1:] if w[:1] == MARK else MARK + w): w for w in new}
-        for word, pieces in self.v.encode_words(full).items():
-            known[full[word]] = np.array([i for p in pieces for i in self.v.ids_of(p)], "<i4").tobytes()
-        get = known.__getitem__
-        out = [None if t is None else np.frombuffer(b"".join(map(get, ws)), "<i4") for t, ws in zip(texts, cut, strict=True)]
-        if len(known) > self.limit:  # what came first, and so the frequent words, stays
-            for w in new:
-                del known[w]
+        full = [w[1:] if w[:1] == MARK else MARK + w for w in words]
+        found = self.v.encode_words(set(full))
+        coded = self.coded
+        for p in set(itertools.chain.from_iterable(found.values())).difference(coded):
+            coded[p] = np.array(self.v.ids_of(p), "<i4").tobytes()
+        out = [b"".join(map(coded.__getitem__, found[w])) for w in full]
+        if len(coded) > 1_000_000:  # characters that are no pieces
+            coded.clear()
         return out
 
+    def _joined(self, flat: pa.DictionaryArray, starts: np.ndarray) -> tuple[bytes, np.ndarray]:
+        words = flat.dictionary.to_pylist()
+        some = [w for w in words if w]
+        made = dict(zip(some, self.known.values(some, self._of_words), strict=True))
+        data, ends = gather([made[w] if w else b"" for w in words], flat.indices.to_numpy())
+        return data, np.concatenate(([0], ends))[starts[1:]]
+
+    def encode_joined(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in one array, and where each text's end."""
+        texts = texts.fill_null("")
+        odd = pc.match_substring(texts, MARK).to_numpy(zero_copy_only=False)
+        if self.v.words_alone and self.v.dummy_prefix:  # single spaces part words; all else is marked and cut by pattern
+            for p in ("  ", MARK):
+                odd = odd | pc.match_substring(texts, p).to_numpy(zero_copy_only=False)
+            odd = odd | pc.starts_with(texts, " ").to_numpy(zero_copy_only=False) | pc.ends_with(texts, " ").to_numpy(zero_copy_only=False)
+        else:
+            odd[:] = True
+        if not odd.any():
+            data, ends = self._joined(*split_on_spaces(texts))
+            return np.frombuffer(data, "<i4"), ends // 4
+        out: list = [b""] * len(texts)
+        for rows in (np.flatnonzero(~odd), np.flatnonzero(odd)):
+            some = texts.take(pa.array(rows))
+            if odd[rows].any():
+                cut = [self.words(t) if t else [] for t in some.to_pylist()]
+                data, ends = self._joined(pa.array([w for x in cut for w in x], pa.string()).dictionary_encode(), np.cumsum([0, *map(len, cut)]))
+            else:
+                data, ends = self._joined(*split_on_spaces(some))
+            for i, a, b in zip(rows.tolist(), [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                out[i] = data[a:b]
+        return np.frombuffer(b"".join(out), "<i4"), np.cumsum(np.fromiter(map(len, out), np.int64, len(out))) // 4
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray | None]:
+        ids, ends = self.encode_joined(pa.array(texts, pa.string()))
+        return [None if t is None else ids[a:b] for t, a, b in zip(texts, [0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+
+    def decode_joined(self, ids: np.ndarray, ends: np.ndarray) -> list[str]:
+        """The texts of ids that lie in one array; an id without a spelling (a control one) adds nothing."""
+        ids = np.where((ids >= 0) & (ids < len(self.spelled) - 1), ids, len(self.spelled) - 1)
+        data, byte_ends = gather(self.spelled, ids)
+        at = np.concatenate(([0], byte_ends))[np.concatenate(([0], ends))].tolist()
+        cut = 1 if self.v.dummy_prefix else 0
+        return [data[a + (cut if data[a : a + 1] == b" " and b > a else 0) : b].decode("utf-8", "replace") for a, b in zip(at[:-1], at[1:], strict=True)]
+
     def decode(self, ids) -> str | None:
-        if ids is None:
-            return None
-        raw = self.v.raw
-        text = b"".join([raw.get(i, b"\xef\xbf\xbd" if i == self.v.unknown else b"") for i in ids])
-        if self.v.dummy_prefix and text[:1] == b" ":
-            text = text[1:]
-        return text.decode("utf-8", "replace")
+        return None if ids is None else self.decode_joined(np.asarray(ids, np.int64), np.array([len(ids)]))[0]
 
 
 def codec(path: str) -> Codec:
@@ -194,12 +260,14 @@ def codec(path: str) -> Codec:
 
 def encode(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (id, ids array<int>)."""
-    schema = pa.schema([("id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
     def per_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return record_batch(schema, id=batch.column("id"), ids=codec(vocabulary).encode(batch.column("text").to_pylist()))
+        texts = batch.column("text")
+        ids, ends = codec(vocabulary).encode_joined(texts)
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(ids, pa.int32()), mask=texts.is_null())
+        return pa.RecordBatch.from_arrays([batch.column("id"), lists], names=["id", "ids"])
 
-    return map_texts(docs, {"id": F.col(doc_id).cast("long"), "text": F.col(text)}, "id long, ids array<int>", per_batch, 4 << 20)
+    return map_texts(docs, {"id": F.col(doc_id).cast("long"), "text": F.col(text)}, "id long, ids array<int>", per_batch)
 
 
 def decode(encoded: DataFrame, vocabulary: str, doc_id: str = "id", ids: str = "ids") -> DataFrame:
@@ -218,9 +286,11 @@ def round_trip(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: s
     schema = pa.schema([("id", pa.int64()), ("n_ids", pa.int64()), ("ids_crc32", pa.int64()), ("decoded", pa.string()), ("same", pa.bool_())])
 
     def per_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
-        c, texts = codec(vocabulary), batch.column("text").to_pylist()
-        ids = c.encode(texts)
-        decoded = [None if x is None else c.decode(x.tolist()) for x in ids]
-        return record_batch(schema, id=batch.column("id"), n_ids=[0 if x is None else len(x) for x in ids], ids_crc32=[0 if x is None else zlib.crc32(x.tobytes()) for x in ids], decoded=decoded, same=[a == b for a, b in zip(texts, decoded, strict=True)])
-
-    return map_texts(docs, {"id": F.col(doc_id).cast("long"), "text": F.col(text)}, "id long, n_ids long, ids_crc32 long, decoded string, same boolean", per_batch, 4 << 20)
+        c, texts = codec(vocabulary), batch.column("text")
+        ids, ends = c.encode_joined(texts)
+        valid = texts.is_valid().to_pylist()
+        decoded = [t if v else None for t, v in zip(c.decode_joined(ids, ends), valid, strict=True)]
+        bounds = list(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True))
+        return record_batch(schema, id=batch.column("id"), n_ids=[b - a for a, b in bounds], ids_crc32=[zlib.crc32(ids[a:b].tobytes()) for a, b in bounds], decoded=decoded, same=[a == b for a, b in zip(texts.to_pylist(), decoded, strict=True)])
+
+    return map_texts(docs, {"id": F.col(doc_id).cast("long"), "text": F.col(text)}, "id long, n_ids long, ids_crc32 long, decoded string, same boolean", per_batch)

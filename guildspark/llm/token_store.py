@@ -2,18 +2,21 @@
 
 Documents are range-partitioned and sorted by id, encoded with a byte-level BPE of the tokenizers
 library, and written as shards: one Parquet row holds the concatenated ids of a run of documents
-(2 or 4 bytes each), their ids, and the boundaries as an Elias-Fano sequence with select samples. A
-shard's first offset is the sum of the ids in the shards before it, taken from the shard counts.
+(2 or 4 bytes each), and the boundaries and document ids as Elias-Fano sequences with select samples. A
+shard's first offset is the sum of the ids in the shards before it, taken from the shard counts; a
+reader gets a document's place by select.
 
 A byte-level BPE never merges across the pre-tokenizer's borders. A single space between two
 characters that aren't white space is such a border, so text is cut there and every distinct piece
-goes through the library once per worker; texts with special-token strings are plain text.
+goes through the library once per worker. Texts that hold the string of a special token go through the
+library whole, as it turns the string into that token.
 
 Defined results: a null or empty text has the end id only; rows with equal ids follow each other in
 the order of their texts; null ids come first; an empty table gives no shards and no rows."""
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 import zlib
@@ -21,17 +24,16 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, record_batch, slices
+from .common import Memory, any_in, gather, no_gc, partitions, record_batch, slices, split_on_spaces, used
 
 #: Single spaces between two characters that are no white space.
 BORDER = re.compile(r"(?<=\S) (?=\S)")
-#: The pre-tokenizer's pattern, as public_tokenizers.PATTERN gives it (fixed value).
-PRE_TOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-SHARD = "part int, seq int, n_docs long, n_tokens long, width int, ids binary, bounds binary, doc_ids binary"
-SHARD_ARROW = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("width", pa.int32()), ("ids", pa.binary()), ("bounds", pa.binary()), ("doc_ids", pa.binary())])
+SHARD = "part int, seq int, n_docs long, n_tokens long, width int, ids binary, bounds binary, n_null long, first_id long, coded boolean, doc_ids binary"
+SHARD_ARROW = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("width", pa.int32()), ("ids", pa.binary()), ("bounds", pa.binary()), ("n_null", pa.int64()), ("first_id", pa.int64()), ("coded", pa.bool_()), ("doc_ids", pa.binary())])
 SAMPLE = 256
 
 _encoders: dict = {}
@@ -93,65 +95,103 @@ class EliasFano:
 
 
 class Encoder:
-    """Byte-level BPE with a bounded memory of pieces and of pre-tokens; a value is the ids' bytes.
+    """Byte-level BPE with a bounded memory of words; a value is the ids' bytes.
 
-    What is met first, and so what is frequent, stays in memory; the rest is encoded anew in each batch."""
+    special_as_text: strings of special tokens inside a text are ordinary text, as the vocabulary's notes
+    have it; else they become their token, as the library does as it is loaded."""
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 400_000, special_as_text: bool = True):
+        import public_tokenizers
         import regex
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = special_as_text
+        self.specials = [] if special_as_text else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.limit, self.pieces, self.tokens = limit, {}, {}
-        self.pre_tokens = regex.compile(PRE_TOKEN).findall
-
-    def _split(self, texts: list[str | None]) -> tuple[list[list[str]], set[str]]:
-        """Pieces of each text, cut at its borders, and those not known. Nearly every space is a border: the
-        texts where one is not show a piece that is empty or has white space at an end, and are cut by pattern."""
-        parts = [t.split(" ") if t else [] for t in texts]
-        new = set().union(*parts).difference(self.pieces)
-        odd = {p for p in new if not p or p[0].isspace() or p[-1].isspace()}
-        if odd:
-            for i, p in enumerate(parts):
-                if not odd.isdisjoint(p):
-                    parts[i] = BORDER.split(texts[i])
-            new = set().union(*parts).difference(self.pieces)
-        return parts, new
+        self.kind = "H" if self.dtype.itemsize == 2 else "I"
+        self.known = Memory(limit)
+        self.find = regex.compile(public_tokenizers.PATTERN).findall
+
+    def _ids(self, text: str) -> bytes:
+        return array(self.kind, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _of_pieces(self, pieces: list[str]) -> list[bytes]:
+        """Pieces are cut by the pre-tokenizer's pattern; distinct parts are encoded once, and remembered like pieces."""
+        cut = {p: self.find(p) for p in pieces if not (p[:1] == " " and p[1:].isalpha())}
+        whole = [p for p in pieces if p not in cut]
+        parts = set(itertools.chain.from_iterable(cut.values()))
+        young, old = self.known.young, self.known.old
+        ids = {t: v for t in parts if (v := young.get(t) or old.get(t)) is not None}
+        new = list(parts.union(whole).difference(ids))
+        for at in range(0, len(new), 20_000):
+            some = new[at : at + 20_000]
+            for t, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                ids[t] = array(self.kind, e.ids).tobytes()
+        young.update((t, ids[t]) for t in parts)
+        get = ids.__getitem__
+        return [get(p) if (c := cut.get(p)) is None else b"".join(map(get, c)) for p in pieces]
+
+    def _joined(self, words: list[str], codes: np.ndarray, starts: np.ndarray, end: bytes) -> tuple[bytes, np.ndarray]:
+        """The bytes of all texts, each with `end` after it, and where each ends. A text is a run of pieces: the
+        first stands as it is, the others have the space before them that they were cut at."""
+        inner = np.ones(len(codes), bool)
+        inner[starts[:-1]] = False
+        first, place = used(codes[~inner], len(words))
+        later, where = used(codes[inner], len(words))
+        keys = [words[c] for c in first.tolist()] + [" " + words[c] for c in later.tolist()]
+        at = np.empty(len(codes), np.int64)
+        at[~inner], at[inner] = place, where + len(first)
+        at = np.insert(at, starts[1:], len(keys))
+        data, ends = gather([*self.known.values(keys, self._of_pieces), end], at)
+        return data, ends[starts[1:] + np.arange(len(starts) - 1)]
+
+    def encode_joined(self, texts: pa.Array, end: bytes = b"") -> tuple[bytes, np.ndarray]:
+        """The bytes of all texts, each with `end` after it, and where each ends."""
+        flat, starts = split_on_spaces(texts)
+        words = flat.dictionary.to_pylist()
+        codes = flat.indices.to_numpy()
+        odd = [i for i, w in enumerate(words) if not w or w.strip() != w]
+        borderless = any_in(np.isin(codes, odd), starts) if odd else np.zeros(len(texts), bool)
+        borderless &= pc.greater(pc.binary_length(texts.fill_null("")), 0).to_numpy(zero_copy_only=False)
+        special = np.zeros(len(texts), bool)
+        for s in self.specials:
+            special |= pc.match_substring(texts.fill_null(""), s).to_numpy(zero_copy_only=False)
+        if not (borderless.any() or special.any()):
+            return self._joined(words, codes, starts, end)
+        out: list[bytes | None] = [None] * len(texts)
+        for i in np.flatnonzero(special).tolist():  # the library cuts these at the special strings itself
+            out[i] = self._ids(texts[i].as_py()) + end
+        for rows, cut in ((np.flatnonzero(~special & ~borderless), None), (np.flatnonzero(~special & borderless), BORDER.split)):
+            if not len(rows):
+                continue
+            some = texts.take(pa.array(rows))
+            if cut is None:
+                flat, at = split_on_spaces(some)
+                data, ends = self._joined(flat.dictionary.to_pylist(), flat.indices.to_numpy(), at, end)
+            else:
+                parts = [cut(t) for t in some.to_pylist()]
+                flat = pa.array(list(itertools.chain.from_iterable(parts)), pa.string()).dictionary_encode()
+                data, ends = self._joined(flat.dictionary.to_pylist(), flat.indices.to_numpy(), np.cumsum([0, *map(len, parts)]), end)
+            for i, a, b in zip(rows.tolist(), [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                out[i] = data[a:b]
+        return b"".join(out), np.cumsum(np.fromiter(map(len, out), np.int64, len(out)))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        pieces, tokens, find = self.pieces, self.tokens, self.pre_tokens
-        parts, new = self._split(texts)
-        split = {p: (" " + p,) if p.isalpha() else find(" " + p) for p in new}
-        heads = [find(p[0]) if p else [] for p in parts]
-        fresh = list(set().union(*split.values(), *heads).difference(tokens))
-        kind = "H" if self.dtype.itemsize == 2 else "I"
-        for at in range(0, len(fresh), 20_000):
-            some = fresh[at : at + 20_000]
-            for key, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                tokens[key] = array(kind, e.ids).tobytes()
-        token, piece = tokens.__getitem__, pieces.__getitem__
-        pieces.update((p, token(ts[0]) if len(ts) == 1 else b"".join(map(token, ts))) for p, ts in split.items())
-        out = [b"".join(map(token, h)) + b"".join(map(piece, p[1:])) for h, p in zip(heads, parts, strict=True)]
-        odd = {p for p in new if not p or p[0].isspace() or p[-1].isspace()}
-        for p in new if len(pieces) > self.limit else odd:  # an odd piece must show itself again
-            pieces.pop(p, None)
-        if len(tokens) > 2 * self.limit:
-            for t in fresh:
-                del tokens[t]
-        return out
-
-
-def encoder(path: str) -> Encoder:
-    if path not in _encoders:
+        data, ends = self.encode_joined(pa.array(texts, pa.string()))
+        return [data[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+
+
+def encoder(path: str, special_as_text: bool) -> Encoder:
+    key = (path, special_as_text)
+    if key not in _encoders:
         _encoders.clear()
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+        _encoders[key] = Encoder(path, special_as_text=special_as_text)
+    return _encoders[key]
 
 
-def shards(docs: DataFrame, vocabulary: str, end_id: int | None = 2, doc_id: str = "doc_id", text: str = "text", shard_bytes: int = 8 << 20) -> DataFrame:
+def shards(docs: DataFrame, vocabulary: str, end_id: int | None = 2, doc_id: str = "doc_id", text: str = "text", shard_bytes: int = 8 << 20, special_as_text: bool = True) -> DataFrame:
     """Rows of the format, one for each run of documents of about shard_bytes of text, ordered by (part, seq)."""
     n = partitions(docs.sparkSession)
     own = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
@@ -161,13 +201,18 @@ def shards(docs: DataFrame, vocabulary: str, end_id: int | None = 2, doc_id: str
         seq = 0
         for whole in batches:
             for batch in slices(whole, shard_bytes):
-                e = encoder(vocabulary)
+                e = encoder(vocabulary, special_as_text)
                 end = b"" if end_id is None else np.array([end_id], e.dtype).tobytes()
-                coded = [x + end for x in e.encode(batch.column("text").to_pylist())]
-                ends = np.cumsum(np.fromiter(map(len, coded), np.int64, len(coded))) // e.dtype.itemsize
-                total = int(ends[-1])
-                ids = batch.column("id").fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False).astype("<i8").tobytes()
-                yield record_batch(SHARD_ARROW, part=[batch.column("part")[0].as_py()], seq=[seq], n_docs=[len(coded)], n_tokens=[total], width=[e.dtype.itemsize], ids=[b"".join(coded)], bounds=[EliasFano.of(ends, total + 1).to_bytes()], doc_ids=[ids])
+                with no_gc():
+                    coded, ends = e.encode_joined(batch.column("text"), end)
+                ends = ends // e.dtype.itemsize
+                who = batch.column("id")
+                own = who.drop_null().to_numpy()
+                least = int(own[0]) if len(own) else 0
+                spread = (own.astype(np.uint64) - np.uint64(least & (1 << 64) - 1)).astype(np.int64)
+                coded_ids = len(own) > 0 and bool(spread[-1] >= 0)
+                names = EliasFano.of(spread, int(spread[-1]) + 1).to_bytes() if coded_ids else own.astype("<i8").tobytes()
+                yield record_batch(SHARD_ARROW, part=[batch.column("part")[0].as_py()], seq=[seq], n_docs=[len(ends)], n_tokens=[int(ends[-1])], width=[e.dtype.itemsize], ids=[coded], bounds=[EliasFano.of(ends, int(ends[-1]) + 1).to_bytes()], n_null=[who.null_count], first_id=[least], coded=[coded_ids], doc_ids=[names])
                 seq += 1
 
     return ordered.mapInArrow(run, SHARD)
@@ -188,20 +233,31 @@ def documents(spark: SparkSession, path: str) -> DataFrame:
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                ends = EliasFano.from_bytes(row["bounds"]).all()
+                bounds = EliasFano.from_bytes(row["bounds"])
+                ends = np.fromiter(map(bounds.select, range(bounds.n)), np.int64, bounds.n)
                 starts = np.concatenate(([0], ends[:-1]))
                 ids = np.frombuffer(row["ids"], f"<u{row['width']}")
                 crc = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-                who = np.frombuffer(row["doc_ids"], "<i8")
-                n = len(who)
-                yield record_batch(out, part=[row["part"]] * n, seq=[row["seq"]] * n, id=pa.array(who, mask=who == np.iinfo(np.int64).min), at=starts, n_tokens=ends - starts, ids_crc32=crc)
-
-    rows = stored.select("part", "seq", "width", "ids", "bounds", "doc_ids").mapInArrow(run, "part int, seq int, id long, at long, n_tokens long, ids_crc32 long")
-    before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    bases = stored.select("part", "seq", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base"))
+                n = len(ends)
+                yield record_batch(out, part=[row["part"]] * n, seq=[row["seq"]] * n, id=pa.array(names_of(row)), at=starts, n_tokens=ends - starts, ids_crc32=crc)
+
+    rows = stored.select("part", "seq", "width", "ids", "bounds", "n_null", "first_id", "coded", "doc_ids").mapInArrow(run, "part int, seq int, id long, at long, n_tokens long, ids_crc32 long")
+    sizes = stored.select("part", "seq", "n_tokens")
+    before = lambda w: F.coalesce(F.sum("n_tokens").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # a task's shards in their order, and the tasks' totals: as many rows as the writing job had tasks
+    parts = sizes.groupBy("part").agg(F.sum("n_tokens").alias("n_tokens")).select("part", before(Window.orderBy("part")).alias("base"))
+    bases = sizes.withColumn("inner", before(Window.partitionBy("part").orderBy("seq"))).join(parts, "part").select("part", "seq", (F.col("base") + F.col("inner")).alias("base"))
     return rows.join(bases, ["part", "seq"]).select("id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
+def names_of(row) -> list[int | None]:
+    """The document ids of a shard, nulls first: the others ascend from first_id and are Elias-Fano coded,
+    or 64 bits each where they span over half of all numbers."""
+    raw = row["doc_ids"]
+    known = (EliasFano.from_bytes(raw).all() + row["first_id"]) if row["coded"] else np.frombuffer(raw, "<i8")
+    return [None] * row["n_null"] + known.tolist()
+
+
 def document(row, i: int) -> np.ndarray:
     """The ids of the i-th document of a shard, by two selects."""
     ef = EliasFano.from_bytes(row["bounds"])

@@ -31,6 +31,45 @@ def test_byte_pairs():
         assert [np.frombuffer(x, "<u2").tolist() for x in e.encode(ODD)] == [t.encode(x or "", add_special_tokens=False).ids for x in ODD]
 
 
+def test_special_strings_as_the_library_is_loaded(spark, tmp_path):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    texts = [*ODD[:80], "a b <|endoftext|> c", "<|endoftext|>", " <|endoftext|><|endoftext|>x  y", "no <|endoftext |> here"]
+    want = [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+    assert want[80] == [64, 275, 220, 50256, 269]
+    e = K.Encoder(path, limit=50, special_as_text=False)
+    for _ in range(2):
+        assert [np.frombuffer(x, "<u2").tolist() for x in e.encode(texts)] == want
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    K.write(df, str(tmp_path / "s"), path, shard_bytes=300, special_as_text=False)
+    got = {r["id"]: (r["n_tokens"], r["ids_crc32"]) for r in K.documents(spark, str(tmp_path / "s")).collect()}
+    assert got == {i: (len(x) + 1, zlib.crc32(np.array([*x, 2], "<u4").tobytes())) for i, x in enumerate(want)}
+
+
+def test_wide_and_repeated_ids(spark, tmp_path):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = [(-(2**63) + 1, "a"), (2**63 - 1, "b"), (5, "c"), (5, "c"), (None, None), (None, "x " * 200_000)]
+    K.write(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), str(tmp_path / "s"), path)
+    got = K.documents(spark, str(tmp_path / "s")).collect()
+    assert sorted(((r["id"]) for r in got), key=repr) == sorted((i for i, _ in rows), key=repr)
+    starts = sorted((r["start"], r["n_tokens"]) for r in got)
+    assert all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:]))
+
+
+def test_memory_keeps_what_is_used():
+    from guildspark.llm.common import Memory
+
+    m, asked = Memory(3), []
+
+    def make(keys):
+        asked.extend(keys)
+        return [k.upper() for k in keys]
+
+    for keys in (["a", "b"], ["a", "c"], ["d"], ["a"], ["e", "a"], ["a", "f"]):
+        assert m.values(keys, make) == [k.upper() for k in keys]
+    assert asked.count("a") == 1 and len(m.young) + len(m.old) <= 8
+
+
 def test_store(spark, tmp_path):
     path = public_tokenizers.path("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
