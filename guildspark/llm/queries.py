@@ -136,10 +136,11 @@ def op8_interleaved_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL["op8_interleaved_shards"] = r"""
 with table16 as (select [0, 498536548, 997073096, 651767980, 1994146192, 1802195444, 1303535960, 1342533948,
                          3988292384, 4027552580, 3604390888, 3412177804, 2607071920, 2262029012, 2685067896, 3183342108]::ubigint[] as t),
-d as (select doc_id, coalesce('s' || source, 'none') as s, md5('17:' || coalesce(doc_id::varchar, 'null')) as h, coalesce(strlen(text), 0) + 8 as size,
+c as (select doc_id, coalesce('s' || source, 'none') as s, coalesce(strlen(text), 0) + 8 as size,
              xor(list_reduce(list_prepend(4294967295::ubigint, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::ubigint)),
                lambda c, b: xor((xor(xor(c, b) >> 4, t[(xor(c, b) & 15)::int + 1])) >> 4, t[((xor(xor(c, b) >> 4, t[(xor(c, b) & 15)::int + 1])) & 15)::int + 1])), 4294967295::ubigint)::bigint as crc
       from documents, table16),
+d as (select *, md5('17:' || coalesce(doc_id::varchar, 'null:' || crc)) as h from c),
 f as (select *, (row_number() over (partition by s order by h, doc_id nulls first, crc, size) - 0.5::double) / count(*) over (partition by s) as f from d),
 g as (select *, row_number() over (order by f, s, h, doc_id nulls first, crc, size) - 1 as g, count(*) over () as n from f),
 k as (select *, (g * 24) // n as shard from g)

@@ -5,73 +5,96 @@ rank (rank - 1/2) / (rows of the source). All rows sorted by fractional rank int
 proportion, and cutting that order into equal runs gives shards that each hold the whole mixture, with
 row counts at most one apart.
 
-No rank is taken over a whole source or over all rows in one task: the hash orders a source's rows over
-16^digits buckets and the fractional rank orders all rows over as many cells, both evenly by
-construction; a rank is the count of the buckets before plus the place inside the bucket.
+No rank is taken over a whole source or over all rows in one task. The hash orders a source's rows over
+16^digits buckets, evenly by construction, so a rank is the count of the buckets before plus the place
+inside the bucket. The order by fractional rank is cut into pieces, and each (source, bucket) learns from
+which key on its rows lie in which piece. Whole rows then cross one exchange, to their piece, where their
+exact ranks follow from the counts of the pieces before.
 
 Defined results: null texts have no bytes; a null source is a source of its own; ties of id are broken
-by the text's checksum and size, and rows equal in all of these may swap places; an empty table
-gives no rows; more shards than rows leave some empty."""
+by the text's checksum and size, and rows equal in all of these may swap places (at the border of a
+piece such rows stay together, which may move a neighbour by their number); null ids are ordered by
+their checksum; an empty table gives no rows; more shards than rows leave some empty."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, fresh
+from .common import cut, fresh, partitions
 
-TIES = ("_h", "id", "crc", "size")
+#: Tables of pieces up to this many rows are broadcast (about 100 bytes each); larger ones are joined as Spark chooses.
+SMALL = 200_000
+#: Rows that a bucket should have.
+BUCKET = 50_000
+TIES = ("_h", "_known", "_id", "_crc", "_size")
 
 
 def size_of(text: str) -> Column:
-    return (F.coalesce(F.octet_length(text), F.lit(0)) + 8).cast("long")
+    return (F.coalesce(F.octet_length(F.col(f"`{text}`")), F.lit(0)) + 8).cast("long")
 
 
 def crc_of(text: str) -> Column:
-    return F.crc32(F.coalesce(F.col(text), F.lit("")))
+    return F.crc32(F.coalesce(F.col(f"`{text}`"), F.lit("")))
 
 
-def _offsets(counts: DataFrame, by: list[str], order: str, name: str) -> DataFrame:
-    """Rows before each bucket: a running sum over bucket counts."""
+def _before(counts: DataFrame, by: list[str], order: str, n: str = "n") -> Column:
+    """Rows before each of the counted groups: a running sum over counts."""
     w = (Window.partitionBy(*by) if by else Window).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return counts.withColumn(name, F.coalesce(F.sum("n").over(w), F.lit(0)))
+    return F.coalesce(F.sum(n).over(w), F.lit(0))
 
 
-def place(docs: DataFrame, n_shards: int = 24, seed: str = "17", digits: int = 3, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> tuple[DataFrame, dict[str, str]]:
+def place(docs: DataFrame, n_shards: int = 24, seed: str = "17", digits: int | None = None, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> tuple[DataFrame, dict[str, str]]:
     """docs with two more columns, and their names: shard int, and slot long, which counts the rows of a shard from 0 without gaps.
 
-    Ranks are taken on keys and checksums; a row meets its place by a number of its own, as ids may repeat or be null."""
+    digits: hexadecimal digits of the hash that name a bucket; by default as many as the rows need."""
     names = {k: fresh(docs, k) for k in ("shard", "slot")}
-    own = fresh(docs, "row")
-    whole = cut(docs.withColumn(own, F.monotonically_increasing_id()), "shard-docs")
-    stratum = F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit("none"))
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit("null"))))
-    rows = whole.select(F.col(own).alias("_row"), F.col(doc_id).cast("long").alias("id"), stratum.alias("_s"), key.alias("_h"), size_of(text).alias("size"), crc_of(text).alias("crc"))
-    rows = cut(rows, "shard-rows").withColumn("_b", F.substring("_h", 1, digits))
-    counts = rows.groupBy("_s", "_b").agg(F.count("*").alias("n"))
-    totals = counts.groupBy("_s").agg(F.sum("n").alias("_n"))
-    starts = _offsets(counts, ["_s"], "_b", "_before").drop("n").join(totals, "_s")
-    inside = F.row_number().over(Window.partitionBy("_s", "_b").orderBy(*TIES))
-    ranked = rows.withColumn("_r", inside).join(starts, ["_s", "_b"])
-    cells = 16**digits
-    ranked = ranked.withColumn("_f", (F.col("_before") + F.col("_r") - 0.5) / F.col("_n"))
-    ranked = cut(ranked.select("_row", "id", "size", "crc", "_s", "_h", "_f", F.floor(F.col("_f") * cells).alias("_c")), "shard-ranks")
-    total = ranked.count()
-    cell_starts = _offsets(ranked.groupBy("_c").agg(F.count("*").alias("n")), [], "_c", "_before").drop("n")
-    inside = F.row_number().over(Window.partitionBy("_c").orderBy("_f", "_s", *TIES))
-    placed = ranked.withColumn("_p", inside).join(cell_starts, "_c").select("_row", (F.col("_before") + F.col("_p") - 1).alias("_g"))
-    placed = placed.withColumn("_shard", F.expr(f"(_g * {n_shards}) div {max(1, total)}").cast("int"))
+    spark = docs.sparkSession
+    stratum = F.coalesce(F.concat(F.lit("s"), F.col(f"`{source}`").cast("string")), F.lit("none"))
+    crc = crc_of(text)
+    who = F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.concat(F.lit("null:"), crc.cast("string")))
+    number = F.col(f"`{doc_id}`").cast("long")
+    row = F.struct(*[F.col(f"`{c}`").alias(c) for c in docs.columns]).alias("row")
+    keyed = docs.select(row, stratum.alias("_s"), F.md5(F.concat(F.lit(f"{seed}:"), who)).alias("_h"), number.isNotNull().cast("int").alias("_known"), F.coalesce(number, F.lit(0)).alias("_id"), crc.alias("_crc"), size_of(text).alias("_size"))
+    sources = cut(docs.groupBy(stratum.alias("_s")).agg(F.count("*").alias("n_s")), "shard-sources")
+    total = sources.agg(F.sum("n_s")).first()[0] or 0
+    if digits is None:
+        digits = next(d for d in range(1, 9) if total <= BUCKET * 16**d or d == 8)
+    keyed = keyed.withColumn("_b", F.substring("_h", 1, digits))
+    pieces = 4 * partitions(spark)
+
+    bucket = Window.partitionBy("_s", "_b").orderBy(*TIES)
+    keys = keyed.drop("row")
+    counts = keys.groupBy("_s", "_b").agg(F.count("*").alias("n"))
+    starts = counts.select("_s", "_b", _before(counts, ["_s"], "_b").alias("_start")).join(sources, "_s")
+    ranked = keys.withColumn("_r", F.row_number().over(bucket)).join(starts, ["_s", "_b"])
+    piece = F.floor((F.col("_start") + F.col("_r") - 0.5) / F.col("n_s") * pieces)
+    ranked = ranked.withColumn("_p", piece).withColumn("_p", F.max("_p").over(Window.partitionBy("_s", "_b", *TIES)))
+    edges = cut(ranked.groupBy("_s", "_b", "_p").agg(F.count("*").alias("n"), F.min(F.struct(*TIES)).alias("first")), "shard-pieces")
+    per_piece = edges.groupBy("_p").agg(F.sum("n").alias("n"))
+    per_piece = per_piece.select("_p", _before(per_piece, [], "_p").alias("_piece_start"))
+    inner = edges.groupBy("_s", "_p").agg(F.sum("n").alias("n"))
+    inner = inner.select("_s", "_p", _before(inner, ["_s"], "_p").alias("_start")).join(per_piece, "_p").join(sources, "_s")
+    borders = edges.groupBy("_s", "_b").agg(F.collect_list(F.struct("first", "_p")).alias("borders"))
+    if edges.count() <= SMALL:
+        inner, borders = F.broadcast(inner), F.broadcast(borders)
+
+    reached = F.filter("borders", lambda x: x["first"] <= F.struct(*TIES))
+    rows = keyed.join(borders, ["_s", "_b"]).withColumn("_p", F.array_max(F.transform(reached, lambda x: x["_p"]))).drop("borders", "_b")
+    rows = rows.repartition(partitions(spark), "_p").withColumn("_r", F.row_number().over(Window.partitionBy("_p", "_s").orderBy(*TIES))).join(inner, ["_s", "_p"])
+    rows = rows.withColumn("_f", (F.col("_start") + F.col("_r") - 0.5) / F.col("n_s"))
+    rows = rows.withColumn("_g", F.col("_piece_start") + F.row_number().over(Window.partitionBy("_p").orderBy("_f", "_s", *TIES)) - 1)
+    rows = rows.withColumn("_shard", F.expr(f"(_g * {n_shards}) div {max(1, total)}").cast("int"))
     slot = F.col("_g") - F.expr(f"(_shard * {total}L + {n_shards - 1}) div {n_shards}")
-    placed = placed.select(F.col("_row").alias(own), F.col("_shard").alias(names["shard"]), slot.alias(names["slot"]))
-    return whole.join(placed, own).select(*docs.columns, *names.values()), names
+    own = [F.col("row").getField(c).alias(c) for c in docs.columns]
+    return rows.select(*own, F.col("_shard").alias(names["shard"]), slot.alias(names["slot"])), names
 
 
 def write(docs: DataFrame, path: str, n_shards: int = 24, **how) -> tuple[DataFrame, dict[str, str]]:
     """Writes every row of docs into a folder per shard, its files in slot order, and returns the rows as read from there, and the names of place()."""
     placed, names = place(docs, n_shards, **how)
-    at = list(names.values())
-    placed.repartitionByRange(*at).sortWithinPartitions(*at).write.partitionBy(names["shard"]).option("compression", "zstd").parquet(path)
-    return docs.sparkSession.read.schema(placed.schema).parquet(path).select(*placed.columns), names
+    placed.sortWithinPartitions(*names.values()).write.partitionBy(names["shard"]).option("compression", "zstd").parquet(path)
+    return docs.sparkSession.read.schema(placed.schema).parquet(path).select(*[F.col(f"`{c}`") for c in placed.columns]), names
 
 
 def digests(rows: DataFrame, names: dict[str, str], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -79,6 +102,6 @@ def digests(rows: DataFrame, names: dict[str, str], doc_id: str = "doc_id", text
     return rows.select(F.col(doc_id).cast("long").alias("id"), size_of(text).alias("size"), crc_of(text).alias("crc"), F.col(names["shard"]).alias("shard"), F.col(names["slot"]).alias("slot"))
 
 
-def shards(docs: DataFrame, n_shards: int = 24, seed: str = "17", digits: int = 3, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+def shards(docs: DataFrame, n_shards: int = 24, seed: str = "17", digits: int | None = None, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """Digests (id, size, crc, shard, slot) of place()."""
     return digests(*place(docs, n_shards, seed, digits, doc_id, text, source), doc_id, text)

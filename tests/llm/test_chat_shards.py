@@ -66,3 +66,32 @@ def test_shard_files_hold_the_rows(spark, tmp_path):
     assert sorted(map(tuple, sharding.digests(found, names).collect()), key=repr) == sorted(map(tuple, sharding.shards(df, 5, digits=1).collect()), key=repr)
     assert sorted(p.name for p in (tmp_path / "out").iterdir() if p.is_dir()) == [f"shard_={i}" for i in range(5)]
     assert sharding.write(df.limit(0), str(tmp_path / "none"), 5)[0].count() == 0
+
+
+def test_shards_of_null_ids_repeats_and_long_texts(spark, tmp_path):
+    rows = [(None, f"t{i % 50}", "big", i) for i in range(400)] + [(3, "same", "big", 0)] * 60 + [(i, "x" * (200_000 if i == 9 else 3), None if i % 2 else "s", i) for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, `a.b` int")
+    found, names = sharding.write(df, str(tmp_path / "out"), 7)
+    got = found.collect()
+    assert Counter(tuple(r)[:4] for r in got) == Counter(rows)
+    counts = Counter(r[names["shard"]] for r in got)
+    assert max(counts.values()) - min(counts.values()) <= 1
+    for k in counts:
+        assert sorted(r[names["slot"]] for r in got if r[names["shard"]] == k) == list(range(counts[k]))
+
+
+def test_shards_by_brute_force(spark):
+    import hashlib
+    import zlib
+
+    rows = [(i * 7 % 331, f"text {i}", ("a", "b", None)[i % 7 % 3]) for i in range(331)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    strata = {}
+    for i, t, s in rows:
+        strata.setdefault("none" if s is None else "s" + s, []).append((hashlib.md5(f"17:{i}".encode()).hexdigest(), i, zlib.crc32(t.encode()), len(t) + 8))
+    order = sorted(((k + 0.5) / len(own), s, r) for s, own in strata.items() for k, r in enumerate(sorted(own)))
+    n, want = len(order), set()
+    for g, (_, _, r) in enumerate(order):
+        shard = g * 5 // n
+        want.add((r[1], r[3], r[2], shard, g - -(-shard * n // 5)))
+    assert {tuple(r) for r in sharding.shards(df, 5).collect()} == want == {tuple(r) for r in sharding.shards(df, 5, digits=2).collect()}
