@@ -101,3 +101,68 @@ def test_align_judges_tied_offsets(spark):
     assert (got[0]["best_id"], got[0]["best_offset"], got[0]["n_matches"]) == (1, 10, 1)
     got = {r["id"]: r for r in chroma.align(prints.where("id >= 2"), F.lit(True)).collect()}
     assert got[2]["best_id"] == 3 and abs(got[2]["best_errors"] - 1 / 128) < 1e-6
+
+
+def _links(prints, most=0.2, least=8):
+    """All pairs at all offsets: (a, b) -> least share of differing bits."""
+    out = {}
+    for a, x in prints.items():
+        for b, y in prints.items():
+            if a >= b or not len(x) or not len(y):
+                continue
+            enough = min(least, len(x), len(y))
+            for k in range(enough - len(x), len(y) - enough + 1):
+                n = min(len(x) - max(0, -k), len(y) - max(0, k))
+                e = np.bitwise_count(x[max(0, -k) :][:n] ^ y[max(0, k) :][:n]).sum() / (32 * n)
+                if e <= most and e < out.get((a, b), 1):
+                    out[a, b] = e
+    return out
+
+
+def test_align_against_all_pairs(spark):
+    rng = np.random.default_rng(4)
+    vectors = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").select("vec_id", "embedding").orderBy("vec_id").limit(40).collect()]
+    rows = [(i, chroma.melody(v)) for i, v in vectors]
+    near = []
+    for k in range(30):  # near copies: one with a few other notes, and one that starts later
+        v = np.array(vectors[k][1], float)
+        v[rng.integers(0, 64, 1 + k % 4)] *= -1
+        near.append((1000 + k, chroma.melody(v)))
+        sound = chroma.read_wav(rows[k][1])[1]
+        near.append((2000 + k, chroma.write_wav(sound[chroma.HOP * (3 + k % 5) :], 4096)))
+    prints = chroma.fingerprints(spark.createDataFrame(rows + near, "rec_id long, audio binary"), "audio", "rec_id")
+    ints = {r["id"]: np.array(r["ints"], np.int32) for r in prints.collect()}
+    true = _links(ints)
+    got = {r["id"]: r for r in chroma.align(prints, F.lit(True)).collect()}
+    grouped = {}
+    for i, r in got.items():
+        grouped.setdefault(r["group_id"], []).append(i)
+    for own in grouped.values():  # members of a group all align with each other
+        assert all((a, b) in true for a in own for b in own if a < b)
+    partners = {}
+    for a, b in true:
+        partners.setdefault(a, set()).add(b)
+        partners.setdefault(b, set()).add(a)
+    copies = [i for i in partners if any(abs(len(ints[i]) - len(ints[j])) < 12 for j in partners[i])]
+    found = [i for i in copies if got[i]["best_id"] in partners[i]]
+    assert len(copies) >= 60 and len(found) >= 0.9 * len(copies)
+    assert not [i for i in got if got[i]["n_near"] + got[i]["n_matches"] and i not in partners]
+    best = [i for i in found if abs(got[i]["best_errors"] - min(true[min(i, j), max(i, j)] for j in partners[i])) < 1e-6]
+    assert len(best) >= 0.7 * len(found)
+
+
+def test_align_of_a_large_group_stays_linear(spark):
+    rng = np.random.default_rng(7)
+    base = rng.integers(-(2**31), 2**31, 100)
+    rows = []
+    for i in range(400):
+        x = base.copy()
+        x[rng.integers(0, 100, 4)] ^= 1 << int(rng.integers(0, 30))
+        rows.append((i, [int(v) for v in x.astype(np.int64)]))
+    rows += [(1000 + i, [int(v) for v in rng.integers(-(2**31), 2**31, 100)]) for i in range(40)] + [(5000, []), (5001, [])]
+    prints = spark.createDataFrame(rows, "id long, ints array<int>")
+    got = {r["id"]: r for r in chroma.align(prints, F.col("id") % 20 == 0).collect()}
+    assert len(got) == len(rows)
+    assert {got[i]["group_id"] for i in range(400)} == {0} and {got[i]["n_near"] for i in range(400)} == {399}
+    assert all(got[1000 + i]["group_id"] == 1000 + i and not got[1000 + i]["n_matches"] for i in range(40))
+    assert got[5000]["n_near"] == 0 and got[5000]["n_matches"] == 0 and got[5000]["class_id"] == 5000
