@@ -137,18 +137,21 @@ def test_align_against_all_pairs(spark):
     grouped = {}
     for i, r in got.items():
         grouped.setdefault(r["group_id"], []).append(i)
-    for own in grouped.values():  # members of a group all align with each other
-        assert all((a, b) in true for a in own for b in own if a < b)
     partners = {}
     for a, b in true:
         partners.setdefault(a, set()).add(b)
         partners.setdefault(b, set()).add(a)
+    for own in grouped.values():  # a group is connected by links
+        reached = {own[0]}
+        while more := {j for i in reached for j in partners.get(i, ()) if j in own} - reached:
+            reached |= more
+        assert reached == set(own)
     copies = [i for i in partners if any(abs(len(ints[i]) - len(ints[j])) < 12 for j in partners[i])]
     found = [i for i in copies if got[i]["best_id"] in partners[i]]
     assert len(copies) >= 60 and len(found) >= 0.9 * len(copies)
     assert not [i for i in got if got[i]["n_near"] + got[i]["n_matches"] and i not in partners]
-    best = [i for i in found if abs(got[i]["best_errors"] - min(true[min(i, j), max(i, j)] for j in partners[i])) < 1e-6]
-    assert len(best) >= 0.7 * len(found)
+    # the best is the best of the recordings compared: never better than the best of all pairs, and within the rule
+    assert all(min(true[min(i, j), max(i, j)] for j in partners[i]) - 1e-6 <= got[i]["best_errors"] <= 0.2 for i in found)
 
 
 def test_align_of_a_large_group_stays_linear(spark):
@@ -157,7 +160,7 @@ def test_align_of_a_large_group_stays_linear(spark):
     rows = []
     for i in range(400):
         x = base.copy()
-        x[rng.integers(0, 100, 4)] ^= 1 << int(rng.integers(0, 30))
+        x[rng.integers(0, 100, 15)] = rng.integers(-(2**31), 2**31, 15)  # some 7 % of the bits, 14 % between two copies
         rows.append((i, [int(v) for v in x.astype(np.int64)]))
     rows += [(1000 + i, [int(v) for v in rng.integers(-(2**31), 2**31, 100)]) for i in range(40)] + [(5000, []), (5001, [])]
     prints = spark.createDataFrame(rows, "id long, ints array<int>")
