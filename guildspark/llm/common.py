@@ -141,6 +141,12 @@ def record_batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in schema], schema=schema)
 
 
+def numbered(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """df with its columns named c0, c1, ..., and each column's new name: Arrow functions take no names with dots."""
+    names = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df does not have."""
     taken = {c.lower() for c in df.columns}
@@ -157,4 +163,4 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-__all__ = ["ASCII_LOWER", "F", "Memory", "T", "any_in", "cut", "fresh", "gather", "map_texts", "no_gc", "partitions", "read", "record_batch", "shared_dir", "slices", "split_on_spaces", "used", "utf8"]
+__all__ = ["ASCII_LOWER", "F", "Memory", "T", "any_in", "cut", "fresh", "gather", "map_texts", "no_gc", "numbered", "partitions", "read", "record_batch", "shared_dir", "slices", "split_on_spaces", "used", "utf8"]

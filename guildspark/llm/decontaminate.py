@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, map_texts, record_batch, utf8
+from .common import cut, fresh, map_texts, numbered, record_batch, utf8
 
 #: Word bytes keep their place (A-Z in lower case), all others become a space.
 TO_WORDS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -90,21 +90,27 @@ def char_spans(marked: bytes, text, ranges: list[tuple[int, int]]) -> list[tuple
     return [(int(char[starts[a]]), int(char[ends[b - 1]])) for a, b in ranges]
 
 
-def blocks(items: DataFrame, id_col: str, text_col: str, window: int, max_bytes: int):
-    """The item set in blocks of at most max_bytes of patterns; items are streamed, not collected at once."""
-    patterns, used = {}, 0
-    for row in items.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).toLocalIterator():
-        for p in item_windows(row["t"], window):
-            if p not in patterns:
-                used += len(p)
-            if row["i"] is not None and row["i"] not in (ids := patterns.setdefault(p, [])):
-                ids.append(row["i"])
-            patterns.setdefault(p, [])
-            if used >= max_bytes:
-                yield patterns
-                patterns, used = {}, 0
-    if patterns:
-        yield patterns
+class Blocks:
+    """The patterns of an item table, dealt by their hash into blocks of about max_bytes.
+
+    Spark takes the windows, unites the items of equal ones and writes them; the driver holds one block at
+    a time, to broadcast it."""
+
+    def __init__(self, items: DataFrame, id_col: str, text_col: str, window: int, max_bytes: int):
+        schema = pa.schema([("pattern", pa.binary()), ("item", pa.int64())])
+
+        def windows(batch: pa.RecordBatch) -> pa.RecordBatch:
+            found = [(p, i) for i, t in zip(batch.column("item").to_pylist(), batch.column("text").to_pylist(), strict=True) for p in set(item_windows(t, window))]
+            return record_batch(schema, pattern=[p for p, _ in found], item=[i for _, i in found])
+
+        found = map_texts(items, {"item": F.col(f"`{id_col}`").cast("long"), "text": F.col(f"`{text_col}`")}, "pattern binary, item long", windows)
+        self.table = cut(found.groupBy("pattern").agg(F.collect_set("item").alias("items")), "patterns")
+        held = self.table.agg(F.sum(F.length("pattern") + 8 * F.size("items"))).first()[0] or 0
+        self.n = max(1, -(-held // max_bytes))
+
+    def __getitem__(self, k: int) -> dict[bytes, list[int]]:
+        own = self.table.where(F.pmod(F.xxhash64("pattern"), F.lit(self.n)) == k)
+        return {bytes(r["pattern"]): r["items"] for r in own.collect()}
 
 
 def find(docs: DataFrame, items: DataFrame, window: int = 13, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", max_pattern_bytes: int = 64 << 20) -> DataFrame:
@@ -112,13 +118,13 @@ def find(docs: DataFrame, items: DataFrame, window: int = 13, doc_id: str = "doc
 
     The automaton is sent to the executors, so its patterns are bounded by max_pattern_bytes; a larger
     item set is scanned in blocks of that size, and the blocks' word ranges are united per document."""
-    found = list(blocks(items, item_id, item_text, window, max_pattern_bytes))
-    if len(found) <= 1:
-        return _scan_block(docs, found[0] if found else {}, doc_id, text)
+    blocks = Blocks(items, item_id, item_text, window, max_pattern_bytes)
+    if blocks.n == 1:
+        return _scan_block(docs, blocks[0], doc_id, text)
     one = None
-    numbered = cut(docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("row")), "decontaminate")
-    for patterns in found:
-        part = _ranges_block(numbered, patterns)
+    texts = cut(docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"), F.monotonically_increasing_id().alias("row")), "decontaminate")
+    for k in range(blocks.n):
+        part = cut(_ranges_block(texts, blocks[k]), "decontaminate-block")
         one = part if one is None else one.unionByName(part)
     merged = one.groupBy("row").agg(F.flatten(F.collect_list("ranges")).alias("ranges"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
 
@@ -129,7 +135,7 @@ def find(docs: DataFrame, items: DataFrame, window: int = 13, doc_id: str = "doc
             _put(out, i, t, marked, len(marked.split()), [(r["a"], r["b"]) for r in ranges or []], ids or [])
         return record_batch(ARROW, **out)
 
-    joined = numbered.join(merged, "row", "left")
+    joined = texts.join(merged, "row", "left")
     return map_texts(joined, {c: F.col(c) for c in ("id", "text", "ranges", "items")}, OUT, finish)
 
 
@@ -152,11 +158,11 @@ def _scan_block(docs: DataFrame, patterns: dict, doc_id: str, text: str) -> Data
             _put(out, i, t, marked, n, ranges, items)
         return record_batch(ARROW, **out)
 
-    return map_texts(docs, {"id": F.col(doc_id).cast("long"), "text": F.col(text)}, OUT, per_batch)
+    return map_texts(docs, {"id": F.col(f"`{doc_id}`").cast("long"), "text": F.col(f"`{text}`")}, OUT, per_batch)
 
 
-def _ranges_block(numbered: DataFrame, patterns: dict) -> DataFrame:
-    sent, key = numbered.sparkSession.sparkContext.broadcast(patterns), uuid.uuid4().hex
+def _ranges_block(texts: DataFrame, patterns: dict) -> DataFrame:
+    sent, key = texts.sparkSession.sparkContext.broadcast(patterns), uuid.uuid4().hex
     schema = pa.schema([("row", pa.int64()), ("ranges", pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))), ("items", pa.list_(pa.int64()))])
 
     def per_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -169,28 +175,29 @@ def _ranges_block(numbered: DataFrame, patterns: dict) -> DataFrame:
                 out["items"].append(sorted(items))
         return record_batch(schema, **out)
 
-    return map_texts(numbered, {"row": F.col("row"), "text": F.col("text")}, "row long, ranges array<struct<a:long,b:long>>, items array<long>", per_batch)
+    return map_texts(texts, {"row": F.col("row"), "text": F.col("text")}, "row long, ranges array<struct<a:long,b:long>>, items array<long>", per_batch)
 
 
 def without(docs: DataFrame, items: DataFrame, most_hit: float = 0.05, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 13, max_pattern_bytes: int = 64 << 20) -> DataFrame:
     """docs without the rows of which hit words make up most_hit of all words or more; columns as they are.
 
     Judged row by row, so null and repeated ids do no harm."""
-    found = list(blocks(items, item_id, item_text, window, max_pattern_bytes))
-    if len(found) > 1:
+    blocks = Blocks(items, item_id, item_text, window, max_pattern_bytes)
+    if blocks.n > 1:
         row = fresh(docs, "row")
-        numbered = cut(docs.withColumn(row, F.monotonically_increasing_id()), "decontaminate-rows")
-        judged = find(numbered, items, window, row, text, item_id, item_text, max_pattern_bytes)
+        rows = cut(docs.withColumn(row, F.monotonically_increasing_id()), "decontaminate-rows")
+        judged = find(rows, items, window, row, text, item_id, item_text, max_pattern_bytes)
         hit = judged.where((F.col("n_hit") > 0) & (F.col("n_hit") >= most_hit * F.col("n_words"))).select(F.col("id").alias(row))
-        return numbered.join(hit, row, "left_anti").select(*docs.columns)
-    sent, key = docs.sparkSession.sparkContext.broadcast(found[0] if found else {}), uuid.uuid4().hex
+        return rows.join(hit, row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    sent, key = docs.sparkSession.sparkContext.broadcast(blocks[0]), uuid.uuid4().hex
+    plain, column = numbered(docs)
 
     def clean(batch: pa.RecordBatch) -> pa.RecordBatch:
         automate, keep = automaton(key, sent.value), []
-        for t in batch.column(text).to_pylist():
+        for t in batch.column(column[text]).to_pylist():
             n, ranges, _, _ = scan(t, automate)
             n_hit = sum(b - a for a, b in merge(ranges))
             keep.append(not (n_hit and n_hit >= most_hit * n))
         return batch.filter(pa.array(keep, pa.bool_()))
 
-    return map_texts(docs, {c: F.col(f"`{c}`") for c in docs.columns}, docs.schema, clean)
+    return map_texts(plain, {c: F.col(c) for c in plain.columns}, plain.schema, clean).toDF(*docs.columns)

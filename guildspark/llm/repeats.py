@@ -1,9 +1,9 @@
 """Shared exchange for operators that look for content repeated across documents.
 
 Documents are dealt by a hash of their row into slices. A slice sends, for every tile (a hash range of
-keys), its distinct keys with the smallest document id in packed sorted arrays; a tile finds the
-smallest id of each key and answers every slice that sent it. A key thus costs one entry per slice,
-however many documents hold it, and a few large rows cross the shuffle instead of one per window.
+keys), its distinct keys in packed sorted arrays; a tile finds the keys that are shared and answers every
+slice that sent them. A key thus costs one entry per slice, however many documents hold it, and a few
+large rows cross the shuffle instead of one per window. Only what shares a key is then looked at closer.
 Text crosses it once: all steps of a plan read the same exchange of packs.
 
 A null id counts as larger than every id, so such a document never takes anything from others."""
@@ -28,7 +28,7 @@ ENTRY_ARROW = pa.schema([("slice", pa.int32()), ("tile", pa.int32()), ("kind", p
 def spread(docs: DataFrame, doc_id: str, text: str, carry: dict[str, Column] | None = None) -> DataFrame:
     """Rows (slice, pack): Arrow-encoded runs of documents with columns id, text and the carried ones."""
     n = 2 * partitions(docs.sparkSession)
-    own = {"id": F.col(doc_id).cast("long"), "text": F.col(text), **(carry or {})}
+    own = {"id": F.col(f"`{doc_id}`").cast("long"), "text": F.col(f"`{text}`"), **(carry or {})}
     picked = docs.select(F.pmod(F.xxhash64(F.col(doc_id), F.col(text)), F.lit(n)).cast("int").alias("slice"), *[c.alias(k) for k, c in own.items()])
     out = pa.schema([("slice", pa.int32()), ("pack", pa.binary())])
 
@@ -142,7 +142,7 @@ def runs(*sorted_columns: np.ndarray) -> np.ndarray:
 
 
 def send(keys: np.ndarray, tiles: np.ndarray, ids: np.ndarray, n_tiles: int) -> list[tuple[int, bytes]]:
-    """(tile, payload) for the distinct keys with their smallest id and whether a second id has them."""
+    """(tile, payload) for the distinct keys and whether a second id has them."""
     order = np.argsort(keys)
     order = order[np.argsort(tiles[order].astype(np.uint16) if n_tiles < 1 << 16 else tiles[order], kind="stable")]
     keys, tiles, ids = keys[order], tiles[order], ids[order]
@@ -152,7 +152,7 @@ def send(keys: np.ndarray, tiles: np.ndarray, ids: np.ndarray, n_tiles: int) ->
     low, high = np.minimum.reduceat(ids, at), np.maximum.reduceat(ids, at)
     keys, tiles = keys[at], tiles[at]
     cuts = runs(tiles)
-    return [(int(tiles[a]), encode(keys[a:b], low[a:b], (low[a:b] != high[a:b]).astype(np.uint8))) for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(keys)], strict=True)]
+    return [(int(tiles[a]), encode(keys[a:b], (low[a:b] != high[a:b]).astype(np.uint8))) for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(keys)], strict=True)]
 
 
 def entries(packs: DataFrame, items, n_tiles: int) -> DataFrame:
@@ -171,41 +171,33 @@ def entry_table(rows: list[tuple]) -> pa.Table:
     return pa.Table.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(ENTRY_ARROW)], schema=ENTRY_ARROW)
 
 
-def answers(sent: DataFrame, shared: bool, kind: int) -> DataFrame:
-    """Per tile, to each slice: keys with the smallest id of any document, where that matters to the slice.
+def by_slice(tile: int, kind: int, source: np.ndarray, *columns: np.ndarray) -> list[tuple]:
+    """Entries of a tile to each slice: the columns (keys first, sorted) of its rows, one row of each key and further column."""
+    by = np.argsort(source, kind="stable")
+    source, columns = source[by], [c[by] for c in columns]
+    cuts, out = runs(source), []
+    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(source)], strict=False):
+        first = runs(*(c[a:b] for c in columns))  # a slice may have sent a key in several batches
+        out.append((int(source[a]), tile, kind, encode(*(c[a:b][first] for c in columns))))
+    return out
+
 
-    shared: only the keys that two documents or more have, without ids."""
+def shared(sent: DataFrame, kind: int) -> DataFrame:
+    """Per tile, to each slice: its keys that two documents or more may have (two rows do, or two ids)."""
 
     def run(table: pa.Table) -> pa.Table:
-        tile = table.column("tile")[0].as_py()
-        where = table.column("slice").to_numpy()
-        parts = [decode(p.as_py(), np.int64, np.uint8) for p in table.column("payload")]
-        keys, ids, multi = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        tile, where = table.column("tile")[0].as_py(), table.column("slice").to_numpy()
+        parts = [decode(p.as_py(), np.uint8) for p in table.column("payload")]
+        keys, multi = (np.concatenate([p[i] for p in parts]) for i in range(2))
         source = np.repeat(where, [len(p[0]) for p in parts])
         del parts
         order = np.argsort(keys)
-        keys, ids, multi, source = keys[order], ids[order], multi[order], source[order]
+        keys, multi, source = keys[order], multi[order], source[order]
         at = runs(keys)
         length = np.diff(np.append(at, len(keys)))
-        low = np.minimum.reduceat(ids, at)
-        if shared:
-            many = np.maximum.reduceat(multi, at).astype(bool) | (low != np.maximum.reduceat(ids, at))
-            told = np.repeat(many, length)
-        else:
-            low = np.repeat(low, length)
-            told = (low < ids) | (multi != 0)
-            low = low[told]
-        keys, source = keys[told], source[told]
-        by = np.argsort(source, kind="stable")
-        keys, source = keys[by], source[by]
-        if not shared:
-            low = low[by]
-        cuts = runs(source) if len(source) else np.zeros(0, np.int64)
-        out = []
-        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(keys)], strict=False):
-            first = runs(keys[a:b])  # a slice may have sent a key in several batches
-            out.append((int(source[a]), tile, kind, encode(keys[a:b][first], *(() if shared else (low[a:b][first],)))))
-        return entry_table(out)
+        many = (length > 1) | np.maximum.reduceat(multi, at).astype(bool)
+        told = np.repeat(many, length)
+        return entry_table(by_slice(tile, kind, source[told], keys[told]))
 
     return sent.groupBy("tile").applyInArrow(run, ENTRY)
 

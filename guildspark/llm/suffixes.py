@@ -216,7 +216,7 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", siz
     n_tiles = partitions(docs.sparkSession)
     names = {k: fresh(docs, k) for k in ("n_bytes", "removed", "kept")}
     carry = R.carried(docs, doc_id, text)
-    packs = R.spread(docs, doc_id, text, {k: F.col(c) for k, c in carry.items()})
+    packs = R.spread(docs, doc_id, text, {k: F.col(f"`{c}`") for k, c in carry.items()})
     width = 2 + size - GRAM + size
 
     def items(sub):
@@ -249,7 +249,7 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", siz
                 out.append((w, tile, 3, R.encode(p[0][some], own[some])))
         return R.entry_table(out)
 
-    told = R.answers(R.entries(packs, items, n_tiles), shared=True, kind=1)
+    told = R.shared(R.entries(packs, items, n_tiles), kind=1)
     sent = packs.groupBy("slice").cogroup(told.groupBy("slice")).applyInArrow(send, R.ENTRY)
     decided = sent.groupBy("tile").applyInArrow(decide, R.ENTRY)
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))

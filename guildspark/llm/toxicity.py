@@ -30,8 +30,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import cut, map_texts, record_batch
+from .common import cut, map_texts, numbered, record_batch
 
 DECAY, SPAN, WORD, ALPHABET = 0.6, 7, 48, 64
 EDGE = " \t\r\n.,;:!?\"'()[]{}<>|/\\*_-~`=+&^%$#@"
@@ -277,10 +278,11 @@ def with_score(docs: DataFrame, model: Model, text: str = "text", name: str = "s
 
 def _scored(docs: DataFrame, model: Model, text: str, name: str) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(("".join(model.kernel.code), model.weights, model.bias, model.top, model.prior))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    plain, column = numbered(docs)
 
     def per_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
-        got = _on_worker(sent, lambda v: Model(*v)).scores(batch.column(text).to_pylist())
-        return batch.append_column(name, pa.array(got, pa.float64()))
+        got = _on_worker(sent, lambda v: Model(*v)).scores(batch.column(column[text]).to_pylist())
+        return batch.append_column("score", pa.array(got, pa.float64()))
 
-    return map_texts(docs, {c: F.col(f"`{c}`") for c in docs.columns}, f"{fields}, `{name}` double", per_batch)
+    found = map_texts(plain, {c: F.col(c) for c in plain.columns}, T.StructType([*plain.schema.fields, T.StructField("score", T.DoubleType())]), per_batch)
+    return found.select(*[F.col(column[c]).alias(c) for c in docs.columns], F.col("score").alias(name))

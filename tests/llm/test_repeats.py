@@ -85,3 +85,22 @@ def test_suffix_order():
         while n < 50 and rows[k][n] == rows[k - 1][n]:
             n += 1
         assert common[k] == n
+
+
+def test_windows_of_one_polynomial_hash_stay_apart(spark):
+    """A 0/1 Thue-Morse pattern and its complement agree in many low bits of every polynomial hash modulo 2^64."""
+    morse = ["ab"[i.bit_count() & 1] for i in range(64)]
+    other = ["ba"[i.bit_count() & 1] for i in range(64)]
+    docs = [(1, " ".join(morse)), (2, " ".join(other)), (3, " ".join(morse)), (4, " ".join(["c", *other]))]
+    found, c = substring.deduplicate(spark.createDataFrame(docs, "doc_id long, text string"), size=32, key_bytes=1)
+    got = {r["doc_id"]: sum(x["end"] - x["start"] for x in r[c["removed"]]) for r in found.collect()}
+    want = {d: n for d, _, n, _ in brute(docs, str.split, 32)}
+    assert got == want
+
+
+@pytest.mark.parametrize("key_bytes", [1, 2])
+def test_equal_screens_remove_nothing(spark, key_bytes):
+    docs = [(i, " ".join(f"w{i}x{k}" for k in range(300))) for i in range(20)] + [(30, " ".join(f"w3x{k}" for k in range(100, 220)))]
+    found, c = substring.deduplicate(spark.createDataFrame(docs, "doc_id long, text string"), key_bytes=key_bytes)
+    got = {r["doc_id"]: sum(x["end"] - x["start"] for x in r[c["removed"]]) for r in found.collect()}
+    assert got == {i: 0 for i in range(20)} | {30: 120}
