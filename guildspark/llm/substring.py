@@ -137,8 +137,8 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", siz
 
     def finish(own: pa.Table, got: pa.Table) -> pa.Table:
         out = []
-        (keys,) = R.told(got, 1)
-        known = [(t, R.decode(p, np.uint64, np.int64)) for t, k, p in zip(*(got.column(c).to_pylist() for c in ("tile", "kind", "payload")), strict=True) if k == 2]
+        known = [(t, R.decode(p, np.uint64, np.int64)) for t, p in zip(*(got.column(c).to_pylist() for c in ("tile", "payload")), strict=True)]
+        keys = np.unique(np.concatenate([R.joint(p[0], np.full(len(p[0]), t)) for t, p in known])) if known else np.zeros(0, np.uint64)
         both = np.concatenate([joined(p[0], np.full(len(p[0]), t), p[1]) for t, p in known]) if known else np.zeros(0, np.uint64)
         check_of, low = (np.concatenate([p[i] for _, p in known]) if known else np.zeros(0, d) for i, d in ((1, np.uint64), (2, np.int64)))
         order = np.argsort(both)
@@ -164,6 +164,6 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", siz
 
     inner = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
     schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("text", T.StringType()), *[T.StructField(k, R.type_of(docs, c)) for k, c in carry.items()], T.StructField("n_words", T.LongType()), T.StructField("removed", T.ArrayType(inner)), T.StructField("kept", T.StringType())])
-    found = packs.groupBy("slice").cogroup(told.unionByName(owners).groupBy("slice")).applyInArrow(finish, schema)
+    found = packs.groupBy("slice").cogroup(owners.groupBy("slice")).applyInArrow(finish, schema)
     back = {doc_id: "id", text: "text", **{c: k for k, c in carry.items()}}
     return found.select(*[F.col(back[c]).alias(c) for c in docs.columns], *[F.col(k).alias(v) for k, v in names.items()]), names
