@@ -37,12 +37,13 @@ def rounded(c: Column, digits: int = 6) -> Column:
 
 
 def weight_type(method: Column) -> Column:
-    """Weight label of a method: stability for StARS methods, else correlation."""
-    return F.when(method.isin("spieceasi", "spring"), "selection_stability").otherwise("correlation")
+    """What a method's weights are."""
+    return F.when(method == "spieceasi", "selection_stability").when(method == "spring", "latent_correlation").otherwise("correlation")
 
 
 def evidence_type(method: Column) -> Column:
-    return F.when(method.isin("spieceasi", "spring"), "stars_selection").when(method == "sparcc", "permutation_p_value").when(method == "cclasso", "bootstrap_p_value").otherwise("pairwise_p_value")
+    """What a method's edges rest on."""
+    return F.when(method.isin("spieceasi", "spring"), "stars").when(method == "sparcc", "permutation_p_value").when(method == "cclasso", "bootstrap_p_value").otherwise("pairwise_p_value")
 
 
 def teleport(c: Column) -> Column:

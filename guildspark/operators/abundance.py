@@ -100,11 +100,12 @@ def relative_abundance(abundance: DataFrame, totals: DataFrame | None = None) ->
     return abundance.join(own, "sample_id").withColumn("relative", F.when(F.col("total") > 0, F.try_divide("value", "total")).otherwise(0.0))
 
 
-def feature_metrics(abundance: DataFrame, totals: DataFrame | None = None) -> DataFrame:
-    """(feature, n_samples, prevalence, mean_relative, variance) over all samples of the table; one pass over the
+def feature_metrics(abundance: DataFrame, totals: DataFrame | None = None, samples: DataFrame | None = None) -> DataFrame:
+    """(feature, n_samples, prevalence, mean_relative, variance) over all samples of the table, or over the given ones
+    (sample_id), of which some may have no cells; one pass over the
     present cells, zeros enter through the number of samples: the squares around the mean of the present cells
     are summed with a correction for the zeros, which stays accurate where sum(x^2) - n*mean^2 would cancel."""
-    n = abundance.select("sample_id").distinct().agg(F.count("*").alias("n_samples"))
+    n = (abundance if samples is None else samples).select("sample_id").distinct().agg(F.count("*").alias("n_samples"))
     rel = relative_abundance(abundance, totals)
     by = rel.groupBy("feature").agg(F.count_if(F.col("value") > 0).alias("_present"), F.sum("relative").alias("_sum"), F.count("*").alias("_k"), F.var_pop("relative").alias("_var"))
     k, total = F.col("_k"), F.col("n_samples")
@@ -125,9 +126,9 @@ def keep_features(abundance: DataFrame, features: DataFrame) -> DataFrame:
     return abundance.join(features.select("feature"), "feature", "left_semi")
 
 
-def filter_taxa(abundance: DataFrame, config: TaxaFilter, totals: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def filter_taxa(abundance: DataFrame, config: TaxaFilter, totals: DataFrame | None = None, samples: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """The restricted table and the per-feature metrics with reasons."""
-    judged = removal_reasons(feature_metrics(abundance, totals), config)
+    judged = removal_reasons(feature_metrics(abundance, totals, samples), config)
     return keep_features(abundance, judged.where(F.size("reasons") == 0)), judged
 
 
@@ -168,8 +169,9 @@ def non_empty_samples(abundance: DataFrame) -> DataFrame:
 
 def drop_events(features: DataFrame, reason: str) -> DataFrame:
     """One row for features that a method drops: count, the first names and whether the list was cut."""
-    names = F.sort_array(F.collect_list("feature"))
-    return features.agg(F.lit(reason).alias("reason"), F.count("*").alias("dropped"), F.slice(names, 1, DROP_ITEMS).alias("items"), (F.count("*") > DROP_ITEMS).alias("truncated"))
+    first = features.select("feature").orderBy("feature").limit(DROP_ITEMS).agg(F.sort_array(F.collect_list("feature")).alias("items"))
+    n = features.agg(F.count("*").alias("dropped"))
+    return n.crossJoin(first).select(F.lit(reason).alias("reason"), "dropped", "items", (F.col("dropped") > DROP_ITEMS).alias("truncated"))
 
 
 def taxon_of(label: Column, mode: str) -> Column:

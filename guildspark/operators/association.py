@@ -87,6 +87,14 @@ def significant(pairs: DataFrame, max_p: float | None = 0.05, min_abs: float = 0
     return kept.where(F.abs("rho") >= min_abs)
 
 
+def oriented(pairs: DataFrame, order: DataFrame) -> DataFrame:
+    """Pairs with the feature on the left that comes first by order (feature, place), names among equals; one without a place comes last."""
+    a, b = order.select(F.col("feature").alias("left"), F.col("place").alias("_a")), order.select(F.col("feature").alias("right"), F.col("place").alias("_b"))
+    placed = pairs.join(a, "left", "left").join(b, "right", "left")
+    turn = F.coalesce(F.col("_b") < F.col("_a"), F.col("_a").isNull() & F.col("_b").isNotNull())
+    return placed.withColumns({"left": F.when(turn, F.col("right")).otherwise(F.col("left")), "right": F.when(turn, F.col("left")).otherwise(F.col("right"))}).select(*pairs.columns)
+
+
 def kendall(cells: DataFrame) -> DataFrame:
     """(condition, left, right, tau, n): Kendall's tau-a of pair cells by counting concordant sample pairs.
 

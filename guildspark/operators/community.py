@@ -4,8 +4,9 @@ Every table is keyed by `condition` (or any run key under that name), so many ru
 
 from __future__ import annotations
 
+import heapq
+import itertools
 import math
-from collections import deque
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from guildspark.sources.staging import cut
 
-from .network import adjacency, strongest
+from .network import adjacency, graph_stats, strongest
 
 #: Ladder constants (fixed values).
 MIN_CUT_SIZE, SCALE_RELAXATIONS, PHI_FACTORS, TIE = 5, 2, (1.25, 1.5, 1.75, 2.0), 0.10
@@ -110,7 +111,7 @@ def power_walk(edges: DataFrame, seeds: DataFrame, alpha: float = 0.15, steps: i
 
 
 def sweep(edges: DataFrame, scores: DataFrame, weighted: bool = True, signed: bool = False, sign_lambda: float = 1.0, cap: float = 0.5, by_count: bool = False) -> DataFrame:
-    """(condition, k, node, volume, cut, score, mass, total_volume, m): the prefixes up to half of the volume.
+    """(condition, k, node, p, volume, cut, score, mass, total_volume, m): the prefixes up to half of the volume.
 
     Ordered by score over degree (at least 1), names among equals. The weight inside a prefix grows by the
     edges whose later end is its last node, so cut is one running sum. cap: the share of the total volume where the prefixes end; by_count: the order
@@ -138,15 +139,16 @@ def sweep(edges: DataFrame, scores: DataFrame, weighted: bool = True, signed: bo
     else:
         rows = rows.withColumn("ni", F.lit(0.0))
     run = Window.partitionBy("condition").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    out = rows.select("condition", "k", "node", F.sum("d").over(run).alias("volume"), F.sum(F.col("d") - 2 * F.coalesce("wi", F.lit(0.0))).over(run).alias("cut"), F.sum(F.coalesce("ni", F.lit(0.0))).over(run).alias("neg_inside"), F.sum("p").over(run).alias("mass"))
+    out = rows.select("condition", "k", "node", "p", F.sum("d").over(run).alias("volume"), F.sum(F.col("d") - 2 * F.coalesce("wi", F.lit(0.0))).over(run).alias("cut"), F.sum(F.coalesce("ni", F.lit(0.0))).over(run).alias("neg_inside"), F.sum("p").over(run).alias("mass"))
     out = out.join(total, "condition").join(m, "condition").where(F.col("volume") <= F.floor(F.col("total_volume") * cap))
     least = F.least("volume", F.col("total_volume") - F.col("volume"))
     lam = sign_lambda if signed else 0.0
     return out.withColumn("score", F.when(least > 0, F.try_divide(F.col("cut") + lam * F.col("neg_inside"), least)).otherwise(F.lit(float("inf"))))
 
 
-def penalty(score: Column, volume: Column, mass: Column, ladder: Ladder) -> Column:
-    octaves = F.when(volume <= 0, F.lit(float("inf"))).when(volume < ladder.floor, F.log2(F.lit(ladder.floor) / F.when(volume > 0, volume))).otherwise(0.0)
+def penalty(score: Column, volume: Column, mass: Column, ladder: Ladder, floor: Column | None = None) -> Column:
+    floor = F.lit(ladder.floor) if floor is None else floor
+    octaves = F.when(volume <= 0, F.lit(float("inf"))).when(volume < floor, F.log2(floor / F.when(volume > 0, volume))).otherwise(0.0)
     return score / ladder.phi + VOLUME_WEIGHT * octaves - MASS_WEIGHT * F.least(mass, F.lit(1.0))
 
 
@@ -155,17 +157,22 @@ def select(prefixes: DataFrame, seeds: DataFrame, ladder: Ladder) -> DataFrame:
 
     Every prefix is tested against the predicates of all steps at once; the first step that any prefix
     meets decides, and in it the smallest prefix within TIE of the best score (in the last step, the
-    smallest penalty). Without an admissible prefix the seed stays alone (step 0)."""
+    smallest penalty). Without an admissible prefix the seed stays alone (step 0). A column b of the seeds
+    takes the place of the ladder's b in its condition."""
+    own_b = "b" in seeds.columns
     at = prefixes.join(seeds.select("condition", "node"), ["condition", "node"]).select("condition", F.col("k").alias("seed_k"))
     p = prefixes.join(at, "condition", "left").where(F.col("k") >= F.greatest(F.lit(ladder.min_cut_size), F.coalesce("seed_k", F.lit(1))))
     if ladder.max_cut_size is not None:
         p = p.where(F.col("k") <= ladder.max_cut_size)
-    tau, floor, phi = mass_threshold(F.col("m")), ladder.floor, ladder.phi
+    if own_b:
+        p = p.join(seeds.select("condition", "b"), "condition")
+    tau, phi = mass_threshold(F.col("m")), ladder.phi
+    floor = F.pow(F.lit(2.0), F.col("b") - 1) if own_b else F.lit(ladder.floor)
     rungs = [(1, floor, phi, F.col("mass") > tau), (2, floor, phi, F.lit(True))]
     rungs += [(3, floor / 2**k, phi, F.lit(True)) for k in range(1, SCALE_RELAXATIONS + 1)]
     rungs += [(4, floor, phi * f, F.lit(True)) for f in PHI_FACTORS]
     met = [F.when((F.col("volume") > fl) & (F.col("score") < ph) & more, F.struct(F.lit(i).alias("rung"), F.lit(s).alias("step"), F.lit(fl).alias("floor_used"), F.lit(ph).alias("phi_used"), F.col("score").alias("key"))) for i, (s, fl, ph, more) in enumerate(rungs)]
-    cost = penalty(F.col("score"), F.col("volume"), F.col("mass"), ladder)
+    cost = penalty(F.col("score"), F.col("volume"), F.col("mass"), ladder, floor)
     met.append(F.when(cost < float("inf"), F.struct(F.lit(len(rungs)).alias("rung"), F.lit(5).alias("step"), F.lit(floor).alias("floor_used"), F.lit(phi).alias("phi_used"), cost.alias("key"))))
     tagged = p.select("condition", "k", "volume", "mass", "score", F.explode(F.array_compact(F.array(*met))).alias("r"))
     first = Window.partitionBy("condition")
@@ -187,8 +194,9 @@ def legacy_nibble(edges: DataFrame, scores: DataFrame, phi: float = 0.3, b: int
 
 
 def members(prefixes: DataFrame, seeds: DataFrame, chosen: DataFrame) -> DataFrame:
-    """(condition, node, rank) of the selected prefixes; the seed alone at step 0."""
-    big = prefixes.join(chosen.where("step > 0").select("condition", "size"), "condition").where("k <= size").select("condition", "node", F.col("k").alias("rank"))
+    """(condition, node, rank) of the selected prefixes, ranked by score, names among equals; the seed alone at step 0."""
+    by_score = Window.partitionBy("condition").orderBy(F.desc("p"), "node")
+    big = prefixes.join(chosen.where("step > 0").select("condition", "size"), "condition").where("k <= size").select("condition", "node", F.row_number().over(by_score).alias("rank"))
     alone = seeds.join(chosen.where("step = 0"), "condition", "left_semi").select("condition", "node", F.lit(1).alias("rank"))
     return big.unionByName(alone)
 
@@ -210,66 +218,94 @@ def push(edges: DataFrame, runs: DataFrame, max_pushes: int = 100_000, weighted:
     def kernel(graph: pa.Table, jobs: pa.Table) -> pa.Table:
         if not jobs.num_rows:
             return out.empty_table()
-        us, vs, ws = (graph.column(c).to_pylist() for c in ("u", "v", "w"))
-        names = sorted({*us, *vs})
-        at = {n: i for i, n in enumerate(names)}
-        order = sorted(range(len(us)), key=lambda i: (us[i], vs[i]))
-        near = [[] for _ in names]
-        for i in order:
-            near[at[us[i]]].append((at[vs[i]], ws[i]))
-        degree = [max(1.0, sum(w for _, w in x)) for x in near]
+        walk = Neighbours.of(graph)
         tables = []
         for job in jobs.to_pylist():
-            if job["node"] not in at:
+            seed = walk.places.get(job["node"])
+            if seed is None:
                 continue
-            p, r, pushes, done = push_run(near, degree, at[job["node"]], job["alpha"], job["epsilon"], max_pushes, job["order_seed"])
-            some = np.flatnonzero((p > 0) | (r > 0)).tolist()
-            n = len(some)
-            tables.append(pa.table([pa.array(c, t) for c, t in zip(([job["run_id"]] * n, [job["job_condition"]] * n, [names[i] for i in some], p[some], r[some], [pushes] * n, [done] * n), out.types, strict=True)], schema=out))
+            p, r, pushes = walk.push(seed, job["alpha"], job["epsilon"], max_pushes, job["order_seed"])
+            some = np.flatnonzero((p > 0) | (r > 0))
+            n, done = len(some), bool((r < job["epsilon"] * walk.degree).all())
+            columns = ([job["run_id"]] * n, [job["job_condition"]] * n, walk.names[some].tolist(), p[some], r[some], [pushes] * n, [done] * n)
+            tables.append(pa.table([pa.array(c, t) for c, t in zip(columns, out.types, strict=True)], schema=out))
         return pa.concat_tables(tables) if tables else out.empty_table()
 
     jobs = spread.select(F.col("condition").alias("job_condition"), F.col("lane").alias("job_lane"), *[F.col(c).alias(c) for c in ("run_id", "node", "alpha", "epsilon", "order_seed")])
     return graphs.groupBy("condition", "lane").cogroup(jobs.groupBy("job_condition", "job_lane")).applyInArrow(kernel, schema)
 
 
-def push_run(near, degree, seed: int, alpha: float, eps: float, limit: int, order_seed=None):
-    """Vectors p and r, the number of pushes, and whether no residual is left above eps times its degree."""
-    p, r = [0.0] * len(near), [0.0] * len(near)
-    r[seed] = 1.0
-    bar = [eps * d for d in degree]
-    waiting, listed = deque([seed]), {seed}
-    rng = np.random.default_rng(order_seed) if order_seed is not None else None
-    pushes = 0
-    while waiting and pushes < limit:
-        if rng is not None and len(waiting) > 1:
-            waiting.rotate(-int(rng.integers(len(waiting))))
-        u = waiting.popleft()
-        listed.discard(u)
-        held = r[u]
-        if held < bar[u]:
-            continue
-        pushes += 1
-        p[u] += alpha * held
-        half = (1 - alpha) * held / 2
-        r[u] = half
-        if half >= bar[u]:
-            listed.add(u)
-            waiting.append(u)
-        links = near[u] if rng is None else [near[u][i] for i in rng.permutation(len(near[u]))]
-        share = half / degree[u]
-        for v, w in links:
-            r[v] += share * w
-            if r[v] >= bar[v] and v not in listed:
-                listed.add(v)
-                waiting.append(v)
-    left = any(x >= b for x, b in zip(r, bar, strict=True))
-    return np.array(p), np.array(r), pushes, not left
-
-
-def cluster(edges: DataFrame, seeds: DataFrame, ladder: Ladder, signed: bool = False, sign_lambda: float = 1.0, weighted: bool = True, order_seed: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Push, sweep and ladder for the seeds (condition, node): members (condition, node, rank) and the selection rows."""
+@dataclass
+class Neighbours:
+    """A graph in compressed rows: the neighbours of node i are other[first[i] : first[i + 1]], ordered by name."""
+
+    names: np.ndarray
+    first: np.ndarray
+    other: np.ndarray
+    weight: np.ndarray
+    degree: np.ndarray
+
+    @classmethod
+    def of(cls, graph: pa.Table) -> Neighbours:
+        u, v = (np.array(graph.column(c).to_pylist(), object) for c in ("u", "v"))
+        names, place = np.unique(np.concatenate((u, v)), return_inverse=True)
+        own, other = place[: len(u)], place[len(u) :]
+        order = np.lexsort((other, own))
+        weight = graph.column("w").to_numpy()[order].astype(np.float64)
+        first = np.searchsorted(own[order], np.arange(len(names) + 1))
+        degree = np.bincount(own[order], weight, len(names))
+        return cls(names, first, other[order], weight, np.maximum(1.0, degree))
+
+    @property
+    def places(self) -> dict[str, int]:
+        return {n: i for i, n in enumerate(self.names.tolist())}
+
+    def push(self, seed: int, alpha: float, eps: float, limit: int, order_seed: int | None = None) -> tuple[np.ndarray, np.ndarray, int]:
+        """Vectors p and r and the number of pushes. p + r keeps the mass 1, and a push moves alpha of a node's residual
+        to p, half of the rest to its neighbours by weight, and leaves the other half.
+
+        Nodes over eps times their degree wait in a heap under a ticket: the number of their arrival, so that they
+        leave in that order, or with order_seed a random number, so that each waiting node is as likely to be next."""
+        p, r, bar = np.zeros(len(self.names)), np.zeros(len(self.names)), eps * self.degree
+        draw = itertools.count().__next__ if order_seed is None else np.random.default_rng(order_seed).random
+        waits = np.zeros(len(self.names), bool)
+        heap, pushes = [], 0
+
+        def enter(nodes) -> None:
+            for x in nodes:
+                waits[x] = True
+                heapq.heappush(heap, (draw(), x))
+
+        r[seed] = 1.0
+        enter([seed])
+        while heap and pushes < limit:
+            _, u = heapq.heappop(heap)
+            waits[u] = False
+            if r[u] < bar[u]:
+                continue
+            near = slice(self.first[u], self.first[u + 1])
+            p[u] += alpha * r[u]
+            r[u] *= (1 - alpha) / 2
+            flow = r[u] / self.degree[u]
+            enter([u] if r[u] >= bar[u] else [])
+            to = self.other[near]
+            r[to] += flow * self.weight[near]
+            enter(to[(r[to] >= bar[to]) & ~waits[to]].tolist())
+            pushes += 1
+        return p, r, pushes
+
+
+def cluster(edges: DataFrame, seeds: DataFrame, ladder: Ladder | None, signed: bool = False, sign_lambda: float = 1.0, weighted: bool = True, order_seed: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Push, sweep and ladder for the seeds (condition, node): members (condition, node, rank) and the selection rows.
+
+    Without a ladder, each condition's b comes from the size of its graph."""
     m = strongest(edges).groupBy("condition").agg(F.count("*").alias("_m"))
-    eps = F.lit(1.0) / (2.0**ladder.b * 48 * F.ceil(F.log2(F.greatest("_m", F.lit(2)).cast("double"))))
+    if ladder is None:
+        ladder = Ladder()
+        sizes = graph_stats(edges).select("condition", default_b(F.col("node_count"), F.col("edge_count")).alias("b"))
+        seeds = cut(seeds.select("condition", "node").join(sizes, "condition"), "seeds")
+    b = F.col("b").cast("double") if "b" in seeds.columns else F.lit(float(ladder.b))
+    eps = F.lit(1.0) / (F.pow(F.lit(2.0), b) * 48 * F.ceil(F.log2(F.greatest("_m", F.lit(2)).cast("double"))))
     runs = seeds.join(m, "condition").select(F.xxhash64("condition", "node").alias("run_id"), "condition", "node", F.lit(ladder.alpha).alias("alpha"), eps.alias("epsilon"), F.lit(order_seed).cast("long").alias("order_seed"))
     vector = push(edges, runs, weighted=weighted, walk_positive=signed).where("p > 0").select("condition", "node", "p")
     prefixes = cut(sweep(edges, vector, weighted, signed, sign_lambda), "prefixes")

@@ -10,7 +10,7 @@ def pair_key(a: str = "source", b: str = "target") -> Column:
     return F.concat_ws("::", F.least(a, b), F.greatest(a, b))
 
 
-def edges_of(pairs: DataFrame, method: str = "spearman", weight_type: str = "correlation", evidence: str = "pairwise_p_value") -> DataFrame:
+def edges_of(pairs: DataFrame, method: str = "spearman", weight_type: str | Column = "correlation", evidence: str | Column = "pairwise_p_value") -> DataFrame:
     return pairs.select("condition", F.col("left").alias("source"), F.col("right").alias("target"), F.col("rho").alias("weight"), "p", F.lit(method).alias("method"), F.lit(weight_type).alias("weight_type"), F.lit(evidence).alias("evidence_type"))
 
 

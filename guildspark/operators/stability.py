@@ -86,15 +86,16 @@ def condition_summary(selections: DataFrame) -> DataFrame:
     return selections.groupBy("rule").agg(F.count("*").alias("runs")).crossJoin(F.broadcast(n)).select("rule", "runs", (F.col("runs") / F.col("_n")).alias("share"))
 
 
-def best_parameters(default: dict, default_score: float, sweeps: dict[str, dict[float, float]]) -> dict:
-    """Greedy one-at-a-time choice over (value -> score); scores of runs that fail the 90 % bar are -inf."""
-    best, top = dict(default), default_score
-    for name, scores in sweeps.items():
-        for value, score in scores.items():
-            if score > top:
-                best[name], top = value, score
-    return best | {"score": top, "default_score": default_score}
-
-
-def stability_score(strict_rate: float, jaccard_above: float, support_above: float) -> float:
-    return 0.5 * (jaccard_above + support_above) if strict_rate >= 0.9 else float("-inf")
+def stability_scores(tried: DataFrame) -> DataFrame:
+    """Adds `score` to rows with strict_rate, jaccard_above and support_above: the mean of the last two, null where under
+    nine of ten runs were strict."""
+    return tried.withColumn("score", F.when(F.col("strict_rate") >= 0.9, (F.col("jaccard_above") + F.col("support_above")) / 2))
+
+
+def best_parameters(scored: DataFrame) -> DataFrame:
+    """(parameter, value, score, gain): per parameter the value of the highest score (the smallest among equals) and what it
+    gains over the default, which is the row of `parameter` null; parameters that gain nothing are left out."""
+    default = scored.where("parameter is null").agg(F.max("score").alias("_base"))
+    best = scored.where("parameter is not null and score is not null").groupBy("parameter").agg(F.max(F.struct("score", (-F.col("value")).alias("less"))).alias("m"))
+    gain = F.col("m.score") - F.coalesce("_base", F.lit(float("-inf")))
+    return best.crossJoin(F.broadcast(default)).where(gain > 0).select("parameter", (-F.col("m.less")).alias("value"), F.col("m.score").alias("score"), gain.alias("gain"))

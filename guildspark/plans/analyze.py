@@ -8,15 +8,15 @@ from dataclasses import asdict, dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from guildspark.functions.scalars import evidence_type, weight_type
 from guildspark.operators import abundance as A
 from guildspark.operators import association as S
 from guildspark.operators import community as C
 from guildspark.operators import network as N
 from guildspark.operators.methods import METHODS
 from guildspark.sources.staging import cut
-from guildspark.sources.tables import load_abundance, load_metadata
+from guildspark.sources.tables import load_abundance, load_metadata, sample_ids
 
-EVIDENCE = {"spearman": "pairwise_p_value", "sparcc": "permutation_p_value", "cclasso": "bootstrap_p_value", "spieceasi": "stars_selection", "spring": "stars_selection"}
 SELECTING = ("spieceasi", "spring")
 
 
@@ -63,10 +63,10 @@ class Request:
 
 
 def pairs_of(cells: DataFrame, method: str, settings: dict) -> DataFrame:
-    """(condition, left, right, rho, p, selected) by the method; Spearman is a plan, the others are matrix kernels."""
+    """(condition, left, right, rho, n, p, selected) by the method; Spearman is a plan, the others are matrix kernels."""
     if method == "spearman":
-        return S.with_p(S.spearman(S.pair_cells(cells))).withColumn("selected", F.lit(None).cast("boolean")).drop("n")
-    found = METHODS[method](cells, **settings)
+        return S.with_p(S.spearman(S.pair_cells(cells))).withColumn("selected", F.lit(None).cast("boolean"))
+    found = METHODS[method](cells, **settings).withColumn("n", F.lit(None).cast("long"))
     if method in SELECTING:
         return found.withColumnRenamed("weight", "rho")
     return found.withColumn("selected", F.lit(None).cast("boolean"))
@@ -77,13 +77,14 @@ def analyze(spark: SparkSession, request: Request) -> dict[str, DataFrame]:
     run before grouping; correlations are per condition, which is a column and not a loop."""
     meta = load_metadata(spark, list(request.metadata), request.condition_column)
     ids = meta.select("sample_id")
+    samples_of = {d: sample_ids(spark, list(p), ids) for d, p in (("bacteria", request.bacteria), ("fungi", request.fungi)) if p and request.dataset in (d, "both")}
     tables = {d: load_abundance(spark, list(p), ids) for d, p in (("bacteria", request.bacteria), ("fungi", request.fungi)) if p and request.dataset in (d, "both")}
     totals = A.combined_totals(*tables.values()) if len(tables) == 2 else None
     wanted = meta.where(F.col("condition").isin(*request.conditions))
     out, cells, ratios = {}, {}, None
     for domain, table in tables.items():
         if request.filters.enabled:
-            table, judged = A.filter_taxa(table, request.filters, totals)
+            table, judged = A.filter_taxa(table, request.filters, totals, samples_of[domain])
             out[f"filter_report_{domain}"] = A.filter_report(judged, domain, totals is not None)
         grouped = cut(A.group_taxa(table, request.grouping), domain)
         if grouped.select("feature").distinct().limit(2).count() < 2:
@@ -98,14 +99,19 @@ def analyze(spark: SparkSession, request: Request) -> dict[str, DataFrame]:
     elif request.method == "spearman":
         a, b = cells["bacteria"], cells["fungi"]
         every = S.pair_cells(a).unionByName(S.pair_cells(b)).unionByName(S.cross_cells(a, b))
-        pairs = S.with_p(S.spearman(every)).withColumn("selected", F.lit(None).cast("boolean")).drop("n")
+        pairs = S.with_p(S.spearman(every)).withColumn("selected", F.lit(None).cast("boolean"))
     else:
         a, b = cells["bacteria"], cells["fungi"]
         common = a.select("condition", "sample_id").distinct().join(b.select("condition", "sample_id").distinct(), ["condition", "sample_id"])
         pairs = pairs_of(a.unionByName(b).join(common, ["condition", "sample_id"], "left_semi"), request.method, request.settings)
-    pairs = cut(pairs, "pairs")
+    order = None
+    for domain, table in tables.items():  # bacteria first, then the order of the files
+        prefix = {"bacteria": "bac::", "fungi": "fun::"}[domain] if len(tables) == 2 else ""
+        own = table.groupBy(F.concat(F.lit(prefix), A.taxon_of(F.col("feature"), request.grouping)).alias("feature")).agg(F.min(F.struct(F.lit(list(tables).index(domain)).alias("d"), "feature_ord")).alias("place"))
+        order = own if order is None else order.unionByName(own)
+    pairs = cut(S.oriented(pairs, order), "pairs")
     kept = S.significant(pairs, None if request.method in SELECTING else request.max_p, request.min_abs)
-    edges = N.edges_of(kept, request.method, "selection_stability" if request.method == "spieceasi" else "correlation", EVIDENCE[request.method])
+    edges = N.edges_of(kept, request.method, weight_type(F.lit(request.method)), evidence_type(F.lit(request.method)))
     samples = A.condition_stats(next(iter(tables.values())), wanted) if len(tables) == 1 else A.condition_stats_both(tables["bacteria"], tables["fungi"], wanted)
     return out | {"pairs": pairs, "edges": edges, "nodes": N.nodes_of(edges, ratios), "stats": N.graph_stats(edges), "samples": samples}
 
@@ -113,10 +119,7 @@ def analyze(spark: SparkSession, request: Request) -> dict[str, DataFrame]:
 def cluster(edges: DataFrame, seed: str, ladder: C.Ladder | None = None, signed: bool = False, weighted: bool = True, sign_lambda: float = 1.0) -> dict[str, DataFrame]:
     """The community of a seed in every condition whose graph has it: members, their edges and how they were selected.
 
-    Without a ladder, b comes from each graph's size; one b (the largest) serves all conditions of a call."""
+    Without a ladder, the b of each condition comes from its graph's size."""
     seeds = N.nodes_of(edges).where(F.col("id") == seed).select("condition", F.col("id").alias("node"))
-    if ladder is None:
-        row = N.graph_stats(edges).agg(F.max(C.default_b(F.col("node_count"), F.col("edge_count"))).alias("b")).first()
-        ladder = C.Ladder(b=row["b"] or 1)
     found, chosen = C.cluster(edges, seeds, ladder, signed, sign_lambda, weighted)
     return {"members": found, "selection": chosen, "edges": N.induced(edges, found)}

@@ -183,16 +183,15 @@ def flt8_restrict(spark, sf):
     return A.filter_taxa(demo.bacteria(spark, sf), FILTER)[0].select("sample_id", "feature", "value")
 
 
-@query(f"with {B}, {M}, s as (select sample_id from m where condition = 'FURNITURE' and sample_id in (select sample_id from b) and sample_id % 7 = 0), g as (select feature, count(*) as k, min(value) as lo, max(value) as hi from b where sample_id in (select sample_id from s) group by 1), n as (select count(*) as n from s) select feature from g, n where case when k < n then least(lo, 0) else lo end <> case when k < n then greatest(hi, 0) else hi end")
+@query(f"with {B}, {M}, s as (select sample_id from m where sample_id in (select sample_id from b)), g as (select feature, count(*) as k, min(value) as lo, max(value) as hi from b where sample_id in (select sample_id from s) group by 1), n as (select count(*) as n from s) select feature from g, n where case when k < n then least(lo, 0) else lo end <> case when k < n then greatest(hi, 0) else hi end")
 def flt9_constant_features(spark, sf):
     b = demo.bacteria(spark, sf)
-    s = demo.conditions(spark, sf).where("condition = 'FURNITURE' and sample_id % 7 = 0").join(b, "sample_id", "left_semi")
+    s = demo.conditions(spark, sf).join(b, "sample_id", "left_semi")
     return A.varying_features(b, s)
 
 
 @query(f"with {CELLS}, n as (select condition, count(distinct sample_id) as n from cells group by 1), g as (select condition, feature, count(distinct sample_id) as k, min(value) as lo, max(value) as hi from cells group by 1, 2) select condition, feature from g join n using (condition) where case when k < n then least(lo, 0) else lo end <> case when k < n then greatest(hi, 0) else hi end")
 def flt9_varying_by_condition(spark, sf):
-    """flt9_constant_features judges an id subset of one condition, as its SQL says; this judges every sample of every condition."""
     return A.varying_by_condition(S.in_condition(demo.bacteria(spark, sf), demo.conditions(spark, sf)))
 
 
@@ -664,3 +663,77 @@ def gr3_legacy_nibble(spark, sf):
 @query(f"with {B}, sm as (select sample_id, row_number() over (order by sample_id) as rk, count(*) over () as t from (select distinct sample_id from b where value > 0)), ps as (select sample_id from sm where list_contains(list_transform(range(0, 40), lambda i: round_even(1 + i * (t - 1) / 39.0, 0)::bigint), rk)), c as (select * from b where value > 0 and sample_id in (select sample_id from ps)), g as (select feature, count(*) as k, sum(value) as v, min(value) as lo, max(value) as hi from c group by 1), vr as (select * from g where case when k < (select count(*) from ps) then least(lo, 0) else lo end <> case when k < (select count(*) from ps) then greatest(hi, 0) else hi end), fr as (select *, row_number() over (order by k, v, feature) as rk, count(*) over () as t from vr), pf as (select feature from fr where list_contains(list_transform(range(0, 9), lambda i: round_even(1 + i * (t - 1) / 8.0, 0)::bigint), rk)) select sample_id, feature, value from c where feature in (select feature from pf)")
 def xp9_subset(spark, sf):
     return A.subset(demo.bacteria(spark, sf), 40, 9).select("sample_id", "feature", "value")
+
+
+# --- what stands beside the graphs: reports, labels, scalar functions ---------------------------------
+
+
+@query(f"with {EDGES} select condition, source, target, weight + 0.0 as weight from edges where weight > 0")
+def flt18_positive_walk(spark, sf):
+    return N.positive_walk(edges(spark, sf))
+
+
+@query(f"with {REASONS}, x as (select feature from judged where len(reasons) > 0) select 'filtered' as reason, count(*) as dropped, (select string_agg(feature, ',' order by feature) from (select feature from x order by feature limit 50)) as items, count(*) > 50 as truncated from x")
+def ag18_drop_events(spark, sf):
+    judged = A.filter_taxa(demo.bacteria(spark, sf), FILTER)[1]
+    return A.drop_events(judged.where(F.size("reasons") > 0), "filtered").withColumn("items", F.array_join("items", ","))
+
+
+@query(f"with {RUNS}, n as (select count(distinct run_id) as n from runs), c as (select node, round_even(count(*) / max(n), 4) as frequency from runs, n group by 1) select frequency, count(*) as nodes from c group by 1")
+def ag24_frequency_histogram(spark, sf):
+    return T.frequency_histogram(runs_of(spark, sf))
+
+
+@query(f"with {RUNS}, base as (select node from runs where run_id = (select min(run_id) from runs)) select run_id, count(*) filter (where node not in (select node from base)) as escaped from runs group by 1")
+def ag25_escapes(spark, sf):
+    r = runs_of(spark, sf)
+    first = r.agg(F.min("run_id").alias("run_id"))
+    return T.escapes(r, r.join(F.broadcast(first), "run_id").select("node"))
+
+
+@query("select o_orderpriority as rule, count(*) as runs, round(count(*) / (select count(*) from orders), 6) as share from orders group by 1")
+def ag27_condition_summary(spark, sf):
+    return T.condition_summary(demo.table(spark, sf, "orders").select(F.col("o_orderpriority").alias("rule"))).select("rule", "runs", F.round("share", 6).alias("share"))
+
+
+TRIED = "select p_type as parameter, p_size::bigint as value, avg((p_size % 10 < 9)::int) as strict_rate, avg(p_retailprice) / 10000 as jaccard_above, max(p_retailprice) / 10000 as support_above from part group by 1, 2"
+
+
+@query(f"with t as ({TRIED} union all select null, 0, 1, avg(p_retailprice) / 10000, avg(p_retailprice) / 10000 from part), s as (select *, case when strict_rate >= 0.9 then (jaccard_above + support_above) / 2 end as score from t), d as (select max(score) as base from s where parameter is null), r as (select *, row_number() over (partition by parameter order by score desc, value) as k from s where parameter is not null and score is not null) select parameter, value, round(score, 6) as score, round(score - base, 6) as gain from r, d where k = 1 and score > base")
+def ag29_best_parameters(spark, sf):
+    part = demo.table(spark, sf, "part")
+    value, price = F.col("p_size").cast("long").alias("value"), F.avg("p_retailprice") / 10000
+    tried = part.groupBy(F.col("p_type").alias("parameter"), value).agg(F.avg((F.col("p_size") % 10 < 9).cast("int")).alias("strict_rate"), price.alias("jaccard_above"), (F.max("p_retailprice") / 10000).alias("support_above"))
+    default = part.agg(price.alias("jaccard_above")).select(F.lit(None).cast("string").alias("parameter"), F.lit(0).cast("long").alias("value"), F.lit(1.0).alias("strict_rate"), "jaccard_above", F.col("jaccard_above").alias("support_above"))
+    found = T.best_parameters(T.stability_scores(tried.unionByName(default)))
+    return found.select("parameter", "value", F.round("score", 6).alias("score"), F.round("gain", 6).alias("gain"))
+
+
+@query("select distinct p_brand as brand, trim(regexp_replace(trim(' ' || p_type || '/' || p_brand || ' !'), '[^A-Za-z0-9._-]+', '_', 'g'), '_') as file_token, 'G' || substr(p_brand, 2) as display, p_brand as short_label from part")
+def sc2_labels(spark, sf):
+    from guildspark.functions import scalars as V
+
+    part = demo.table(spark, sf, "part")
+    path = F.concat(F.lit(" "), "p_type", F.lit("/"), "p_brand", F.lit(" !"))
+    label = F.concat(F.lit("p_x; g__G"), F.substring("p_brand", 2, 100), F.lit("|z"))
+    return part.select(F.col("p_brand").alias("brand"), V.file_token(path).alias("file_token"), V.display_taxon(label, "g").alias("display"), V.short_label(F.concat(F.lit("k_1;g_"), "p_brand")).alias("short_label")).distinct()
+
+
+@query("select c_custkey as id, round(greatest(0, least(1, c_acctbal / 10000)), 6) as teleport, round(0.16 / (225 * ln(100 * sqrt(c_custkey + 1))), 12) as alpha, round(1 + 5 * least(1, abs(c_acctbal) / 5000), 6) as width, ceil(c_custkey % 100 / 100.0 * 37)::bigint as min_samples from customer")
+def sc12_numbers(spark, sf):
+    from guildspark.functions import scalars as V
+
+    c = demo.table(spark, sf, "customer")
+    return c.select(F.col("c_custkey").alias("id"), V.teleport(F.col("c_acctbal") / 10000).alias("teleport"), F.round(V.theoretical_alpha(F.lit(0.4), F.col("c_custkey") + 1), 12).alias("alpha"), F.round(V.edge_width(F.col("c_acctbal"), F.lit(5000.0)), 6).alias("width"), V.min_samples(F.col("c_custkey") % 100, F.lit(37)).alias("min_samples"))
+
+
+METHOD = "['spearman', 'sparcc', 'cclasso', 'spieceasi', 'spring'][1 + p_size % 5]"
+
+
+@query(f"with x as (select distinct {METHOD} as method from part) select method, case method when 'spieceasi' then 'selection_stability' when 'spring' then 'latent_correlation' else 'correlation' end as weight_type, case when method in ('spieceasi', 'spring') then 'stars' when method = 'sparcc' then 'permutation_p_value' when method = 'cclasso' then 'bootstrap_p_value' else 'pairwise_p_value' end as evidence_type from x")
+def sc21_evidence(spark, sf):
+    from guildspark.functions.scalars import evidence_type, weight_type
+
+    names = F.array(*[F.lit(m) for m in ("spearman", "sparcc", "cclasso", "spieceasi", "spring")])
+    m = demo.table(spark, sf, "part").select(names[F.col("p_size") % 5].alias("method")).distinct()
+    return m.select("method", weight_type(F.col("method")).alias("weight_type"), evidence_type(F.col("method")).alias("evidence_type"))

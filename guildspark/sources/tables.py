@@ -70,6 +70,18 @@ def load_abundance(spark: SparkSession, paths: list[str], ids: DataFrame | None
     return parts.withColumn("rn", F.row_number().over(last)).withColumn("feature_ord", F.min(F.struct("file_ord", "feature_ord")).over(order)).where("rn = 1").select("sample_id", "feature", "value", F.col("feature_ord.feature_ord").alias("feature_ord"))
 
 
+def sample_ids(spark: SparkSession, paths: list[str], ids: DataFrame | None = None) -> DataFrame:
+    """(sample_id) of all files, those without any number among their cells too."""
+    parts = None
+    for path in paths:
+        df = read_delimited(spark, path)
+        own = spark_names(spark, df.columns[1:]).select(F.col("name").alias("sample_id")) if ids is not None and is_transposed(df, ids) else df.select(F.trim(F.col(f"`{df.columns[0]}`")).alias("sample_id"))
+        parts = own if parts is None else parts.unionByName(own)
+    if parts is None:
+        raise ValueError("no abundance files")
+    return parts.where("sample_id <> ''").distinct()
+
+
 def load_metadata(spark: SparkSession, paths: list[str], column: str) -> DataFrame:
     """(sample_id, condition): rows without either are dropped, the last row of a sample wins."""
     parts = None
