@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Writes df under spark.checkpoint.dir (a new folder where that is unset, as in tests) and reads it again.
+    """Writes df under spark.checkpoint.dir and reads it again. Where that is unset, a local session (tests) gets a new folder and a cluster an error.
 
     Plans that use a table many times stay small, and a lost executor costs a reread."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="guildspark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     path = f"{folder.rstrip('/')}/guildspark-{name}-{uuid.uuid4().hex}"
