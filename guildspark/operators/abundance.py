@@ -241,3 +241,24 @@ def mclr(abundance: DataFrame) -> DataFrame:
     centred = abundance.where("value > 0").select("sample_id", "feature", (F.log("value") - F.avg(F.log("value")).over(w)).alias("_c"))
     shift = centred.agg((F.abs(F.min("_c")) + 1).alias("_s"))
     return centred.crossJoin(F.broadcast(shift)).select("sample_id", "feature", (F.col("_c") + F.col("_s")).alias("mclr"))
+
+
+def merged_metadata(first: DataFrame, second: DataFrame) -> DataFrame:
+    """(sample_id, condition) of two tables with one row per sample; the first wins where both have it."""
+    both = first.select("sample_id", F.col("condition").alias("_a")).join(second.select("sample_id", F.col("condition").alias("_b")), "sample_id", "full")
+    return both.select("sample_id", F.coalesce("_a", "_b").alias("condition"))
+
+
+def common_samples(meta_a: DataFrame, meta_b: DataFrame, table_a: DataFrame, table_b: DataFrame) -> DataFrame:
+    """(condition, sample_id): both metadata give the same condition and both tables have the sample."""
+    out = meta_a.select("sample_id", "condition").join(meta_b.select("sample_id", "condition"), ["sample_id", "condition"], "left_semi")
+    for table in (table_a, table_b):
+        out = out.join(table.select("sample_id"), "sample_id", "left_semi")
+    return out.select("condition", "sample_id").distinct()
+
+
+def known_samples(*metadata: DataFrame) -> DataFrame:
+    out = metadata[0].select("sample_id")
+    for m in metadata[1:]:
+        out = out.unionByName(m.select("sample_id"))
+    return out.distinct()

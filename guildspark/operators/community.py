@@ -30,7 +30,7 @@ RULES = {1: "strict", 2: "quality_without_mass", 3: "multi_scale", 4: "relaxed_p
 @dataclass(frozen=True)
 class Ladder:
     phi: float = DEFAULT_PHI
-    b: int = 10
+    b: int | None = 10  # None: from the size of each graph
     alpha: float = DEFAULT_ALPHA
     min_cut_size: int = MIN_CUT_SIZE
     max_cut_size: int | None = None
@@ -185,6 +185,49 @@ def select(prefixes: DataFrame, seeds: DataFrame, ladder: Ladder) -> DataFrame:
     return out.select("condition", step.alias("step"), rule.alias("rule"), F.coalesce("w.k", F.lit(1)).alias("size"), F.col("w.score").alias("score"), F.col("w.volume").alias("volume"), F.col("w.mass").alias("mass"), F.col("w.r.phi_used").alias("phi_used"), F.col("w.r.floor_used").alias("floor_used"))
 
 
+def strict_flags(df: DataFrame) -> DataFrame:
+    """Adds conditions_met, failed_conditions, satisfied and strategy to rows with step and the three strict conditions."""
+    names = ("volume_ok", "prob_ok", "phi_ok")
+    failed = F.array_compact(F.array(*[F.when(~F.col(n), F.lit(n)) for n in names]))
+    met = F.lit(len(names)) - F.size("failed_conditions")
+    strategy = F.when(F.col("step") == 0, "seed_singleton_fallback").when(F.col("step") == 1, "target_conductance").otherwise("target_conductance_fallback")
+    return df.withColumn("failed_conditions", failed).withColumn("conditions_met", met).withColumn("satisfied", F.col("conditions_met") == len(names)).withColumn("strategy", strategy)
+
+
+def selection_report(prefixes: DataFrame, seeds: DataFrame, chosen: DataFrame, ladder: Ladder) -> DataFrame:
+    """The selection rows with the bounds they were judged by and the strict conditions, whichever step decided.
+
+    evaluated counts the admissible prefixes; a seed alone (step 0) meets no condition."""
+    at = prefixes.join(seeds.select("condition", "node"), ["condition", "node"]).select("condition", F.col("k").alias("seed_k"))
+    within = F.col("k") >= F.greatest(F.lit(ladder.min_cut_size), F.coalesce("seed_k", F.lit(1)))
+    if ladder.max_cut_size is not None:
+        within &= F.col("k") <= ladder.max_cut_size
+    sizes = prefixes.join(at, "condition", "left").groupBy("condition").agg(F.max("m").alias("m"), F.floor(F.max("total_volume") / 2).alias("volume_max"), F.count_if(within).alias("evaluated"))
+    own = chosen.join(sizes, "condition", "left")
+    own = own.join(seeds.select("condition", "b"), "condition") if "b" in seeds.columns else own.withColumn("b", F.lit(ladder.b))
+    own = own.withColumn("volume_min", F.pow(F.lit(2.0), F.col("b") - 1)).withColumn("mass_threshold", mass_threshold(F.col("m"))).withColumn("phi_target", F.lit(ladder.phi)).withColumn("alpha", F.lit(ladder.alpha))
+    sure = lambda c: F.coalesce(c, F.lit(False))
+    flags = {"volume_ok": sure((F.col("volume") > F.col("volume_min")) & (F.col("volume") <= F.col("volume_max"))), "prob_ok": sure(F.col("mass") > F.col("mass_threshold")), "phi_ok": sure(F.col("score") < ladder.phi)}
+    return strict_flags(own.withColumns(flags).withColumn("evaluated", F.coalesce("evaluated", F.lit(0))))
+
+
+def adaptive(edges: DataFrame, conservative: bool = False) -> DataFrame:
+    """(condition, n, m, alpha, b_min, b_max, b, epsilon): what the size of each graph suggests; b_min and b_max only inform."""
+    s = graph_stats(strongest(edges))
+    n, m = F.greatest("node_count", F.lit(1)), F.greatest("edge_count", F.lit(1))
+    least, most = F.floor(F.log2(F.sqrt(n.cast("double")))), F.ceil(F.log2(m.cast("double")))
+    b = default_b(F.col("node_count"), F.col("edge_count"))
+    return s.select("condition", n.alias("n"), m.alias("m"), F.lit(DEFAULT_ALPHA * (3 if conservative else 1)).alias("alpha"), F.greatest(F.lit(1), least).cast("int").alias("b_min"), F.greatest(F.lit(1), most).cast("int").alias("b_max"), b.alias("b"), (mass_threshold(m) / F.pow(F.lit(2.0), b)).alias("epsilon"))
+
+
+def thresholds(edges: DataFrame, ladder: Ladder, weighted: bool = True) -> DataFrame:
+    """The bounds that a graph and a ladder give, one row per condition."""
+    total = weighted_adjacency(edges, weighted).groupBy("condition").agg(F.sum("w").alias("total_volume"))
+    own = adaptive(edges).select("condition", "m", (F.col("b") if ladder.b is None else F.lit(ladder.b)).alias("b"))
+    bar = mass_threshold(F.col("m"))
+    return own.join(total, "condition").select("condition", F.lit(ladder.phi).alias("phi"), "b", F.lit(ladder.alpha).alias("alpha"), (bar / F.pow(F.lit(2.0), F.col("b"))).alias("epsilon"), "total_volume", F.pow(F.lit(2.0), F.col("b") - 1).alias("volume_min"), F.floor(F.col("total_volume") / 2).alias("volume_max"), bar.alias("mass_threshold"), F.lit(ladder.min_cut_size).alias("min_cut_size"))
+
+
 def legacy_nibble(edges: DataFrame, scores: DataFrame, phi: float = 0.3, b: int = 5, weighted: bool = False) -> DataFrame:
     """(condition, size, score, volume): the best prefix under phi whose volume lies strictly between 2^(b-1) and two
     thirds of the total and whose mass passes the threshold; conditions without one have no row."""
@@ -296,12 +339,17 @@ class Neighbours:
 
 
 def cluster(edges: DataFrame, seeds: DataFrame, ladder: Ladder | None, signed: bool = False, sign_lambda: float = 1.0, weighted: bool = True, order_seed: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Push, sweep and ladder for the seeds (condition, node): members (condition, node, rank) and the selection rows.
+    found, chosen, _ = cluster_with_report(edges, seeds, ladder, signed, sign_lambda, weighted, order_seed)
+    return found, chosen
+
+
+def cluster_with_report(edges: DataFrame, seeds: DataFrame, ladder: Ladder | None, signed: bool = False, sign_lambda: float = 1.0, weighted: bool = True, order_seed: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Push, sweep and ladder for the seeds (condition, node): members (condition, node, rank), the selection rows and their report.
 
-    Without a ladder, each condition's b comes from the size of its graph."""
+    Without a ladder or without its b, each condition's b comes from the size of its graph."""
     m = strongest(edges).groupBy("condition").agg(F.count("*").alias("_m"))
-    if ladder is None:
-        ladder = Ladder()
+    ladder = Ladder(b=None) if ladder is None else ladder
+    if ladder.b is None:
         sizes = graph_stats(edges).select("condition", default_b(F.col("node_count"), F.col("edge_count")).alias("b"))
         seeds = cut(seeds.select("condition", "node").join(sizes, "condition"), "seeds")
     b = F.col("b").cast("double") if "b" in seeds.columns else F.lit(float(ladder.b))
@@ -310,4 +358,4 @@ def cluster(edges: DataFrame, seeds: DataFrame, ladder: Ladder | None, signed: b
     vector = push(edges, runs, weighted=weighted, walk_positive=signed).where("p > 0").select("condition", "node", "p")
     prefixes = cut(sweep(edges, vector, weighted, signed, sign_lambda), "prefixes")
     chosen = cut(select(prefixes, seeds, ladder), "chosen")
-    return members(prefixes, seeds, chosen), chosen
+    return members(prefixes, seeds, chosen), chosen, selection_report(prefixes, seeds, chosen, ladder)

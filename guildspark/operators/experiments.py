@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
+import hashlib
+import json
+from dataclasses import asdict, replace
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,3 +57,38 @@ def parameter_sweep(edges: DataFrame, seeds: DataFrame, ladder: Ladder, values:
             one = chosen.withColumn("parameter", F.lit(name)).withColumn("value", F.lit(float(v)))
             out = one if out is None else out.unionByName(one)
     return out
+
+
+#: The configurations that are compared (fixed values): whether each takes the tuned ladder and whether it is signed.
+CONFIGURATIONS = {"baseline": (False, False), "new_parameters": (True, False), "signed_weights": (False, True), "both": (True, True)}
+
+
+def configurations(edges: DataFrame, seeds: DataFrame, base: Ladder, tuned: Ladder, wanted: dict[str, tuple[bool, bool]] | None = None) -> DataFrame:
+    """Clusters (config, run_id, node) of the seeds under each configuration."""
+    out = None
+    runs = seeds.withColumn("order_seed", F.lit(None).cast("long")).withColumn("run_id", F.xxhash64("condition", "node"))
+    for name, (new, signed) in (CONFIGURATIONS if wanted is None else wanted).items():
+        one = clusters_of(edges, runs, tuned if new else base, signed)[0].select(F.lit(name).alias("config"), "run_id", "node")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def compare_configurations(edges: DataFrame, seeds: DataFrame, base: Ladder, tuned: Ladder, root: str, graph_key: str) -> DataFrame:
+    """Like `configurations`, but what a former call stored under root for the same graph, ladder and signs is read, not run.
+
+    graph_key names edges and seeds; the caller changes it with either."""
+    spark, out = edges.sparkSession, None
+    for name, (new, signed) in CONFIGURATIONS.items():
+        ladder = tuned if new else base
+        key = hashlib.sha1(json.dumps([graph_key, asdict(ladder), signed], sort_keys=True).encode()).hexdigest()
+        path = f"{root.rstrip('/')}/run_{key}"
+        try:
+            stored = spark.read.parquet(path)
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            configurations(edges, seeds, base, tuned, {name: (new, signed)}).select("run_id", "node").write.parquet(path)
+            stored = spark.read.parquet(path)
+        one = stored.select(F.lit(name).alias("config"), "run_id", "node")
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -89,3 +89,45 @@ def grouped_graph(edges: DataFrame, groups: DataFrame) -> DataFrame:
 
 def search(nodes: DataFrame, term: str) -> DataFrame:
     return nodes.where(F.lower("id").contains(term.lower())).orderBy(F.lower("id"), "id")
+
+
+def ordered_nodes(edges: DataFrame) -> DataFrame:
+    return nodes_of(edges).select("condition", "id").orderBy("condition", "id")
+
+
+def top_nodes(scores: DataFrame, k: int = 10) -> DataFrame:
+    """The k highest scores (condition, node, p) of each condition with their rank, names among equals."""
+    w = Window.partitionBy("condition").orderBy(F.desc("p"), "node")
+    return scores.select("condition", "node", "p", F.row_number().over(w).alias("rank")).where(F.col("rank") <= k)
+
+
+def first_nodes(edges: DataFrame, n: int) -> DataFrame:
+    """The edges among the first n nodes by name (one at least) of each condition."""
+    w = Window.partitionBy("condition").orderBy("id")
+    first = nodes_of(edges).select("condition", F.col("id").alias("node"), F.row_number().over(w).alias("rn")).where(F.col("rn") <= max(1, n))
+    return induced(edges, first.select("condition", "node"))
+
+
+def neighbours_of(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(condition, node): the neighbours of a node set (condition, node), which may lie inside it."""
+    own = nodes.select("condition", F.col("node").alias("u")).distinct()
+    return adjacency(strongest(edges)).join(own, ["condition", "u"], "left_semi").select("condition", F.col("v").alias("node")).distinct()
+
+
+def seed_presence(nodes: DataFrame, seed: str) -> DataFrame:
+    """(condition, present) of the nodes (condition, id): a run starts only where the seed is in the graph."""
+    return nodes.groupBy("condition").agg(F.coalesce(F.bool_or(F.col("id") == seed), F.lit(False)).alias("present"))
+
+
+def selector_nodes(nodes: DataFrame, order: list[str]) -> DataFrame:
+    """One row per id of the nodes (condition, id, overabundance), from the first condition in `order` that has it."""
+    place = F.array_position(F.array(*[F.lit(c) for c in order]), F.col("condition"))
+    best = nodes.where("id <> ''").withColumn("place", place).where("place > 0").groupBy("id").agg(F.min(F.struct("place", "condition", "overabundance")).alias("b"))
+    return best.select("id", "b.condition", "b.overabundance")
+
+
+def pair_statistics(wanted: DataFrame, pairs: DataFrame) -> DataFrame:
+    """rho and p of the wanted pairs (condition, left, right), stored in either orientation; null where there is none."""
+    ends = lambda df: df.withColumn("a", F.least("left", "right")).withColumn("b", F.greatest("left", "right"))
+    known = ends(pairs).groupBy("condition", "a", "b").agg(F.max(F.struct((F.col("left") == F.col("a")).alias("own"), "rho", "p")).alias("s"))
+    return ends(wanted).join(known, ["condition", "a", "b"], "left").select("condition", "left", "right", F.col("s.rho").alias("rho"), F.col("s.p").alias("p"))

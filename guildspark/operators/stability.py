@@ -99,3 +99,30 @@ def best_parameters(scored: DataFrame) -> DataFrame:
     best = scored.where("parameter is not null and score is not null").groupBy("parameter").agg(F.max(F.struct("score", (-F.col("value")).alias("less"))).alias("m"))
     gain = F.col("m.score") - F.coalesce("_base", F.lit(float("-inf")))
     return best.crossJoin(F.broadcast(default)).where(gain > 0).select("parameter", (-F.col("m.less")).alias("value"), F.col("m.score").alias("score"), gain.alias("gain"))
+
+
+def strict_summary(reports: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """One row per group of selection reports: how many runs met all strict conditions, fell back or stayed alone, the mean
+    number of met conditions, and the pass rate of each condition."""
+    strict, n = F.count_if(F.col("strategy") == "target_conductance"), F.count("*")
+    rate = lambda c: F.coalesce(F.try_divide(c, n), F.lit(0.0))
+    passed = [rate(F.count_if(F.col(c))).alias(f"{c.removesuffix('_ok')}_pass_rate") for c in ("volume_ok", "prob_ok", "phi_ok")]
+    return reports.groupBy(*(by or [])).agg(n.alias("runs"), strict.alias("strict_success"), rate(strict).alias("strict_success_rate"), (n - strict).alias("fallback_runs"), F.count_if(F.col("strategy") == "seed_singleton_fallback").alias("seed_singleton_runs"), F.avg("conditions_met").alias("conditions_met_mean"), *passed)
+
+
+def strict_counts(reports: DataFrame) -> DataFrame:
+    """(what, name, runs): reports by strategy, by number of met conditions, and by failed condition."""
+    pair = lambda what, c: F.struct(F.lit(what).alias("what"), c.cast("string").alias("name"))
+    said = F.concat(F.array(pair("strategy", F.col("strategy")), pair("conditions_met", F.col("conditions_met"))), F.transform("failed_conditions", lambda x: pair("failed", x)))
+    return reports.select(F.explode(said).alias("s")).groupBy("s.what", "s.name").agg(F.count("*").alias("runs"))
+
+
+def mean_stability(pairs: DataFrame) -> DataFrame:
+    """(condition, selected_edges, mean_edge_stability) of pairs whose rho is a selection share; 0 without a selected edge."""
+    own = F.when(F.col("selected"), F.col("rho"))
+    return pairs.groupBy("condition").agg(F.count(own).alias("selected_edges"), F.coalesce(F.avg(own), F.lit(0.0)).alias("mean_edge_stability"))
+
+
+def union_and_intersection(clusters: DataFrame) -> DataFrame:
+    """(node, in_all) of every node of any run."""
+    return consensus(clusters).select("node", "in_all")

@@ -14,6 +14,7 @@ from guildspark.operators import association as S
 from guildspark.operators import community as C
 from guildspark.operators import network as N
 from guildspark.operators.methods import METHODS
+from guildspark.sources.sinks import read_graph
 from guildspark.sources.staging import cut
 from guildspark.sources.tables import load_abundance, load_metadata, sample_ids
 
@@ -29,6 +30,7 @@ class Request:
     bacteria: tuple[str, ...] = ()
     fungi: tuple[str, ...] = ()
     metadata: tuple[str, ...] = ()
+    fungi_metadata: tuple[str, ...] = ()  # of the fungi table; empty: the same as the other's
     condition_column: str = "Combination_treat2"
     grouping: str = "all"
     method: str = "spearman"
@@ -76,6 +78,10 @@ def analyze(spark: SparkSession, request: Request) -> dict[str, DataFrame]:
     """pairs, edges, nodes, stats, samples and the filter report of each domain. Filters see all samples of a table and
     run before grouping; correlations are per condition, which is a column and not a loop."""
     meta = load_metadata(spark, list(request.metadata), request.condition_column)
+    metas = dict.fromkeys(("bacteria", "fungi"), meta)
+    if request.fungi_metadata and request.dataset == "both":  # the bacteria's value counts where they differ
+        metas["fungi"] = load_metadata(spark, list(request.fungi_metadata), request.condition_column)
+        meta = A.merged_metadata(meta, metas["fungi"])
     ids = meta.select("sample_id")
     samples_of = {d: sample_ids(spark, list(p), ids) for d, p in (("bacteria", request.bacteria), ("fungi", request.fungi)) if p and request.dataset in (d, "both")}
     tables = {d: load_abundance(spark, list(p), ids) for d, p in (("bacteria", request.bacteria), ("fungi", request.fungi)) if p and request.dataset in (d, "both")}
@@ -91,8 +97,8 @@ def analyze(spark: SparkSession, request: Request) -> dict[str, DataFrame]:
             raise ValueError(f"fewer than two features are left in {domain}")
         prefix = {"bacteria": "bac::", "fungi": "fun::"}[domain] if len(tables) == 2 else ""
         named = grouped.withColumn("feature", F.concat(F.lit(prefix), "feature"))
-        cells[domain] = S.in_condition(named, wanted)
-        own = A.overabundance(named, meta)
+        cells[domain] = S.in_condition(named, metas[domain].where(F.col("condition").isin(*request.conditions)))
+        own = A.overabundance(named, metas[domain])
         ratios = own if ratios is None else ratios.unionByName(own)
     if len(cells) == 1:
         pairs = pairs_of(next(iter(cells.values())), request.method, request.settings)
@@ -116,6 +122,63 @@ def analyze(spark: SparkSession, request: Request) -> dict[str, DataFrame]:
     return out | {"pairs": pairs, "edges": edges, "nodes": N.nodes_of(edges, ratios), "stats": N.graph_stats(edges), "samples": samples}
 
 
+@dataclass(frozen=True)
+class Clustering:
+    """What a clustering job is asked to do. An empty or negative phi becomes the default and a negative alpha is unset;
+    both are told in `clamped`. Without b, the size of each condition's graph gives it."""
+
+    seed: str
+    phi: float | None = None
+    b: int | None = None
+    alpha: float | None = None
+    weighted: bool = False
+    signed: bool = False
+    sign_lambda: float = 1.0
+    profile: str = "app"
+
+    def __post_init__(self):
+        if not self.seed:
+            raise ValueError("a seed is required")
+        if self.profile != "app":
+            raise ValueError(f"unknown parameter profile: {self.profile}; give the values themselves")
+
+    @classmethod
+    def from_json(cls, text: str) -> Clustering:
+        """Values under `overrides` win over those beside it; nulls are as good as absent."""
+        raw = json.loads(text)
+        given = lambda d: {k: v for k, v in d.items() if v is not None}
+        overrides = raw.pop("overrides", None) or {}
+        return cls(**given(raw) | given(overrides))
+
+    @property
+    def ladder(self) -> C.Ladder:
+        phi, alpha = self.phi if self.phi is not None and self.phi > 0 else C.DEFAULT_PHI, self.alpha
+        return C.Ladder(phi=phi, b=self.b, alpha=C.DEFAULT_ALPHA if alpha is None or alpha < 0 else alpha)
+
+    @property
+    def clamped(self) -> dict[str, float]:
+        return {n: v for n, v, out in (("phi", self.phi, self.phi is not None and not self.phi > 0), ("alpha", self.alpha, self.alpha is not None and self.alpha < 0)) if out}
+
+
+def run_clustering(edges: DataFrame, job: Clustering) -> dict[str, DataFrame]:
+    """Members, their edges and the report of the job in every condition; `presence` tells which graphs have the seed."""
+    nodes = N.nodes_of(edges)
+    seeds = nodes.where(F.col("id") == job.seed).select("condition", F.col("id").alias("node"))
+    found, _, report = C.cluster_with_report(edges, seeds, job.ladder, job.signed, job.sign_lambda, job.weighted)
+    found = cut(found, "members")
+    whole = C.conductance(edges, found, job.weighted).select("condition", F.col("volume").alias("_v"), F.col("conductance"))
+    report = report.join(whole, "condition", "left").withColumn("volume", F.coalesce("volume", "_v")).withColumn("conductance", F.when(F.col("step") == 0, F.lit(float("inf"))).otherwise(F.col("conductance"))).drop("_v")
+    if job.signed:
+        composition = C.signed_composition(edges, found, job.sign_lambda).drop("score")
+        report = report.join(composition, "condition", "left")
+    return {"members": found, "report": report, "edges": N.induced(edges, found), "presence": N.seed_presence(nodes, job.seed)}
+
+
+def recluster(spark: SparkSession, root: str, key: str, job: Clustering) -> dict[str, DataFrame]:
+    """The clustering of a stored graph; no correlation is computed again."""
+    return run_clustering(read_graph(spark, root, key), job)
+
+
 def cluster(edges: DataFrame, seed: str, ladder: C.Ladder | None = None, signed: bool = False, weighted: bool = True, sign_lambda: float = 1.0) -> dict[str, DataFrame]:
     """The community of a seed in every condition whose graph has it: members, their edges and how they were selected.
 

@@ -737,3 +737,137 @@ def sc21_evidence(spark, sf):
     names = F.array(*[F.lit(m) for m in ("spearman", "sparcc", "cclasso", "spieceasi", "spring")])
     m = demo.table(spark, sf, "part").select(names[F.col("p_size") % 5].alias("method")).distinct()
     return m.select("method", weight_type(F.col("method")).alias("weight_type"), evidence_type(F.col("method")).alias("evidence_type"))
+
+
+# --- lookups, reports of selections and metadata of two tables ----------------------------------------
+
+LADDER_SQL = SQL["gr5_ladder"].rsplit("select s.condition", 1)[0]
+
+
+@query(
+    f"""{LADDER_SQL}, x as (select s.condition, coalesce(won.step, 0)::int as step, coalesce(pf.volume > 8 and pf.volume <= floor(pf.total_volume / 2), false) as volume_ok, coalesce(pf.mass > 1.0 / (48 * ceil(log2(greatest(pf.m, 2)))), false) as prob_ok, coalesce(pf.score < 0.75, false) as phi_ok from seeds s left join won using (condition) left join pf on pf.condition = s.condition and pf.k = won.k)
+  select condition, step, case step when 0 then 'seed_singleton_fallback' when 1 then 'target_conductance' else 'target_conductance_fallback' end as strategy, volume_ok, prob_ok, phi_ok, volume_ok::int + prob_ok::int + phi_ok::int as conditions_met, array_to_string(list_filter([case when not volume_ok then 'volume_ok' end, case when not prob_ok then 'prob_ok' end, case when not phi_ok then 'phi_ok' end], lambda v: v is not null), ',') as failed, (select count(*) from ad where ad.condition = x.condition) as evaluated from x"""
+)
+def gr6_selection_report(spark, sf):
+    e, s, p = walk(spark, sf)
+    prefixes = cut(C.sweep(e, p), "prefixes")
+    found = C.selection_report(prefixes, s, C.select(prefixes, s, LADDER), LADDER)
+    return found.select("condition", "step", "strategy", "volume_ok", "prob_ok", "phi_ok", F.col("conditions_met").cast("int").alias("conditions_met"), F.array_join("failed_conditions", ",").alias("failed"), "evaluated")
+
+
+def judged_orders(spark, sf) -> DataFrame:
+    """Orders in the place of selection reports: status and price give step and conditions."""
+    o = demo.table(spark, sf, "orders")
+    step = F.when(F.col("o_orderstatus") == "P", 0).when(F.col("o_orderstatus") == "F", 1).otherwise(4)
+    return C.strict_flags(o.select("o_orderpriority", step.alias("step"), (F.col("o_totalprice") > 50000).alias("volume_ok"), (F.col("o_custkey") % 3 > 0).alias("prob_ok"), (F.col("o_orderkey") % 5 > 0).alias("phi_ok")))
+
+
+JUDGED = "j as (select o_orderpriority, case o_orderstatus when 'P' then 'seed_singleton_fallback' when 'F' then 'target_conductance' else 'target_conductance_fallback' end as strategy, (o_totalprice > 50000)::int as v, (o_custkey % 3 > 0)::int as p, (o_orderkey % 5 > 0)::int as f from orders)"
+
+
+@query(f"with {JUDGED} select o_orderpriority, count(*) as runs, count(*) filter (where strategy = 'target_conductance') as strict_success, round(avg((strategy = 'target_conductance')::int), 6) as strict_success_rate, count(*) filter (where strategy <> 'target_conductance') as fallback_runs, count(*) filter (where strategy = 'seed_singleton_fallback') as seed_singleton_runs, round(avg(v + p + f), 6) as conditions_met_mean, round(avg(v), 6) as volume_pass_rate, round(avg(p), 6) as prob_pass_rate, round(avg(f), 6) as phi_pass_rate from j group by 1")
+def ag27_strict_summary(spark, sf):
+    s = T.strict_summary(judged_orders(spark, sf), ["o_orderpriority"])
+    return s.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in s.dtypes])
+
+
+@query(f"with {JUDGED}, s as (select 'strategy' as what, strategy as name from j union all select 'conditions_met', (v + p + f)::varchar from j union all select 'failed', 'volume_ok' from j where v = 0 union all select 'failed', 'prob_ok' from j where p = 0 union all select 'failed', 'phi_ok' from j where f = 0) select what, name, count(*) as runs from s group by 1, 2")
+def ag27_strict_counts(spark, sf):
+    return T.strict_counts(judged_orders(spark, sf))
+
+
+SIZES = f"{STATS}, x as (select condition, node_count as n, count(*) as m from edges join nn using (condition) group by 1, 2), y as (select *, greatest(10, least(greatest(n // 3, 10), round_even(0.1 * n, 0))) as sz, ceil(log2(greatest(m, 2))) as lm from x), z as (select *, greatest(1, least(greatest(1, floor(log2(greatest(2 * m, 2)))), round_even(log2(greatest(2.0, 2 * m / n * sz)), 0)))::int as b from y)"
+
+
+@query(f"{SIZES} select condition, n, m, 0.15::double as alpha, greatest(1, floor(log2(sqrt(n))))::int as b_min, greatest(1, ceil(log2(m)))::int as b_max, b, round(1 / (pow(2, b) * 48 * lm), 12) as epsilon from z")
+def sc15_adaptive(spark, sf):
+    a = C.adaptive(edges(spark, sf), conservative=True)
+    return a.withColumn("alpha", F.round("alpha", 6)).withColumn("epsilon", F.round("epsilon", 12))
+
+
+@query(f"{SIZES}, tv as (select condition, 2 * sum(abs(weight)) as total from edges group by 1) select condition, b, round(total, 6) as total_volume, pow(2, b - 1)::double as volume_min, floor(round(total / 2, 9))::bigint as volume_max, round(1 / (48 * lm), 9) as mass_threshold, round(1 / (pow(2, b) * 48 * lm), 12) as epsilon from z join tv using (condition)")
+def xp7_thresholds(spark, sf):
+    t = C.thresholds(edges(spark, sf), C.Ladder(b=None))
+    return t.select("condition", "b", F.round("total_volume", 6).alias("total_volume"), "volume_min", "volume_max", F.round("mass_threshold", 9).alias("mass_threshold"), F.round("epsilon", 12).alias("epsilon"))
+
+
+@query(f"with {EDGES}, near as (select condition, target as node from edges where source in (select min(source) from edges) union select condition, source from edges where target in (select min(source) from edges)) select condition, node from near")
+def jn15_neighbours(spark, sf):
+    e = edges(spark, sf)
+    first = e.agg(F.min("source").alias("node"))
+    return N.neighbours_of(e, e.select("condition").distinct().crossJoin(F.broadcast(first)))
+
+
+@query(f'with {CELLS}, {ranks(PAIRS)} select condition, "right" as "left", "left" as "right", round(rho, 6) + 0.0 as rho from rho')
+def jn8_pair_statistics(spark, sf):
+    pairs = cut(rho(spark, sf).withColumn("p", F.lit(None).cast("double")), "pairs")
+    turned = pairs.select("condition", F.col("right").alias("left"), F.col("left").alias("right"))
+    return N.pair_statistics(turned, pairs).select("condition", "left", "right", r6("rho").alias("rho"))
+
+
+@query(f"with {WALK}, r as (select condition, node, p, row_number() over (partition by condition order by p desc, node) as rank from sc) select condition, node, round(p, 6) as p, rank::int as rank from r where rank <= 5")
+def tk2_top_nodes(spark, sf):
+    top = N.top_nodes(walk(spark, sf)[2], 5)
+    return top.withColumn("p", F.round("p", 6)).withColumn("rank", F.col("rank").cast("int"))
+
+
+@query(f"{STATS}, ids as (select distinct condition, unnest([source, target]) as id from edges), f as (select condition, id from (select *, row_number() over (partition by condition order by id) as k from ids) where k <= 8) select e.condition, source, target, weight + 0.0 as weight from edges e where (e.condition, source) in (select (condition, id) from f) and (e.condition, target) in (select (condition, id) from f)")
+def tk4_first_nodes(spark, sf):
+    return N.first_nodes(edges(spark, sf), 8).select("condition", "source", "target", r6("weight").alias("weight"))
+
+
+@query(f"{STATS}, ids as (select distinct condition, unnest([source, target]) as id from edges) select condition, bool_or(id = (select min(source) from edges)) as present from ids group by 1")
+def jn16_seed_presence(spark, sf):
+    e = edges(spark, sf)
+    return N.seed_presence(N.nodes_of(e), e.agg(F.min("source")).first()[0])
+
+
+@query(f"{STATS}, ids as (select distinct condition, unnest([source, target]) as id from edges) select id, max(condition) as condition from ids group by 1")
+def jn17_selector_nodes(spark, sf):
+    return N.selector_nodes(N.nodes_of(edges(spark, sf)), ["MACHINERY", "FURNITURE"]).select("id", "condition")
+
+
+SECOND = "m2 as (select o_custkey as sample_id, max(o_orderpriority) as condition from orders group by 1)"
+
+
+def second_metadata(spark, sf) -> DataFrame:
+    return demo.table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("sample_id")).agg(F.max("o_orderpriority").alias("condition"))
+
+
+@query(f"with {M}, f as (select * from m where sample_id % 2 = 0), {SECOND} select coalesce(f.sample_id, m2.sample_id) as sample_id, coalesce(f.condition, m2.condition) as condition from f full join m2 on f.sample_id = m2.sample_id")
+def jn9_merged_metadata(spark, sf):
+    """The second table fills what the first lacks: here the segments of even customers lack the odd ones."""
+    return A.merged_metadata(demo.conditions(spark, sf).where("sample_id % 2 = 0"), second_metadata(spark, sf))
+
+
+@query(f"with {M}, {B}, {FU} select m.condition, m.sample_id from m where sample_id in (select sample_id from b) and sample_id in (select sample_id from fu)")
+def jn2_common_samples(spark, sf):
+    meta = demo.conditions(spark, sf)
+    return A.common_samples(meta, meta, demo.bacteria(spark, sf), demo.fungi(spark, sf))
+
+
+@query(f"with {M}, {SECOND} select sample_id from m union select sample_id from m2")
+def so4_known_samples(spark, sf):
+    return A.known_samples(demo.conditions(spark, sf), second_metadata(spark, sf))
+
+
+@query("select o_orderpriority as condition, count(*) filter (where o_orderstatus = 'F') as selected_edges, round(coalesce(avg(o_totalprice) filter (where o_orderstatus = 'F'), 0), 4) as mean_edge_stability from orders group by 1")
+def ag17_mean_stability(spark, sf):
+    o = demo.table(spark, sf, "orders").select(F.col("o_orderpriority").alias("condition"), F.col("o_totalprice").cast("double").alias("rho"), (F.col("o_orderstatus") == "F").alias("selected"))
+    return T.mean_stability(o).withColumn("mean_edge_stability", F.round("mean_edge_stability", 4))
+
+
+@query(f"with {RHO} select condition, \"left\" as \"row\", \"right\" as \"column\", round(rho, 6) + 0.0 as cor, 'correlation' as weight_type, 'pairwise_p_value' as evidence_type from rho")
+def snk1_pair_table(spark, sf):
+    from guildspark.sources.sinks import pair_table
+
+    t = pair_table(rho(spark, sf).withColumn("p", F.lit(None).cast("double")), "spearman")
+    return t.select("condition", "row", "column", r6("cor").alias("cor"), "weight_type", "evidence_type")
+
+
+@query("with s as (select o_orderpriority as condition, count(*) as runs, avg(o_totalprice) as mean, bool_or(o_orderstatus = 'F') as strict from orders group by 1) select condition, 'runs' as name, printf('%.4f', runs::double) as value from s union all select condition, 'strict', case when strict then 'Yes' else 'No' end from s union all select condition, 'nothing', 'Not applicable' from s")
+def ex6_summary_rows(spark, sf):
+    from guildspark.sources.sinks import summary_rows
+
+    s = demo.table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("condition")).agg(F.count("*").alias("runs"), F.bool_or(F.col("o_orderstatus") == "F").alias("strict"))
+    return summary_rows(s.withColumn("nothing", F.lit(None).cast("double")).withColumn("grouping_mode", F.lit("all")))

@@ -6,17 +6,54 @@ import hashlib
 import json
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-PAIR_COLUMNS = ("condition", "left", "right", "rho", "p", "n")
+from guildspark.functions.scalars import evidence_type, weight_type
+
+PAIR_COLUMNS = ("row", "column", "cor", "p", "weight_type", "evidence_type", "selection_method", "selected")
+SUMMARY_AS_PARAMETERS = ("dataset_type", "correlation_method", "grouping_mode", "p_value_threshold", "condition_a", "condition_b", "selected_conditions")
 ARCHIVE_LIMIT, CACHE_VERSION = 500, 2
 HISTORY = "id string, analysis_name string, script_name string, status string, created_at long, updated_at long, run_count int, payload string, summary string"
 
 
-def write_pairs(pairs: DataFrame, path: str) -> None:
+def pair_table(pairs: DataFrame, method: str) -> DataFrame:
+    """condition and the eight columns of a pair file; only methods that select edges say how and which."""
+    selects = method in ("spieceasi", "spring")
+    how = F.lit("StARS" if selects else None).cast("string")
+    chosen = F.col("selected") if selects else F.lit(None).cast("boolean")
+    return pairs.select("condition", F.col("left").alias("row"), F.col("right").alias("column"), F.col("rho").alias("cor"), "p", weight_type(F.lit(method)).alias("weight_type"), evidence_type(F.lit(method)).alias("evidence_type"), how.alias("selection_method"), chosen.alias("selected"))
+
+
+def write_pairs(pairs: DataFrame, path: str, method: str = "spearman") -> None:
     """One folder per raw condition, so names that look alike in a file name cannot overwrite each other."""
-    pairs.select(*[c for c in PAIR_COLUMNS if c in pairs.columns]).write.mode("overwrite").partitionBy("condition").option("header", True).csv(path)
+    pair_table(pairs, method).select("condition", *PAIR_COLUMNS).write.mode("overwrite").partitionBy("condition").option("header", True).csv(path)
+
+
+def write_result(out: dict[str, DataFrame], request: str, path: str) -> None:
+    """The tables of a job as Parquet folders, and `document`: one JSON line with the request, the statistics of each
+    condition and the names of the tables. Graphs stay tables, as a document would hold one in a single row."""
+    for name, table in out.items():
+        table.write.mode("overwrite").parquet(f"{path}/{name}")
+    spark = out["stats"].sparkSession
+    gathered = {n: spark.read.parquet(f"{path}/{n}").agg(F.sort_array(F.collect_list(F.struct("condition", *[F.col(c) for c in out[n].columns if c != "condition"]))).alias(n)) for n in ("stats", "samples")}
+    both = gathered["stats"].crossJoin(gathered["samples"])
+    document = both.select(F.lit(True).alias("success"), F.lit(request).alias("request"), "stats", "samples", F.array(*[F.lit(n) for n in sorted(out)]).alias("tables"))
+    document.coalesce(1).write.mode("overwrite").json(f"{path}/document")
+
+
+def summary_rows(df: DataFrame, key: str = "condition", hidden: tuple[str, ...] = SUMMARY_AS_PARAMETERS) -> DataFrame:
+    """(key, name, value) of the columns of a summary as text: four decimals, Yes or No, and `Not applicable` for null.
+    Columns that are shown as parameters already are left out."""
+
+    def shown(c: str, kind: str) -> Column:
+        x = F.col(f"`{c}`")
+        text = F.format_string("%.4f", x.cast("double")) if kind in ("double", "float", "int", "bigint", "smallint", "tinyint") or kind.startswith("decimal") else F.when(x, "Yes").otherwise("No") if kind == "boolean" else x.cast("string")
+        return F.struct(F.lit(c).alias("name"), F.when(x.isNull(), "Not applicable").otherwise(text).alias("value"))
+
+    cells = [shown(c, kind) for c, kind in df.dtypes if c != key and c not in hidden]
+    return df.select(key, F.explode(F.array(*cells)).alias("s")).select(key, "s.name", "s.value")
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -148,3 +185,45 @@ def markdown(df: DataFrame, limit: int = 200) -> str:
     rows = df.limit(limit).collect()
     line = lambda xs: "| " + " | ".join("" if x is None else str(x) for x in xs) + " |"
     return "\n".join([line(df.columns), line("---" for _ in df.columns), *[line(r) for r in rows]])
+
+
+class Snapshots:
+    """Cluster snapshots of jobs, one folder per job and cache key; a later one of the same key takes its place.
+
+    Deleting a job writes a marker: snapshots saved before it are no longer shown."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+
+    def save(self, job_id: str, cache_key: str, members: DataFrame, saved_at: int) -> None:
+        members.withColumn("saved_at", F.lit(saved_at).cast("long")).write.mode("overwrite").parquet(f"{self.root}/snapshots/job_id={job_id}/cache_key={cache_key}")
+
+    def delete(self, job_id: str, deleted_at: int) -> None:
+        self.spark.createDataFrame([(job_id, deleted_at)], "job_id string, deleted_at long").coalesce(1).write.mode("append").json(f"{self.root}/deleted")
+
+    def _read(self, read, schema: str) -> DataFrame:
+        try:
+            return read()
+        except AnalysisException as e:  # nothing is stored yet
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            return self.spark.createDataFrame([], schema)
+
+    def all(self) -> DataFrame:
+        """(job_id, cache_key, condition, node, rank, saved_at) of the jobs that are not deleted."""
+        schema = "condition string, node string, rank int, saved_at long, job_id string, cache_key string"
+        rows = self._read(lambda: self.spark.read.schema(schema).parquet(f"{self.root}/snapshots"), schema)
+        gone = self._read(lambda: self.spark.read.schema("job_id string, deleted_at long").json(f"{self.root}/deleted"), "job_id string, deleted_at long").groupBy("job_id").agg(F.max("deleted_at").alias("deleted_at"))
+        return rows.join(gone, "job_id", "left").where("deleted_at is null or saved_at > deleted_at").select("job_id", "cache_key", "condition", "node", "rank", "saved_at")
+
+    def of(self, graphs: DataFrame) -> DataFrame:
+        """The graphs (job_id, cache_key, ...) with n_members of their snapshot; null without one."""
+        sizes = self.all().groupBy("job_id", "cache_key").agg(F.count("*").alias("n_members"))
+        return graphs.join(sizes, ["job_id", "cache_key"], "left")
+
+
+def side_by_side(entries: DataFrame, first: str, second: str) -> DataFrame:
+    """(parameter, a, b, same): the parameters of two history entries beside each other; null where one has none."""
+    params = entries.where(F.col("id").isin(first, second)).select("id", F.explode(F.from_json(F.get_json_object("payload", "$.params"), "map<string,string>")).alias("parameter", "value"))
+    by = params.groupBy("parameter").agg(*[F.max(F.when(F.col("id") == i, F.col("value"))).alias(n) for i, n in ((first, "a"), (second, "b"))])
+    return by.withColumn("same", F.col("a").eqNullSafe(F.col("b")))

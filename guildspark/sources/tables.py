@@ -151,3 +151,24 @@ def read_edge_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
 def read_square_matrix(spark: SparkSession, path: str) -> DataFrame:
     """(left, right, value) of a matrix with features in its header and first column."""
     return unpivot(read_delimited(spark, path)).select(F.col("sample_id").alias("left"), F.col("feature").alias("right"), "value")
+
+
+GRAPH = "nodes array<struct<id string, overabundance double>>, edges array<struct<row_id string, source string, target string, correlation double, weight double, p_value double>>"
+
+
+def read_graph_documents(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes (id) and edges (source, target, weight, p) of JSON documents with `nodes` and `edges`, one or several files.
+
+    An edge's weight is its correlation, else its weight, else 0; edges without both ends are dropped, and ends that no
+    node names are nodes too."""
+    doc = spark.read.schema(GRAPH).option("multiLine", True).json(path)
+    e = doc.select(F.explode("edges").alias("e")).select(F.col("e.source").alias("source"), F.col("e.target").alias("target"), F.coalesce("e.correlation", "e.weight", F.lit(0.0)).alias("weight"), F.col("e.p_value").alias("p"))
+    e = e.where("source <> '' and target <> ''")
+    named = doc.select(F.explode("nodes").alias("n")).select(F.col("n.id").alias("id"))
+    return named.unionByName(e.select(F.explode(F.array("source", "target")).alias("id"))).where("id is not null").distinct(), e
+
+
+def describe_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(path, length, modified) of each different path; one that is not a readable file is an error."""
+    files = spark.read.format("binaryFile").load(list(dict.fromkeys(paths)))
+    return files.select("path", "length", F.col("modificationTime").alias("modified"))
