@@ -159,8 +159,21 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def join_counted(rows: DataFrame, keyed: DataFrame, on: list[str], total: int, salt: Column, how: str = "inner") -> DataFrame:
+    """rows joined with keyed, which has one row per key and in n the number of rows that have it; n is left out.
+
+    A key with more than a partition's share of the `total` rows is dealt over several tasks: its rows are spread by
+    `salt` and its row of keyed is copied as often. Such keys are fewer than the partitions, so they are broadcast."""
+    share = max(1, total // partitions(rows.sparkSession))
+    copies, lane = fresh(rows, "copies"), fresh(rows, "lane")
+    hot = keyed.where(F.col("n") > share).select(*on, F.ceil(F.col("n") / share).cast("int").alias(copies))
+    spread = rows.join(F.broadcast(hot), on, "left").withColumn(lane, F.when(F.col(copies).isNull(), 0).otherwise(F.pmod(salt, F.col(copies)).cast("int"))).drop(copies)
+    copied = keyed.withColumn(lane, F.explode(F.sequence(F.lit(0), F.when(F.col("n") > share, F.ceil(F.col("n") / share).cast("int") - 1).otherwise(0))))
+    return spread.join(copied.drop("n"), [*on, lane], how).drop(lane)
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-__all__ = ["ASCII_LOWER", "F", "Memory", "T", "any_in", "cut", "fresh", "gather", "map_texts", "no_gc", "numbered", "partitions", "read", "record_batch", "shared_dir", "slices", "split_on_spaces", "used", "utf8"]
+__all__ = ["ASCII_LOWER", "F", "Memory", "T", "any_in", "cut", "fresh", "gather", "join_counted", "map_texts", "no_gc", "numbered", "partitions", "read", "record_batch", "shared_dir", "slices", "split_on_spaces", "used", "utf8"]

@@ -1,9 +1,9 @@
 """Connected components of a link table by local contraction and large-star and small-star steps.
 
 A round first contracts the links of each task in pieces of bounded size (any links may be contracted
-together), then connects the tasks' results: every star step is a group-by with a minimum (combined
-before the shuffle) and a join. The links are written to the shared folder after each round, and only
-two numbers per round reach the driver."""
+together), then connects the tasks' results: every star step is a group-by with a minimum and a count
+(combined before the shuffle) and a join, in which a node with many links is dealt over several tasks.
+The links are written to the shared folder after each step, and a few numbers per round reach the driver."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, join_counted
 
 
 def components(links: DataFrame, left: str = "u", right: str = "v", max_rounds: int = 60) -> DataFrame:
@@ -22,7 +22,9 @@ def components(links: DataFrame, left: str = "u", right: str = "v", max_rounds:
     edges = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     before = None
     for _ in range(max_rounds):
-        edges = cut(_small_star(_large_star(edges.mapInArrow(_contract, "u long, v long"))), "links")
+        edges = cut(edges.mapInArrow(_contract, "u long, v long"), "links")
+        edges = cut(_large_star(edges), "links")
+        edges = cut(_small_star(edges), "links")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(now) == before:
             break
@@ -69,13 +71,14 @@ def _contract(batches, piece: int = 500_000):
 def _large_star(edges: DataFrame) -> DataFrame:
     """Links each larger neighbour of a node to the smallest of the node and its neighbours."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+    joined = join_counted(both, least, ["u"], 2 * edges.count(), F.xxhash64("v"))
+    return joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Links a node and its smaller neighbours to the smallest of them; every link is written (larger, smaller)."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    joined = edges.join(least, "u")
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    joined = join_counted(edges, least, ["u"], edges.count(), F.xxhash64("v"))
     own = least.select("u", F.col("m").alias("v"))
     return joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(own).where("u <> v").distinct()

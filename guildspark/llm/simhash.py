@@ -7,9 +7,10 @@ inner product with a. Any `radius` differing bits leave some mask untouched (rad
 radius+1 unknowns), so every linked pair shares the key of some table: recall is 1 by construction.
 
 In a table, rows with one key are compared with each other in a task and only a spanning forest of
-their links is emitted. A key with more than `dense` fingerprints is dealt out anew: its free bits are
-cut into radius+1 blocks, one of which any linked pair agrees on, and so on; a key with f free bits
-has 2^f fingerprints at most, so this ends.
+their links is emitted. Keys are counted before any task gathers them: one with more than `dense`
+fingerprints is dealt out anew: its free bits are cut into radius+1 blocks, one of which any linked pair
+agrees on, and so on; a key with f free bits has 2^f fingerprints at most, so this ends. Texts of one
+fingerprint and fingerprints of one component, however many, are dealt over several tasks in joins.
 
 Defined results: a null or wordless text has fingerprint 0 and links like any other; fewer words than
 `size` give one shingle; repeated rows share a class; null ids take part, and a class of null ids only
@@ -23,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, cut, map_texts, partitions, record_batch, utf8
+from .common import ASCII_LOWER, cut, join_counted, map_texts, partitions, record_batch, utf8
 from .components import components
 
 SEED = 42
@@ -96,23 +97,17 @@ def forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return out
 
 
-def _links_in_tables(rows: DataFrame, radius: int, dense: int) -> DataFrame:
-    """rows (mask, key, fp), dealt and sorted by (mask, key): links, and with mask set the rows of keys that are too dense."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("mask", pa.int64())])
+def _links_in_tables(rows: DataFrame, radius: int) -> DataFrame:
+    """Links (a, b) among the rows (mask, key, fp) of each (mask, key), which are few."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def settle(mask: int, fp: np.ndarray) -> list[tuple[int, int]]:
+        if free_bits(mask) <= radius:  # all that share the key are linked
+            return [(int(fp[0]), x) for x in fp[1:].tolist()]
+        return forest(fp, radius)
 
     def run(batches):
         head = None  # rows of the last key seen, which the next batch may go on with
-
-        def settle(mask, fp):
-            if len(fp) < 2:
-                return [], [], []
-            if 64 - (mask & (1 << 64) - 1).bit_count() <= radius:  # all that share the key are linked
-                return [int(fp[0])] * (len(fp) - 1), fp[1:].tolist(), [None] * (len(fp) - 1)
-            if len(fp) > dense:
-                return fp.tolist(), [0] * len(fp), [mask] * len(fp)
-            pairs = forest(fp, radius)
-            return [x for x, _ in pairs], [y for _, y in pairs], [None] * len(pairs)
-
         for batch in batches:
             mask, key, fp = (batch.column(c).to_numpy() for c in ("mask", "key", "fp"))
             if head is not None:
@@ -123,42 +118,51 @@ def _links_in_tables(rows: DataFrame, radius: int, dense: int) -> DataFrame:
             last = start[-1]
             head = (mask[last:], key[last:], fp[last:])
             many = np.flatnonzero(np.diff(start) > 1)
-            out = ([], [], [])
-            for s, e in zip(start[many].tolist(), start[many + 1].tolist(), strict=True):
-                for to, got in zip(out, settle(int(mask[s]), fp[s:e]), strict=True):
-                    to += got
-            if out[0]:
-                yield record_batch(schema, a=out[0], b=out[1], mask=out[2])
-        if head is not None:
-            out = settle(int(head[0][0]), head[2])
-            if out[0]:
-                yield record_batch(schema, a=out[0], b=out[1], mask=out[2])
+            pairs = [x for s, e in zip(start[many].tolist(), start[many + 1].tolist(), strict=True) for x in settle(int(mask[s]), fp[s:e])]
+            if pairs:
+                yield record_batch(schema, a=[x for x, _ in pairs], b=[y for _, y in pairs])
+        if head is not None and (pairs := settle(int(head[0][0]), head[2])):
+            yield record_batch(schema, a=[x for x, _ in pairs], b=[y for _, y in pairs])
 
     dealt = rows.repartition(partitions(rows.sparkSession), "mask", "key").sortWithinPartitions("mask", "key", "fp")
-    return dealt.mapInArrow(run, "a long, b long, mask long")
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def free_bits(mask: int) -> int:
+    return 64 - (mask & (1 << 64) - 1).bit_count()
+
+
+def _keyed(fps: DataFrame, masks) -> DataFrame:
+    return fps.select("fp", F.explode(masks).alias("mask")).select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
 
 
 def links(distinct: DataFrame, radius: int = 4, dense: int = 4096) -> DataFrame:
     """Links (a, b) between distinct fingerprints, enough to connect all that are within the radius."""
-    tables = F.array(*[F.lit(signed(m)) for m in covering_masks(radius)])
-    rows = distinct.select("fp", F.explode(tables).alias("mask")).select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
-    found = cut(_links_in_tables(rows, radius, dense), "simhash-links")
-    all_links = found.where("mask is null").select("a", "b")
-    while not (over := found.where("mask is not null").select(F.col("a").alias("fp"), "mask")).isEmpty():
+    rows = _keyed(distinct, F.array(*[F.lit(signed(m)) for m in covering_masks(radius)]))
+    found = None
+    while True:
+        over = rows.groupBy("mask", "key").agg(F.count("*").alias("n")).where(F.col("n") > dense)
+        over = cut(over.where(64 - F.bit_count("mask") > radius).withColumn("over", F.lit(True)), "simhash-dense")
         masks = [r[0] for r in over.select("mask").distinct().collect()]  # masks, not rows: a fixed number of tables and blocks
+        thin = rows
+        if masks:
+            told = join_counted(rows, over, ["mask", "key"], rows.count(), F.xxhash64("fp"), "left")
+            thin = told.where("over is null").drop("over")
+        some = cut(_links_in_tables(thin, radius), "simhash-links")
+        found = some if found is None else found.unionByName(some)
+        if not masks:
+            return found
         blocks = F.create_map(*[x for m in masks for x in (F.lit(m), F.array(*[F.lit(signed(b)) for b in block_masks(m & (1 << 64) - 1, radius)]))])
-        finer = over.select("fp", F.explode(blocks[F.col("mask")]).alias("mask")).select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp").distinct()
-        found = cut(_links_in_tables(finer, radius, dense), "simhash-links")
-        all_links = all_links.unionByName(found.where("mask is null").select("a", "b"))
-    return all_links
+        rows = cut(_keyed(told.where("over"), blocks[F.col("mask")]).distinct(), "simhash-finer")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 4, radius: int = 4, dense: int = 4096) -> DataFrame:
     """One row per document: id, fp, component (the smallest id reachable over links, itself included)."""
     fps = cut(fingerprints(docs, doc_id, text, size), "fingerprints")
-    classes = cut(fps.groupBy("fp").agg(F.min("id").alias("rep")), "fingerprint-classes")
-    found = components(links(classes.select("fp"), radius, dense), "a", "b").select(F.col("node").alias("fp"), "root")
-    reps = found.join(classes, "fp").groupBy("root").agg(F.min("rep").alias("component"))
-    known = found.join(reps, "root").select("fp", "component")
-    by_fp = classes.join(known, "fp", "left").select("fp", F.coalesce("component", "rep").alias("component"))
-    return fps.join(by_fp, "fp").select("id", "fp", "component")
+    classes = cut(fps.groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "fingerprint-classes")
+    found = cut(components(links(classes.select("fp"), radius, dense), "a", "b").select(F.col("node").alias("fp"), "root"), "fingerprint-components")
+    reps = found.join(classes, "fp").groupBy("root").agg(F.min("rep").alias("component"), F.count("*").alias("n"))
+    known = join_counted(found, reps, ["root"], found.count(), F.xxhash64("fp")).select("fp", "component")
+    by_fp = classes.join(known, "fp", "left").select("fp", "n", F.coalesce("component", "rep").alias("component"))
+    # rows of one fingerprint are told apart by their place in the files, which a repeated task finds again
+    return join_counted(fps, by_fp, ["fp"], fps.count(), F.monotonically_increasing_id()).select("id", "fp", "component")

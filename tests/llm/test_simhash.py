@@ -2,8 +2,10 @@ import random
 from collections import defaultdict
 
 import xxhash
+from pyspark.sql import functions as F
 
 from guildspark.llm import simhash
+from guildspark.llm.common import join_counted
 from guildspark.llm.components import components
 
 
@@ -77,3 +79,29 @@ def test_components_chain(spark):
     df = spark.createDataFrame([(i + 1, i) for i in range(n)] + [(100, 101), (5, 5), (None, 3)], "u long, v long")
     assert {(r["node"], r["root"]) for r in components(df).collect()} == {(i, 0) for i in range(n + 1)} | {(100, 100), (101, 100)}
     assert components(df.limit(0)).count() == 0
+
+
+def test_ball_with_many_levels(spark):
+    """More fingerprints of one key than a task may gather, at several levels, and ids that are null or shared."""
+    rng = random.Random(5)
+    rows = sorted({sum(1 << b for b in rng.sample(range(20), rng.randint(0, 6))) for _ in range(400)})
+    df = spark.createDataFrame([(x,) for x in rows], "fp long")
+    want = closure(list(enumerate(rows)), 4)
+    root = {r["node"]: r["root"] for r in components(simhash.links(df, 4, 40), "a", "b").collect()}
+    assert {x: root.get(x, x) for x in rows} == {rows[i]: rows[c] for i, c in want.items()}
+    docs = spark.createDataFrame([(None, "a b c d e"), (None, "a b c d e"), (4, None), (4, ""), (9, " ")], "doc_id long, text string")
+    got = sorted(((r["id"], r["component"]) for r in simhash.near_duplicates(docs).collect()), key=str)
+    assert got == [(4, 4), (4, 4), (9, 4), (None, None), (None, None)]
+
+
+def test_one_key_over_many_tasks(spark):
+    n = 3000
+    rows = spark.range(n).selectExpr("id", "if(id % 3 = 0, 7, id) as k", "id as n_of")
+    keyed = rows.groupBy("k").count().withColumnRenamed("count", "n").withColumn("twice", F.col("k") * 2)
+    got = join_counted(rows, keyed, ["k"], n, F.xxhash64("id"))
+    assert got.count() == n and got.where("twice = 2 * k").count() == n
+    some = keyed.where("k = 7")
+    left = join_counted(rows, some, ["k"], n, F.xxhash64("id"), "left")
+    assert left.count() == n and left.where("twice is not null").count() == rows.where("k = 7").count()
+    star = spark.range(1, n).selectExpr("id as u", "0L as v")
+    assert {(r["root"]) for r in components(star).collect()} == {0} and components(star).count() == n
