@@ -15,8 +15,9 @@ Words are counted by the distinct words before them: a copied document then coun
 stands in many places of toxic documents counts many times.
 
 The sample has at most `per_class` labelled documents of each class (those with the lowest MD5 of their
-id), the bound on everything that is gathered from the labels; word counts are summed in Spark and only
-`max_words` words of each kind come to the driver. Scoring covers all words of all texts.
+id), the bound on everything that is gathered from the labels; word counts are summed in Spark. Every word of
+the sample that passes GAIN is a candidate; of the clean words `max_words` (the most frequent and a sample by
+MD5) are the examples to tell them from. Scoring covers all words of all texts.
 
 Defined results: null, empty and wordless texts get the score of a document without insults; words over
 WORD characters are scored in overlapping parts; repeated rows each get a row; labels of unknown ids and
@@ -34,9 +35,10 @@ from pyspark.sql import types as T
 
 from .common import cut, map_texts, numbered, record_batch
 
-DECAY, SPAN, WORD, ALPHABET = 0.6, 7, 48, 64
+DECAY, SPAN, WORD, ALPHABET = 0.6, 7, 48, 128
 EDGE = " \t\r\n.,;:!?\"'()[]{}<>|/\\*_-~`=+&^%$#@"
-START, STOP, OTHER = 1, 2, 3
+#: Character classes: the edges of a word, OTHERS shared ones by code point, and one of its own for each further character.
+START, STOP, OTHER, OTHERS = 1, 2, 3, 31
 TOP = 3
 #: A word is a candidate of the toxic class from this gain on (chi-square of one degree of freedom).
 GAIN = 12.0
@@ -67,15 +69,15 @@ def triples(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Kernel:
-    """Character classes: the most frequent characters of the sample, and one for all others."""
+    """Character classes: the most frequent characters of the sample have their own, all others are spread over OTHERS shared ones."""
 
     def __init__(self, characters: str):
-        self.code = {c: i + OTHER + 1 for i, c in enumerate(characters[: ALPHABET - OTHER - 1])}
+        self.code = {c: i + OTHER + OTHERS for i, c in enumerate(characters[: ALPHABET - OTHER - OTHERS])}
 
     def subsequences(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """For words of one length: the number of each subsequence (words x places) and each place's weight."""
         get = self.code.get
-        codes = np.array([[START, *[get(c, OTHER) for c in w], STOP] for w in words], np.int32)
+        codes = np.array([[START, *[get(c) or OTHER + ord(c) % OTHERS for c in w], STOP] for w in words], np.int32)
         at, weight = triples(codes.shape[1])
         return (codes[:, at[:, 0]] * ALPHABET + codes[:, at[:, 1]]) * ALPHABET + codes[:, at[:, 2]], weight
 
@@ -173,8 +175,8 @@ class Model:
 _models: dict = {}
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str = "doc_id", text: str = "text", usable: Column | None = None, per_class: int = 4000, max_words: int = 4000, landmarks: int = 192) -> Model:
-    """usable: the rows of labels that may be learned from."""
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str = "doc_id", text: str = "text", usable: Column | None = None, per_class: int = 4000, max_words: int = 6000, landmarks: int = 192) -> Model:
+    """usable: the rows of labels that may be learned from. per_class, max_words: labelled documents of each class and clean example words."""
     own = labels if usable is None else labels.where(usable)
     own = own.select(F.col(doc_id).cast("long").alias("id"), F.col(label).cast("int").alias("y")).where("id is not null and y in (0, 1)").groupBy("id").agg(F.max("y").alias("y"))
     shares = {r["y"]: r["n"] for r in own.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -212,9 +214,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str
     part = lambda k, p, q: F.when(F.col(k) > 0, F.col(k) * F.log(p / q)).otherwise(0.0)
     gain = 2 * (part("t", rate, F.lit(share)) + part("n", 1 - rate, F.lit(1 - share)))
     scored = counted.withColumn("gain", F.when(rate > share, gain).otherwise(-gain)).where(both >= 1)
-    bad = scored.where(F.col("gain") > GAIN).orderBy(F.desc("gain"), "word").limit(max_words).collect()
-    common = scored.where("gain <= 2").orderBy(F.desc("n"), "word").limit(max_words // 2).collect()
-    spread = scored.where("gain <= 2 and n > 0").orderBy(F.md5("word"), "word").limit(max_words).collect()
+    bad = scored.where(F.col("gain") > GAIN).orderBy(F.desc("gain"), "word").collect()  # words of the sample only
+    common = scored.where("gain <= 2").orderBy(F.desc("n"), "word").limit(max_words // 3).collect()
+    spread = scored.where("gain <= 2 and n > 0").orderBy(F.md5("word"), "word").limit(max_words - max_words // 3).collect()
     if not bad or not (common or spread):
         return empty
     good = list(dict.fromkeys([r["word"] for r in common] + [r["word"] for r in spread]))

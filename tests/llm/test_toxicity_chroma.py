@@ -173,3 +173,12 @@ def test_align_of_a_large_group_stays_linear(spark):
     assert {got[i]["group_id"] for i in range(400)} == {0} and {got[i]["n_near"] for i in range(400)} == {399}
     assert all(got[1000 + i]["group_id"] == 1000 + i and not got[1000 + i]["n_matches"] for i in range(40))
     assert got[5000]["n_near"] == 0 and got[5000]["n_matches"] == 0 and got[5000]["class_id"] == 5000
+
+
+def test_characters_without_a_class_of_their_own():
+    """Words of a script that the sample lacks stay distinct, and similar ones stay similar."""
+    kernel = toxicity.Kernel("abcdefgh")
+    phi, _ = kernel.vectors(["привет", "приввет", "дракон", "abc"])
+    near = phi @ phi.T
+    assert near[0, 1] > 0.6 and near[0, 2] < 0.3 and near[0, 3] < 0.3
+    assert max(kernel.subsequences(["привет", "дракон"])[0].ravel()) < toxicity.ALPHABET**3
