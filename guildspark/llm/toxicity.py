@@ -16,8 +16,8 @@ stands in many places of toxic documents counts many times.
 
 The sample has at most `per_class` labelled documents of each class (those with the lowest MD5 of their
 id), the bound on everything that is gathered from the labels; word counts are summed in Spark. Every word of
-the sample that passes GAIN is a candidate; of the clean words `max_words` (the most frequent and a sample by
-MD5) are the examples to tell them from. Scoring covers all words of all texts.
+the sample that passes GAIN and stands mostly in toxic documents is a candidate; of the clean words `max_words`
+(the most frequent and a sample by MD5) are the examples to tell them from. Scoring covers all words of all texts.
 
 Defined results: null, empty and wordless texts get the score of a document without insults; words over
 WORD characters are scored in overlapping parts; repeated rows each get a row; labels of unknown ids and
@@ -40,7 +40,8 @@ EDGE = " \t\r\n.,;:!?\"'()[]{}<>|/\\*_-~`=+&^%$#@"
 #: Character classes: the edges of a word, OTHERS shared ones by code point, and one of its own for each further character.
 START, STOP, OTHER, OTHERS = 1, 2, 3, 31
 TOP = 3
-#: A word is a candidate of the toxic class from this gain on (chi-square of one degree of freedom).
+#: A word is a candidate of the toxic class from this gain on (chi-square of one degree of freedom), if its rate lies
+#: past the middle between the sample's share and 1: very frequent words gain by the slightest difference.
 GAIN = 12.0
 
 
@@ -213,10 +214,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str
     both, rate = F.col("t") + F.col("n"), F.col("t") / (F.col("t") + F.col("n"))
     part = lambda k, p, q: F.when(F.col(k) > 0, F.col(k) * F.log(p / q)).otherwise(0.0)
     gain = 2 * (part("t", rate, F.lit(share)) + part("n", 1 - rate, F.lit(1 - share)))
-    scored = counted.withColumn("gain", F.when(rate > share, gain).otherwise(-gain)).where(both >= 1)
-    bad = scored.where(F.col("gain") > GAIN).orderBy(F.desc("gain"), "word").collect()  # words of the sample only
-    common = scored.where("gain <= 2").orderBy(F.desc("n"), "word").limit(max_words // 3).collect()
-    spread = scored.where("gain <= 2 and n > 0").orderBy(F.md5("word"), "word").limit(max_words - max_words // 3).collect()
+    scored = counted.withColumn("gain", F.when(rate > share, gain).otherwise(-gain)).withColumn("clean", (F.col("gain") <= 2) | (rate <= (1 + share) / 2)).where(both >= 1)
+    bad = scored.where((F.col("gain") > GAIN) & ~F.col("clean")).orderBy(F.desc("gain"), "word").collect()  # words of the sample only
+    common = scored.where("clean").orderBy(F.desc("n"), "word").limit(max_words // 3).collect()
+    spread = scored.where("clean and n > 0").orderBy(F.md5("word"), "word").limit(max_words - max_words // 3).collect()
     if not bad or not (common or spread):
         return empty
     good = list(dict.fromkeys([r["word"] for r in common] + [r["word"] for r in spread]))

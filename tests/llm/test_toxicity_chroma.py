@@ -182,3 +182,15 @@ def test_characters_without_a_class_of_their_own():
     near = phi @ phi.T
     assert near[0, 1] > 0.6 and near[0, 2] < 0.3 and near[0, 3] < 0.3
     assert max(kernel.subsequences(["привет", "дракон"])[0].ravel()) < toxicity.ALPHABET**3
+
+
+def test_held_out_rows_of_a_larger_table(spark):
+    """Frequent words that stand a little more often in toxic documents must not hide the insults."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    model = toxicity.train(docs, labels, usable=~held_out)
+    judged = labels.where(held_out).where("toxic in (0, 1)").select("doc_id", "toxic").join(docs, "doc_id")
+    scored = toxicity.with_score(judged, model, name="score").select("toxic", (F.col("score") >= 0.3).alias("told")).groupBy("toxic", "told").count().collect()
+    n = {(r["toxic"], r["told"]): r["count"] for r in scored}
+    assert n[1, True] >= 0.85 * (n[1, True] + n.get((1, False), 0))
+    assert n.get((0, True), 0) <= 0.05 * (n[0, False] + n.get((0, True), 0))
