@@ -61,6 +61,19 @@ def map_texts(df: DataFrame, keep: dict[str, Column], out, per_batch: Callable,
     return selected.mapInArrow(run, out)
 
 
+_held: dict = {}
+
+
+def held(key, build: Callable):
+    """A worker's model of `key`, made by build(). A worker holds one: the models and memories of other operators, whose
+    stages ran in it before, are dropped, so a pipeline needs no more memory than its greediest stage."""
+    if _held.get("key") != key:
+        _held.clear()
+        gc.collect()
+        _held.update(key=key, model=build())
+    return _held["model"]
+
+
 @contextlib.contextmanager
 def no_gc():
     """Without the search for cycles, which costs much where many objects are made and none refer to each other."""
@@ -176,4 +189,4 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-__all__ = ["ASCII_LOWER", "F", "Memory", "T", "any_in", "cut", "fresh", "gather", "join_counted", "map_texts", "no_gc", "numbered", "partitions", "read", "record_batch", "shared_dir", "slices", "split_on_spaces", "used", "utf8"]
+__all__ = ["ASCII_LOWER", "F", "Memory", "T", "any_in", "cut", "fresh", "gather", "held", "join_counted", "map_texts", "no_gc", "numbered", "partitions", "read", "record_batch", "shared_dir", "slices", "split_on_spaces", "used", "utf8"]

@@ -27,14 +27,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memory, gather, map_texts, record_batch, split_on_spaces
+from .common import Memory, gather, held, map_texts, record_batch, split_on_spaces
 
 MARK = "▁"
 WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 INNER_MARK = re.compile(f"[^{MARK}]{MARK}")
 
-_models: dict = {}
-
 
 class Vocabulary:
     """Pieces with scores; bpe tells how scores are used."""
@@ -252,10 +250,7 @@ class Codec:
 
 
 def codec(path: str) -> Codec:
-    if path not in _models:
-        _models.clear()
-        _models[path] = Codec(Vocabulary.load(path))
-    return _models[path]
+    return held(("sentencepiece", path), lambda: Codec(Vocabulary.load(path)))
 
 
 def encode(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

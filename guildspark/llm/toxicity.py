@@ -33,13 +33,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, map_texts, numbered, record_batch
+from .common import cut, held, map_texts, numbered, record_batch
 
 DECAY, SPAN, WORD, ALPHABET = 0.6, 7, 48, 128
 EDGE = " \t\r\n.,;:!?\"'()[]{}<>|/\\*_-~`=+&^%$#@"
 #: Character classes: the edges of a word, OTHERS shared ones by code point, and one of its own for each further character.
 START, STOP, OTHER, OTHERS = 1, 2, 3, 31
 TOP = 3
+#: Bytes of text whose words a worker holds at once.
+SLICE = 2 << 20
 #: A word is a candidate of the toxic class from this gain on (chi-square of one degree of freedom), if its rate lies
 #: past the middle between the sample's share and 1: very frequent words gain by the slightest difference.
 GAIN = 12.0
@@ -90,7 +92,7 @@ class Kernel:
             for p in parts_of(w):
                 by_length.setdefault(len(p), []).append((i, p))
         for length, own in by_length.items():
-            step = max(1, 1_500_000 // max(1, len(triples(length + 2)[0])))
+            step = max(1, 500_000 // max(1, len(triples(length + 2)[0])))
             for a in range(0, len(own), step):
                 some = own[a : a + step]
                 numbers, weight = self.subsequences([p for _, p in some])
@@ -173,9 +175,6 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.tops(texts) @ self.top[:-1] + self.top[-1], -30, 30)))
 
 
-_models: dict = {}
-
-
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str = "doc_id", text: str = "text", usable: Column | None = None, per_class: int = 4000, max_words: int = 6000, landmarks: int = 192) -> Model:
     """usable: the rows of labels that may be learned from. per_class, max_words: labelled documents of each class and clean example words."""
     own = labels if usable is None else labels.where(usable)
@@ -253,7 +252,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str
         m = _on_worker(sent, lambda v: Model(*v, None, prior)).tops(batch.column("text").to_pylist())
         return record_batch(tops, y=batch.column("y"), **{f"m{k}": m[:, k] for k in range(TOP)})
 
-    rows = map_texts(sample, {"y": F.col("y"), "text": F.col("text")}, "y int, " + ", ".join(f"m{k} double" for k in range(TOP)), value).collect()  # 2 * per_class rows of four numbers
+    rows = map_texts(sample, {"y": F.col("y"), "text": F.col("text")}, "y int, " + ", ".join(f"m{k} double" for k in range(TOP)), value, SLICE).collect()  # 2 * per_class rows of four numbers
     yy = np.array([r["y"] for r in rows], np.float64)
     # each class counts as it does among the labels, whatever its share of the sample
     balance = np.where(yy > 0, prior / max(1, yy.sum()), (1 - prior) / max(1, (1 - yy).sum())) * len(yy)
@@ -262,11 +261,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str
 
 
 def _on_worker(sent, build):
-    key = id(sent)
-    if _models.get("key") != key:
-        _models.clear()
-        _models.update(key=key, sent=sent, model=build(sent.value))
-    return _models["model"]
+    return held(("toxicity", sent), lambda: build(sent.value))
 
 
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -287,5 +282,5 @@ def _scored(docs: DataFrame, model: Model, text: str, name: str) -> DataFrame:
         got = _on_worker(sent, lambda v: Model(*v)).scores(batch.column(column[text]).to_pylist())
         return batch.append_column("score", pa.array(got, pa.float64()))
 
-    found = map_texts(plain, {c: F.col(c) for c in plain.columns}, T.StructType([*plain.schema.fields, T.StructField("score", T.DoubleType())]), per_batch)
+    found = map_texts(plain, {c: F.col(c) for c in plain.columns}, T.StructType([*plain.schema.fields, T.StructField("score", T.DoubleType())]), per_batch, SLICE)
     return found.select(*[F.col(column[c]).alias(c) for c in docs.columns], F.col("score").alias(name))
