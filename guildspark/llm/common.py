@@ -70,6 +70,7 @@ def held(key, build: Callable):
     if _held.get("key") != key:
         _held.clear()
         gc.collect()
+        pa.default_memory_pool().release_unused()
         _held.update(key=key, model=build())
     return _held["model"]
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, map_texts, numbered, record_batch, utf8
+from .common import cut, fresh, held, map_texts, numbered, record_batch, utf8
 
 #: Word bytes keep their place (A-Z in lower case), all others become a space.
 TO_WORDS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -28,8 +28,6 @@ TO_WORDS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or
 OUT = "id long, n_words long, n_hit long, items array<long>, spans array<struct<start:long,end:long>>"
 ARROW = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.int64())), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
 
-_built: dict = {}
-
 
 def item_windows(text, window: int) -> list[bytes]:
     words = utf8(text).translate(TO_WORDS).split()
@@ -41,14 +39,15 @@ def item_windows(text, window: int) -> list[bytes]:
 
 def automaton(key: str, patterns: dict[bytes, list[int]]):
     """Built once in each Python worker, which keeps the latest one."""
-    if key not in _built:
+
+    def build():
         found = ahocorasick.Automaton()
         for p, items in patterns.items():
             found.add_word(f" {p.decode('latin-1')} ", (p.count(b" ") + 1, items))
         found.make_automaton()
-        _built.clear()
-        _built[key] = found
-    return _built[key]
+        return found
+
+    return held(("patterns", key), build)
 
 
 def scan(text, found) -> tuple[int, list[tuple[int, int]], set[int], bytes]:
