@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, chroma, decontaminate, sentencepiece_trie, sharding, simhash, substring, suffixes, token_store, toxicity
+from . import chat, chroma, decontaminate, sentencepiece_trie, sharding, simhash, spelling, substring, suffixes, token_store, toxicity
 from .common import read, shared_dir
 
 QUERIES: dict = {}
@@ -195,3 +195,36 @@ def op10_chroma_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recordings are derived from the vectors: a note per number. Every 20th asks for the recordings it aligns with."""
     prints = chroma.fingerprints(read(spark, sf_dir, "embeddings"), "embedding", "vec_id", decode=lambda v: chroma.read_wav(chroma.melody(v)))
     return chroma.align(prints, F.col("id") % 20 == 0).withColumnRenamed("id", "vec_id")
+
+
+@query
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(read(spark, sf_dir, "documents"))
+
+
+SQL["op11_spelling_variants"] = r"""
+with recursive table16 as (select [0, 498536548, 997073096, 651767980, 1994146192, 1802195444, 1303535960, 1342533948,
+                         3988292384, 4027552580, 3604390888, 3412177804, 2607071920, 2262029012, 2685067896, 3183342108]::ubigint[] as t),
+run as (select doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) as r from documents),
+own as (select doc_id, r, count(*) as n from run where length(r) >= 5 group by doc_id, r),
+h as (select r, n, xor(list_reduce(list_prepend(4294967295::ubigint, list_transform(regexp_extract_all(hex(encode(coalesce(doc_id::varchar, '') || ':' || r)), '..'), lambda x: ('0x' || x)::ubigint)),
+        lambda c, b: xor((xor(xor(c, b) >> 4, t[(xor(c, b) & 15)::int + 1])) >> 4, t[((xor(xor(c, b) >> 4, t[(xor(c, b) & 15)::int + 1])) & 15)::int + 1])), 4294967295::ubigint)::bigint as h
+      from own, table16),
+spoiled as (select case when h % 97 = 0 then substr(r, 1, (h % length(r))::bigint) || substr(r, (h % length(r))::bigint + 2) else r end as word, n from h),
+v as materialized (select word, sum(n)::bigint as n from spoiled where length(word) >= 5 group by word having sum(n) >= 3),
+less as materialized (select word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) as d from v, unnest(range(1, length(word) + 1)) as t(i)),
+pair as (
+  select a.word, b.word as other from less a join less b on a.i = b.i and a.d = b.d and a.word <> b.word
+  union select less.word, v.word from less join v on v.word = less.d
+  union select v.word, less.word from less join v on v.word = less.d),
+best as (
+  select pair.word, count(*) as n_near, first(v.word order by v.n desc, encode(v.word)) as best, max(v.n) as best_n from pair join v on v.word = pair.other group by pair.word),
+told as materialized (
+  select v.word, v.n, coalesce(n_near, 0) as n_near, case when best_n >= 2 * v.n then best end as form, case when best_n >= 2 * v.n then best_n end as form_n
+  from v left join best using (word)),
+walk as (
+  select word, word as here, 0 as k from told
+  union all select walk.word, told.form, k + 1 from walk join told on told.word = walk.here where told.form is not null)
+select told.word, form, ends.root, n, n_near, form_n
+from told join (select word, arg_max(here, k) as root from walk group by word) as ends using (word)
+"""
