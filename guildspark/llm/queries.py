@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, chroma, decontaminate, sentencepiece_trie, sharding, simhash, spelling, substring, suffixes, token_store, toxicity
-from .common import read, shared_dir
+from . import chat, chroma, decontaminate, maxscore, sentencepiece_trie, sharding, simhash, spelling, substring, suffixes, token_store, toxicity
+from .common import cut, read, shared_dir
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -228,3 +228,21 @@ walk as (
 select told.word, form, ends.root, n, n_near, form_n
 from told join (select word, arg_max(here, k) as root from walk group by word) as ends using (word)
 """
+
+
+@query
+def op13_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = cut(maxscore.quantised(read(spark, sf_dir, "embeddings")), "vectors")
+    return maxscore.top_k(rows, F.col("id") % 50 == 0, 5)
+
+
+SQL["op13_exact_top_k"] = r"""
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as e
+  from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (
+  select q.vec_id as query_id, c.vec_id, list_inner_product(q.e, c.e)::bigint as score
+  from v q join v c on q.vec_id % 50 = 0 and c.vec_id is distinct from q.vec_id)
+select query_id, row_number() over (partition by query_id order by score desc, vec_id nulls last)::int as rank, vec_id, score
+from s qualify row_number() over (partition by query_id order by score desc, vec_id nulls last) <= 5
+"""
