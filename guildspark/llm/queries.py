@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, chroma, decontaminate, maxscore, sentencepiece_trie, sharding, simhash, spelling, substring, suffixes, token_store, toxicity
+from . import chat, chroma, decontaminate, maxscore, phrases, sentencepiece_trie, sharding, simhash, spelling, substring, suffixes, token_store, toxicity
 from .common import cut, read, shared_dir
 
 QUERIES: dict = {}
@@ -230,6 +230,33 @@ from told join (select word, arg_max(here, k) as root from walk group by word) a
 """
 
 
+@query
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(read(spark, sf_dir, "documents"))
+
+
+SQL["op12_collocations"] = r"""
+with piece as (
+  select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as p
+  from documents),
+t as (select lang, regexp_extract_all(p, '[^\x20\x09]+') as w from piece),
+total as (select lang, sum(len(w))::bigint as n from t group by lang),
+g as materialized (
+  select lang, m, array_to_string(w[i : i + m - 1], ' ') as p, count(*) as f
+  from t, unnest(range(1, 6)) as x(m), unnest(range(1, len(w) - m + 2)) as y(i) group by all having count(*) >= 100),
+c as (select * from g where m > 1),
+dropped as (select distinct c.lang, c.p from c join c d on d.lang = c.lang and d.m > c.m and 100 * d.f >= 100 * c.f and contains(' ' || d.p || ' ', ' ' || c.p || ' ')),
+cuts as (
+  select c.lang, c.p, c.f as a, n, k, a.f as l, b.f as r, (1000::hugeint * c.f * n) // (a.f::hugeint * b.f) as score
+  from c join total using (lang), unnest(range(1, c.m)) as z(k)
+  join g a on a.lang = c.lang and a.p = array_to_string(string_split(c.p, ' ')[: k], ' ')
+  join g b on b.lang = c.lang and b.p = array_to_string(string_split(c.p, ' ')[k + 1 :], ' ')),
+best as (select * from cuts anti join dropped using (lang, p) qualify row_number() over (partition by lang, p order by score, k) = 1),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, encode(p)) as rank from best)
+select lang, rank, p as phrase, a, l, r, n, score::bigint as score from ranked where rank <= 2000
+"""
+
+
 @query
 def op13_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = cut(maxscore.quantised(read(spark, sf_dir, "embeddings")), "vectors")
