@@ -6,6 +6,8 @@ pair, and `spearman_complete` needs one sort per feature instead of one per pair
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,27 +60,46 @@ def spearman_complete(cells: DataFrame) -> DataFrame:
     return _correlation(pairs, ["condition", "left", "right"])
 
 
-def two_sided_p(rho: Column, n: Column) -> Column:
-    """Exact two-sided p-value of Student's t with n - 2 degrees of freedom, as a finite sum over powers of the cosine."""
-    df = n - 2
-    t = F.abs(rho) * F.sqrt(df / F.when(F.abs(rho) < 1, (1 - rho) * (1 + rho)))
-    theta = F.atan(t / F.sqrt(df.cast("double")))
-    cos2 = F.cos(theta) * F.cos(theta)
+def gamma_ratio(a: Column) -> Column:
+    """Gamma(a + 1/2) / Gamma(a) for a > 0: the series in 1 / z at z = a + 16, carried back by the recurrence."""
+    z = a + 16.0
+    series = F.lit(0.0)
+    for c in (869 / 4194304, -399 / 262144, -21 / 32768, 5 / 1024, 1 / 128, -1 / 8):
+        series = (series + c) / z
+    out = F.sqrt(z) * (1 + series)
+    for k in range(16):
+        out = out * ((a + float(k)) / (a + (k + 0.5)))
+    return out
 
-    def series(terms: Column, factor) -> Column:
-        start = F.struct(F.lit(1.0).alias("c"), F.lit(0.0).alias("s"))
-        steps = F.sequence(F.lit(0), F.greatest(terms, F.lit(1)) - 1)
-        done = F.aggregate(steps, start, lambda a, k: F.struct((a["c"] * cos2 * factor(k)).alias("c"), (a["s"] + a["c"]).alias("s")))
-        return F.when(terms > 0, done["s"]).otherwise(0.0)
 
-    odd = 1 - 2 / F.lit(3.141592653589793) * (theta + F.sin(theta) * F.cos(theta) * series(((df - 1) / 2).cast("int"), lambda k: (2.0 * k + 2) / (2.0 * k + 3)))
-    even = 1 - F.sin(theta) * series((df / 2).cast("int"), lambda k: (2.0 * k + 1) / (2.0 * k + 2))
-    p = F.when(df % 2 == 1, odd).otherwise(even)
-    return F.when(df < 1, None).when(F.abs(rho) >= 1, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), p)))
+def beta_fraction(a: Column, b: Column, x: Column, terms: int = 56) -> Column:
+    """The continued fraction of the incomplete beta function, from its last term inwards. For b = 1/2 or a = 1/2 and x on the
+    side of its mean that `with_p` chooses, 56 terms leave an error of 3e-11, whatever the other parameter is."""
+    v = F.lit(1.0)
+    for j in range(terms, 0, -1):
+        m = float(j // 2)
+        d = m * (b - m) * x / ((a + (2 * m - 1)) * (a + 2 * m)) if j % 2 == 0 else -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + (2 * m + 1)))
+        v = 1.0 + d / v
+    return 1.0 / v
 
 
 def with_p(pairs: DataFrame) -> DataFrame:
-    return pairs.withColumn("p", two_sided_p(F.col("rho"), F.col("n")))
+    """Adds the two-sided p-value of Student's t with n - 2 degrees of freedom: I(df / 2, 1/2) at 1 - rho^2, the regularised
+    incomplete beta function, or 1 - I(1/2, df / 2) at rho^2 where that fraction settles sooner.
+
+    The work per pair does not depend on n. Null under three observations, 0 where |rho| is 1."""
+    half, r2 = (F.col("n") - 2) / F.lit(2.0), F.col("rho") * F.col("rho")
+    sound = (F.col("n") > 2) & (F.abs("rho") < 1)
+    small = half * r2 < 1.5 * (1 - r2)
+    sides = {"a": F.when(small, 0.5).otherwise(half), "b": F.when(small, half).otherwise(0.5), "x": F.when(small, r2).otherwise(1 - r2)}
+    names = {k: f"_{k}_of_p" for k in (*sides, "small", "front")}
+    front = F.abs("rho") * F.exp(half * F.log1p(-r2)) * gamma_ratio(half) / F.lit(math.sqrt(math.pi))
+    staged = pairs.withColumns({names[k]: F.when(sound, c) for k, c in (sides | {"small": small, "front": front}).items()})
+    a, b, x = (F.col(names[k]) for k in "abx")
+    tail = F.col(names["front"]) / a * beta_fraction(a, b, x)
+    within = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(F.col(names["small"]), 1 - tail).otherwise(tail)))
+    p = F.when(sound, within).when((F.col("n") > 2) & (F.abs("rho") >= 1), 0.0)
+    return staged.withColumn("p", p).drop(*names.values())
 
 
 def significant(pairs: DataFrame, max_p: float | None = 0.05, min_abs: float = 0.0) -> DataFrame:

@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from guildspark.sources.staging import cut
 
-from .network import adjacency, graph_stats, strongest
+from .network import adjacency, graph_stats, strongest, weighted_adjacency
+from .walks import push_by_joins
 
 #: Ladder constants (fixed values).
 MIN_CUT_SIZE, SCALE_RELAXATIONS, PHI_FACTORS, TIE = 5, 2, (1.25, 1.5, 1.75, 2.0), 0.10
@@ -24,6 +25,8 @@ VOLUME_WEIGHT, MASS_WEIGHT = 0.5, 0.10
 DEFAULT_PHI, DEFAULT_ALPHA, CLUSTER_SHARE = 0.4, 0.05, 0.10
 #: Runs of a condition that one task pushes.
 PER_LANE = 8
+#: Adjacency rows of a condition that one task may hold; larger graphs are pushed by joins.
+TASK_EDGES = 2_000_000
 RULES = {1: "strict", 2: "quality_without_mass", 3: "multi_scale", 4: "relaxed_phi", 5: "penalty_best_effort", 0: "no_admissible_cluster"}
 
 
@@ -63,11 +66,6 @@ def mass_threshold(m: Column) -> Column:
     return 1.0 / (48 * F.ceil(F.log2(F.greatest(m, F.lit(2)).cast("double"))))
 
 
-def weighted_adjacency(edges: DataFrame, weighted: bool = True) -> DataFrame:
-    adj = adjacency(strongest(edges))
-    return adj.select("condition", "u", "v", (F.abs("weight") if weighted else F.lit(1.0)).alias("w"))
-
-
 def conductance(edges: DataFrame, members: DataFrame, weighted: bool = True) -> DataFrame:
     """(condition, volume, boundary, total, conductance) of a node set (condition, node); infinite if a side has no volume."""
     adj = weighted_adjacency(edges, weighted)
@@ -338,6 +336,16 @@ class Neighbours:
         return p, r, pushes
 
 
+def push_any(edges: DataFrame, runs: DataFrame, weighted: bool = True, walk_positive: bool = False, task_edges: int = TASK_EDGES) -> DataFrame:
+    """Pushes in queue order where a condition's graph fits a task, by joins (which have no order) where it does not."""
+    big = cut(edges.groupBy("condition").count().where(F.col("count") * 2 > task_edges).select("condition"), "large")
+    if big.isEmpty():
+        return push(edges, runs, weighted=weighted, walk_positive=walk_positive)
+    own = lambda df, how: df.join(big, "condition", how)
+    small = push(own(edges, "left_anti"), own(runs, "left_anti"), weighted=weighted, walk_positive=walk_positive)
+    return small.unionByName(push_by_joins(own(edges, "left_semi"), own(runs, "left_semi"), weighted=weighted, walk_positive=walk_positive))
+
+
 def cluster(edges: DataFrame, seeds: DataFrame, ladder: Ladder | None, signed: bool = False, sign_lambda: float = 1.0, weighted: bool = True, order_seed: int | None = None) -> tuple[DataFrame, DataFrame]:
     found, chosen, _ = cluster_with_report(edges, seeds, ladder, signed, sign_lambda, weighted, order_seed)
     return found, chosen
@@ -355,7 +363,10 @@ def cluster_with_report(edges: DataFrame, seeds: DataFrame, ladder: Ladder | Non
     b = F.col("b").cast("double") if "b" in seeds.columns else F.lit(float(ladder.b))
     eps = F.lit(1.0) / (F.pow(F.lit(2.0), b) * 48 * F.ceil(F.log2(F.greatest("_m", F.lit(2)).cast("double"))))
     runs = seeds.join(m, "condition").select(F.xxhash64("condition", "node").alias("run_id"), "condition", "node", F.lit(ladder.alpha).alias("alpha"), eps.alias("epsilon"), F.lit(order_seed).cast("long").alias("order_seed"))
-    vector = push(edges, runs, weighted=weighted, walk_positive=signed).where("p > 0").select("condition", "node", "p")
-    prefixes = cut(sweep(edges, vector, weighted, signed, sign_lambda), "prefixes")
+    pushed = cut(push_any(edges, runs, weighted=weighted, walk_positive=signed), "pushed")
+    prefixes = cut(sweep(edges, pushed.where("p > 0").select("condition", "node", "p"), weighted, signed, sign_lambda), "prefixes")
     chosen = cut(select(prefixes, seeds, ladder), "chosen")
-    return members(prefixes, seeds, chosen), chosen, selection_report(prefixes, seeds, chosen, ladder)
+    settled = pushed.groupBy("condition").agg(F.bool_and("converged").alias("push_converged"), F.max("pushes").alias("pushes"))
+    report = selection_report(prefixes, seeds, chosen, ladder).join(settled, "condition", "left")
+    report = report.withColumns({"push_converged": F.coalesce("push_converged", F.lit(True)), "pushes": F.coalesce("pushes", F.lit(0))})
+    return members(prefixes, seeds, chosen), chosen, report

@@ -13,6 +13,7 @@ from guildspark.operators import experiments as XP
 from guildspark.operators import methods as MD
 from guildspark.operators import network as N
 from guildspark.operators import stability as T
+from guildspark.operators import walks as WK
 from guildspark.sources import demo
 from guildspark.sources.staging import cut
 
@@ -521,6 +522,15 @@ def gr2_push(spark, sf):
     return C.push(e, runs)
 
 
+@query(f"with {DEG} select condition, node as seed, 1.0::double as mass, 0.0::double as gap, true as under_bar, true as converged from deg")
+def gr2_push_by_joins(spark, sf):
+    """Every node of both graphs as a seed, all runs at once; the audit recomputes what must hold from p and r alone."""
+    e = edges(spark, sf)
+    runs = N.degrees(e).select(F.xxhash64("condition", "node").alias("run_id"), "condition", "node", F.lit(0.15).alias("alpha"), F.lit(1e-5).alias("epsilon"))
+    found = WK.push_audit(e, runs, cut(WK.push_by_joins(e, runs, weighted=False), "pushed"), weighted=False)
+    return found.select("condition", "seed", F.round("mass", 9).alias("mass"), r6("gap").alias("gap"), (F.col("over") < 1).alias("under_bar"), "converged")
+
+
 @query()
 def gr8_cluster(spark, sf):
     e = edges(spark, sf)
