@@ -183,6 +183,44 @@ def select(prefixes: DataFrame, seeds: DataFrame, ladder: Ladder) -> DataFrame:
     return out.select("condition", step.alias("step"), rule.alias("rule"), F.coalesce("w.k", F.lit(1)).alias("size"), F.col("w.score").alias("score"), F.col("w.volume").alias("volume"), F.col("w.mass").alias("mass"), F.col("w.r.phi_used").alias("phi_used"), F.col("w.r.floor_used").alias("floor_used"))
 
 
+def rungs_of(settings: DataFrame) -> DataFrame:
+    """The ladder of each setting (setting, condition, node, phi, b, min_cut_size, max_cut_size) as rows with rung, step,
+    floor_used, phi_used and whether the mass counts. The last rung takes the smallest penalty of any prefix with a volume."""
+    floor, phi = F.pow(F.lit(2.0), F.col("b").cast("double") - 1), F.col("phi")
+    steps = [(1, floor, phi, True), (2, floor, phi, False)]
+    steps += [(3, floor / 2**k, phi, False) for k in range(1, SCALE_RELAXATIONS + 1)]
+    steps += [(4, floor, phi * f, False) for f in PHI_FACTORS] + [(5, floor, phi, False)]
+    rows = [F.struct(F.lit(i).alias("rung"), F.lit(s).alias("step"), fl.alias("floor_used"), ph.alias("phi_used"), F.lit(mass).alias("by_mass")) for i, (s, fl, ph, mass) in enumerate(steps)]
+    return settings.withColumn("r", F.explode(F.array(*rows))).select(*settings.columns, "r.*")
+
+
+def select_each(prefixes: DataFrame, settings: DataFrame) -> DataFrame:
+    """`select` for a table of settings, all in one plan: (setting, condition, node, step, rule, size, score, volume, mass, phi_used, floor_used).
+
+    A setting names its vector in `condition`; the rungs of its ladder meet the vector's prefixes in a join with ranges for volume,
+    conductance and mass, so a setting is a row and neither the plan nor the number of jobs grows with their number."""
+    seed_at = prefixes.select("condition", "node", F.col("k").alias("seed_k"))
+    rungs = rungs_of(settings.join(seed_at, ["condition", "node"], "left"))
+    p, r = prefixes.alias("p"), rungs.alias("r")
+    k, volume, score, mass = (F.col(f"p.{c}") for c in ("k", "volume", "score", "mass"))
+    sized = (k >= F.greatest("r.min_cut_size", F.coalesce("r.seed_k", F.lit(1)))) & (k <= F.coalesce("r.max_cut_size", F.lit(2**31 - 1)))
+    strict = (volume > F.col("r.floor_used")) & (score < F.col("r.phi_used")) & (~F.col("r.by_mass") | (mass > mass_threshold(F.col("p.m"))))
+    last = F.col("r.step") == 5
+    met = p.join(r, (F.col("p.condition") == F.col("r.condition")) & sized & F.when(last, (volume > 0) & (score < float("inf"))).otherwise(strict))
+    floor = F.col("r.floor_used")
+    octaves = F.when(volume < floor, F.log2(floor / volume)).otherwise(0.0)
+    cost = score / F.col("r.phi_used") + VOLUME_WEIGHT * octaves - MASS_WEIGHT * F.least(mass, F.lit(1.0))
+    tagged = met.select("r.setting", "r.rung", "r.step", k.alias("size"), score.alias("score"), volume.alias("volume"), mass.alias("mass"), "r.phi_used", floor.alias("floor_used"), F.when(last, cost).otherwise(score).alias("key"))
+    lowest = tagged.groupBy("setting").agg(F.min(F.struct("rung", "key")).alias("lowest"))
+    close = F.when(F.col("step") == 5, F.col("key") == F.col("lowest.key")).otherwise(F.col("key") <= F.col("lowest.key") * (1 + TIE))
+    of_first = tagged.join(lowest, "setting").where((F.col("rung") == F.col("lowest.rung")) & close)
+    won = of_first.groupBy("setting").agg(F.min(F.struct("size", "step", "score", "volume", "mass", "phi_used", "floor_used")).alias("w"))
+    out = settings.select("setting", "condition", "node").join(won, "setting", "left")
+    step = F.coalesce("w.step", F.lit(0))
+    rule = F.create_map(*[F.lit(x) for kv in RULES.items() for x in kv])[step]
+    return out.select("setting", "condition", "node", step.alias("step"), rule.alias("rule"), F.coalesce("w.size", F.lit(1)).alias("size"), *[F.col(f"w.{c}").alias(c) for c in ("score", "volume", "mass", "phi_used", "floor_used")])
+
+
 def strict_flags(df: DataFrame) -> DataFrame:
     """Adds conditions_met, failed_conditions, satisfied and strategy to rows with step and the three strict conditions."""
     names = ("volume_ok", "prob_ok", "phi_ok")

@@ -7,12 +7,12 @@ import json
 from dataclasses import asdict, replace
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from guildspark.sources.staging import cut
 
-from .community import Ladder, members, push, select, sweep
+from .community import Ladder, members, push, push_any, select, select_each, sweep
 from .network import strongest
 
 
@@ -59,6 +59,47 @@ def parameter_sweep(edges: DataFrame, seeds: DataFrame, ladder: Ladder, values:
     return out
 
 
+#: Whether a mode of a sweep takes the weights or counts edges (fixed values).
+WEIGHT_MODES = {"weighted": True, "unweighted": False}
+
+
+def in_modes(edges: DataFrame, modes: list[str] | None = None) -> DataFrame:
+    """The graphs of each weight mode as graphs of their own, named condition/mode; unweighted edges keep their sign."""
+    wanted = F.array(*[F.struct(F.lit(m).alias("mode"), F.lit(WEIGHT_MODES[m]).alias("own")) for m in (modes or WEIGHT_MODES)])
+    each = edges.select("condition", "source", "target", "weight", F.explode(wanted).alias("m"))
+    return each.select(F.concat_ws("/", "condition", "m.mode").alias("condition"), "source", "target", F.when(F.col("m.own"), F.col("weight")).otherwise(F.when(F.col("weight") < 0, -1.0).otherwise(1.0)).alias("weight"))
+
+
+def sweep_settings(spark: SparkSession, base: Ladder, values: dict[str, list]) -> DataFrame:
+    """(parameter, value, phi, b, alpha, min_cut_size, max_cut_size): the base, with parameter null, and one parameter at a time."""
+    rows = [(None, None, base)] + [(name, float(v), replace(base, **{name: v})) for name, options in values.items() for v in options if v != getattr(base, name)]
+    fields = ("phi", "b", "alpha", "min_cut_size", "max_cut_size")
+    return spark.createDataFrame([(n, v, *[getattr(x, f) for f in fields]) for n, v, x in rows], "parameter string, value double, phi double, b int, alpha double, min_cut_size int, max_cut_size int")
+
+
+def parameter_table(edges: DataFrame, seeds: DataFrame, settings: DataFrame, modes: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Clusters of every seed under every setting, in every network and weight mode, in one plan.
+
+    settings: as of `sweep_settings`. Returns the selections (parameter, value, network, mode, node, step, rule, size, score, ...)
+    and the members (setting, node). Settings that differ in the ladder alone share a push and a sweep."""
+    graphs = cut(in_modes(edges, modes), "graphs")
+    sizes = strongest(graphs).groupBy("condition").agg(F.count("*").alias("_m"))
+    each = F.explode(F.array(*[F.lit(m) for m in (modes or WEIGHT_MODES)]))
+    asked = seeds.select(F.col("condition").alias("network"), "node", each.alias("mode")).withColumn("graph", F.concat_ws("/", "network", "mode")).join(sizes.withColumnRenamed("condition", "graph"), "graph").crossJoin(settings)
+    eps = F.lit(1.0) / (F.pow(F.lit(2.0), F.col("b").cast("double")) * 48 * F.ceil(F.log2(F.greatest("_m", F.lit(2)).cast("double"))))
+    asked = cut(asked.withColumn("epsilon", eps).withColumn("run_id", F.xxhash64("graph", "node", "alpha", "epsilon")).withColumn("setting", F.xxhash64("graph", "node", "parameter", "value")), "settings")
+    jobs = asked.select("run_id", F.col("graph").alias("condition"), "node", "alpha", "epsilon").distinct()
+    pushed = push_any(graphs, jobs.withColumn("order_seed", F.lit(None).cast("long")))
+    name = F.col("run_id").cast("string").alias("condition")
+    vectors = cut(pushed.where("p > 0").select(name, "node", "p"), "vectors")
+    own = jobs.select("run_id", F.col("condition").alias("graph")).join(graphs.withColumnRenamed("condition", "graph"), "graph").select(name, "source", "target", "weight")
+    prefixes = cut(sweep(own, vectors), "prefixes")
+    chosen = cut(select_each(prefixes, asked.select("setting", name, "node", "phi", "b", "min_cut_size", "max_cut_size")), "chosen")
+    said = asked.select("setting", "parameter", "value", "network", "mode").join(chosen.drop("condition"), "setting")
+    big = prefixes.join(chosen.where("step > 0").select("setting", "condition", "size"), "condition").where("k <= size").select("setting", "node")
+    return said, big.unionByName(chosen.where("step = 0").select("setting", "node"))
+
+
 #: The configurations that are compared (fixed values): whether each takes the tuned ladder and whether it is signed.
 CONFIGURATIONS = {"baseline": (False, False), "new_parameters": (True, False), "signed_weights": (False, True), "both": (True, True)}
 

@@ -108,6 +108,35 @@ def src3_abundance_long(spark, sf):
     return demo.bacteria(spark, sf)
 
 
+@query(f"with {B}, {FU} select sample_id::varchar as sample_id, feature, value from b union all select sample_id::varchar, feature, value from fu")
+def src1_tables_both_ways(spark, sf):
+    """Both abundance tables as files, one by samples and one by features, with three separators; an older version of the first comes before it."""
+    from guildspark.sources import cells as FC
+    from guildspark.sources.staging import shared_folder
+
+    root = shared_folder(spark, "tables")
+    one, two = cut(demo.bacteria(spark, sf), "cells"), cut(demo.fungi(spark, sf), "cells")
+    FC.write_tables(one.withColumn("value", F.col("value") + 1), f"{root}/older", ";")
+    FC.write_tables(one, f"{root}/bacteria", ",")
+    FC.write_tables(two, f"{root}/fungi", "\t", transposed=True)
+    ids = one.select("sample_id").unionByName(two.select("sample_id"))
+    return FC.load_tables(spark, [f"{root}/older", f"{root}/bacteria", f"{root}/fungi"], ids).select("sample_id", "feature", "value")
+
+
+@query("select c_custkey::varchar as sample_id, c_mktsegment as condition from customer")
+def src2_metadata_files(spark, sf):
+    """Metadata as files: an older version of every sample's condition, then the one that holds."""
+    from guildspark.sources import cells as FC
+    from guildspark.sources.staging import shared_folder
+
+    root, meta = shared_folder(spark, "metadata"), demo.conditions(spark, sf)
+    for name, value in (("older", F.lit("unknown")), ("newer", F.col("condition"))):
+        rows = meta.select(F.concat_ws("\t", F.col("sample_id").cast("string"), F.lit("x"), value).alias("value"))
+        head = spark.createDataFrame([("sample\tnote\tcondition",)], "value string")
+        FC.write_with_header(rows, head, f"{root}/{name}")
+    return FC.load_conditions(spark, [f"{root}/older", f"{root}/newer"], "condition")
+
+
 @query("with b as (select l_suppkey as sample_id, p_brand as feature, sum(l_quantity) as value from lineitem join part on l_partkey = p_partkey group by 1, 2) select feature, sample_id::varchar as sample_id, value from b")
 def src5_transposed_unpivot(spark, sf):
     from guildspark.sources.tables import unpivot
@@ -664,6 +693,45 @@ def xp5_parameter_sweep(spark, sf):
     return XP.parameter_sweep(e, seeds_of(e), C.Ladder(b=4), {"alpha": [0.05, 0.1], "phi": [0.4, 0.75]})
 
 
+def _swept(mode: str, weight: str) -> str:
+    """The prefixes of the fixed vectors in one weight mode, as tables whose names end in the mode."""
+    return f"""dg_{mode} as (select condition, u as node, sum({weight}) as d from adj group by 1, 2), tv_{mode} as (select condition, sum(d) as total_volume from dg_{mode} group by 1),
+  rk_{mode} as (select sc.*, coalesce(d, 0) as d, row_number() over (partition by sc.condition order by p / greatest(coalesce(d, 0), 1) desc, sc.node) as k from sc left join dg_{mode} using (condition, node)),
+  ins_{mode} as (select e.condition, greatest(a.k, b.k) as k, sum({weight}) as wi from edges e join rk_{mode} a on a.condition = e.condition and a.node = e.source join rk_{mode} b on b.condition = e.condition and b.node = e.target group by 1, 2),
+  pre_{mode} as (select r.condition, r.k, node, sum(d) over w as volume, sum(d - 2 * coalesce(wi, 0)) over w as cut, sum(p) over w as mass from rk_{mode} r left join ins_{mode} i on i.condition = r.condition and i.k = r.k window w as (partition by r.condition order by r.k)),
+  pf_{mode} as (select pre_{mode}.*, '{mode}' as mode, m, cut / nullif(least(volume, total_volume - volume), 0) as score from pre_{mode} join tv_{mode} using (condition) join (select condition, count(*) as m from edges group by 1) using (condition) where volume <= floor(total_volume / 2))"""
+
+
+#: One parameter at a time around the ladder of the queries.
+SWEPT = {"phi": [0.2, 0.4, 0.75, 1.5], "b": [1, 4, 6], "min_cut_size": [1, 3, 8]}
+
+
+@query(
+    f"""with {WALK}, {_swept('weighted', 'abs(weight)')}, {_swept('unweighted', '1.0')},
+  pf as (select * from pf_weighted union all select * from pf_unweighted),
+  st as (select parameter, value, phi::double as phi, b, least_k from (values (null, null, 0.75, 4, 3), ('phi', 0.2, 0.2, 4, 3), ('phi', 0.4, 0.4, 4, 3), ('phi', 1.5, 1.5, 4, 3), ('b', 1.0, 0.75, 1, 3), ('b', 6.0, 0.75, 6, 3), ('min_cut_size', 1.0, 0.75, 4, 1), ('min_cut_size', 8.0, 0.75, 4, 8)) as s(parameter, value, phi, b, least_k)),
+  runs as (select seeds.condition, seeds.node, mode, st.*, row_number() over () as run from seeds, (values ('weighted'), ('unweighted')) as x(mode), st),
+  rung as (select * from (values (0, 1, 1.0, 1.0, true), (1, 2, 1.0, 1.0, false), (2, 3, 2.0, 1.0, false), (3, 3, 4.0, 1.0, false), (4, 4, 1.0, 1.25, false), (5, 4, 1.0, 1.5, false), (6, 4, 1.0, 1.75, false), (7, 4, 1.0, 2.0, false)) as r(rung, step, down, up, mass_too)),
+  ad as (select runs.run, runs.phi, pow(2.0, runs.b - 1) as fl, pf.* from runs join pf on pf.condition = runs.condition and pf.mode = runs.mode left join pf own on own.condition = runs.condition and own.mode = runs.mode and own.node = runs.node where pf.k >= greatest(runs.least_k, coalesce(own.k, 1))),
+  tag as (select ad.*, rung, step, score as key from ad, rung where volume > fl / down and score < phi * up and (not mass_too or mass > 1.0 / (48 * ceil(log2(greatest(m, 2)))))
+    union all select ad.*, 8, 5, score / phi + 0.5 * case when volume < fl then log2(fl / volume) else 0 end - 0.1 * least(mass, 1) from ad where volume > 0),
+  fs as (select *, min(rung) over (partition by run) as fr from tag), bs as (select *, min(key) over (partition by run) as best from fs where rung = fr),
+  won as (select run, step, min(k) as k from bs where case when step = 5 then key = best else key <= best * 1.1 end group by 1, 2)
+  select runs.parameter, runs.value::double as value, runs.condition as network, runs.mode, coalesce(won.step, 0)::int as step, coalesce(won.k, 1)::int as size, round(pf.score, 6) as score, round(pf.volume, 6) as volume
+  from runs left join won using (run) left join pf on pf.condition = runs.condition and pf.mode = runs.mode and pf.k = won.k"""
+)
+def xp5_parameter_table(spark, sf):
+    """Ladders as rows of a table over two networks in both weight modes, on fixed vectors."""
+    e, s, p = walk(spark, sf)
+    each = F.explode(F.array(F.lit("weighted"), F.lit("unweighted"))).alias("mode")
+    vectors = p.select("*", each).withColumn("condition", F.concat_ws("/", "condition", "mode")).select("condition", "node", "p")
+    prefixes = cut(C.sweep(XP.in_modes(e), vectors), "prefixes")
+    settings = XP.sweep_settings(spark, LADDER, SWEPT)
+    asked = cut(s.select("condition", "node", each).crossJoin(settings).withColumn("network", F.col("condition")).withColumn("condition", F.concat_ws("/", "condition", "mode")).withColumn("setting", F.xxhash64("condition", "node", "parameter", "value")), "settings")
+    found = C.select_each(prefixes, asked).select("setting", "step", "size", "score", "volume")
+    return asked.join(found, "setting").select("parameter", "value", "network", "mode", "step", F.col("size").cast("int").alias("size"), F.round("score", 6).alias("score"), F.round("volume", 6).alias("volume"))
+
+
 @query()
 def gr3_legacy_nibble(spark, sf):
     e, _, p = walk(spark, sf)

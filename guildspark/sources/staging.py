@@ -5,20 +5,24 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Writes df under spark.checkpoint.dir and reads it again. Where that is unset, a local session (tests) gets a new folder and a cluster an error.
-
-    Plans that use a table many times stay small, and a lost executor costs a reread."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path under spark.checkpoint.dir. Where that is unset, a local session (tests) gets a new folder and a cluster an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="guildspark-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/guildspark-{name}-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/guildspark-{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Writes df into a new shared folder and reads it again.
+
+    Plans that use a table many times stay small, and a lost executor costs a reread."""
+    path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

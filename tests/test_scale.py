@@ -85,3 +85,40 @@ def test_large_graphs_go_through_joins(spark):
     seeds = spark.createDataFrame([("c", "n00"), ("small", "n00"), ("none", "x")], "condition string, node string")
     report = C.cluster_with_report(edges, seeds.where("condition <> 'none'"), C.Ladder(b=3, min_cut_size=2))[2].collect()
     assert len(report) == 2 and all(r["push_converged"] and r["pushes"] > 0 for r in report)
+
+
+def test_parameter_table(spark):
+    """All settings, networks and weight modes in one plan find what one job per value finds."""
+    from dataclasses import replace
+
+    from guildspark.operators import experiments as XP
+
+    rows = [("one", a, b, w) for _, a, b, w in graph(5, 30, 60)] + [("two", a, b, w) for _, a, b, w in graph(6, 24, 30)]
+    edges = spark.createDataFrame(rows, EDGE)
+    seeds = spark.createDataFrame([("one", "n00"), ("two", "n03")], "condition string, node string")
+    base = C.Ladder(phi=0.6, b=3, alpha=0.15, min_cut_size=2)
+    values = {"phi": [0.6, 0.3], "alpha": [0.3]}
+    said, found = XP.parameter_table(edges, seeds, XP.sweep_settings(spark, base, values))
+    got = {(r["network"], r["mode"], r["parameter"], r["value"]): (r["step"], r["size"], round(r["volume"] or 0, 9)) for r in said.collect()}
+    assert len(got) == 2 * 2 * 3 and found.groupBy("setting").count().count() == 12
+    runs = seeds.withColumn("order_seed", F.lit(None).cast("long")).withColumn("run_id", F.xxhash64("condition", "node"))
+    for name, value in ((None, None), ("phi", 0.3), ("alpha", 0.3)):
+        chosen = XP.clusters_of(edges, runs, base if name is None else replace(base, **{name: value}), weighted=True)[1]
+        network = {r["run_id"]: r["condition"] for r in runs.collect()}
+        for r in chosen.collect():
+            assert got[(network[r["run_id"]], "weighted", name, value)] == (r["step"], r["size"], round(r["volume"] or 0, 9))
+
+
+def test_plan_does_not_grow_with_the_settings(spark):
+    from guildspark.operators import experiments as XP
+
+    edges = spark.createDataFrame(graph(7, 12, 10), EDGE)
+    vector = spark.createDataFrame([("c", f"n{i:02}", 1.0 / (i + 2)) for i in range(12)], "condition string, node string, p double")
+    prefixes = C.sweep(edges, vector).cache()
+    sizes = []
+    for n in (1, 200):
+        settings = XP.sweep_settings(spark, C.Ladder(phi=7.0, b=3), {"phi": [0.01 * (i + 1) for i in range(n)]}).selectExpr("xxhash64(parameter, value) as setting", "'c' as condition", "'n00' as node", "*")
+        chosen = C.select_each(prefixes, settings)
+        sizes.append(len([x for x in chosen._jdf.queryExecution().optimizedPlan().toString().splitlines()]))
+        assert chosen.count() == n + 1
+    assert sizes[0] == sizes[1]
