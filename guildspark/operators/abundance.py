@@ -10,6 +10,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from guildspark.sources.staging import cut
+
+from . import ranks
+
 #: Cap of the items that a removal report lists.
 DROP_ITEMS = 50
 AGGRESSIVE_SHARE = 0.6
@@ -56,29 +60,16 @@ def describe_filter(config: TaxaFilter) -> str:
     return "; ".join(parts) or "no taxa filtering"
 
 
-def evenly_spaced(ranked: DataFrame, size: int, rank: str = "rank", total: str = "total") -> DataFrame:
-    """Rows whose 1-based rank is one of `size` evenly spaced ones of the total, both ends included; halves round to even."""
-    if size < 1:
-        raise ValueError("size must be positive")
-    step = F.when(F.lit(size) > 1, (F.col(total) - 1) / (size - 1.0)).otherwise(0.0)
-    picks = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.bround(1 + i * step, 0).cast("long"))
-    return ranked.where(F.array_contains(picks, F.col(rank).cast("long")))
-
-
 def subset(abundance: DataFrame, n_samples: int, n_features: int, strategy: str = "spread") -> DataFrame:
     """A deterministic smaller table: evenly spaced samples by name, then varying features, evenly spaced by
     (prevalence, abundance, name) or the most prevalent; empty samples and features are left out before."""
     if strategy not in ("spread", "prevalent"):
         raise ValueError(f"unknown strategy: {strategy}")
     full = abundance.where("value > 0")
-    names = full.select("sample_id").distinct()
-    w = Window.orderBy("sample_id")  # sample names, not cells
-    ranked = names.withColumn("rank", F.row_number().over(w)).crossJoin(F.broadcast(names.agg(F.count("*").alias("total"))))
-    cells = full.join(evenly_spaced(ranked, n_samples).select("sample_id"), "sample_id", "left_semi")
-    by = varying_features(cells, cells).join(cells.groupBy("feature").agg(F.count("*").alias("k"), F.sum("value").alias("v")), "feature")
-    up = (F.asc("k"), F.asc("v"), F.asc("feature")) if strategy == "spread" else (F.desc("k"), F.desc("v"), F.asc("feature"))
-    order = by.withColumn("rank", F.row_number().over(Window.orderBy(*up))).crossJoin(F.broadcast(by.agg(F.count("*").alias("total"))))
-    chosen = evenly_spaced(order, n_features) if strategy == "spread" else order.where(F.col("rank") <= n_features)
+    names = cut(full.select("sample_id").distinct(), "names")
+    cells = full.join(ranks.evenly_spaced(names, n_samples, ["sample_id"]).select("sample_id"), "sample_id", "left_semi")
+    by = cut(varying_features(cells, cells).join(cells.groupBy("feature").agg(F.count("*").alias("k"), F.sum("value").alias("v")), "feature"), "features")
+    chosen = ranks.evenly_spaced(by, n_features, ["k", "v", "feature"]) if strategy == "spread" else ranks.first_rows(by, n_features, [F.desc("k"), F.desc("v"), F.asc("feature")])
     return keep_features(cells, chosen)
 
 

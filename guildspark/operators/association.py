@@ -8,8 +8,15 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from guildspark.sources.staging import cut
+
+from .ranks import row_numbers
 
 MIN_OBSERVATIONS = 3
 
@@ -116,14 +123,85 @@ def oriented(pairs: DataFrame, order: DataFrame) -> DataFrame:
     return placed.withColumns({"left": F.when(turn, F.col("right")).otherwise(F.col("left")), "right": F.when(turn, F.col("left")).otherwise(F.col("right"))}).select(*pairs.columns)
 
 
-def kendall(cells: DataFrame) -> DataFrame:
-    """(condition, left, right, tau, n): Kendall's tau-a of pair cells by counting concordant sample pairs.
-
-    Quadratic in the samples of a condition, as the statistic is; samples are paired by number."""
+def inversions(values: np.ndarray, groups: np.ndarray | None = None) -> int:
+    """Pairs i < j with values[i] > values[j], of one group if groups are given: bits of the ranks are settled from the highest down, in
+    arrays kept in order, so the work is n log n."""
+    rank = np.unique(values, return_inverse=True)[1].astype(np.int64)
+    upper = np.zeros(len(rank), np.int64) if groups is None else np.unique(groups, return_inverse=True)[1].astype(np.int64)
+    order = np.argsort(upper, kind="stable")
+    rank, upper, total = rank[order], upper[order], 0
+    for bit in range(int(rank.max(initial=0)).bit_length() - 1, -1, -1):
+        one = (rank >> bit) & 1
+        ones = np.concatenate(([0], np.cumsum(one)))
+        start = np.concatenate(([True], upper[1:] != upper[:-1]))
+        first = np.maximum.accumulate(np.where(start, np.arange(len(rank)), 0))
+        total += int((ones[:-1] - ones[first])[one == 0].sum())
+        order = np.lexsort((one, upper))
+        rank, upper = rank[order], 2 * upper[order] + one[order]
+        upper = np.cumsum(np.concatenate(([0], upper[1:] != upper[:-1])))
+    return total
+
+
+def _discordant(groups: DataFrame, by: list[str], run: int) -> DataFrame:
+    """(*by, discordant) of groups that one task may not hold: rows are numbered by x and by y, over ranges, and dealt into runs of
+    `run` numbers by x and by y. Discordant pairs lie in one run, in one run of y, or in different ones of both, where counts tell."""
+    x = row_numbers(groups, ["x", "y", "sample_id"], by, "px")
+    both = cut(row_numbers(x.select(*by, "y", "px"), ["y", "px"], by, "py").withColumns({"run": F.floor((F.col("px") - 1) / run), "band": F.floor((F.col("py") - 1) / run)}).select(*by, "px", "py", "run", "band"), "places")
+    out = T.StructType([*[both.schema[c] for c in by], T.StructField("d", T.LongType())])
+
+    def within(subtract: str | None):
+        def count(key, table):
+            order = np.argsort(table.column("px").to_numpy())
+            py = table.column("py").to_numpy()[order]
+            d = inversions(py) - (inversions(py, table.column(subtract).to_numpy()[order]) if subtract else 0)
+            return pa.table([pa.array([k.as_py()]) for k in key[: len(by)]] + [pa.array([d], pa.int64())], names=[*by, "d"])
+
+        return count
+
+    def across(key, table):
+        runs, bands, n = (table.column(c).to_numpy() for c in ("run", "band", "n"))
+        grid = np.zeros((runs.max() + 1, bands.max() + 1), np.int64)
+        grid[runs, bands] = n
+        higher = np.cumsum(grid[:, ::-1], axis=1)[:, ::-1] - grid  # of the run, in higher bands
+        earlier = np.cumsum(higher, axis=0) - higher  # of earlier runs, in higher bands
+        d = sum(int(a) * int(b) for a, b in zip(grid[grid > 0], earlier[grid > 0], strict=True))
+        return pa.table([pa.array([k.as_py()]) for k in key] + [pa.array([d], pa.int64())], names=[*by, "d"])
+
+    own = both.groupBy(*by, "run").applyInArrow(within(None), out)
+    banded = both.groupBy(*by, "band").applyInArrow(within("run"), out)
+    counted = both.groupBy(*by, "run", "band").agg(F.count("*").alias("n"))
+    far = counted.groupBy(*by).applyInArrow(across, out)
+    return own.unionByName(banded).unionByName(far).groupBy(*by).agg(F.sum("d").alias("discordant"))
+
+
+def kendall(cells: DataFrame, run: int = 1_000_000) -> DataFrame:
+    """(condition, left, right, tau, n): Kendall's tau-a of pair cells with two samples at least, by counting discordant pairs.
+
+    Pairs of samples are never built: discordant ones are inversions of y in the order of x, and ties are counts of equal values.
+    A pair of features with up to `run` samples is one task's; longer ones are counted in runs."""
     by = ["condition", "left", "right"]
-    a = cells.select(*by, F.col("sample_id").alias("s1"), F.col("x").alias("x1"), F.col("y").alias("y1"))
-    b = cells.select(*by, F.col("sample_id").alias("s2"), F.col("x").alias("x2"), F.col("y").alias("y2"))
-    both = a.join(b, by).where("s1 < s2")
-    sign = F.signum(F.col("x1") - F.col("x2")) * F.signum(F.col("y1") - F.col("y2"))
-    n = cells.groupBy(*by).agg(F.count("*").alias("n"))
-    return both.groupBy(*by).agg(F.avg(sign).alias("tau")).join(n, by)
+    n = cells.groupBy(*by).agg(F.count("*").alias("n")).where("n > 1")
+    long = cut(n.where(F.col("n") > run), "long")
+    pairs_in = lambda c: c * (c - 1) / 2
+    schema = T.StructType([*[cells.schema[c] for c in by], T.StructField("tau", T.DoubleType()), T.StructField("n", T.LongType())])
+
+    def tau(key, table):
+        x, y = (table.column(c).to_numpy() for c in "xy")
+        tied = sum(int(pairs_in(np.unique(v, axis=0, return_counts=True)[1].astype(object)).sum()) * sign for v, sign in ((x, 1), (y, 1), (np.stack((x, y), 1), -1)))
+        every = len(x) * (len(x) - 1) // 2
+        value = (every - tied - 2 * inversions(y[np.lexsort((y, x))])) / every if every else None
+        return pa.table([pa.array([k.as_py()]) for k in key] + [pa.array([value], pa.float64()), pa.array([len(x)], pa.int64())], names=[*by, "tau", "n"])
+
+    own = cells.select(*by, "sample_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    if long.isEmpty():
+        return own.groupBy(*by).applyInArrow(tau, schema).where("n > 1")
+    keys = long.select(*by)
+    short = own.join(keys, by, "left_anti").groupBy(*by).applyInArrow(tau, schema).where("n > 1")
+    rest = cut(own.join(keys, by, "left_semi"), "long")
+    ties = [rest.groupBy(*by, *v).agg(F.count("*").alias("c")).groupBy(*by).agg(F.sum(pairs_in(F.col("c").cast("decimal(19,0)"))).alias(f"t{i}")) for i, v in enumerate((["x"], ["y"], ["x", "y"]))]
+    joined = long.join(_discordant(rest, by, run), by)
+    for t in ties:
+        joined = joined.join(t, by)
+    every = pairs_in(F.col("n").cast("double"))
+    concordant_less = every - F.col("t0") - F.col("t1") + F.col("t2") - 2 * F.col("discordant")
+    return short.unionByName(joined.select(*by, (concordant_less / every).cast("double").alias("tau"), "n"))

@@ -349,6 +349,12 @@ def md_kendall(spark, sf):
     return S.kendall(S.pair_cells(own)).select("condition", "left", "right", r6("tau").alias("tau"))
 
 
+@query(f'with {CELLS}, pc as ({PAIRS}) select a.condition, a."left", a."right", round(avg(sign(a.x - b.x) * sign(a.y - b.y)), 6) + 0.0 as tau, any_value(n) as n from pc a join pc b on a.condition = b.condition and a."left" = b."left" and a."right" = b."right" and a.sample_id < b.sample_id join (select condition, "left", "right", count(*) as n from pc group by 1, 2, 3) c on c.condition = a.condition and c."left" = a."left" and c."right" = a."right" group by 1, 2, 3')
+def md_kendall_segments(spark, sf):
+    """Kendall's tau of every pair of brands in all five segments, over the customers that bought both."""
+    return S.kendall(S.pair_cells(cells(spark, sf))).select("condition", "left", "right", r6("tau").alias("tau"), "n")
+
+
 # --- graphs ----------------------------------------------------------------------------------------
 
 

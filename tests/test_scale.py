@@ -122,3 +122,51 @@ def test_plan_does_not_grow_with_the_settings(spark):
         sizes.append(len([x for x in chosen._jdf.queryExecution().optimizedPlan().toString().splitlines()]))
         assert chosen.count() == n + 1
     assert sizes[0] == sizes[1]
+
+
+def test_row_numbers(spark):
+    from guildspark.operators import ranks
+
+    rng = random.Random(8)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, 1.0, 2.0, 3.0]), i) for i in range(300)]
+    df = spark.createDataFrame(rows, "g string, v double, i long").repartition(5)
+    key = lambda r: (r[1] is not None, r[1] or 0, r[2])
+    got = {(r["i"], r["place"]) for r in ranks.row_numbers(df, ["v", "i"]).collect()}
+    assert got == {(r[2], k + 1) for k, r in enumerate(sorted(rows, key=key))}
+    got = {(r["i"], r["place"]) for r in ranks.row_numbers(df, ["v", "i"], ["g"]).collect()}
+    assert got == {(r[2], k + 1) for g in ("a", "b", None) for k, r in enumerate(sorted((r for r in rows if r[0] == g), key=key))}
+    down = {(r["i"], r["n"]) for r in ranks.row_numbers(df, [F.desc_nulls_last("v"), F.desc("i")], ["g"], "n").collect()}
+    assert {n for i, n in down} == set(range(1, 1 + max(sum(r[0] == g for r in rows) for g in ("a", "b", None))))
+    assert ranks.row_numbers(df.limit(0), ["v"]).count() == 0
+    plan = ranks.row_numbers(df, ["v", "i"])._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" in plan or "Exchange" in plan
+    assert sorted(r["i"] for r in ranks.evenly_spaced(df, 4, ["i"]).collect()) == [0, 100, 199, 299]
+    assert [r["i"] for r in ranks.first_rows(df, 2, ["i"]).collect()] == [0, 1]
+
+
+def test_kendall_in_runs(spark):
+    """Inversions give what all pairs of samples give, in one task and in runs over many."""
+    rng = random.Random(9)
+    rows = [("c", left, "y", i, float(rng.randint(0, span)), float(rng.randint(0, span) + i // 30)) for left, span, n in (("few", 2, 90), ("many", 500, 150), ("same", 0, 40), ("two", 9, 2), ("one", 9, 1)) for i in range(n)]
+    df = spark.createDataFrame(rows, "condition string, left string, right string, sample_id long, x double, y double")
+    want = {}
+    for left in {r[1] for r in rows}:
+        own = [(r[4], r[5]) for r in rows if r[1] == left]
+        sign = lambda v: (v > 0) - (v < 0)
+        s = [sign(a[0] - b[0]) * sign(a[1] - b[1]) for i, a in enumerate(own) for b in own[:i]]
+        if s:
+            want[left] = (pytest.approx(sum(s) / len(s), abs=1e-12), len(own))
+    for run in (10, 60, 10**6):
+        got = {r["left"]: (r["tau"], r["n"]) for r in S.kendall(df, run).collect()}
+        assert got == want, run
+    assert S.kendall(df.limit(0)).count() == 0
+
+
+def test_inversions():
+    import numpy as np
+
+    rng = np.random.default_rng(10)
+    for n in (0, 1, 2, 33, 200):
+        v, g = rng.integers(0, 12, n), rng.integers(0, 3, n)
+        later = lambda same: sum(v[i] > v[j] and (not same or g[i] == g[j]) for i in range(n) for j in range(i + 1, n))  # noqa: E731, B023
+        assert S.inversions(v) == later(False) and S.inversions(v, g) == later(True)
