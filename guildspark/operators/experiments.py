@@ -6,10 +6,10 @@ import hashlib
 import json
 from dataclasses import asdict, replace
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from guildspark.sources.commits import get_or_make
 from guildspark.sources.staging import cut
 
 from .community import Ladder, members, push, push_any, select, select_each, sweep
@@ -122,14 +122,7 @@ def compare_configurations(edges: DataFrame, seeds: DataFrame, base: Ladder, tun
     for name, (new, signed) in CONFIGURATIONS.items():
         ladder = tuned if new else base
         key = hashlib.sha1(json.dumps([graph_key, asdict(ladder), signed], sort_keys=True).encode()).hexdigest()
-        path = f"{root.rstrip('/')}/run_{key}"
-        try:
-            stored = spark.read.parquet(path)
-        except AnalysisException as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            configurations(edges, seeds, base, tuned, {name: (new, signed)}).select("run_id", "node").write.parquet(path)
-            stored = spark.read.parquet(path)
+        stored = get_or_make(spark, root, f"run_{key}", lambda name=name, new=new, signed=signed: configurations(edges, seeds, base, tuned, {name: (new, signed)}).select("run_id", "node"))
         one = stored.select(F.lit(name).alias("config"), "run_id", "node")
         out = one if out is None else out.unionByName(one)
     return out

@@ -69,15 +69,17 @@ def escapes(clusters: DataFrame, base: DataFrame) -> DataFrame:
 
 
 def asymmetry(nested: DataFrame) -> DataFrame:
-    """Over pairs of seeds of nested runs (seed, node): how many find each other, one way only, or not at all."""
-    seeds = nested.select("seed").distinct()
-    a, b = seeds.select(F.col("seed").alias("a")), seeds.select(F.col("seed").alias("b"))
+    """Over pairs of seeds of nested runs (seed, node): how many find each other, one way only, or not at all.
+
+    Only seeds that are found by another make rows; the pairs that do not find each other are what is left of all pairs."""
     found = nested.select("seed", "node").distinct()
-    ab = found.select(F.col("seed").alias("a"), F.col("node").alias("b"), F.lit(1).alias("ab"))
-    ba = found.select(F.col("seed").alias("b"), F.col("node").alias("a"), F.lit(1).alias("ba"))
-    pairs = a.join(b, F.col("a") < F.col("b")).join(ab, ["a", "b"], "left").join(ba, ["a", "b"], "left")
-    x, y = F.col("ab").isNotNull(), F.col("ba").isNotNull()
-    return pairs.agg(F.count_if(x & y).alias("both"), F.count_if(x & ~y).alias("only_left"), F.count_if(~x & y).alias("only_right"), F.count_if(~x & ~y).alias("neither"))
+    seeds = found.select("seed").distinct()
+    hits = found.where("seed <> node").join(seeds.select(F.col("seed").alias("node")), "node", "left_semi")
+    turned = F.col("seed") < F.col("node")
+    pairs = hits.groupBy(F.least("seed", "node").alias("a"), F.greatest("seed", "node").alias("b")).agg(F.bool_or(turned).alias("x"), F.bool_or(~turned).alias("y"))
+    counts = pairs.agg(F.count("*").alias("_met"), F.count_if(F.col("x") & F.col("y")).alias("both"), F.count_if(F.col("x") & ~F.col("y")).alias("only_left"), F.count_if(~F.col("x") & F.col("y")).alias("only_right"))
+    every = seeds.agg(F.count("*").alias("_n")).select((F.col("_n") * (F.col("_n") - 1) / 2).cast("long").alias("_all"))
+    return counts.crossJoin(every).select("both", "only_left", "only_right", (F.col("_all") - F.col("_met")).alias("neither"))  # one row each
 
 
 def condition_summary(selections: DataFrame) -> DataFrame:
@@ -121,8 +123,3 @@ def mean_stability(pairs: DataFrame) -> DataFrame:
     """(condition, selected_edges, mean_edge_stability) of pairs whose rho is a selection share; 0 without a selected edge."""
     own = F.when(F.col("selected"), F.col("rho"))
     return pairs.groupBy("condition").agg(F.count(own).alias("selected_edges"), F.coalesce(F.avg(own), F.lit(0.0)).alias("mean_edge_stability"))
-
-
-def union_and_intersection(clusters: DataFrame) -> DataFrame:
-    """(node, in_all) of every node of any run."""
-    return consensus(clusters).select("node", "in_all")

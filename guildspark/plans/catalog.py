@@ -12,6 +12,7 @@ from guildspark.operators import compare as X
 from guildspark.operators import experiments as XP
 from guildspark.operators import methods as MD
 from guildspark.operators import network as N
+from guildspark.operators import sets as ST
 from guildspark.operators import stability as T
 from guildspark.operators import walks as WK
 from guildspark.sources import demo
@@ -625,6 +626,41 @@ def ag25_support(spark, sf):
     return T.support(r, r.join(F.broadcast(first), "run_id").select("node")).select("node", F.round("support", 6).alias("support"))
 
 
+JACCARD = "sz as (select run_id, count(*) as n from runs group by 1), sh as (select a.run_id as ra, b.run_id as rb, count(*) as k from runs a join runs b using (node) where a.run_id < b.run_id group by 1, 2), jac as (select a.run_id as run_a, b.run_id as run_b, coalesce(k, 0) as shared, coalesce(k, 0) / (a.n + b.n - coalesce(k, 0)) as j from sz a join sz b on a.run_id < b.run_id left join sh on sh.ra = a.run_id and sh.rb = b.run_id)"
+
+
+@query(f"with {RUNS}, {JACCARD} select run_a as class_a, run_b as class_b, shared::int as shared, round(j, 6) as jaccard from jac where j >= 0.85 - 1e-9")
+def ag20_similar_runs(spark, sf):
+    """Pairs of different clusters with a Jaccard index of 0.85 or more; on these tables every cluster is a class of its own."""
+    found = cut(ST.classes(runs_of(spark, sf)), "classes")
+    return ST.similar_classes(found, 0.85).select("class_a", "class_b", "shared", r6("jaccard").alias("jaccard"))
+
+
+@query(f"with {RUNS}, {JACCARD} select round(case when j >= 0.4 - 1e-9 then 0.4 + least(floor((j - 0.4) / 0.06 + 1e-9), 9) * 0.06 end, 6) as low, count(*) as pairs from jac group by 1")
+def ag20_jaccard_histogram(spark, sf):
+    return ST.jaccard_histogram(runs_of(spark, sf), 0.4).where("pairs > 0").select(F.round("low", 6).alias("low"), "pairs")
+
+
+@query(f"with {RUNS}, per as (select node, count(*) as k from runs group by 1), n as (select count(distinct run_id) as n from runs) select max(n) as runs, count(*)::bigint as union_nodes, count(*) filter (where k = n)::bigint as intersection_nodes from per, n")
+def ag21_union_and_intersection(spark, sf):
+    return ST.union_and_intersection(runs_of(spark, sf))
+
+
+@query(f"with {RUNS}, base as (select node from runs where run_id = (select min(run_id) from runs)), s as (select run_id, count(*) as size, count(base.node) as shared from runs left join base using (node) group by 1) select run_id, size, shared, round(shared / (size + (select count(*) from base) - shared), 6) as jaccard, size - shared as escaped from s")
+def so7_against_base(spark, sf):
+    r = cut(runs_of(spark, sf), "runs")
+    first = r.agg(F.min("run_id").alias("run_id"))
+    return ST.against_base(r, r.join(F.broadcast(first), "run_id").select("node")).select("run_id", "size", "shared", r6("jaccard").alias("jaccard"), "escaped")
+
+
+@query("with nested as (select distinct l_suppkey as seed, p_size as node from lineitem join part on l_partkey = p_partkey where l_quantity >= 45), own as (select seed, bool_or(node = 3) as b, bool_or(node = seed) as s from nested group by 1) select count(*) as runs, round(count(*) filter (where b) / count(*), 6) as seed_recovery, round(count(*) filter (where s) / count(*), 6) as self_recovery from own")
+def ag25_recovery(spark, sf):
+    """Suppliers as seeds and the sizes they sell as their clusters, as in ag26; the base's seed is 3."""
+    li, part = demo.table(spark, sf, "lineitem"), demo.table(spark, sf, "part")
+    nested = li.where("l_quantity >= 45").join(part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_suppkey").alias("seed"), F.col("p_size").cast("long").alias("node")).distinct()
+    return ST.recovery(nested, 3).select("runs", F.round("seed_recovery", 6).alias("seed_recovery"), F.round("self_recovery", 6).alias("self_recovery"))
+
+
 # --- scalar functions over real columns --------------------------------------------------------------
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +11,8 @@ from pyspark.sql import functions as F
 
 from guildspark.functions.scalars import evidence_type, weight_type
 
+from .commits import Versions
+
 PAIR_COLUMNS = ("row", "column", "cor", "p", "weight_type", "evidence_type", "selection_method", "selected")
 SUMMARY_AS_PARAMETERS = ("dataset_type", "correlation_method", "grouping_mode", "p_value_threshold", "condition_a", "condition_b", "selected_conditions")
 ARCHIVE_LIMIT, CACHE_VERSION = 500, 2
@@ -104,67 +105,76 @@ def read_graph(spark: SparkSession, root: str, key: str) -> DataFrame:
 class Archive:
     """Job history as a Parquet table of versions; the newest version is the state.
 
-    A change writes a whole new version folder and then a marker row in `_log`, so a lost job leaves the
-    former state; readers take the highest marked version."""
+    A change writes a whole new version folder and then the note that makes it the next one; of two writers the later one makes its
+    change again to what the earlier one left, and a lost job leaves the former state. Logs of the first releases are read on."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
+        self.versions = Versions(spark, self.root, self._logged)
 
-    def _version(self) -> tuple[int, str | None]:
+    def _logged(self) -> tuple[int, str | None]:
         try:
-            log = self.spark.read.schema("version long, folder string").json(f"{self.root}/_log")
-            row = log.orderBy(F.desc("version")).first()
-        except Exception as e:  # the folder is not there yet
+            row = self.spark.read.schema("version long, folder string").json(f"{self.root}/_log").orderBy(F.desc("version")).first()
+        except AnalysisException as e:  # the folder is not there yet
             if "PATH_NOT_FOUND" not in str(e):
                 raise
             row = None
         return (row["version"], row["folder"]) if row else (0, None)
 
+    def _of(self, folder: str | None) -> DataFrame:
+        return self.spark.read.schema(HISTORY).parquet(f"{self.root}/{folder}") if folder else self.spark.createDataFrame([], HISTORY)
+
     def entries(self) -> DataFrame:
         """Newest first."""
-        _, folder = self._version()
-        df = self.spark.read.schema(HISTORY).parquet(f"{self.root}/{folder}") if folder else self.spark.createDataFrame([], HISTORY)
-        return df.orderBy(F.desc("updated_at"), "id")
+        return self._of(self.versions.latest()[1]).orderBy(F.desc("updated_at"), "id")
 
-    def _write(self, df: DataFrame) -> None:
-        version, _ = self._version()
-        folder = f"v{version + 1}-{uuid.uuid4().hex}"
-        df.orderBy(F.desc("updated_at"), "id").limit(ARCHIVE_LIMIT).write.parquet(f"{self.root}/{folder}")
-        self.spark.createDataFrame([(version + 1, folder)], "version long, folder string").coalesce(1).write.mode("append").json(f"{self.root}/_log")
+    def _change(self, make) -> None:
+        """make(the entries) -> the new ones; it may run again, on the entries that another writer left."""
+        self.versions.change(lambda folder: make(self._of(folder)).orderBy(F.desc("updated_at"), "id").limit(ARCHIVE_LIMIT))
 
     def upsert(self, new: DataFrame) -> None:
         """New rows replace those of the same id; the creation time stays and the run count rises unless it is given."""
-        a, b = self.entries().alias("a"), normalized(new).alias("b")
-        j = a.join(b, "id", "full")
-        pick = lambda c: F.coalesce(F.col(f"b.{c}"), F.col(f"a.{c}")).alias(c)
-        rerun = F.col("b.updated_at").isNotNull() & F.col("a.updated_at").isNotNull()
-        count = F.when(F.col("b.run_count").isNotNull(), F.col("b.run_count")).when(rerun, F.col("a.run_count") + 1).otherwise(F.coalesce("a.run_count", F.lit(1)))
-        self._write(j.select("id", *[pick(c) for c in ("analysis_name", "script_name", "status")], F.coalesce("a.created_at", "b.created_at").alias("created_at"), pick("updated_at"), count.cast("int").alias("run_count"), pick("payload"), pick("summary")))
+
+        def change(now: DataFrame) -> DataFrame:
+            j = now.alias("a").join(normalized(new).alias("b"), "id", "full")
+            pick = lambda c: F.coalesce(F.col(f"b.{c}"), F.col(f"a.{c}")).alias(c)
+            rerun = F.col("b.updated_at").isNotNull() & F.col("a.updated_at").isNotNull()
+            count = F.when(F.col("b.run_count").isNotNull(), F.col("b.run_count")).when(rerun, F.col("a.run_count") + 1).otherwise(F.coalesce("a.run_count", F.lit(1)))
+            return j.select("id", *[pick(c) for c in ("analysis_name", "script_name", "status")], F.coalesce("a.created_at", "b.created_at").alias("created_at"), pick("updated_at"), count.cast("int").alias("run_count"), pick("payload"), pick("summary"))
+
+        self._change(change)
 
     def update(self, entry_id: str, **patch) -> None:
-        df = self.entries()
-        for c, v in patch.items():
-            df = df.withColumn(c, F.when(F.col("id") == entry_id, F.lit(v).cast(df.schema[c].dataType)).otherwise(F.col(c)))
-        self._write(df)
+        def change(now: DataFrame) -> DataFrame:
+            return now.withColumns({c: F.when(F.col("id") == entry_id, F.lit(v).cast(now.schema[c].dataType)).otherwise(F.col(c)) for c, v in patch.items()})
+
+        self._change(change)
 
     def remove(self, ids: list[str]) -> None:
-        self._write(self.entries().where(~F.col("id").isin(*ids)))
+        self._change(lambda now: now.where(~F.col("id").isin(*ids)))
 
     def clear(self) -> None:
-        self._write(self.entries().limit(0))
+        self._change(lambda now: now.limit(0))
 
     def import_legacy(self, old: DataFrame) -> None:
         """Ids that exist stay as they are."""
-        now = self.entries()
-        self._write(now.unionByName(normalized(old).withColumn("run_count", F.coalesce("run_count", F.lit(1))).join(now.select("id"), "id", "left_anti").select(*now.columns)))
+
+        def change(now: DataFrame) -> DataFrame:
+            fresh = normalized(old).withColumn("run_count", F.coalesce("run_count", F.lit(1))).join(now.select("id"), "id", "left_anti")
+            return now.unionByName(fresh.select(*now.columns))
+
+        self._change(change)
 
     def rebuild(self, results: DataFrame) -> None:
         """Adds entries for stored results (id, summary, updated_at) that the history lacks, and fills missing summaries."""
-        now = self.entries()
-        known = results.select("id", F.col("summary").alias("_s"))
-        filled = now.join(known, "id", "left").withColumn("summary", F.coalesce("summary", "_s")).drop("_s")
-        fresh = results.join(now.select("id"), "id", "left_anti").select("id", F.lit("Recovered analysis").alias("analysis_name"), F.lit(None).cast("string").alias("script_name"), F.lit("completed").alias("status"), F.col("updated_at").alias("created_at"), "updated_at", F.lit(1).alias("run_count"), F.lit(None).cast("string").alias("payload"), "summary")
-        self._write(filled.select(*now.columns).unionByName(fresh))
+
+        def change(now: DataFrame) -> DataFrame:
+            known = results.select("id", F.col("summary").alias("_s"))
+            filled = now.join(known, "id", "left").withColumn("summary", F.coalesce("summary", "_s")).drop("_s")
+            fresh = results.join(now.select("id"), "id", "left_anti").select("id", F.lit("Recovered analysis").alias("analysis_name"), F.lit(None).cast("string").alias("script_name"), F.lit("completed").alias("status"), F.col("updated_at").alias("created_at"), "updated_at", F.lit(1).alias("run_count"), F.lit(None).cast("string").alias("payload"), "summary")
+            return filled.select(*now.columns).unionByName(fresh)
+
+        self._change(change)
 
 
 def normalized(raw: DataFrame) -> DataFrame:

@@ -170,3 +170,61 @@ def test_inversions():
         v, g = rng.integers(0, 12, n), rng.integers(0, 3, n)
         later = lambda same: sum(v[i] > v[j] and (not same or g[i] == g[j]) for i in range(n) for j in range(i + 1, n))  # noqa: E731, B023
         assert S.inversions(v) == later(False) and S.inversions(v, g) == later(True)
+
+
+def test_similar_sets(spark):
+    from guildspark.operators import sets as ST
+
+    rng = random.Random(11)
+    pool = [frozenset(rng.sample(range(30), rng.randint(1, 12))) for _ in range(25)]
+    runs = {i: rng.choice(pool) for i in range(60)} | {60 + i: frozenset(list(pool[i])[1:]) | {99} for i in range(10)}
+    df = spark.createDataFrame([(i, f"n{x}") for i, s in runs.items() for x in s] + [(0, f"n{next(iter(runs[0]))}")], "run_id long, node string")
+    for least in (0.3, 0.5, 0.75, 1.0):
+        found = ST.similar_classes(ST.classes(df), least).collect()
+        names = {s: min(i for i, t in runs.items() if t == s) for s in runs.values()}
+        every = sorted(names.items(), key=lambda x: x[1])
+        want = {}
+        for k, (s, a) in enumerate(every):
+            for t, b in every[k + 1 :]:
+                j = len(s & t) / len(s | t)
+                if j >= least - 1e-9:
+                    want[(a, b)] = (len(s & t), pytest.approx(j), sum(x == s for x in runs.values()) * sum(x == t for x in runs.values()))
+        assert {(r["class_a"], r["class_b"]): (r["shared"], r["jaccard"], r["pairs"]) for r in found} == want
+    bars = {r["low"]: r["pairs"] for r in ST.jaccard_histogram(df, 0.5, 5).collect()}
+    pairs = [len(runs[a] & runs[b]) / len(runs[a] | runs[b]) for a in runs for b in runs if a < b]
+    assert sum(bars.values()) == len(pairs) and bars[None] == sum(j < 0.5 - 1e-9 for j in pairs)
+    assert bars[max(k for k in bars if k is not None)] == sum(j >= 0.9 - 1e-9 for j in pairs)
+    assert {r["class_id"] for r in ST.class_members(df).collect()} == set(names.values())
+    with pytest.raises(ValueError):
+        ST.similar_classes(ST.classes(df), 0)
+
+
+def test_bitmaps(spark):
+    """More nodes than a bucket holds, runs without a bucket, and an empty base."""
+    from guildspark.operators import sets as ST
+
+    runs = {"a": range(0, 40000), "b": range(30000, 70000), "c": [5, 35000, 69999]}
+    df = spark.createDataFrame([(r, f"{x:06}") for r, xs in runs.items() for x in xs], "run_id string, node string").cache()
+    row = ST.union_and_intersection(df).first()
+    sets = [set(x) for x in runs.values()]
+    assert (row["runs"], row["union_nodes"], row["intersection_nodes"]) == (3, len(set.union(*sets)), len(set.intersection(*sets)))
+    base = spark.createDataFrame([(f"{x:06}",) for x in range(29990, 35001)], "node string")
+    ground = set(range(29990, 35001))
+    got = {r["run_id"]: (r["size"], r["shared"], r["jaccard"], r["escaped"]) for r in ST.against_base(df, base).collect()}
+    assert got == {r: (len(s), len(s & ground), pytest.approx(len(s & ground) / len(s | ground)), len(s - ground)) for r, s in zip(runs, sets, strict=True)}
+    assert all(r["shared"] == 0 and r["escaped"] == r["size"] for r in ST.against_base(df, base.limit(0)).collect())
+    nested = spark.createDataFrame([("a", "a"), ("a", "s"), ("b", "s"), ("c", "x")], "seed string, node string")
+    assert tuple(ST.recovery(nested, "s").first()) == (3, 2 / 3, 1 / 3) and tuple(ST.recovery(nested.limit(0), "s").first()) == (0, 0.0, 0.0)
+
+
+def test_asymmetry_without_pairs_of_seeds(spark):
+    from guildspark.operators import stability as T
+
+    rng = random.Random(12)
+    found = {(a, b) for a in range(25) for b in rng.sample(range(40), 6)}
+    df = spark.createDataFrame(sorted(found), "seed long, node long")
+    n = [0, 0, 0, 0]
+    for a in range(25):
+        for b in range(a + 1, 25):
+            n[0 if (a, b) in found and (b, a) in found else 1 if (a, b) in found else 2 if (b, a) in found else 3] += 1
+    assert list(T.asymmetry(df).first()) == n
