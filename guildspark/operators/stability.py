@@ -5,11 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from guildspark.sources.staging import cut
+
+from .selection import percentiles
+
 
 def describe(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
-    """count, mean, median, min, max, p05, p95 and population deviation of the finite values."""
+    """count, mean, median, min, max, p05, p95 and population deviation of the finite values. Percentiles are exact, and no task holds a group."""
+    by = list(by or [])
     v = F.when(F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf")), F.col(value).cast("double"))
-    return df.groupBy(*(by or [])).agg(F.count(v).alias("count"), F.avg(v).alias("mean"), F.median(v).alias("median"), F.min(v).alias("min"), F.max(v).alias("max"), F.percentile(v, F.lit(0.05)).alias("p05"), F.percentile(v, F.lit(0.95)).alias("p95"), F.stddev_pop(v).alias("stdev"))
+    rows = cut(df.select(F.struct(*[F.col(c) for c in by], F.lit(0).alias("_")).alias("g"), v.alias("v")), "values")
+    moments = rows.groupBy("g").agg(F.count("v").alias("count"), F.avg("v").alias("mean"), F.min("v").alias("min"), F.max("v").alias("max"), F.stddev_pop("v").alias("stdev"))
+    if not by:  # a table without rows has a row of its own
+        moments = moments.unionByName(rows.agg(F.count(F.lit(1)).alias("n")).where("n = 0").select(F.struct(F.lit(0).alias("_")).alias("g"), F.lit(0).cast("long").alias("count"), *[F.lit(None).cast("double").alias(c) for c in ("mean", "min", "max", "stdev")]))
+    shares = {"median": 0.5, "p05": 0.05, "p95": 0.95}
+    at = percentiles(rows.where("v is not null"), list(shares.values())).groupBy("g").agg(*[F.max(F.when(F.col("share") == s, F.col("v"))).alias(n) for n, s in shares.items()])
+    return moments.join(at, "g", "left").select(*[F.col(f"g.`{c}`") for c in by], "count", "mean", "median", "min", "max", "p05", "p95", "stdev")
 
 
 def pairwise_jaccard(clusters: DataFrame) -> DataFrame:

@@ -228,3 +228,32 @@ def test_asymmetry_without_pairs_of_seeds(spark):
         for b in range(a + 1, 25):
             n[0 if (a, b) in found and (b, a) in found else 1 if (a, b) in found else 2 if (b, a) in found else 3] += 1
     assert list(T.asymmetry(df).first()) == n
+
+
+def test_percentiles(spark):
+    """As numpy's linear ones, with few and many bins, ties, one value, wide ranges and groups of null."""
+    import numpy as np
+
+    from guildspark.operators import selection as SEL
+    from guildspark.operators import stability as T
+
+    rng = np.random.default_rng(13)
+    groups = {"even": rng.random(500), "ties": rng.integers(0, 3, 400).astype(float), "one": np.array([2.5]), "same": np.full(50, -1.0), "wide": np.concatenate([10.0 ** rng.uniform(-300, 300, 200), -(10.0 ** rng.uniform(-300, 308, 100)), [1.7e308, -1.7e308]]), None: rng.normal(size=90)}
+    df = spark.createDataFrame([(g, float(v)) for g, vs in groups.items() for v in vs], "g string, v double")
+    shares = [0.0, 0.05, 0.33, 0.5, 0.95, 1.0]
+    for how in ({}, {"bins": 4, "passes": 3, "few": 5}, {"bins": 16, "passes": 12, "few": 1}):
+        keyed = df.select(F.struct("g").alias("g"), "v")
+        got = {(r["g"]["g"], r["share"]): r["v"] for r in SEL.percentiles(keyed, shares, **how).collect()}
+        assert len(got) == len(groups) * len(shares)
+        for g, vs in groups.items():
+            order = np.sort(vs)
+            for s in shares:
+                at = s * (len(vs) - 1)
+                k = int(at)
+                want = order[k] * (1 - (at - k)) + order[min(k + 1, len(vs) - 1)] * (at - k)
+                assert got[(g, s)] == pytest.approx(want, rel=1e-12, abs=0), (g, s, how)
+    odd = spark.createDataFrame([("a", 1.0), ("a", float("nan")), ("a", None), ("b", float("inf"))], "g string, v double")
+    rows = {r["g"]: r for r in T.describe(odd, "v", ["g"]).collect()}
+    assert rows["a"]["count"] == 1 and rows["a"]["median"] == 1.0 and rows["b"]["count"] == 0 and rows["b"]["median"] is None
+    assert T.describe(odd, "v").first()["count"] == 1
+    assert T.describe(odd.limit(0), "v").first()["count"] == 0 and T.describe(odd.limit(0), "v", ["g"]).count() == 0
