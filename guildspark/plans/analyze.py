@@ -74,6 +74,29 @@ def pairs_of(cells: DataFrame, method: str, settings: dict) -> DataFrame:
     return found.withColumn("selected", F.lit(None).cast("boolean"))
 
 
+#: Methods that see both domains as one matrix; the others correlate within a domain on that domain's own samples.
+JOINT = ("spieceasi", "spring")
+
+
+def pairs_of_two(a: DataFrame, b: DataFrame, method: str, settings: dict) -> DataFrame:
+    """Pairs within two domains and across them, from their cells (condition, sample_id, feature, value).
+
+    A joint method gets the samples that both have in a condition. SparCC and CCLasso get three matrices per condition: each
+    domain's own, and the joint one for the pairs across. Matrices are told apart by their name, so all are dealt out together."""
+    has = lambda df: df.select("condition", "sample_id").distinct()
+    joint = a.unionByName(b).join(has(a).join(has(b), ["condition", "sample_id"]), ["condition", "sample_id"], "left_semi")
+    if method in JOINT:
+        return pairs_of(joint, method, settings)
+    named = lambda df, scope: df.withColumn("condition", F.concat(F.lit(scope), "condition"))
+    every = named(a, "a:").unionByName(named(b, "b:")).unionByName(named(joint, "x:"))
+    found = cut(pairs_of(every, method, settings), "pairs")
+    of_a = a.select("feature").distinct().withColumn("of_a", F.lit(True))
+    ends = lambda end: of_a.select(F.col("feature").alias(end), F.col("of_a").alias(f"{end}_of_a"))
+    across = found.where("condition like 'x:%'").join(ends("left"), "left", "left").join(ends("right"), "right", "left")
+    across = across.where(F.col("left_of_a").isNull() != F.col("right_of_a").isNull()).select(*found.columns)
+    return found.where("condition not like 'x:%'").unionByName(across).withColumn("condition", F.substr("condition", F.lit(3)))
+
+
 def analyze(spark: SparkSession, request: Request) -> dict[str, DataFrame]:
     """pairs, edges, nodes, stats, samples and the filter report of each domain. Filters see all samples of a table and
     run before grouping; correlations are per condition, which is a column and not a loop."""
@@ -107,9 +130,7 @@ def analyze(spark: SparkSession, request: Request) -> dict[str, DataFrame]:
         every = S.pair_cells(a).unionByName(S.pair_cells(b)).unionByName(S.cross_cells(a, b))
         pairs = S.with_p(S.spearman(every)).withColumn("selected", F.lit(None).cast("boolean"))
     else:
-        a, b = cells["bacteria"], cells["fungi"]
-        common = a.select("condition", "sample_id").distinct().join(b.select("condition", "sample_id").distinct(), ["condition", "sample_id"])
-        pairs = pairs_of(a.unionByName(b).join(common, ["condition", "sample_id"], "left_semi"), request.method, request.settings)
+        pairs = pairs_of_two(cells["bacteria"], cells["fungi"], request.method, request.settings)
     order = None
     for domain, table in tables.items():  # bacteria first, then the order of the files
         prefix = {"bacteria": "bac::", "fungi": "fun::"}[domain] if len(tables) == 2 else ""
