@@ -56,3 +56,12 @@ def test_empty(spark):
     assert decontaminate.find(docs, items).count() == 0
     one = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     assert [tuple(r)[:3] for r in decontaminate.find(one, items).collect()] == [(1, 2, 0)]
+
+
+def test_without_in_blocks(spark):
+    """Rows are kept and dropped alike however many blocks the patterns make, null and repeated ids included."""
+    docs = spark.createDataFrame([(d, t, 1, "x") for d, t in DOCS], "doc_id long, text string, n_words int, `row` string")
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    kept = [sorted(map(tuple, decontaminate.without(docs, items, most_hit=0.3, window=3, max_pattern_bytes=b).collect()), key=repr) for b in (1 << 20, 10)]
+    want = [(d, t) for (d, t), r in zip(DOCS, [next(x for x in brute([row], [(-1 if i is None else i, t) for i, t in ITEMS], 3)) for row in DOCS], strict=True) if not (r[2] and r[2] >= 0.3 * r[1])]
+    assert kept[0] == kept[1] == sorted(((d, t, 1, "x") for d, t in want), key=repr) and 0 < len(want) < len(DOCS)
