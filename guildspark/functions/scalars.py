@@ -60,3 +60,19 @@ def theoretical_alpha(phi: Column, m: Column) -> Column:
 
 def edge_width(weight: Column, most: Column) -> Column:
     return 1 + 5 * F.least(F.lit(1.0), F.abs(weight) / F.when(most > 0, most).otherwise(1.0))
+
+
+def node_border(ratio: Column, most: Column) -> Column:
+    """Width of a node's border by its overabundance; a ratio that is not a positive number counts as 1, a tenth of the most is the least."""
+    safe = F.when((ratio > 0) & (ratio < float("inf")), ratio).otherwise(1.0)
+    return 0.8 + 3 * F.greatest(F.lit(0.1), F.least(F.lit(1.0), safe / F.greatest(F.lit(1.0), most)))
+
+
+def weight_column(kind: Column) -> Column:
+    """The name under which weights of a type are exported."""
+    return F.when(kind == "selection_stability", "selection_stability").when(kind == "mixed", "weight").otherwise("correlation")
+
+
+def threshold_label(method: Column) -> Column:
+    """What the least weight of a graph bounds."""
+    return F.when(method == "spieceasi", "minimum_stars_edge_stability").otherwise("minimum_absolute_correlation")

@@ -221,6 +221,25 @@ def select_each(prefixes: DataFrame, settings: DataFrame) -> DataFrame:
     return out.select("setting", "condition", "node", step.alias("step"), rule.alias("rule"), F.coalesce("w.size", F.lit(1)).alias("size"), *[F.col(f"w.{c}").alias(c) for c in ("score", "volume", "mass", "phi_used", "floor_used")])
 
 
+def relaxations(chosen: DataFrame) -> DataFrame:
+    """Adds to selections with their phi and b what the ladder gave way in: phi_relax_factor (step 4), scale_relaxation in octaves
+    (step 3), the parts of the penalty (step 5), and sweep_index, the place of the last member in the sweep."""
+    step, floor = F.col("step"), F.pow(F.lit(2.0), F.col("b").cast("double") - 1)
+    at = lambda s, c: F.when(step == s, c)
+    octaves = F.when(F.col("volume") < floor, F.log2(floor / F.col("volume"))).otherwise(0.0)
+    return chosen.withColumns({
+        "phi_relax_factor": at(4, F.col("phi_used") / F.col("phi")), "scale_relaxation": at(3, F.log2(floor / F.col("floor_used"))),
+        "penalty_quality": at(5, F.col("score") / F.col("phi")), "penalty_volume": at(5, VOLUME_WEIGHT * octaves), "penalty_mass": at(5, -MASS_WEIGHT * F.least("mass", F.lit(1.0))),
+        "sweep_index": F.when(step > 0, F.col("size") - 1),
+    })
+
+
+def ranked_scores(prefixes: DataFrame, seeds: DataFrame, chosen: DataFrame, vector: DataFrame) -> DataFrame:
+    """(condition, node, score, rank) of the members, the highest score first, names among equals; a seed alone has its own score, or 0."""
+    own = members(prefixes, seeds, chosen).join(vector.select("condition", "node", F.col("p").alias("score")), ["condition", "node"], "left")
+    return own.select("condition", "node", F.coalesce("score", F.lit(0.0)).alias("score"), "rank")
+
+
 def strict_flags(df: DataFrame) -> DataFrame:
     """Adds conditions_met, failed_conditions, satisfied and strategy to rows with step and the three strict conditions."""
     names = ("volume_ok", "prob_ok", "phi_ok")
@@ -244,6 +263,7 @@ def selection_report(prefixes: DataFrame, seeds: DataFrame, chosen: DataFrame, l
     own = own.withColumn("volume_min", F.pow(F.lit(2.0), F.col("b") - 1)).withColumn("mass_threshold", mass_threshold(F.col("m"))).withColumn("phi_target", F.lit(ladder.phi)).withColumn("alpha", F.lit(ladder.alpha))
     sure = lambda c: F.coalesce(c, F.lit(False))
     flags = {"volume_ok": sure((F.col("volume") > F.col("volume_min")) & (F.col("volume") <= F.col("volume_max"))), "prob_ok": sure(F.col("mass") > F.col("mass_threshold")), "phi_ok": sure(F.col("score") < ladder.phi)}
+    own = relaxations(own.withColumn("phi", F.lit(float(ladder.phi)))).drop("phi")
     return strict_flags(own.withColumns(flags).withColumn("evaluated", F.coalesce("evaluated", F.lit(0))))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from guildspark.functions.scalars import rounded, weight_column
+
 from .network import pair_key
 
 
@@ -91,6 +93,22 @@ def export_edges(edges: DataFrame, condition: str) -> DataFrame:
     return edges.select(F.lit(condition).alias("condition"), "source", "target", F.round("weight", 6).alias("weight"), "weight_type", F.when(stable, "selected").otherwise(sign(F.col("weight"))).alias("sign"), F.round("p", 6).alias("p_value"), "evidence_type", "method")
 
 
+def named_weights(edges: DataFrame) -> DataFrame:
+    """Edges with their weight, rounded to six decimals, in the column that its type names: correlation, selection_stability or weight.
+    Types of one table may differ; a row has one of the columns, the others are null."""
+    kind = F.coalesce("weight_type", F.lit("correlation"))
+    own = [F.when(weight_column(kind) == n, rounded(F.col("weight"))).alias(n) for n in ("correlation", "selection_stability", "weight")]
+    return edges.select(*[c for c in edges.columns if c != "weight"], *own)
+
+
+def export_derived_edges(edges: DataFrame, condition: str | Column) -> DataFrame:
+    """The download table of the edges of a cluster or of a view (exclusive, complement); missing types and evidence have their defaults."""
+    kind = F.coalesce("weight_type", F.lit("correlation"))
+    said = F.when(kind == "selection_stability", "selected").otherwise(sign(F.col("weight")))
+    rows = edges.select((F.lit(condition) if isinstance(condition, str) else condition).alias("condition"), "source", "target", "weight", kind.alias("weight_type"), said.alias("sign"), rounded(F.col("p")).alias("p_value"), F.coalesce("evidence_type", F.lit("pairwise_p_value")).alias("evidence_type"))
+    return named_weights(rows)
+
+
 def views(cluster_a: DataFrame, cluster_b: DataFrame) -> DataFrame:
     """(view, source, target, weight): the six views of two clusters' edges in one table."""
     pick = lambda df, v: df.select(F.lit(v).alias("view"), "source", "target", "weight")

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from guildspark.functions.scalars import evidence_type, threshold_label, weight_type
+
+from .ranks import first_rows
+
 
 def pair_key(a: str = "source", b: str = "target") -> Column:
     return F.concat_ws("::", F.least(a, b), F.greatest(a, b))
@@ -31,6 +35,26 @@ def graph_stats(edges: DataFrame) -> DataFrame:
     return e.join(nodes, "condition").select("condition", "node_count", "edge_count", "mean_weight", "negative", "positive", ratio.alias("np_ratio"))
 
 
+def labelled_stats(pairs: DataFrame, kept: DataFrame, stats: DataFrame, method: str, max_p: float | None, min_abs: float) -> DataFrame:
+    """The statistics of each condition's graph with its counts of pairs, its thresholds, and the labels of what they bound.
+
+    Conditions without an edge have a row too. max_p None: the method selects edges itself, and the count is of selected pairs."""
+    count = lambda df, name: df.groupBy("condition").agg(F.count("*").alias(name))
+    chosen = "selected_pairs" if max_p is None else "significant_pairs"
+    rows = count(pairs, "total_pairs").join(count(kept, chosen), "condition", "left").join(stats, "condition", "left")
+    zero = [F.coalesce(c, F.lit(0)).alias(c) for c in (chosen, "node_count", "edge_count", "negative", "positive")]
+    m = F.lit(method)
+    return rows.select(
+        "condition", "total_pairs", *zero, "mean_weight", "np_ratio", F.lit(max_p).cast("double").alias("p_value_threshold"), F.lit(max_p is not None).alias("p_value_threshold_applied"),
+        F.lit(float(min_abs)).alias("correlation_threshold"), threshold_label(m).alias("correlation_threshold_label"), weight_type(m).alias("weight_type"), evidence_type(m).alias("evidence_type"),
+    )
+
+
+def preview(df: DataFrame, order: list, rows: int = 200) -> DataFrame:
+    """The first rows of a table in an order, as a table view shows them."""
+    return first_rows(df, rows, order)
+
+
 def sign_stats(edges: DataFrame) -> DataFrame:
     w = F.col("weight")
     share = lambda c: F.coalesce(F.try_divide(c, F.count("*")), F.lit(0.0))

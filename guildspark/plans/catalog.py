@@ -373,6 +373,32 @@ def gr1_nodes(spark, sf):
 STATS = f"with {EDGES}, nn as (select condition, count(distinct id) as node_count from (select condition, unnest([source, target]) as id from edges) group by 1)"
 
 
+@query(f"""with {RHO}, {P}, kept as (select * from pv where p <= 0.05 and abs(rho) >= 0.15), nn as (select condition, count(distinct id) as node_count from (select condition, unnest(["left", "right"]) as id from kept) group by 1),
+  e as (select condition, count(*) as n, avg(rho) as w from kept group by 1)
+  select t.condition, total_pairs, coalesce(e.n, 0) as significant_pairs, coalesce(node_count, 0) as node_count, coalesce(e.n, 0) as edge_count, round(e.w, 6) as mean_weight, 0.05::double as p_value_threshold, true as p_value_threshold_applied, 0.15::double as correlation_threshold, 'minimum_absolute_correlation' as correlation_threshold_label, 'correlation' as weight_type, 'pairwise_p_value' as evidence_type
+  from (select condition, count(*) as total_pairs from pv group by 1) t left join e using (condition) left join nn using (condition)""")
+def ag7_labelled_stats(spark, sf):
+    """Statistics of all five segments' graphs with the thresholds that made them."""
+    pairs = cut(S.with_p(rho(spark, sf)), "pairs")
+    kept = S.significant(pairs, 0.05, 0.15)
+    found = N.labelled_stats(pairs, kept, N.graph_stats(N.edges_of(kept)), "spearman", 0.05, 0.15)
+    return found.select("condition", "total_pairs", "significant_pairs", "node_count", "edge_count", F.round("mean_weight", 6).alias("mean_weight"), "p_value_threshold", "p_value_threshold_applied", "correlation_threshold", "correlation_threshold_label", "weight_type", "evidence_type")
+
+
+@query(f"with {RHO} select condition, \"left\", \"right\", round(rho, 6) + 0.0 as rho, n from rho order by condition, \"left\", \"right\" limit 200")
+def tk5_preview(spark, sf):
+    return N.preview(rho(spark, sf), ["condition", "left", "right"]).select("condition", "left", "right", r6("rho").alias("rho"), "n")
+
+
+@query(f"with {CELLS}, al as (select feature, avg(value) as a from cells group by 1), ow as (select condition, feature, avg(value) as o from cells group by 1, 2), r as (select c.condition, al.feature, case when a > 0 then coalesce(o, 0) / a else 1 end as ratio from al cross join (select distinct condition from m) c left join ow on ow.condition = c.condition and ow.feature = al.feature), x as (select condition, greatest(1, max(ratio)) as most from r group by 1) select condition, feature, round(0.8 + 3 * greatest(0.1, least(1, case when ratio > 0 then ratio else 1 end / most)), 6) as border from r join x using (condition)")
+def sc26_node_borders(spark, sf):
+    from guildspark.functions.scalars import node_border
+
+    ratios = A.overabundance(demo.bacteria(spark, sf), demo.conditions(spark, sf))
+    most = Window.partitionBy("condition")
+    return ratios.select("condition", "feature", F.round(node_border(F.col("ratio"), F.max("ratio").over(most)), 6).alias("border"))
+
+
 @query(f"{STATS} select condition, node_count, count(*) as edge_count, round(avg(weight), 6) as mean_weight from edges join nn using (condition) group by 1, 2")
 def ag7_graph_stats(spark, sf):
     return N.graph_stats(edges(spark, sf)).select("condition", "node_count", "edge_count", F.round("mean_weight", 6).alias("mean_weight"))
@@ -460,6 +486,24 @@ def ex1_export_edges(spark, sf):
     return X.export_edges(one(edges(spark, sf), "FURNITURE"), "FURNITURE").select("condition", "source", "target", "weight", "weight_type", "sign", "method")
 
 
+FORM = "'correlation' as weight_type, case when weight > 0 then 'positive' when weight < 0 then 'negative' else 'neutral' end as sign, null::double as p_value, 'pairwise_p_value' as evidence_type, weight as correlation, null::double as selection_stability, null::double as weight"
+
+
+@query(f"with {NODES} select 'FURNITURE' as condition, source, target, {FORM} from ca union all select 'MACHINERY', source, target, {FORM} from cb")
+def ex2_cluster_edges(spark, sf):
+    _, _, _, _, ca, cb = two_clusters(spark, sf)
+    return X.export_derived_edges(ca, "FURNITURE").unionByName(X.export_derived_edges(cb, "MACHINERY"))
+
+
+@query(f"with {NODES}, {EXCLUSIVE}, x as (select node from xa union all select node from xb), v as (select 'exclusive' as view, 'FURNITURE' as condition, source, target, weight as w from ca where k not in (select k from cb) and source in (select node from xa) and target in (select node from xa) union all select 'exclusive', 'MACHINERY', source, target, weight from cb where k not in (select k from ca) and source in (select node from xb) and target in (select node from xb) union all select 'complement', 'FURNITURE', source, target, weight from ca where k not in (select k from cb) and source in (select node from x) and target in (select node from x) union all select 'complement', 'MACHINERY', source, target, weight from cb where k not in (select k from ca) and source in (select node from x) and target in (select node from x)) select view, condition, source, target, {FORM.replace('weight > 0', 'w > 0').replace('weight < 0', 'w < 0').replace('weight as correlation', 'w as correlation')} from v")
+def ex3_derived_edges(spark, sf):
+    """The exclusive and the complement edges of both clusters in the form of a download."""
+    _, _, na, nb, ca, cb = two_clusters(spark, sf)
+    side = F.when(F.col("side") == "A", "FURNITURE").otherwise("MACHINERY")
+    parts = {"exclusive": X.export_derived_edges(X.exclusive_edges(ca, cb, na, nb), "FURNITURE").unionByName(X.export_derived_edges(X.exclusive_edges(cb, ca, nb, na), "MACHINERY")), "complement": X.export_derived_edges(X.complement_edges(ca, cb, na, nb), side)}
+    return parts["exclusive"].withColumn("view", F.lit("exclusive")).unionByName(parts["complement"].withColumn("view", F.lit("complement")))
+
+
 @query(f"with {NODES} select a.source, a.target, case when sign(a.weight) = sign(b.weight) then 'same sign' when a.weight < 0 then 'negative in FURNITURE → positive in MACHINERY' else 'positive in FURNITURE → negative in MACHINERY' end as relation from ca a join cb b using (k)")
 def ex4_intersection_export(spark, sf):
     *_, ca, cb = two_clusters(spark, sf)
@@ -748,6 +792,16 @@ def _swept(mode: str, weight: str) -> str:
 SWEPT = {"phi": [0.2, 0.4, 0.75, 1.5], "b": [1, 4, 6], "min_cut_size": [1, 3, 8]}
 
 
+def swept(spark, e: DataFrame, s: DataFrame, p: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The settings of SWEPT for the seeds of both networks and weight modes, and what each selects from the fixed vectors."""
+    each = F.explode(F.array(F.lit("weighted"), F.lit("unweighted"))).alias("mode")
+    vectors = p.select("*", each).withColumn("condition", F.concat_ws("/", "condition", "mode")).select("condition", "node", "p")
+    prefixes = cut(C.sweep(XP.in_modes(e), vectors), "prefixes")
+    settings = XP.sweep_settings(spark, LADDER, SWEPT)
+    asked = cut(s.select("condition", "node", each).crossJoin(settings).withColumn("network", F.col("condition")).withColumn("condition", F.concat_ws("/", "condition", "mode")).withColumn("setting", F.xxhash64("condition", "node", "parameter", "value")), "settings")
+    return asked, C.select_each(prefixes, asked)
+
+
 @query(
     f"""with {WALK}, {_swept('weighted', 'abs(weight)')}, {_swept('unweighted', '1.0')},
   pf as (select * from pf_weighted union all select * from pf_unweighted),
@@ -765,13 +819,31 @@ SWEPT = {"phi": [0.2, 0.4, 0.75, 1.5], "b": [1, 4, 6], "min_cut_size": [1, 3, 8]
 def xp5_parameter_table(spark, sf):
     """Ladders as rows of a table over two networks in both weight modes, on fixed vectors."""
     e, s, p = walk(spark, sf)
-    each = F.explode(F.array(F.lit("weighted"), F.lit("unweighted"))).alias("mode")
-    vectors = p.select("*", each).withColumn("condition", F.concat_ws("/", "condition", "mode")).select("condition", "node", "p")
-    prefixes = cut(C.sweep(XP.in_modes(e), vectors), "prefixes")
-    settings = XP.sweep_settings(spark, LADDER, SWEPT)
-    asked = cut(s.select("condition", "node", each).crossJoin(settings).withColumn("network", F.col("condition")).withColumn("condition", F.concat_ws("/", "condition", "mode")).withColumn("setting", F.xxhash64("condition", "node", "parameter", "value")), "settings")
-    found = C.select_each(prefixes, asked).select("setting", "step", "size", "score", "volume")
-    return asked.join(found, "setting").select("parameter", "value", "network", "mode", "step", F.col("size").cast("int").alias("size"), F.round("score", 6).alias("score"), F.round("volume", 6).alias("volume"))
+    asked, found = swept(spark, e, s, p)
+    return asked.join(found.select("setting", "step", "size", "score", "volume"), "setting").select("parameter", "value", "network", "mode", "step", F.col("size").cast("int").alias("size"), F.round("score", 6).alias("score"), F.round("volume", 6).alias("volume"))
+
+
+@query(
+    f"""with {WALK}, {_swept('weighted', 'abs(weight)')}, {_swept('unweighted', '1.0')},
+  pf as (select * from pf_weighted union all select * from pf_unweighted),
+  st as (select parameter, value, phi::double as phi, b, least_k from (values (null, null, 0.75, 4, 3), ('phi', 0.2, 0.2, 4, 3), ('phi', 0.4, 0.4, 4, 3), ('phi', 1.5, 1.5, 4, 3), ('b', 1.0, 0.75, 1, 3), ('b', 6.0, 0.75, 6, 3), ('min_cut_size', 1.0, 0.75, 4, 1), ('min_cut_size', 8.0, 0.75, 4, 8)) as s(parameter, value, phi, b, least_k)),
+  runs as (select seeds.condition, seeds.node, mode, st.*, row_number() over () as run from seeds, (values ('weighted'), ('unweighted')) as x(mode), st),
+  rung as (select * from (values (0, 1, 1.0, 1.0, true), (1, 2, 1.0, 1.0, false), (2, 3, 2.0, 1.0, false), (3, 3, 4.0, 1.0, false), (4, 4, 1.0, 1.25, false), (5, 4, 1.0, 1.5, false), (6, 4, 1.0, 1.75, false), (7, 4, 1.0, 2.0, false)) as r(rung, step, down, up, mass_too)),
+  ad as (select runs.run, runs.phi, pow(2.0, runs.b - 1) as fl, pf.* from runs join pf on pf.condition = runs.condition and pf.mode = runs.mode left join pf own on own.condition = runs.condition and own.mode = runs.mode and own.node = runs.node where pf.k >= greatest(runs.least_k, coalesce(own.k, 1))),
+  tag as (select ad.*, rung, step, score as key from ad, rung where volume > fl / down and score < phi * up and (not mass_too or mass > 1.0 / (48 * ceil(log2(greatest(m, 2)))))
+    union all select ad.*, 8, 5, score / phi + 0.5 * case when volume < fl then log2(fl / volume) else 0 end - 0.1 * least(mass, 1) from ad where volume > 0),
+  fs as (select *, min(rung) over (partition by run) as fr from tag), bs as (select *, min(key) over (partition by run) as best from fs where rung = fr),
+  won as (select run, step, min(k) as k from bs where case when step = 5 then key = best else key <= best * 1.1 end group by 1, 2)
+  select runs.parameter, runs.value::double as value, runs.condition as network, runs.mode, coalesce(won.step, 0)::int as step, case won.step when 4 then [0, 0, 0, 0, 1.25, 1.5, 1.75, 2.0][r.rung::int + 1] end::double as phi_relax_factor, case won.step when 3 then r.rung::int - 1 end::double as scale_relaxation, round(case won.step when 5 then pf.score / runs.phi end, 6) as penalty_quality,
+  round(case won.step when 5 then case when pf.volume < pow(2.0, runs.b - 1) then 0.5 * log2(pow(2.0, runs.b - 1) / pf.volume) else 0 end end, 6) as penalty_volume, round(case won.step when 5 then -0.1 * least(pf.mass, 1) end, 6) as penalty_mass, (won.k - 1)::int as sweep_index
+  from runs left join won using (run) left join (select distinct run, fr as rung from bs) r using (run) left join pf on pf.condition = runs.condition and pf.mode = runs.mode and pf.k = won.k"""
+)
+def gr6_relaxations(spark, sf):
+    """What the ladder gave way in, for the settings, networks and modes of xp5_parameter_table."""
+    e, s, p = walk(spark, sf)
+    asked, found = swept(spark, e, s, p)
+    told = C.relaxations(asked.drop("condition", "node").join(found.drop("condition", "node"), "setting"))
+    return told.select("parameter", "value", "network", "mode", "step", "phi_relax_factor", r6("scale_relaxation").alias("scale_relaxation"), r6("penalty_quality").alias("penalty_quality"), r6("penalty_volume").alias("penalty_volume"), r6("penalty_mass").alias("penalty_mass"), F.col("sweep_index").cast("int").alias("sweep_index"))
 
 
 @query()

@@ -214,9 +214,9 @@ def write_tables(cells: DataFrame, path: str, separator: str = ",", transposed:
     every.select("block", "value").write.mode(mode).partitionBy("block").text(path)
 
 
-def write_with_header(lines: DataFrame, header: DataFrame, path: str, rows_per_file: int = 1_000_000) -> None:
+def write_with_header(lines: DataFrame, header: DataFrame, path: str, rows_per_file: int = 1_000_000, line_end: str = "\n") -> None:
     """Writes lines (value) as files of up to about rows_per_file lines, each with the one-row header on top. The order of lines is not kept."""
     blocks = -(-lines.count() // rows_per_file) or 1
     own = lines.select(F.pmod(F.xxhash64("value"), F.lit(blocks)).cast("int").alias("block"), F.lit(1).alias("o"), "value")
     tops = header.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(0).alias("o"), "value")
-    tops.unionByName(own).repartition("block").sortWithinPartitions("block", "o").select("block", "value").write.partitionBy("block").text(path)
+    tops.unionByName(own).repartition("block").sortWithinPartitions("block", "o").select("block", "value").write.option("lineSep", line_end).partitionBy("block").text(path)

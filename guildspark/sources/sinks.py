@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from guildspark.functions.scalars import evidence_type, weight_type
 
+from .cells import write_with_header
 from .commits import Versions
 
 PAIR_COLUMNS = ("row", "column", "cor", "p", "weight_type", "evidence_type", "selection_method", "selected")
@@ -63,6 +64,24 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.select(*flat).write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').csv(path)
 
 
+def csv_lines(df: DataFrame) -> tuple[DataFrame, str]:
+    """Rows as lines (value) of RFC 4180 and their header: a field is quoted only if it holds a comma, a quote or a line end, null is an empty field."""
+
+    def field(x: Column) -> Column:
+        text = F.coalesce(x, F.lit(""))
+        return F.when(text.rlike('[",\\r\\n]'), F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text)
+
+    cells = [F.to_json(F.col(f"`{c}`")) if t.startswith(("struct", "array", "map")) else F.col(f"`{c}`").cast("string") for c, t in df.dtypes]
+    quoted = ['"' + c.replace('"', '""') + '"' if any(x in c for x in '",\r\n') else c for c in df.columns]
+    return df.select(F.concat_ws(",", *[field(c) for c in cells]).alias("value")), ",".join(quoted)
+
+
+def write_csv_crlf(df: DataFrame, path: str) -> None:
+    """Comma-separated files whose lines end in CR and LF, a header in each, as spreadsheets expect them."""
+    lines, header = csv_lines(df)
+    write_with_header(lines, df.sparkSession.createDataFrame([(header,)], "value string"), path, line_end="\r\n")
+
+
 def export(df: DataFrame, path: str, fmt: str) -> None:
     if fmt not in ("csv", "json"):
         raise ValueError(f"unknown export format: {fmt}")
