@@ -35,6 +35,8 @@ from .common import fresh, partitions
 
 GRAM = 20
 SCREEN_BYTES = 6
+#: Samples whose surroundings are laid out at a time, before equal ones are united.
+PIECE = 1 << 14
 
 
 def sliding(a: np.ndarray, size: int, best) -> np.ndarray:
@@ -113,22 +115,29 @@ class _Slice:
 
     def __init__(self, own: pa.Table, got: pa.Table, size: int, n_tiles: int):
         (shared,) = R.told(got, 1)
-        self.batches, found, ids, tiles = [], [], [], []
+        self.batches, found, ids, tiles, places, n = [], [], [], [], [], 0
         for batch in R.subs(R.unpack(own)) if own.num_rows else ():
             sub = R.Sub(batch)
             s = _Samples(sub, size)
             keys, to = s.screen(n_tiles)
             pick = np.flatnonzero(R.lookup(R.joint(keys, to), shared) >= 0)
-            found.append(surroundings(s, sub, pick, size))
             ids.append(sub.ids[s.doc[pick]])
-            tiles.append(to[pick])
+            for at in range(0, len(pick), PIECE):  # a long text has many samples, and often few different ones
+                piece = pick[at : at + PIECE]
+                rows = surroundings(s, sub, piece, size)
+                first, place = distinct_rows(rows)
+                found.append(rows[first])
+                tiles.append(to[piece][first])
+                places.append(place + n)
+                n += len(first)
             self.batches.append((batch, s.at[pick], len(pick)))
             del s, sub
         self.ids = np.concatenate(ids) if ids else np.zeros(0, np.int64)
         self.rows, first, self.place = np.zeros((0, 2), np.uint8), None, np.zeros(0, np.int64)
         if len(self.ids):
             rows = np.concatenate(found)
-            first, self.place = distinct_rows(rows)
+            first, place = distinct_rows(rows)
+            self.place = place[np.concatenate(places)]
             self.rows, self.tiles = rows[first], np.concatenate(tiles)[first]
             self.low = np.full(len(first), R.NO_ID)
             np.minimum.at(self.low, self.place, self.ids)
