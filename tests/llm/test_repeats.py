@@ -116,18 +116,19 @@ def test_long_text_of_one_character(spark):
     assert got == {1: (3 << 20, []), 2: (102, [(1, 101)]), 3: (49, []), 4: (0, [])}
 
 
-def test_pieces_of_samples(spark, monkeypatch):
-    """Pieces of any size give the surroundings that one piece gives."""
-    import random
+def test_pieces_unite_as_one():
+    """Distinct rows of pieces, united, are the distinct rows of the whole, in the same order."""
+    import numpy as np
 
     from guildspark.llm import suffixes
 
-    rng = random.Random(4)
-    base = ["".join(rng.choice("ab ") for _ in range(rng.randint(60, 300))) for _ in range(6)]
-    docs = spark.createDataFrame([(i, rng.choice(base) + rng.choice(base)) for i in range(30)], "doc_id long, text string")
-    rows = []
-    for piece in (1 << 14, 7):
-        monkeypatch.setattr(suffixes, "PIECE", piece)
-        found, c = suffixes.deduplicate(docs)
-        rows.append(sorted((r["doc_id"], bytes(r[c["kept"]])) for r in found.collect()))
-    assert rows[0] == rows[1]
+    rows = np.random.default_rng(5).integers(0, 2, (500, 5)).astype(np.uint8)
+    first, place = suffixes.distinct_rows(rows)
+    kept, places, n = [], [], 0
+    for at in range(0, 500, 37):
+        f, p = suffixes.distinct_rows(rows[at : at + 37])
+        kept.append(rows[at : at + 37][f])
+        places.append(p + n)
+        n += len(f)
+    again, where = suffixes.distinct_rows(np.concatenate(kept))
+    assert (np.concatenate(kept)[again] == rows[first]).all() and (where[np.concatenate(places)] == place).all()
