@@ -210,10 +210,10 @@ def json_safe(c: Column) -> Column:
 
 
 def markdown(df: DataFrame, limit: int = 200) -> str:
-    """A table of a report's aggregates."""
-    rows = df.limit(limit).collect()
+    """A table of a report's aggregates; one that is longer than `limit` rows ends with a line that says so."""
+    rows = df.limit(limit + 1).collect()
     line = lambda xs: "| " + " | ".join("" if x is None else str(x) for x in xs) + " |"
-    return "\n".join([line(df.columns), line("---" for _ in df.columns), *[line(r) for r in rows]])
+    return "\n".join([line(df.columns), line("---" for _ in df.columns), *[line(r) for r in rows[:limit]], *([f"The first {limit} rows; the table has more."] if len(rows) > limit else [])])
 
 
 class Snapshots:

@@ -111,8 +111,11 @@ def distinct_conditions(metadata: DataFrame) -> DataFrame:
     return metadata.where("condition is not null and trim(condition) <> ''").groupBy("condition").agg(F.countDistinct("sample_id").alias("n_samples"))
 
 
-def require_two_conditions(metadata: DataFrame) -> list[str]:
-    found = [r[0] for r in distinct_conditions(metadata).select("condition").orderBy("condition").limit(1001).collect()]
+def require_two_conditions(metadata: DataFrame, most: int = 1000) -> list[str]:
+    """The conditions by name; under two of them, or more than `most`, are an error."""
+    found = [r[0] for r in distinct_conditions(metadata).select("condition").orderBy("condition").limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"more than {most} conditions: the column is no grouping of samples")
     if len(found) < 2:
         raise ValueError("at least two conditions are needed")
     return found

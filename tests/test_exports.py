@@ -72,3 +72,26 @@ def test_relaxations_by_step(spark):
     chosen = spark.createDataFrame([("c", 1, 2), ("d", 0, 1)], "condition string, step int, size int")
     seeds = spark.createDataFrame([("c", "a"), ("d", "q")], "condition string, node string")
     assert {tuple(r) for r in C.ranked_scores(prefixes, seeds, chosen, vector).collect()} == {("c", "b", 0.4, 1), ("c", "a", 0.1, 2), ("d", "q", 0.0, 1)}
+
+
+def test_cut_tables_say_so(spark):
+    from guildspark.sources import tables
+
+    df = spark.range(5).selectExpr("id", "cast(null as string) as note")
+    assert sinks.markdown(df, 5).count("\n") == 6 and "has more" not in sinks.markdown(df, 5)
+    assert sinks.markdown(df.orderBy("id"), 2).splitlines()[-1] == "The first 2 rows; the table has more." and "| 2 |" not in sinks.markdown(df.orderBy("id"), 2)
+    meta = spark.range(6).selectExpr("id as sample_id", "cast(id % 3 as string) as condition")
+    assert tables.require_two_conditions(meta) == ["0", "1", "2"] and tables.require_two_conditions(meta, 3) == ["0", "1", "2"]
+    with pytest.raises(ValueError, match="more than 2"):
+        tables.require_two_conditions(meta, 2)
+    with pytest.raises(ValueError):
+        tables.require_two_conditions(meta.where("id = 0"))
+
+
+def test_rebuild_of_the_history(spark, tmp_path):
+    h = sinks.Archive(spark, str(tmp_path / "h"))
+    h.upsert(spark.createDataFrame([("a", "A", "completed", 5)], "id string, analysis_name string, status string, updated_at long"))
+    h.rebuild(spark.createDataFrame([("a", "sa", 1), ("b", "sb", 7)], "id string, summary string, updated_at long"))
+    got = {r["id"]: r for r in h.entries().collect()}
+    assert (got["a"]["analysis_name"], got["a"]["summary"], got["a"]["updated_at"]) == ("A", "sa", 5)
+    assert (got["b"]["analysis_name"], got["b"]["summary"], got["b"]["created_at"]) == ("Recovered analysis", "sb", 7)
