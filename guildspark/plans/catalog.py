@@ -611,12 +611,36 @@ def gr2_push_by_joins(spark, sf):
     return found.select("condition", "seed", F.round("mass", 9).alias("mass"), r6("gap").alias("gap"), (F.col("over") < 1).alias("under_bar"), "converged")
 
 
+@query(SQL["gr2_push_by_joins"])
+def gr2_push_audit(spark, sf):
+    """The same audit of the pushes in queue order."""
+    e = edges(spark, sf)
+    runs = N.degrees(e).select(F.xxhash64("condition", "node").alias("run_id"), "condition", "node", F.lit(0.15).alias("alpha"), F.lit(1e-5).alias("epsilon"), F.lit(None).cast("long").alias("order_seed"))
+    found = WK.push_audit(e, runs, cut(C.push(e, runs, weighted=False), "pushed"), weighted=False)
+    return found.select("condition", "seed", F.round("mass", 9).alias("mass"), r6("gap").alias("gap"), (F.col("over") < 1).alias("under_bar"), "converged")
+
+
 @query()
 def gr8_cluster(spark, sf):
     e = edges(spark, sf)
     return C.cluster(e, seeds_of(e), C.Ladder(b=4))[0]
 
 
+@query(f"with {DEG}, {SEEDS} select condition, node as seed, true as seed_inside, true as size_told, true as within_half, 0.0::double as conductance_gap, true as push_converged from seeds")
+def gr8_audit(spark, sf):
+    """What must hold of every cluster, recomputed from its members and the graph: the seed is inside, the report's size and conductance are theirs, and they have half of the volume at most."""
+    e = edges(spark, sf)
+    s = seeds_of(e)
+    found, _, report = C.cluster_with_report(e, s, C.Ladder(b=4))
+    found = cut(found, "members")
+    own = found.groupBy("condition").agg(F.count("*").alias("members"))
+    inside = found.join(s, ["condition", "node"]).select("condition", F.lit(True).alias("seed_inside"))
+    whole = C.conductance(e, found).select("condition", F.col("volume").alias("v"), "total", F.col("conductance").alias("c"))
+    both = s.withColumnRenamed("node", "seed").join(report, "condition").join(own, "condition").join(inside, "condition", "left").join(whole, "condition")
+    gap = F.when(F.col("step") == 0, 0.0).otherwise(r6(F.abs(F.col("c") - F.col("score"))))
+    return both.select("condition", "seed", F.coalesce("seed_inside", F.lit(False)).alias("seed_inside"), (F.col("members") == F.col("size")).alias("size_told"), ((F.col("v") <= F.col("total") / 2) | (F.col("step") == 0)).alias("within_half"), gap.alias("conductance_gap"), "push_converged")
+
+
 @query()
 def gr9_signed_cluster(spark, sf):
     e = edges(spark, sf)
