@@ -870,7 +870,11 @@ def gr6_relaxations(spark, sf):
     return told.select("parameter", "value", "network", "mode", "step", "phi_relax_factor", r6("scale_relaxation").alias("scale_relaxation"), r6("penalty_quality").alias("penalty_quality"), r6("penalty_volume").alias("penalty_volume"), r6("penalty_mass").alias("penalty_mass"), F.col("sweep_index").cast("int").alias("sweep_index"))
 
 
-@query()
+@query(
+    f"""with {WALK}, {_swept('unweighted', '1.0').replace('volume <= floor(total_volume / 2)', 'volume < floor(total_volume * 2 / 3)')}
+  select condition, k::int as size, score, volume from pf_unweighted where volume > 4 and score < 0.9 and mass > 1.0 / (48 * ceil(log2(greatest(m, 2))))
+  qualify row_number() over (partition by condition order by score, k) = 1"""
+)
 def gr3_legacy_nibble(spark, sf):
     e, _, p = walk(spark, sf)
     return C.legacy_nibble(e, p, phi=0.9, b=3)
