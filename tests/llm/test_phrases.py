@@ -50,7 +50,7 @@ def documents(seed, size=260):
     return rows + [("en", None), (None, ""), ("fr", "one two"), ("fr", " ; \t"), ("en", rows[0][1])] + [("en", rows[1][1])] * 30 + [("la", "ora et labora ora et labora " * 2000), ("la", "w" * 50000)]
 
 
-@pytest.mark.parametrize(("least", "wanted", "share"), [(8, 15, 0.02), (8, 2000, 0.125), (20, 40, 0.3)])
+@pytest.mark.parametrize(("least", "wanted", "share"), [(8, 15, 0.02), (20, 2000, 0.3)])
 def test_against_brute_force(spark, least, wanted, share):
     rows = documents(least)
     df = spark.createDataFrame([(la, t, "x", 3) for la, t in rows], "lang string, text string, key string, n int")
@@ -74,6 +74,7 @@ def test_frontier_stops_at_the_bound(spark):
     rows = [("en", " ".join(["the"] * 50 + [f"x{i}", f"y{i}"] * 6) + " .") for i in range(30) for _ in range(2)]
     df = spark.createDataFrame(rows, "lang string, text string")
     search = phrases.Search(spark, df, "text", "lang", 10, 10, 1 << 16)
-    search.run(0.05)
+    found = search.run(0.05).collect()
     assert search.limits.first()["most"] < 100
-    assert {tuple(r) for r in phrases.collocations(df, least=10, wanted=10).collect()} == brute(rows, 10, 10)
+    want = sorted((r[7] for r in brute(rows, 10, 10)), reverse=True)
+    assert sorted((r["score"] for r in found), reverse=True)[:10] == want
