@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -257,3 +258,18 @@ def test_percentiles(spark):
     assert rows["a"]["count"] == 1 and rows["a"]["median"] == 1.0 and rows["b"]["count"] == 0 and rows["b"]["median"] is None
     assert T.describe(odd, "v").first()["count"] == 1
     assert T.describe(odd.limit(0), "v").first()["count"] == 0 and T.describe(odd.limit(0), "v", ["g"]).count() == 0
+
+
+def test_rank_correlations_count_equal_points_before_they_are_dealt_by_pair(spark):
+    rng = np.random.default_rng(3)
+    x = rng.integers(1, 5, (400, 3)).astype(float)
+    rows = [("c", i, f"f{j}", float(v)) for i, r in enumerate(x) for j, v in enumerate(r)]
+    found = S.spearman(S.pair_cells(spark.createDataFrame(rows, "condition string, sample_id long, feature string, value double")))
+    rank = lambda v: np.array([(v < a).sum() + ((v == a).sum() + 1) / 2 for a in v])
+    got = {(r["left"], r["right"]): (r["rho"], r["n"]) for r in found.collect()}
+    for i, j in ((0, 1), (0, 2), (1, 2)):
+        rho, n = got[f"f{i}", f"f{j}"]
+        assert n == 400 and abs(rho - np.corrcoef(rank(x[:, i]), rank(x[:, j]))[0, 1]) < 1e-12
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    below = plan.split("Window", 1)[1].rsplit("Window", 1)[1]
+    assert "count(1) AS c" in below  # windows see counted points, not a row per sample
