@@ -140,11 +140,13 @@ def src2_metadata_files(spark, sf):
 
 @query("with b as (select l_suppkey as sample_id, p_brand as feature, sum(l_quantity) as value from lineitem join part on l_partkey = p_partkey group by 1, 2) select feature, sample_id::varchar as sample_id, value from b")
 def src5_transposed_unpivot(spark, sf):
-    from guildspark.sources.tables import unpivot
+    """A table with its samples as columns, as files of some thousand columns each, read back into long cells."""
+    from guildspark.sources import cells as FC
+    from guildspark.sources.staging import shared_folder
 
-    wide = demo.dense(spark, sf).groupBy(F.col("feature").alias("id")).pivot("sample_id").agg(F.first("value"))
-    names = [c for c in wide.columns if c != "id"]
-    return unpivot(wide.select("id", *[F.col(f"`{c}`").cast("string").alias(c) for c in names]), transposed=True).select("feature", "sample_id", "value")
+    path, own = shared_folder(spark, "transposed"), cut(demo.dense(spark, sf), "cells")
+    FC.write_tables(own, path, "\t", transposed=True)
+    return FC.long_cells(FC.read_cells(spark, [path]), own.select("sample_id")).select("feature", "sample_id", "value")
 
 
 @query("select event_id, case when regexp_matches(trim(v), '^[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?$') then trim(v)::double end as value from (select event_id, case event_id % 4 when 0 then ' ' || value::varchar || ' ' when 1 then 'n/a' when 2 then '' else (event_id)::varchar || 'd' end as v from events)")

@@ -87,3 +87,13 @@ def test_round_trip(spark, tmp_path, separator, transposed):
     if separator == ",":
         with pytest.raises(Exception, match="several fields"):
             FC.write_tables(spark.createDataFrame([("s", "a;b", 1.0)], cells.schema), str(tmp_path / "bad"), separator)
+
+
+def test_a_table_with_more_samples_than_a_plan_has_columns_is_unpivoted(spark, tmp_path):
+    from guildspark.plans import catalog
+
+    n = 10_500  # more than spark.sql.pivotMaxValues
+    spark.range(n).selectExpr("id % 3 as l_partkey", "id as l_suppkey", "cast(id % 7 + 1 as double) as l_quantity").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(3).selectExpr("id as p_partkey", "concat('b', id) as p_brand").write.parquet(f"{tmp_path}/part.parquet")
+    got = {(r["feature"], r["sample_id"], r["value"]) for r in catalog.QUERIES["src5_transposed_unpivot"](spark, str(tmp_path)).collect()}
+    assert got == {(f"b{i % 3}", str(i), float(i % 7 + 1)) for i in range(n)}
