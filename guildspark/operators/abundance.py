@@ -159,8 +159,8 @@ def non_empty_samples(abundance: DataFrame) -> DataFrame:
 
 
 def drop_events(features: DataFrame, reason: str) -> DataFrame:
-    """One row for features that a method drops: count, the first names and whether the list was cut."""
-    first = features.select("feature").orderBy("feature").limit(DROP_ITEMS).agg(F.sort_array(F.collect_list("feature")).alias("items"))
+    """One row for features that a method drops: count, the first names (null if none) and whether the list was cut."""
+    first = features.select("feature").orderBy("feature").limit(DROP_ITEMS).agg(F.nullif(F.sort_array(F.collect_list("feature")), F.array().cast("array<string>")).alias("items"))
     n = features.agg(F.count("*").alias("dropped"))
     return n.crossJoin(first).select(F.lit(reason).alias("reason"), "dropped", "items", (F.col("dropped") > DROP_ITEMS).alias("truncated"))
 

@@ -273,3 +273,11 @@ def test_rank_correlations_count_equal_points_before_they_are_dealt_by_pair(spar
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     below = plan.split("Window", 1)[1].rsplit("Window", 1)[1]
     assert "count(1) AS c" in below  # windows see counted points, not a row per sample
+
+
+def test_a_report_of_no_dropped_features_has_no_list(spark):
+    from guildspark.operators import abundance as A
+
+    none = spark.createDataFrame([], "feature string")
+    (row,) = A.drop_events(none, "filtered").withColumn("items", F.array_join("items", ",")).collect()
+    assert (row["dropped"], row["items"], row["truncated"]) == (0, None, False)
