@@ -6,6 +6,10 @@ are sent to one lane per PER_LANE repeats, each lane runs its repeats with NumPy
 statistics or selections per repeat) is reduced by group-bys. Every repeat seeds its own generator from
 (seed, repeat), so results do not depend on partitioning.
 
+CCLasso, SPIEC-EASI and SPRING gather no condition in a task. Its samples are numbered by name and dealt into blocks; a repeat
+is a weight per number, drawn in every block from the same generator. The first two need sums over the blocks only (moments), SPRING
+the columns of a few features at a time, for Kendall's tau. SparCC draws and shuffles whole matrices and still gets them.
+
 Features constant over a condition's samples are dropped first; too few samples or features give no rows."""
 
 from __future__ import annotations
@@ -19,6 +23,13 @@ from pyspark.sql import functions as F
 
 from guildspark.sources.staging import cut
 
+from . import abundance as A
+from .ranks import row_numbers
+
+#: Cells of a block of samples.
+BLOCK_CELLS = 1 << 19
+#: Features whose columns go together to the tasks that compare them.
+COLUMNS = 4
 #: Repeats of a lane; the number of lanes grows with the repeats.
 PER_LANE = 4
 PAIRS = "condition string, repeat long, left string, right string, value double"
@@ -53,25 +64,126 @@ def repeats(cells: DataFrame, n: int, kernel, min_samples: int = 3, drop_empty:
     return sent.groupBy("condition", "lane").applyInArrow(run, PAIRS)
 
 
-class Once:
-    """f, with its value for the last matrix kept, as a lane asks for the same one in each of its repeats."""
+def features_of(own: DataFrame) -> DataFrame:
+    """(condition, feature, c, p): the varying features of each condition, numbered by name, and how many they are."""
+    w = Window.partitionBy("condition")
+    return A.varying_by_condition(own).select("condition", "feature", (F.row_number().over(w.orderBy("feature")) - 1).alias("c"), F.count("*").over(w).cast("int").alias("p"))
+
+
+def blocks(cells: DataFrame, min_samples: int, drop_empty: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(condition, block, start, rows, n, p, r, c, value) of the cells of varying features, r being a sample's number in its block; a sample
+    without such cells has one row with c null. Also (condition, feature, c, p) of the features."""
+    v = F.col("value").cast("double")
+    sound = F.when((v >= 0) & (v < float("inf")), v).otherwise(F.raise_error(F.lit("abundances must be finite and not negative")).cast("double"))
+    own = cut(cells.select("condition", "sample_id", "feature", sound.alias("value")), "cells")
+    if drop_empty:
+        own = cut(own.join(own.groupBy("condition", "sample_id").agg(F.sum("value").alias("t")).where("t > 0").drop("t"), ["condition", "sample_id"], "left_semi"), "cells")
+    names = cut(features_of(own), "features")
+    samples = cut(row_numbers(own.select("condition", "sample_id").distinct(), ["sample_id"], ["condition"], "at"), "samples")
+    sizes = samples.groupBy("condition").agg(F.count("*").alias("n")).where(F.col("n") >= min_samples).join(names.where("p > 1").select("condition", "p").distinct(), "condition")
+    sizes = sizes.withColumn("per", F.greatest(F.floor(F.lit(BLOCK_CELLS) / F.col("p")), 8 * F.col("p")))
+    block = F.floor((F.col("at") - 1) / F.col("per")).cast("int")
+    dealt = samples.join(sizes, "condition").withColumn("block", block).withColumn("start", F.col("block") * F.col("per"))
+    dealt = dealt.select("condition", "sample_id", "block", "start", F.least("per", F.col("n") - F.col("start")).alias("rows"), "n", "p", (F.col("at") - 1 - F.col("start")).cast("int").alias("r"))
+    values = own.join(names.select("condition", "feature", "c"), ["condition", "feature"]).select("condition", "sample_id", "c", "value")
+    return dealt.join(values, ["condition", "sample_id"], "left").drop("sample_id"), names
+
+
+def dense(table: pa.Table) -> np.ndarray:
+    """The block's samples by the condition's varying features, 0 where a cell is missing."""
+    x = np.zeros((table.column("rows")[0].as_py(), table.column("p")[0].as_py()))
+    some = table.filter(table.column("c").is_valid())
+    x[some.column("r").to_numpy(), some.column("c").to_numpy()] = some.column("value").to_numpy()
+    return x
+
+
+def moments(blocked: DataFrame, transform, draws) -> DataFrame:
+    """(condition, repeat, p, sums) of all repeats of draws(n), pairs of a repeat and its weight per sample (None: 1 each).
+
+    transform works on rows of the matrix. sums: the weight, the weighted sums of the columns and of their products."""
+    schema = "condition string, repeat int, block int, p int, sums binary"
+
+    def of_block(table: pa.Table) -> pa.Table:
+        one = {c: table.column(c)[0].as_py() for c in ("condition", "block", "start", "rows", "n", "p")}
+        z = transform(dense(table))
+        out = []
+        for k, w in draws(one["n"]):
+            w = np.ones(len(z)) if w is None else w[one["start"] : one["start"] + one["rows"]].astype(float)
+            wz = z * w[:, None]
+            out.append((k, np.concatenate(([w.sum()], wz.sum(axis=0), (wz.T @ z).ravel())).tobytes()))
+        m = len(out)
+        return pa.table([pa.array([one["condition"]] * m, pa.string()), pa.array([k for k, _ in out], pa.int32()), pa.array([one["block"]] * m, pa.int32()), pa.array([one["p"]] * m, pa.int32()), pa.array([b for _, b in out], pa.binary())], names=["condition", "repeat", "block", "p", "sums"])
+
+    def united(table: pa.Table) -> pa.Table:
+        order = np.argsort(table.column("block").to_numpy())  # one order of additions in any run
+        total = np.sum([np.frombuffer(table.column("sums")[int(i)].as_py()) for i in order], axis=0)
+        return table.slice(0, 1).select(["condition", "repeat", "p"]).append_column("sums", pa.array([total.tobytes()], pa.binary()))
+
+    per = blocked.groupBy("condition", "block").applyInArrow(of_block, schema)
+    return per.groupBy("condition", "repeat").applyInArrow(united, "condition string, repeat int, p int, sums binary")
+
+
+def covariance(sums: np.ndarray, p: int) -> np.ndarray:
+    """Covariance with divisor weight - 1; what rounding leaves of a constant column's variance is 0."""
+    w, first, second = sums[0], sums[1 : p + 1], sums[p + 1 :].reshape(p, p)
+    c = (second - np.outer(first, first) / w) / (w - 1)
+    still = np.diag(c) * (w - 1) <= 1e-13 * np.diag(second)
+    c[still], c[:, still] = 0.0, 0.0
+    return c
+
+
+def correlation(c: np.ndarray) -> np.ndarray:
+    """As correlation_of(), from a covariance."""
+    d = np.sqrt(np.diag(c))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        r = np.clip(c / d[:, None] / d[None, :], -1, 1)
+    return np.where(np.isfinite(r), r, 0.0) * (1 - 1e-8) + 1e-8 * np.eye(len(r))
+
+
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """df by keys over all shuffle partitions: the tasks are few and long, so small ones must not be put together."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
+def in_lanes(parts: DataFrame, names: DataFrame, n: int, kernel) -> DataFrame:
+    """kernel(table of parts, repeats) -> pairs of a repeat and a symmetric matrix; rows (condition, repeat, left, right, value).
+
+    A lane gets the parts of its PER_LANE repeats, and those of repeats up to 0."""
+    lanes = math.ceil(n / PER_LANE)
+    lane = F.when(F.col("repeat") <= 0, F.sequence(F.lit(0), F.lit(lanes - 1))).otherwise(F.array(F.col("repeat") % lanes))
+
+    def run(table: pa.Table) -> pa.Table:
+        condition, own = table.column("condition")[0].as_py(), table.column("lane")[0].as_py()
+        i, j = np.triu_indices(table.column("p")[0].as_py(), 1)
+        out = []
+        for k, got in kernel(table, range(own, n, lanes)):
+            v = got[i, j]
+            some = np.isfinite(v)
+            m = int(some.sum())
+            out.append(pa.table([pa.array([condition] * m, pa.string()), pa.array([k] * m, pa.int64()), pa.array(i[some], pa.int32()), pa.array(j[some], pa.int32()), pa.array(v[some], pa.float64())], names=["condition", "repeat", "i", "j", "value"]))
+        return pa.concat_tables(out) if out else pa.table({"condition": pa.array([], pa.string()), "repeat": pa.array([], pa.int64()), "i": pa.array([], pa.int32()), "j": pa.array([], pa.int32()), "value": pa.array([], pa.float64())})
+
+    rows = spread(parts.withColumn("lane", F.explode(lane)), "condition", "lane").groupBy("condition", "lane").applyInArrow(run, "condition string, repeat long, i int, j int, value double")
+    left, right = (names.select("condition", F.col("c").alias(c), F.col("feature").alias(side)) for c, side in (("i", "left"), ("j", "right")))
+    return rows.join(left, ["condition", "i"]).join(right, ["condition", "j"]).select("condition", "repeat", "left", "right", "value")
 
-    def __init__(self, f):
-        self.f, self.x, self.value = f, None, None
 
-    def __call__(self, x):
-        if x is not self.x:
-            self.x, self.value = x, self.f(x)
-        return self.value
+def sums_of(table: pa.Table) -> tuple[dict[int, np.ndarray], int]:
+    """The sums of moments() by repeat, and the number of features."""
+    return {k: np.frombuffer(b) for k, b in zip(table.column("repeat").to_pylist(), table.column("sums").to_pylist(), strict=True)}, table.column("p")[0].as_py()
 
 
 def matrix(table: pa.Table, drop_empty: bool = False) -> tuple[np.ndarray, list[str]]:
-    samples, features, values = (table.column(c).to_pylist() for c in ("sample_id", "feature", "value"))
-    rows, columns = sorted(set(samples)), sorted(set(features))
-    at_r, at_c = {s: i for i, s in enumerate(rows)}, {f: i for i, f in enumerate(columns)}
+    def numbered(column: str) -> tuple[list, np.ndarray]:
+        coded = table.column(column).combine_chunks().dictionary_encode()
+        names = coded.dictionary.to_pylist()
+        place = np.empty(len(names), np.int64)
+        place[sorted(range(len(names)), key=names.__getitem__)] = np.arange(len(names))
+        return sorted(names), place[coded.indices.to_numpy()]
+
+    (rows, at_r), (columns, at_c) = numbered("sample_id"), numbered("feature")
     x = np.zeros((len(rows), len(columns)))
-    for s, f, v in zip(samples, features, values, strict=True):
-        x[at_r[s], at_c[f]] = v
+    x[at_r, at_c] = table.column("value").to_numpy()
     if (x < 0).any() or not np.isfinite(x).all():
         raise ValueError("abundances must be finite and not negative")
     if drop_empty:
@@ -168,19 +280,20 @@ def centred_logs(x: np.ndarray, pseudo: float = 0.5) -> np.ndarray:
     return logs - logs.mean(axis=1, keepdims=True)
 
 
-def cclasso_penalty(logs: np.ndarray, folds: int, rng: np.random.Generator) -> float:
-    s = np.cov(logs, rowvar=False)
+def cclasso_penalty(parts: list[np.ndarray], p: int) -> float:
+    """The penalty with the least loss over the folds, whose sums are given."""
+    whole = np.sum(parts, axis=0)
+    s = covariance(whole, p)
     grid = np.abs(s - np.diag(np.diag(s))).max() * np.logspace(-3, 0, 10)
-    parts = np.array_split(rng.permutation(len(logs)), folds)
-    f = np.eye(len(s)) - 1.0 / len(s)
+    f = np.eye(p) - 1.0 / p
     loss = []
     for g in grid:
         total = 0.0
         for part in parts:
-            rest = np.setdiff1d(np.arange(len(logs)), part)
-            if len(part) < 2 or len(rest) < 2:
+            rest = whole - part
+            if part[0] < 2 or rest[0] < 2:
                 continue
-            total += (f @ (cclasso_fit(np.cov(logs[rest], rowvar=False), g) - np.cov(logs[part], rowvar=False)) @ f) ** 2 @ np.ones(len(s)) @ np.ones(len(s))
+            total += (f @ (cclasso_fit(covariance(rest, p), g) - covariance(part, p)) @ f) ** 2 @ np.ones(p) @ np.ones(p)
         loss.append(total)
     return float(grid[int(np.argmin(loss))])
 
@@ -188,16 +301,21 @@ def cclasso_penalty(logs: np.ndarray, folds: int, rng: np.random.Generator) -> f
 def cclasso(cells: DataFrame, pseudo: float = 0.5, folds: int = 3, bootstraps: int = 20, seed: int = 17) -> DataFrame:
     """(condition, left, right, rho, p): p from the bootstrap deviation, two-sided normal."""
 
-    penalty_of = Once(lambda x: cclasso_penalty(centred_logs(x, pseudo), folds, np.random.default_rng([seed, 0])))
-
-    def kernel(x, k):
-        logs = centred_logs(x, pseudo)
-        penalty = penalty_of(x)
-        if k:
-            logs = logs[np.random.default_rng([seed, k]).integers(len(logs), size=len(logs))]
-        return to_correlation(cclasso_fit(np.cov(logs, rowvar=False), penalty))
-
-    rows = repeats(cells, bootstraps + 1, kernel, min_samples=6)
+    def draws(n):
+        yield 0, None
+        for f, part in enumerate(np.array_split(np.random.default_rng([seed, 0]).permutation(n), folds)):
+            yield -1 - f, np.bincount(part, minlength=n)
+        for k in range(1, bootstraps + 1):
+            yield k, np.bincount(np.random.default_rng([seed, k]).integers(n, size=n), minlength=n)
+
+    def kernel(table, ks):
+        sums, p = sums_of(table)
+        penalty = cclasso_penalty([sums[-1 - f] for f in range(folds)], p)
+        for k in ks:
+            yield k, to_correlation(cclasso_fit(covariance(sums[k], p), penalty))
+
+    blocked, names = blocks(cells, 6)
+    rows = in_lanes(moments(blocked, lambda x: centred_logs(x, pseudo), draws), names, bootstraps + 1, kernel)
     by = ["condition", "left", "right"]
     own = F.max(F.when(F.col("repeat") == 0, F.col("value")))
     spread = F.stddev_samp(F.when(F.col("repeat") > 0, F.col("value")))
@@ -293,23 +411,36 @@ def correlation_of(x: np.ndarray) -> np.ndarray:
     return np.where(np.isfinite(r), r, 0.0) * (1 - 1e-8) + 1e-8 * np.eye(len(r))
 
 
-def selections(cells: DataFrame, correlate, subsamples: int, count: int, ratio: float, share, min_samples: int, seed: int, drop_empty: bool = False) -> DataFrame:
-    """(condition, repeat, left, right, value): value codes the penalties (bit a = a-th) that select the pair; repeat 0 is all samples."""
+def subsample(seed: int, k: int, n: int, share: float | None) -> np.ndarray:
+    """The numbers of the samples of repeat k, without replacement."""
+    size = max(2, int((share or subsample_share(n)) * n))
+    return np.random.default_rng([seed, k]).choice(n, size, replace=False)
 
-    whole = Once(correlate)
 
-    def kernel(x, k):
-        full = whole(x)
-        lam = penalties_of(full, count, ratio)
-        if k:
-            n = len(x)
-            size = max(2, int((share or subsample_share(n)) * n))
-            pick = np.random.default_rng([seed, k]).choice(n, size, replace=False)
-            full = correlate(x[pick])
-        hit = neighbourhoods(full, lam)
-        return (hit.transpose(1, 2, 0) * (2.0 ** np.arange(count))).sum(axis=2)
+def coded(correlations, first: np.ndarray, count: int, ratio: float):
+    """Pairs of a repeat and the codes of its selections, from pairs of a repeat and its correlations; the penalties are those of `first`."""
+    lam = penalties_of(first, count, ratio)
+    for k, r in correlations:
+        yield k, (neighbourhoods(r, lam).transpose(1, 2, 0) * (2.0 ** np.arange(count))).sum(axis=2)
+
+
+def selections(cells: DataFrame, transform, subsamples: int, count: int, ratio: float, share, min_samples: int, seed: int) -> DataFrame:
+    """(condition, repeat, left, right, value): value codes the penalties (bit a = a-th) that select the pair; repeat 0 is all samples.
+
+    Correlations are those of transform(x), which works on rows of the matrix."""
 
-    return repeats(cells, subsamples + 1, kernel, min_samples, drop_empty)
+    def draws(n):
+        yield 0, None
+        for k in range(1, subsamples + 1):
+            yield k, np.bincount(subsample(seed, k, n, share), minlength=n)
+
+    def kernel(table, ks):
+        sums, p = sums_of(table)
+        of = lambda k: correlation(covariance(sums[k], p))
+        return coded(((k, of(k)) for k in ks), of(0), count, ratio)
+
+    blocked, names = blocks(cells, min_samples)
+    return in_lanes(moments(blocked, transform, draws), names, subsamples + 1, kernel)
 
 
 def stars(picked: DataFrame, subsamples: int, count: int, threshold: float) -> DataFrame:
@@ -349,7 +480,7 @@ def spieceasi(cells: DataFrame, penalties: int | None = None, ratio: float = 1e-
     Without numbers of penalties and subsamples there are 20 of each, or 10 and 8 in conditions of very few samples and many features."""
 
     def one(own: DataFrame, counts: tuple[int, int]) -> DataFrame:
-        picked = selections(own, lambda x: correlation_of(centred_logs(x, pseudo)), counts[1], counts[0], ratio, None, 4, seed)
+        picked = selections(own, lambda x: centred_logs(x, pseudo), counts[1], counts[0], ratio, None, 4, seed)
         return stars(picked, counts[1], counts[0], threshold).select("condition", "left", "right", F.col("stability").alias("weight"), F.lit(None).cast("double").alias("p"), F.lit(True).alias("selected"))
 
     usual, reduced = (tuple(c if given is None else given for c, given in zip(counts, (penalties, subsamples), strict=True)) for counts in (USUAL, REDUCED))
@@ -392,6 +523,49 @@ def kendall_matrix(x: np.ndarray, pairs: int = 1 << 18) -> np.ndarray:
     return total / (n * (n - 1) / 2)
 
 
+def crossings(values: np.ndarray) -> int:
+    """Pairs i < j with values[i] > values[j] >= 0. Places in the order are settled from the highest bit down; after each bit the values of one
+    prefix are a row of equal length, so a bit costs a few passes over the array."""
+    n = len(values)
+    bits = max(0, n - 1).bit_length()
+    place = np.sort(values.astype(np.int64) << 32 | np.arange(n)) & 0xFFFFFFFF  # equal values by place: they do not cross
+    rank = np.arange(1 << bits, dtype=np.int32)  # what fills up to a power of two crosses nothing
+    rank[place] = np.arange(n, dtype=np.int32)
+    total = 0
+    for bit in range(bits - 1, -1, -1):
+        half = 1 << bit
+        low = (rank & half) == 0
+        at = np.flatnonzero(low)  # in a row, what lies between the low values are the high ones before them
+        rows = len(rank) // (2 * half)
+        total += int(at.sum()) - half * 2 * half * (rows * (rows - 1) // 2) - rows * (half * (half - 1) // 2)
+        split = np.empty((rows, 2 * half), np.int32)
+        split[:, :half] = rank[at].reshape(rows, half)
+        split[:, half:] = rank[~low].reshape(rows, half)
+        rank = split.ravel()
+    return total
+
+
+def ties(ordered: np.ndarray) -> int:
+    """Pairs of equal values."""
+    ends = np.flatnonzero(np.concatenate((ordered[1:] != ordered[:-1], [True])))
+    runs = np.diff(ends, prepend=-1)
+    return int((runs * (runs - 1) // 2).sum())
+
+
+def taus(a: np.ndarray, b: np.ndarray, picks: list) -> list[float]:
+    """Kendall's tau-a of two columns of codes over each pick (a mask of the samples, None: all)."""
+    key = a.astype(np.int64) << 32 | b
+    order = np.argsort(key)
+    key, out = key[order], []
+    for pick in picks:
+        own = key if pick is None else key[pick[order]]
+        second = own & 0xFFFFFFFF
+        every = len(own) * (len(own) - 1) // 2
+        tied = ties(own >> 32) + ties(np.sort(second)) - ties(own)
+        out.append((every - tied - 2 * crossings(second)) / every if every else 0.0)
+    return out
+
+
 def latent_table(grid: int = 41, points: int = 4000, seed: int = 5):
     """Kendall's tau of two truncated normals by latent correlation and shares of zeros, on fixed quasi-random points."""
     rng = np.random.default_rng(seed)
@@ -401,22 +575,23 @@ def latent_table(grid: int = 41, points: int = 4000, seed: int = 5):
 
 
 def latent_correlation(x: np.ndarray) -> np.ndarray:
+    return bridged(kendall_matrix(x), (x <= 0).mean(axis=0))
+
+
+def bridged(tau: np.ndarray, zero: np.ndarray) -> np.ndarray:
     """Inverts the bridge tau(rho, zero shares) of truncated variables: pairs of columns on a grid of latent
     correlations whose tau is the mean sign product of simulated truncated normals with the same zero shares."""
-    tau, zero = kendall_matrix(x), (x <= 0).mean(axis=0)
     z, rho = latent_table()
     cut = np.array([_quantile(q) for q in zero])
-    p = x.shape[1]
+    p = len(tau)
     out = np.eye(p)
-    for i in range(p):
-        for j in range(i):
-            a1, b1 = np.maximum(z[:, 0], cut[i]), np.maximum(z[:, 2], cut[i])
-            best = []
-            for r in rho:
-                w = math.sqrt(1 - r * r)
-                a2, b2 = np.maximum(r * z[:, 0] + w * z[:, 1], cut[j]), np.maximum(r * z[:, 2] + w * z[:, 3], cut[j])
-                best.append(float((np.sign(a1 - b1) * np.sign(a2 - b2)).mean()))
-            out[i, j] = out[j, i] = np.interp(tau[i, j], np.maximum.accumulate(best), rho)
+    first = np.stack([np.sign(np.maximum(z[:, 0], c) - np.maximum(z[:, 2], c)) for c in cut], 1)
+    w = np.sqrt(1 - rho * rho)[:, None]
+    a2, b2 = rho[:, None] * z[:, 0] + w * z[:, 1], rho[:, None] * z[:, 2] + w * z[:, 3]
+    for j in range(p - 1):
+        best = np.sign(np.maximum(a2, cut[j]) - np.maximum(b2, cut[j])) @ first[:, j + 1 :] / len(z)
+        for i in range(j + 1, p):
+            out[i, j] = out[j, i] = np.interp(tau[i, j], np.maximum.accumulate(best[:, i - j - 1]), rho)
     values, vectors = np.linalg.eigh(out)
     return to_correlation((vectors * np.maximum(values, 1e-4)) @ vectors.T) * 0.99 + 0.01 * np.eye(p)
 
@@ -432,11 +607,72 @@ def _quantile(q: float) -> float:
     return lo
 
 
+def kendall_parts(blocked: DataFrame, picks) -> DataFrame:
+    """(condition, repeat, p, i, j, tau) of the centred logs of the present cells, zeros being least; i = j: the share of zeros.
+
+    picks(n): the numbers of the samples of each repeat, None for all. A task gets the columns of two groups of COLUMNS features."""
+
+    def columns(table: pa.Table) -> pa.Table:
+        one = {c: table.column(c)[0].as_py() for c in ("condition", "block", "n", "p")}
+        x = dense(table)
+        logs = np.where(x > 0, np.log(np.where(x > 0, x, 1)), 0)
+        z = np.where(x > 0, logs - logs.sum(axis=1, keepdims=True) / np.maximum((x > 0).sum(axis=1, keepdims=True), 1), -np.inf)
+        groups = range(-(-one["p"] // COLUMNS))
+        data = [np.ascontiguousarray(z[:, g * COLUMNS : (g + 1) * COLUMNS].T).tobytes() for g in groups]
+        return pa.table({**{c: pa.array([v] * len(data)).cast(t) for (c, v), t in zip(one.items(), (pa.string(), pa.int32(), pa.int64(), pa.int32()), strict=True)}, "g": pa.array(groups, pa.int32()), "data": pa.array(data, pa.binary()), "least": pa.array([float(z[x > 0].min()) if (x > 0).any() else None] * len(data), pa.float64())})
+
+    def compared(table: pa.Table) -> pa.Table:
+        condition, n, p, low, high = (table.column(c)[0].as_py() for c in ("condition", "n", "p", "low", "high"))
+        parts: dict[int, list] = {}
+        for g, block, data in sorted(zip(*(table.column(c).to_pylist() for c in ("g", "block", "data")), strict=True)):
+            parts.setdefault(g, []).append(np.frombuffer(data).reshape(min(COLUMNS, p - g * COLUMNS), -1))
+        columns = {g * COLUMNS + i: np.concatenate([b[i] for b in found]) for g, found in parts.items() for i in range(len(found[0]))}
+        zero = {c: np.isneginf(v) for c, v in columns.items()}
+        least = table.column("least")[0].as_py()  # shifted as in mclr_matrix, so values that its rounding makes equal are equal here
+        codes = {c: np.unique(np.where(zero[c], 0.0, v - least + 1), return_inverse=True)[1].astype(np.int32) for c, v in columns.items()}
+        masks = []
+        for own in picks(n):
+            masks.append(None if own is None else np.zeros(n, bool))
+            if own is not None:
+                masks[-1][own] = True
+        rows = []
+        for i in codes:
+            if low == high:
+                rows += [(k, i, i, float((zero[i] if m is None else zero[i][m]).mean())) for k, m in enumerate(masks)]
+            for j in codes:
+                if i < j and {i // COLUMNS, j // COLUMNS} == {low, high}:
+                    rows += [(k, i, j, t) for k, t in enumerate(taus(codes[i], codes[j], masks))]
+        k, i, j, t = zip(*rows, strict=True) if rows else ((), (), (), ())
+        return pa.table([pa.array([condition] * len(k), pa.string()), pa.array(k, pa.int32()), pa.array([p] * len(k), pa.int32()), pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(t, pa.float64())], names=["condition", "repeat", "p", "i", "j", "tau"])
+
+    stored = cut(blocked.groupBy("condition", "block").applyInArrow(columns, "condition string, block int, n long, p int, g int, data binary, least double"), "columns")
+    others = F.sequence(F.lit(0), F.floor((F.col("p") - 1) / COLUMNS).cast("int"))
+    met = stored.withColumn("h", F.explode(others)).select("*", F.least("g", "h").alias("low"), F.greatest("g", "h").alias("high")).drop("h", "least")
+    met = met.join(F.broadcast(stored.groupBy("condition").agg(F.coalesce(F.min("least"), F.lit(0.0)).alias("least"))), "condition")
+    return spread(met, "condition", "low", "high").groupBy("condition", "low", "high").applyInArrow(compared, "condition string, repeat int, p int, i int, j int, tau double")
+
+
 def spring(cells: DataFrame, penalties: int = 20, ratio: float = 1e-2, subsamples: int = 20, threshold: float = 0.1, seed: int = 17) -> DataFrame:
     """(condition, left, right, weight, p, selected): weight is the latent correlation of selected pairs, p is null."""
-    correlate = lambda x: latent_correlation(mclr_matrix(x))
-    chosen = stars(selections(cells, correlate, subsamples, penalties, ratio, 0.8, 6, seed, drop_empty=True), subsamples, penalties, threshold)
-    latent = repeats(cells, 1, lambda x, _: correlate(x), 6, drop_empty=True).select("condition", "left", "right", F.col("value").alias("weight"))
+    picks = lambda n: [None, *(subsample(seed, k, n, 0.8) for k in range(1, subsamples + 1))]
+
+    def kernel(table, ks):
+        p = table.column("p")[0].as_py()
+        k, i, j, t = (table.column(c).to_numpy() for c in ("repeat", "i", "j", "tau"))
+        tau = {a: np.zeros((p, p)) for a in (0, *ks)}
+        for a, m in tau.items():
+            own = k == a
+            m[i[own], j[own]] = m[j[own], i[own]] = t[own]
+        latent = lambda a: bridged(tau[a], np.diag(tau[a]))
+        first = latent(0)
+        if 0 in ks:
+            yield -1, first
+        yield from coded(((a, latent(a) if a else first) for a in ks), first, penalties, ratio)
+
+    blocked, names = blocks(cells, 6, drop_empty=True)
+    rows = cut(in_lanes(cut(kendall_parts(blocked, picks), "taus"), names, subsamples + 1, kernel), "selections")
+    chosen = stars(rows.where("repeat >= 0"), subsamples, penalties, threshold)
+    latent = rows.where("repeat = -1").select("condition", "left", "right", F.col("value").alias("weight"))
     return chosen.join(latent, ["condition", "left", "right"]).select("condition", "left", "right", "weight", F.lit(None).cast("double").alias("p"), F.lit(True).alias("selected"))
 
 

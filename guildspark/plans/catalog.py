@@ -778,7 +778,7 @@ def md5_spring(spark, sf):
 
 @query()
 def stars_instability(spark, sf):
-    picked = MD.selections(method_cells(spark, sf), lambda x: MD.correlation_of(MD.centred_logs(x)), 20, 20, 1e-3, None, 4, 17)
+    picked = MD.selections(method_cells(spark, sf), MD.centred_logs, 20, 20, 1e-3, None, 4, 17)
     return MD.instability(picked, 20, 20)
 
 
