@@ -80,11 +80,11 @@ def cells(spark, sf) -> DataFrame:
 
 
 def rho(spark, sf) -> DataFrame:
-    return S.spearman(S.pair_cells(cells(spark, sf)))
+    return S.spearman(S.pair_cells(cut(cells(spark, sf), "cells")))
 
 
 def edges(spark, sf, wanted: tuple[str, ...] | None = ("FURNITURE", "MACHINERY")) -> DataFrame:
-    own = S.in_condition(demo.bacteria(spark, sf), demo.conditions(spark, sf), wanted)
+    own = cut(S.in_condition(demo.bacteria(spark, sf), demo.conditions(spark, sf), wanted), "cells")  # both sides of the pairs
     e = S.spearman(S.pair_cells(own)).select("condition", F.col("left").alias("source"), F.col("right").alias("target"), F.round("rho", 6).alias("weight"))
     return cut(e.where(F.abs("weight") >= 0.04), "edges")
 

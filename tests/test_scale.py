@@ -281,3 +281,17 @@ def test_a_report_of_no_dropped_features_has_no_list(spark):
     none = spark.createDataFrame([], "feature string")
     (row,) = A.drop_events(none, "filtered").withColumn("items", F.array_join("items", ",")).collect()
     assert (row["dropped"], row["items"], row["truncated"]) == (0, None, False)
+
+
+def test_star_joins_are_dealt_over_more_partitions_as_the_table_grows(spark, monkeypatch):
+    from guildspark.sources import demo
+
+    sf = "/root/testdata/sf0.001"
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    few = demo.bacteria(spark, sf)
+    assert few.rdd.getNumPartitions() <= 4
+    monkeypatch.setattr(demo, "LANE_ROWS", 500)
+    n = -(-spark.read.parquet(f"{sf}/lineitem.parquet").count() // 500)
+    many = demo.bacteria(spark, sf)
+    assert n > 8 and many.rdd.getNumPartitions() == n and rows(many) == rows(few)
+    assert demo.bacteria_labels(spark, sf).rdd.getNumPartitions() == n
