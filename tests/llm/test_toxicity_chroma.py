@@ -158,6 +158,24 @@ def test_align_against_all_pairs(spark):
         assert min(true[min(i, j), max(i, j)] for j in partners[i]) - 1e-6 <= got[i]["best_errors"] <= 0.2
 
 
+def test_align_finds_links_without_an_equal_integer_and_at_every_offset(spark):
+    rng = np.random.default_rng(11)
+    base = rng.integers(0, 2**32, 40, dtype=np.uint32)
+    noisy = base ^ np.uint32(5)  # an error in every integer
+    late = np.concatenate((rng.integers(0, 2**32, 13, dtype=np.uint32), base[:27] ^ np.uint32(9)))
+    tail = np.concatenate((base[32:] ^ np.uint32(1), rng.integers(0, 2**32, 60, dtype=np.uint32)))  # an overlap of eight
+    prints = {0: base, 1: noisy, 2: late, 3: tail} | {10 + i: rng.integers(0, 2**32, 20 + 7 * (i % 6), dtype=np.uint32) for i in range(30)}
+    true = _links(prints)
+    assert {(0, 1), (0, 2), (0, 3), (1, 2), (1, 3)} <= set(true)
+    table = spark.createDataFrame([(i, x.view(np.int32).tolist()) for i, x in prints.items()], "id long, ints array<int>")
+    got = {r["id"]: r for r in chroma.align(table, F.lit(True)).collect()}
+    assert (got[0]["group_id"], got[1]["group_id"], got[0]["n_near"], got[2]["n_near"]) == (0, 0, 1, 0)
+    for i in prints:
+        partners = {(set(p) - {i}).pop(): e for p, e in true.items() if i in p}
+        assert got[i]["n_matches"] == len({got[j]["group_id"] for j in partners} - {got[i]["group_id"]})
+        assert got[i]["best_errors"] == (round(min(partners.values()), 6) if partners else None)
+
+
 def test_align_of_a_large_group_stays_linear(spark):
     rng = np.random.default_rng(7)
     base = rng.integers(-(2**31), 2**31, 100)
