@@ -117,11 +117,12 @@ def src1_tables_both_ways(spark, sf):
 
     root = shared_folder(spark, "tables")
     one, two = cut(demo.bacteria(spark, sf), "cells"), cut(demo.fungi(spark, sf), "cells")
-    FC.write_tables(one.withColumn("value", F.col("value") + 1), f"{root}/older", ";")
-    FC.write_tables(one, f"{root}/bacteria", ",")
-    FC.write_tables(two, f"{root}/fungi", "\t", transposed=True)
+    FC.write_tables(one.withColumn("value", F.col("value") + 1), f"{root}/older", ";", whole=True)
+    FC.write_tables(one, f"{root}/bacteria", ",", whole=True)
+    FC.write_tables(two, f"{root}/fungi", "\t", transposed=True, whole=True)
     ids = one.select("sample_id").unionByName(two.select("sample_id"))
-    return FC.load_tables(spark, [f"{root}/older", f"{root}/bacteria", f"{root}/fungi"], ids).select("sample_id", "feature", "value")
+    loaded = [FC.load_tables(spark, [f"{root}/{name}" for name in names], ids, whole=True) for names in (("older", "bacteria"), ("fungi",))]
+    return loaded[0].unionByName(loaded[1]).select("sample_id", "feature", "value")
 
 
 @query("select c_custkey::varchar as sample_id, c_mktsegment as condition from customer")
@@ -132,10 +133,10 @@ def src2_metadata_files(spark, sf):
 
     root, meta = shared_folder(spark, "metadata"), demo.conditions(spark, sf)
     for name, value in (("older", F.lit("unknown")), ("newer", F.col("condition"))):
-        rows = meta.select(F.concat_ws("\t", F.col("sample_id").cast("string"), F.lit("x"), value).alias("value"))
+        rows = meta.select(F.concat_ws("\t", FC.said(F.col("sample_id").cast("string")), F.lit("x"), FC.said(value)).alias("value"))
         head = spark.createDataFrame([("sample\tnote\tcondition",)], "value string")
         FC.write_with_header(rows, head, f"{root}/{name}")
-    return FC.load_conditions(spark, [f"{root}/older", f"{root}/newer"], "condition")
+    return FC.load_conditions(spark, [f"{root}/older", f"{root}/newer"], "condition").select(FC.unsaid(F.col("sample_id")).alias("sample_id"), FC.unsaid(F.col("condition")).alias("condition"))
 
 
 @query("with b as (select l_suppkey as sample_id, p_brand as feature, sum(l_quantity) as value from lineitem join part on l_partkey = p_partkey group by 1, 2) select feature, sample_id::varchar as sample_id, value from b")
@@ -145,8 +146,8 @@ def src5_transposed_unpivot(spark, sf):
     from guildspark.sources.staging import shared_folder
 
     path, own = shared_folder(spark, "transposed"), cut(demo.dense(spark, sf), "cells")
-    FC.write_tables(own, path, "\t", transposed=True)
-    return FC.long_cells(FC.read_cells(spark, [path]), own.select("sample_id")).select("feature", "sample_id", "value")
+    FC.write_tables(own, path, "\t", transposed=True, whole=True)
+    return FC.long_cells(FC.read_cells(spark, [path]), own.select("sample_id"), whole=True).select("feature", "sample_id", "value")
 
 
 @query("select event_id, case when regexp_matches(trim(v), '^[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?$') then trim(v)::double end as value from (select event_id, case event_id % 4 when 0 then ' ' || value::varchar || ' ' when 1 then 'n/a' when 2 then '' else (event_id)::varchar || 'd' end as v from events)")

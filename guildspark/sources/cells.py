@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -28,6 +28,8 @@ NAME = "delimited_cells"
 SCHEMA = "file int, offset long, place int, key string, name string, cell string"
 ARROW = pa.schema([("file", pa.int32()), ("offset", pa.int64()), ("place", pa.int32()), ("key", pa.string()), ("name", pa.string()), ("cell", pa.string())])
 RANGE_BYTES, BATCH_ROWS = 32 << 20, 50_000
+#: Cells of whole tables that are no numbers.
+NULL, NOT_FINITE = "null", ("NaN", "Infinity", "-Infinity")
 
 
 def opened(path: str) -> tuple[fs.FileSystem, str]:
@@ -135,30 +137,50 @@ def read_cells(spark: SparkSession, paths: list[str], range_bytes: int = RANGE_B
     return spark.read.format(NAME).option("paths", json.dumps(paths)).option("range_bytes", range_bytes).load()
 
 
-def turned(cells: DataFrame, ids: DataFrame) -> DataFrame:
+def said(text: Column) -> Column:
+    """A name as a table can hold it: one that is null, blank or empty, starts with the escape or has anything but letters, digits and
+    plain marks of ASCII (single spaces within it too) is written as a percent sign and its URL code, and null as two percent signs."""
+    plain = text.rlike(r"\A[A-Za-z0-9_#.:-]+( [A-Za-z0-9_#.:-]+)*\z")
+    return F.when(text.isNull(), "%%").when(plain, text).otherwise(F.concat(F.lit("%"), F.url_encode(text)))
+
+
+def unsaid(name: Column) -> Column:
+    """The name that said() wrote."""
+    return F.when(name == "%%", F.lit(None).cast("string")).when(name.startswith("%"), F.url_decode(F.substring(name, 2, 2**31 - 1))).otherwise(name)
+
+
+def turned(cells: DataFrame, ids: DataFrame, whole: bool = False) -> DataFrame:
     """(file, turned): whether a file has its samples as columns, that is more of the known ids in its header than in its first column."""
-    known = ids.select(F.trim(F.col("sample_id").cast("string")).alias("id")).distinct()
-    said = cells.where("cell is null").select("file", F.when(F.col("place") == 0, F.col("key")).otherwise(F.col("name")).alias("id"), (F.col("place") > 0).alias("top")).distinct()
-    hits = said.join(known.withColumn("hit", F.lit(True)), "id", "left")
+    text = F.col("sample_id").cast("string")
+    known = ids.select((said(text) if whole else F.trim(text)).alias("id")).distinct()
+    told = cells.where("cell is null").select("file", F.when(F.col("place") == 0, F.col("key")).otherwise(F.col("name")).alias("id"), (F.col("place") > 0).alias("top")).distinct()
+    hits = told.join(known.withColumn("hit", F.lit(True)), "id", "left")
     top, side = F.count_if(F.col("top") & F.col("hit")), F.count_if(~F.col("top") & F.col("hit"))
     return hits.groupBy("file").agg((top > side).alias("turned"))
 
 
-def long_cells(cells: DataFrame, ids: DataFrame | None = None) -> DataFrame:
-    """(sample_id, feature, value, feature_ord, and where the cell stood: file, offset, place) of every numeric cell."""
+def long_cells(cells: DataFrame, ids: DataFrame | None = None, whole: bool = False) -> DataFrame:
+    """(sample_id, feature, value, feature_ord, and where the cell stood: file, offset, place) of every numeric cell.
+
+    whole: the tables were written so; names are unescaped, and cells of null, NaN and the infinities count too."""
     if ids is None:
         side = cells.withColumn("turned", F.lit(False))
     else:
-        side = cells.join(turned(cells, ids), "file")
-    own = side.where("cell is not null and trim(name) <> ''").withColumn("value", number(F.col("cell"))).where("value is not null")
+        side = cells.join(turned(cells, ids, whole), "file")
+    own = side.where("cell is not null and trim(name) <> ''").withColumn("value", number(F.col("cell")))
+    if whole:
+        own = own.withColumn("value", F.when(F.col("cell").isin(*NOT_FINITE), F.col("cell").try_cast("double")).otherwise(F.col("value")))
+    own = own.where((F.col("value").isNotNull() | (F.col("cell") == NULL)) if whole else F.col("value").isNotNull())
     key, name, t = F.col("key"), F.trim("name"), F.col("turned")
+    if whole:
+        key, name = unsaid(key), unsaid(name)
     return own.select(F.when(t, name).otherwise(key).alias("sample_id"), F.when(t, key).otherwise(name).alias("feature"), "value", F.when(t, F.col("offset")).otherwise(F.col("place").cast("long")).alias("feature_ord"), "file", "offset", "place")
 
 
-def load_tables(spark: SparkSession, paths: list[str], ids: DataFrame | None = None, range_bytes: int = RANGE_BYTES) -> DataFrame:
+def load_tables(spark: SparkSession, paths: list[str], ids: DataFrame | None = None, range_bytes: int = RANGE_BYTES, whole: bool = False) -> DataFrame:
     """(sample_id, feature, value, feature_ord) of all files in either orientation; a later cell of a sample and feature replaces
     an earlier one, and a feature keeps the place of its first file. One group-by finds the last cells, another the first places."""
-    cells = long_cells(read_cells(spark, paths, range_bytes), ids)
+    cells = long_cells(read_cells(spark, paths, range_bytes), ids, whole)
     last = cells.groupBy("sample_id", "feature").agg(F.max(F.struct("file", "offset", "place", "value")).alias("c"), F.min(F.struct("file", "feature_ord")).alias("o"))
     first = F.min("o").over(Window.partitionBy("feature"))
     return last.withColumn("o", first).select("sample_id", "feature", F.col("c.value").alias("value"), F.col("o.feature_ord").alias("feature_ord"))
@@ -168,8 +190,8 @@ def table_samples(spark: SparkSession, paths: list[str], ids: DataFrame | None =
     """(sample_id) of all files, those without any number among their cells too."""
     cells = read_cells(spark, paths, range_bytes)
     side = cells.withColumn("turned", F.lit(False)) if ids is None else cells.join(turned(cells, ids), "file")
-    said = side.where("cell is null").where(F.col("turned") == (F.col("place") > 0))
-    return said.select(F.trim(F.when(F.col("turned"), F.col("name")).otherwise(F.col("key"))).alias("sample_id")).where("sample_id <> ''").distinct()
+    told = side.where("cell is null").where(F.col("turned") == (F.col("place") > 0))
+    return told.select(F.trim(F.when(F.col("turned"), F.col("name")).otherwise(F.col("key"))).alias("sample_id")).where("sample_id <> ''").distinct()
 
 
 def load_conditions(spark: SparkSession, paths: list[str], column: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
@@ -193,12 +215,20 @@ def _quoted(text, separator: str):
     return F.when(misleading, F.raise_error(F.concat(F.lit("the name would be taken for several fields: "), text)).cast("string")).otherwise(quoted)
 
 
-def write_tables(cells: DataFrame, path: str, separator: str = ",", transposed: bool = False, samples_per_file: int = 1000, mode: str = "error") -> None:
+def write_tables(cells: DataFrame, path: str, separator: str = ",", transposed: bool = False, samples_per_file: int = 1000, mode: str = "error", whole: bool = False) -> None:
     """Writes long cells (sample_id, feature, value) as tables of up to about samples_per_file samples each, a header in every one.
 
-    A file's samples are picked by hash. Cells that do not occur are blank. Names that hold the separator or a quote are quoted."""
+    A file's samples are picked by hash. Cells that do not occur are blank. Names that hold the separator or a quote are quoted.
+    whole: names and values that a table cannot hold (null, blanks, line ends, NaN) are escaped, for long_cells(whole=True). No cells
+    are a table of a header alone."""
     own = cells.select(F.col("sample_id").cast("string").alias("sample_id"), "feature", F.col("value").cast("double").cast("string").alias("value"))
-    blocks = -(-own.select("sample_id").distinct().count() // samples_per_file) or 1
+    if whole:
+        own = own.select(said(F.col("sample_id")).alias("sample_id"), said(F.col("feature")).alias("feature"), F.coalesce("value", F.lit(NULL)).alias("value"))
+    n = own.select("sample_id").distinct().count()
+    if not n:
+        own.sparkSession.range(0, 1, 1, 1).select(F.lit("id").alias("value")).write.mode(mode).text(path)
+        return
+    blocks = -(-n // samples_per_file)
     own = own.withColumn("block", F.pmod(F.xxhash64("sample_id"), F.lit(blocks)).cast("int"))
     row, column = ("feature", "sample_id") if transposed else ("sample_id", "feature")
     if transposed:
