@@ -212,3 +212,33 @@ def test_held_out_rows_of_a_larger_table(spark):
     n = {(r["toxic"], r["told"]): r["count"] for r in scored}
     assert n[1, True] >= 0.85 * (n[1, True] + n.get((1, False), 0))
     assert n.get((0, True), 0) <= 0.05 * (n[0, False] + n.get((0, True), 0))
+
+
+def test_near_pairs_are_ruled_out_by_sums_and_none_is_lost(spark, monkeypatch):
+    rng = np.random.default_rng(21)
+    for n in (1, 3, 4, 30, 110):
+        base = rng.integers(0, 2**32, (40, n), dtype=np.uint32)
+        rows = [base]
+        for errors in range(0, 32 * n // 4, max(1, n // 3)):  # up to a quarter of the bits, some at the threshold
+            x = np.unpackbits(base[errors % 40].view(np.uint8))
+            x[rng.permutation(32 * n)[:errors]] ^= 1
+            rows.append(np.packbits(x).view(np.uint32)[None])
+        exact = base[:1].copy()
+        for bit in range(32 * n // 5):
+            exact[0, bit // 32] ^= np.uint32(1 << (bit % 32))
+        every = np.concatenate((*rows, exact, base[:3]))
+        wrong = np.bitwise_count(every[:, None] ^ every[None]).sum(axis=2)
+        want = {(int(a), int(b)) for a, b in zip(*np.nonzero(wrong <= 0.2 * 32 * n), strict=True)}
+        for step in (7, 512):
+            monkeypatch.setattr(chroma, "HELD", step * 32 * n)
+            for same in (False, True):
+                got = {(int(a), int(b)) for part in chroma._near(every.view(np.int32), every.view(np.int32), 0.2, same) for a, b in zip(*part, strict=True)}
+                assert got | {(b, a) for a, b in got} == want and (same or got == want)
+        monkeypatch.undo()
+    judged = []
+    count = np.bitwise_count
+    # recordings whose bits change slowly, as chroma's do: few pairs are compared bit by bit
+    slow = np.repeat(rng.integers(0, 2**32, (400, 28), dtype=np.uint32), 4, axis=1).view(np.int32)
+    monkeypatch.setattr(chroma.np, "bitwise_count", lambda x: judged.append(len(x)) or count(x))
+    assert {(int(a), int(b)) for part in chroma._near(slow, slow, 0.2) for a, b in zip(*part, strict=True)} == {(i, i) for i in range(400)}
+    assert 400 <= sum(judged) < 1600
