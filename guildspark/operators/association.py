@@ -27,10 +27,12 @@ def in_condition(abundance: DataFrame, metadata: DataFrame, wanted: list[str] |
     return abundance.join(meta, "sample_id").select("condition", "sample_id", "feature", "value")
 
 
-def pair_cells(cells: DataFrame) -> DataFrame:
-    """Cells of each feature pair (left < right) in each sample. One exchange by sample, the order is a residual predicate."""
+def pair_cells(cells: DataFrame, lanes: int | None = None) -> DataFrame:
+    """Cells of each feature pair (left < right) in each sample. One exchange by sample, into `lanes` partitions or the session's number; the order is a residual predicate."""
     left = cells.select("condition", "sample_id", F.col("feature").alias("left"), F.col("value").alias("x"))
     right = cells.select("condition", "sample_id", F.col("feature").alias("right"), F.col("value").alias("y"))
+    if lanes is not None:
+        left, right = (side.repartition(lanes, "condition", "sample_id") for side in (left, right))
     return left.join(right, ["condition", "sample_id"]).where("left < right")
 
 
@@ -53,13 +55,15 @@ def _correlation(groups: DataFrame, by: list[str]) -> DataFrame:
     return groups.groupBy(*by).agg(F.count("*").alias("n"), rho.alias("_rho")).where((F.col("n") >= MIN_OBSERVATIONS) & F.col("_rho").isNotNull()).select(*by, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), "_rho")).alias("rho"), "n")
 
 
-def spearman(cells: DataFrame) -> DataFrame:
+def spearman(cells: DataFrame, lanes: int | None = None) -> DataFrame:
     """(condition, left, right, rho, n) from pair cells; pairs under three observations or constant are left out.
 
     Equal points of a pair are counted before anything is dealt by pair, so what a task sorts grows with the different points. The
-    mean of n average ranks is (n + 1) / 2."""
+    mean of n average ranks is (n + 1) / 2. lanes: partitions of the points, dealt by pair, in the place of the session's number."""
     by = ["condition", "left", "right"]
     points = cells.groupBy(*by, "x", "y").agg(F.count("*").alias("c"))
+    if lanes is not None:
+        points = points.repartition(lanes, *by)
     ranked = points.withColumn("n", F.sum("c").over(Window.partitionBy(*by)))
     for r, v in (("rx", "x"), ("ry", "y")):  # twice the rank, less twice the mean rank
         upto, tied = F.sum("c").over(Window.partitionBy(*by).orderBy(v)), F.sum("c").over(Window.partitionBy(*by, v))

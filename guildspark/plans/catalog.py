@@ -75,6 +75,10 @@ EA = f"{EDGES}, ea as (select * from edges where condition = 'FURNITURE'), eb as
 NODES = f"{EA}, na as (select distinct unnest([source, target]) as node from ea where abs(weight) >= 0.18), nb as (select distinct unnest([source, target]) as node from eb where abs(weight) >= 0.18), ca as (select * from ka where source in (select node from na) and target in (select node from na)), cb as (select * from kb where source in (select node from nb) and target in (select node from nb))"
 
 
+#: Cells that a task of the pairs gets at most, about; each makes some ten pairs.
+PAIR_LANE_ROWS = 100_000
+
+
 def cells(spark, sf) -> DataFrame:
     return S.in_condition(demo.bacteria(spark, sf), demo.conditions(spark, sf))
 
@@ -85,7 +89,8 @@ def rho(spark, sf) -> DataFrame:
 
 def edges(spark, sf, wanted: tuple[str, ...] | None = ("FURNITURE", "MACHINERY")) -> DataFrame:
     own = cut(S.in_condition(demo.bacteria(spark, sf), demo.conditions(spark, sf), wanted), "cells")  # both sides of the pairs
-    e = S.spearman(S.pair_cells(own)).select("condition", F.col("left").alias("source"), F.col("right").alias("target"), F.round("rho", 6).alias("weight"))
+    n = demo.lanes(own, PAIR_LANE_ROWS)
+    e = S.spearman(S.pair_cells(own, n), n).select("condition", F.col("left").alias("source"), F.col("right").alias("target"), F.round("rho", 6).alias("weight"))
     return cut(e.where(F.abs("weight") >= 0.04), "edges")
 
 

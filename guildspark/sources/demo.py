@@ -13,9 +13,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def lanes(rows: DataFrame) -> int:
-    """Partitions for a shuffle of these rows: the session's number, and more where one would get over LANE_ROWS, so that what a task sorts does not grow with the table."""
-    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // LANE_ROWS))
+def lanes(rows: DataFrame, most: int = LANE_ROWS) -> int:
+    """Partitions for a shuffle of these rows: the session's number, and more where one would get over `most`, so that what a task sorts does not grow with the table."""
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // most))
 
 
 def _bought(spark: SparkSession, sf_dir: str, part: DataFrame) -> DataFrame:

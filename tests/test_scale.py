@@ -295,3 +295,12 @@ def test_star_joins_are_dealt_over_more_partitions_as_the_table_grows(spark, mon
     many = demo.bacteria(spark, sf)
     assert n > 8 and many.rdd.getNumPartitions() == n and rows(many) == rows(few)
     assert demo.bacteria_labels(spark, sf).rdd.getNumPartitions() == n
+
+
+def test_pairs_are_dealt_over_more_partitions_as_cells_grow(spark):
+    cells = spark.range(60).selectExpr("'c' as condition", "id div 3 as sample_id", "concat('f', id % 3) as feature", "cast(id * 7 % 11 as double) as value")
+    own = {(r["left"], r["right"]): (r["rho"], r["n"]) for r in S.spearman(S.pair_cells(cells)).collect()}
+    dealt = S.spearman(S.pair_cells(cells, 9), 9)
+    assert {(r["left"], r["right"]): (r["rho"], r["n"]) for r in dealt.collect()} == own and len(own) == 3
+    plan = dealt._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(", 9") >= 3
