@@ -36,10 +36,12 @@ def pair_cells(cells: DataFrame, lanes: int | None = None) -> DataFrame:
     return left.join(right, ["condition", "sample_id"]).where("left < right")
 
 
-def cross_cells(first: DataFrame, second: DataFrame) -> DataFrame:
-    """Cells of each pair of a feature of one domain and a feature of the other, in samples that both have in the same condition."""
+def cross_cells(first: DataFrame, second: DataFrame, lanes: int | None = None) -> DataFrame:
+    """Cells of each pair of a feature of one domain and a feature of the other, in samples that both have in the same condition; lanes as in pair_cells."""
     left = first.select("condition", "sample_id", F.col("feature").alias("left"), F.col("value").alias("x"))
     right = second.select("condition", "sample_id", F.col("feature").alias("right"), F.col("value").alias("y"))
+    if lanes is not None:
+        left, right = (side.repartition(lanes, "condition", "sample_id") for side in (left, right))
     return left.join(right, ["condition", "sample_id"])
 
 
@@ -59,11 +61,11 @@ def spearman(cells: DataFrame, lanes: int | None = None) -> DataFrame:
     """(condition, left, right, rho, n) from pair cells; pairs under three observations or constant are left out.
 
     Equal points of a pair are counted before anything is dealt by pair, so what a task sorts grows with the different points. The
-    mean of n average ranks is (n + 1) / 2. lanes: partitions of the points, dealt by pair, in the place of the session's number."""
+    mean of n average ranks is (n + 1) / 2. lanes: partitions of the points, dealt by ranges of pairs, in the place of the session's number."""
     by = ["condition", "left", "right"]
     points = cells.groupBy(*by, "x", "y").agg(F.count("*").alias("c"))
     if lanes is not None:
-        points = points.repartition(lanes, *by)
+        points = points.repartitionByRange(lanes, *by)  # by hash, a task would get many pairs and another none
     ranked = points.withColumn("n", F.sum("c").over(Window.partitionBy(*by)))
     for r, v in (("rx", "x"), ("ry", "y")):  # twice the rank, less twice the mean rank
         upto, tied = F.sum("c").over(Window.partitionBy(*by).orderBy(v)), F.sum("c").over(Window.partitionBy(*by, v))

@@ -76,21 +76,27 @@ NODES = f"{EA}, na as (select distinct unnest([source, target]) as node from ea
 
 
 #: Cells that a task of the pairs gets at most, about; each makes some ten pairs.
-PAIR_LANE_ROWS = 100_000
+PAIR_LANE_ROWS = 50_000
 
 
 def cells(spark, sf) -> DataFrame:
     return S.in_condition(demo.bacteria(spark, sf), demo.conditions(spark, sf))
 
 
+def correlated(own: DataFrame) -> DataFrame:
+    """Correlations of all pairs of features; pairs and points are dealt over partitions that grow with the cells."""
+    own = cut(own, "cells")  # both sides of the pairs
+    n = demo.lanes(own, PAIR_LANE_ROWS)
+    return S.spearman(S.pair_cells(own, n), n)
+
+
 def rho(spark, sf) -> DataFrame:
-    return S.spearman(S.pair_cells(cut(cells(spark, sf), "cells")))
+    return correlated(cells(spark, sf))
 
 
 def edges(spark, sf, wanted: tuple[str, ...] | None = ("FURNITURE", "MACHINERY")) -> DataFrame:
-    own = cut(S.in_condition(demo.bacteria(spark, sf), demo.conditions(spark, sf), wanted), "cells")  # both sides of the pairs
-    n = demo.lanes(own, PAIR_LANE_ROWS)
-    e = S.spearman(S.pair_cells(own, n), n).select("condition", F.col("left").alias("source"), F.col("right").alias("target"), F.round("rho", 6).alias("weight"))
+    own = S.in_condition(demo.bacteria(spark, sf), demo.conditions(spark, sf), wanted)
+    e = correlated(own).select("condition", F.col("left").alias("source"), F.col("right").alias("target"), F.round("rho", 6).alias("weight"))
     return cut(e.where(F.abs("weight") >= 0.04), "edges")
 
 
@@ -305,7 +311,7 @@ def ag6_spearman_complete(spark, sf):
 @query(f"with {RHO}, {P} select condition, \"left\" as source, \"right\" as target, round(rho, 6) + 0.0 as weight, round(p, 6) + 0.0 as p from pv where condition in ('FURNITURE', 'MACHINERY') and p <= 0.05")
 def flt12_significant_edges(spark, sf):
     own = S.in_condition(demo.bacteria(spark, sf), demo.conditions(spark, sf), ["FURNITURE", "MACHINERY"])
-    found = S.significant(S.with_p(S.spearman(S.pair_cells(own))), 0.05)
+    found = S.significant(S.with_p(correlated(own)), 0.05)
     return N.edges_of(found).select("condition", "source", "target", r6("weight").alias("weight"), r6("p").alias("p"))
 
 
@@ -321,8 +327,9 @@ FCELLS = f"{FU}, fcells as (select condition, sample_id, feature, value from fu
 @query(f'with {CELLS}, {FCELLS}, {ranks(CROSS)} select condition, "left", "right", round(rho, 6) + 0.0 as rho, n from rho')
 def jn4_cross_domain_spearman(spark, sf):
     meta = demo.conditions(spark, sf)
-    cross = S.cross_cells(S.in_condition(demo.bacteria(spark, sf), meta), S.in_condition(demo.fungi(spark, sf), meta))
-    return S.spearman(cross).select("condition", "left", "right", r6("rho").alias("rho"), "n")
+    a, b = (cut(S.in_condition(df, meta), "cells") for df in (demo.bacteria(spark, sf), demo.fungi(spark, sf)))
+    n = demo.lanes(a.unionByName(b), PAIR_LANE_ROWS)
+    return S.spearman(S.cross_cells(a, b, n), n).select("condition", "left", "right", r6("rho").alias("rho"), "n")
 
 
 BOTH = f"""select 'bac::' || a.feature as "left", 'bac::' || b.feature as "right", a.condition, a.sample_id, a.value as x, b.value as y from cells a join cells b on a.condition = b.condition and a.sample_id = b.sample_id and a.feature < b.feature
@@ -333,10 +340,11 @@ BOTH = f"""select 'bac::' || a.feature as "left", 'bac::' || b.feature as "right
 @query(f'with {CELLS}, {FCELLS}, {ranks(BOTH)} select condition, "left", "right", round(rho, 6) + 0.0 as rho, n from rho')
 def so6_both_domain_pairs(spark, sf):
     meta = demo.conditions(spark, sf)
-    tag = lambda df, p: S.in_condition(df, meta).withColumn("feature", F.concat(F.lit(p), "feature"))
+    tag = lambda df, p: cut(S.in_condition(df, meta).withColumn("feature", F.concat(F.lit(p), "feature")), "cells")
     a, b = tag(demo.bacteria(spark, sf), "bac::"), tag(demo.fungi(spark, sf), "fun::")
-    every = S.pair_cells(a).unionByName(S.pair_cells(b)).unionByName(S.cross_cells(a, b))
-    return S.spearman(every).select("condition", "left", "right", r6("rho").alias("rho"), "n")
+    n = demo.lanes(a.unionByName(b), PAIR_LANE_ROWS)
+    every = S.pair_cells(a, n).unionByName(S.pair_cells(b, n)).unionByName(S.cross_cells(a, b, n))
+    return S.spearman(every, n).select("condition", "left", "right", r6("rho").alias("rho"), "n")
 
 
 @query(f"with {B}, g as (select s.sample_id, f.feature, coalesce(b.value, 0) + 0.5 as v from (select distinct sample_id from b) s cross join (select distinct feature from b) f left join b on b.sample_id = s.sample_id and b.feature = f.feature) select sample_id, feature, round(ln(v) - avg(ln(v)) over (partition by sample_id), 6) + 0.0 as clr from g")

@@ -13,7 +13,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def lanes(rows: DataFrame, most: int = LANE_ROWS) -> int:
+def lanes(rows: DataFrame, most: int) -> int:
     """Partitions for a shuffle of these rows: the session's number, and more where one would get over `most`, so that what a task sorts does not grow with the table."""
     return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // most))
 
@@ -22,7 +22,7 @@ def _bought(spark: SparkSession, sf_dir: str, part: DataFrame) -> DataFrame:
     """(sample_id, feature, value): the quantity that each customer bought of the parts (p_partkey, feature)."""
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("sample_id"))
-    n = lanes(li)
+    n = lanes(li, LANE_ROWS)
     of_part = li.repartition(n, "l_partkey").join(part.repartition(n, "p_partkey"), F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "feature", "l_quantity")
     joined = of_part.repartition(n, "l_orderkey").join(orders.repartition(n, "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     return joined.select("sample_id", "feature", "l_quantity").repartition(n, "sample_id").groupBy("sample_id", "feature").agg(F.sum("l_quantity").alias("value"))

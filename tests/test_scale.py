@@ -304,3 +304,23 @@ def test_pairs_are_dealt_over_more_partitions_as_cells_grow(spark):
     assert {(r["left"], r["right"]): (r["rho"], r["n"]) for r in dealt.collect()} == own and len(own) == 3
     plan = dealt._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count(", 9") >= 3
+
+
+def test_all_correlations_deal_pairs_evenly_as_cells_grow(spark, monkeypatch):
+    from guildspark.plans import catalog as K
+
+    sf, by = "/root/testdata/sf0.001", ["condition", "left", "right"]
+    rows = lambda name: sorted(tuple(r) for r in K.QUERIES[name](spark, sf).collect())
+    names = ("ag6_spearman", "flt12_significant_edges", "jn4_cross_domain_spearman", "so6_both_domain_pairs")
+    few = {name: rows(name) for name in names}
+    monkeypatch.setattr(K, "PAIR_LANE_ROWS", 100)
+    assert {name: rows(name) for name in names} == few and all(few.values())
+    for name in names:
+        assert "RepartitionByExpression" in K.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    # forty pairs of 25 points over forty partitions: none gets more than a few, nearly all get some
+    cells = spark.range(250).selectExpr("concat('c', id % 2) as condition", "id div 10 as sample_id", "concat('f', id div 2 % 5) as feature", "cast(id * 7919 % 997 as double) as value")
+    shares = []
+    points = type(cells).repartitionByRange
+    monkeypatch.setattr(type(cells), "repartitionByRange", lambda self, n, *c: shares.append([r["n"] for r in points(self, n, *c).groupBy(F.spark_partition_id().alias("p")).agg(F.count_distinct(*by).alias("n")).collect()]) or points(self, n, *c))
+    assert S.spearman(S.pair_cells(cells, 20), 20).count() == 20
+    assert len(shares) == 1 and max(shares[0]) <= 3 and sum(shares[0]) == 20
