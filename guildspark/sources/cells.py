@@ -240,7 +240,8 @@ def write_tables(cells: DataFrame, path: str, separator: str = ",", transposed:
     fill = F.transform("columns", lambda c: F.coalesce(F.try_element_at("m", c), F.lit("")))
     body = lines.join(columns, "block").select("block", F.lit(1).alias("o"), "key", F.concat_ws(separator, _quoted(F.col("key"), separator), F.concat_ws(separator, fill)).alias("value"))
     head = columns.select("block", F.lit(0).alias("o"), F.lit("").alias("key"), F.concat_ws(separator, F.lit("id"), F.concat_ws(separator, F.transform("columns", lambda c: _quoted(c, separator)))).alias("value"))
-    every = head.unionByName(body).repartition("block").sortWithinPartitions("block", "o", "key")
+    # dealt by a hash of the block: both parts may be dealt by the block itself, and Spark then leaves out an exchange by it and puts their partitions together unlike
+    every = head.unionByName(body).repartition(F.xxhash64("block")).sortWithinPartitions("block", "o", "key")
     every.select("block", "value").write.mode(mode).partitionBy("block").text(path)
 
 

@@ -89,6 +89,25 @@ def test_round_trip(spark, tmp_path, separator, transposed):
             FC.write_tables(spark.createDataFrame([("s", "a;b", 1.0)], cells.schema), str(tmp_path / "bad"), separator)
 
 
+def test_a_header_stays_with_its_lines_where_nothing_is_broadcast(spark, tmp_path):
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "12", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1b", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "3000b", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    cells = spark.range(3000).selectExpr("concat('s', id div 5) as sample_id", "concat('f', id % 5) as feature", "cast(id as double) as value")
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        for separator, transposed in ((",", False), ("\t", True)):
+            path = str(tmp_path / str(transposed))
+            FC.write_tables(cells, path, separator, transposed, samples_per_file=30)
+            files = [f.path for f in FC.files_of(path)]
+            assert len(files) == len({f.rsplit("/", 1)[0] for f in files}) == 20
+            assert all(open(f).readline().startswith("id" + separator) for f in files)
+            assert sorted(map(tuple, FC.load_tables(spark, [path], cells.select("sample_id")).select(*cells.columns).collect())) == sorted(map(tuple, cells.collect()))
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_a_table_with_more_samples_than_a_plan_has_columns_is_unpivoted(spark, tmp_path):
     from guildspark.plans import catalog
 
