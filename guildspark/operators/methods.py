@@ -462,34 +462,24 @@ def instability(picked: DataFrame, subsamples: int, count: int) -> DataFrame:
     return f.groupBy("condition", "a").agg(F.avg(2 * F.col("f") * (1 - F.col("f"))).alias("instability"))
 
 
-#: Up to so many samples with so many features or more, SPIEC-EASI takes the second numbers unless others are asked for (fixed values).
-FEW_SAMPLES, MANY_FEATURES, USUAL, REDUCED = 10, 200, (20, 20), (10, 8)
+#: What wide_conditions() calls few samples and many features (fixed values).
+FEW_SAMPLES, MANY_FEATURES = 10, 200
 
 
 def wide_conditions(cells: DataFrame) -> DataFrame:
-    """(condition): those with FEW_SAMPLES at most and MANY_FEATURES varying features at least."""
+    """(condition): those with FEW_SAMPLES at most and MANY_FEATURES varying features at least, whose selections rest on little. They are told, not treated otherwise."""
     samples = cells.groupBy("condition").agg(F.countDistinct("sample_id").alias("samples")).where(F.col("samples") <= FEW_SAMPLES)
     by = cells.join(samples, "condition").groupBy("condition", "feature").agg(F.max("samples").alias("samples"), F.count_if(F.col("value") != 0).alias("present"), F.min("value").alias("lo"), F.max("value").alias("hi"))
     varying = by.where((F.col("lo") < F.col("hi")) | ((F.col("present") > 0) & (F.col("present") < F.col("samples"))))
     return varying.groupBy("condition").agg(F.count("*").alias("n")).where(F.col("n") >= MANY_FEATURES).select("condition")
 
 
-def spieceasi(cells: DataFrame, penalties: int | None = None, ratio: float = 1e-3, subsamples: int | None = None, threshold: float = 0.05, pseudo: float = 0.5, seed: int = 17) -> DataFrame:
+def spieceasi(cells: DataFrame, penalties: int = 20, ratio: float = 1e-3, subsamples: int = 20, threshold: float = 0.05, pseudo: float = 0.5, seed: int = 17) -> DataFrame:
     """(condition, left, right, weight, p, selected): MB on centred log-ratios with StARS; weight is the selection share, p is null.
 
-    Without numbers of penalties and subsamples there are 20 of each, or 10 and 8 in conditions of very few samples and many features."""
-
-    def one(own: DataFrame, counts: tuple[int, int]) -> DataFrame:
-        picked = selections(own, lambda x: centred_logs(x, pseudo), counts[1], counts[0], ratio, None, 4, seed)
-        return stars(picked, counts[1], counts[0], threshold).select("condition", "left", "right", F.col("stability").alias("weight"), F.lit(None).cast("double").alias("p"), F.lit(True).alias("selected"))
-
-    usual, reduced = (tuple(c if given is None else given for c, given in zip(counts, (penalties, subsamples), strict=True)) for counts in (USUAL, REDUCED))
-    if usual == reduced:
-        return one(cells, usual)
-    wide = cut(wide_conditions(cells), "wide")
-    if wide.isEmpty():
-        return one(cells, usual)
-    return one(cells.join(wide, "condition", "left_anti"), usual).unionByName(one(cells.join(wide, "condition", "left_semi"), reduced))
+    Every condition gets the same numbers of penalties and subsamples, whatever its size."""
+    picked = selections(cells, lambda x: centred_logs(x, pseudo), subsamples, penalties, ratio, None, 4, seed)
+    return stars(picked, subsamples, penalties, threshold).select("condition", "left", "right", F.col("stability").alias("weight"), F.lit(None).cast("double").alias("p"), F.lit(True).alias("selected"))
 
 
 # --- SPRING (Yoon et al. 2019) ----------------------------------------------------------------------

@@ -48,3 +48,17 @@ def test_reduced_numbers_in_wide_conditions(spark):
     assert [r[0] for r in MD.wide_conditions(cells).collect()] == ["wide"]
     own = spark.createDataFrame(few, cells.schema)
     assert values(MD.spieceasi(own).withColumnRenamed("weight", "rho")) == values(MD.spieceasi(own, 20, subsamples=20).withColumnRenamed("weight", "rho"))
+
+
+def test_wide_conditions_get_the_usual_numbers(spark, monkeypatch):
+    rows = [("wide", s, f"f{k:03}", float((s * 7 + k) % 9)) for s in range(8) for k in range(205)] + [("few", s, f"f{k:03}", float((s * 5 + k) % 7)) for s in range(8) for k in range(4)]
+    cells = spark.createDataFrame(rows, "condition string, sample_id long, feature string, value double")
+    asked = []
+
+    def noted(own, transform, subsamples, count, *rest):
+        asked.append((sorted(r[0] for r in own.select("condition").distinct().collect()), subsamples, count))
+        return spark.createDataFrame([], MD.PAIRS)
+
+    monkeypatch.setattr(MD, "selections", noted)
+    assert MD.spieceasi(cells).count() == 0
+    assert asked == [(["few", "wide"], 20, 20)]
