@@ -1,14 +1,11 @@
 """Association methods that need a whole matrix: SparCC, CCLasso, SPIEC-EASI (MB) and SPRING.
 
 A matrix is one condition's samples by features, tens to hundreds wide; the work is in its many repeats
-(permutations, bootstraps, subsamples). So the unit of work is (condition, repeat): a condition's cells
-are sent to one lane per PER_LANE repeats, each lane runs its repeats with NumPy, and what they return (pair
-statistics or selections per repeat) is reduced by group-bys. Every repeat seeds its own generator from
-(seed, repeat), so results do not depend on partitioning.
-
-CCLasso, SPIEC-EASI and SPRING gather no condition in a task. Its samples are numbered by name and dealt into blocks; a repeat
-is a weight per number, drawn in every block from the same generator. The first two need sums over the blocks only (moments), SPRING
-the columns of a few features at a time, for Kendall's tau. SparCC draws and shuffles whole matrices and still gets them.
+(permutations, bootstraps, subsamples), and no task gathers a condition's samples. They are numbered by name and dealt into
+blocks; a repeat of CCLasso or SPIEC-EASI is a weight per number, drawn in every block from the same generator, and needs sums
+over the blocks only (moments). SPRING needs the columns of a few features at a time, for Kendall's tau. A permutation of SparCC deals the
+values of each column, known by their counts, over blocks anew and needs sums over them. What repeats return (pair statistics or
+selections) is reduced by group-bys. Every repeat seeds its own generators, so results do not depend on partitioning.
 
 Features constant over a condition's samples are dropped first; too few samples or features give no rows."""
 
@@ -18,7 +15,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from guildspark.sources.staging import cut
@@ -32,36 +29,11 @@ BLOCK_CELLS = 1 << 19
 COLUMNS = 4
 #: Repeats of a lane; the number of lanes grows with the repeats.
 PER_LANE = 4
+#: Blocks of permuted samples that one task sums up.
+SLICE_BLOCKS = 8
 PAIRS = "condition string, repeat long, left string, right string, value double"
-PAIRS_ARROW = pa.schema([("condition", pa.string()), ("repeat", pa.int64()), ("left", pa.string()), ("right", pa.string()), ("value", pa.float64())])
-
-
-def repeats(cells: DataFrame, n: int, kernel, min_samples: int = 3, drop_empty: bool = False) -> DataFrame:
-    """kernel(x, repeat) -> symmetric matrix (or None) for repeats 0..n-1; rows (condition, repeat, left, right, value).
-
-    NaN values give no row. x has a row per sample and a column per varying feature, 0 where a cell is missing."""
-    lanes = math.ceil(n / PER_LANE)
-    sent = cells.select("condition", "sample_id", "feature", "value").withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
-
-    def run(table: pa.Table) -> pa.Table:
-        condition, lane = table.column("condition")[0].as_py(), table.column("lane")[0].as_py()
-        x, names = matrix(table, drop_empty)
-        if x.shape[0] < min_samples or x.shape[1] < 2:
-            return PAIRS_ARROW.empty_table()
-        i, j = np.triu_indices(len(names), 1)
-        left, right = np.array(names, object)[i], np.array(names, object)[j]
-        out = []
-        for k in range(lane, n, lanes):
-            got = kernel(x, k)
-            if got is None:
-                continue
-            v = got[i, j]
-            some = np.isfinite(v)
-            m = int(some.sum())
-            out.append(pa.table([pa.array([condition] * m), pa.array([k] * m, pa.int64()), pa.array(left[some], pa.string()), pa.array(right[some], pa.string()), pa.array(v[some], pa.float64())], schema=PAIRS_ARROW))
-        return pa.concat_tables(out) if out else PAIRS_ARROW.empty_table()
-
-    return sent.groupBy("condition", "lane").applyInArrow(run, PAIRS)
+SUMS = "condition string, repeat int, part int, p int, sums binary"
+SUMS_ARROW = pa.schema([("condition", pa.string()), ("repeat", pa.int32()), ("part", pa.int32()), ("p", pa.int32()), ("sums", pa.binary())])
 
 
 def features_of(own: DataFrame) -> DataFrame:
@@ -70,6 +42,11 @@ def features_of(own: DataFrame) -> DataFrame:
     return A.varying_by_condition(own).select("condition", "feature", (F.row_number().over(w.orderBy("feature")) - 1).alias("c"), F.count("*").over(w).cast("int").alias("p"))
 
 
+def rows_of_block(p: Column) -> Column:
+    """Samples of a full block of a condition with p varying features."""
+    return F.greatest(F.floor(F.lit(BLOCK_CELLS) / p), 8 * p)
+
+
 def blocks(cells: DataFrame, min_samples: int, drop_empty: bool = False) -> tuple[DataFrame, DataFrame]:
     """(condition, block, start, rows, n, p, r, c, value) of the cells of varying features, r being a sample's number in its block; a sample
     without such cells has one row with c null. Also (condition, feature, c, p) of the features."""
@@ -81,7 +58,7 @@ def blocks(cells: DataFrame, min_samples: int, drop_empty: bool = False) -> tupl
     names = cut(features_of(own), "features")
     samples = cut(row_numbers(own.select("condition", "sample_id").distinct(), ["sample_id"], ["condition"], "at"), "samples")
     sizes = samples.groupBy("condition").agg(F.count("*").alias("n")).where(F.col("n") >= min_samples).join(names.where("p > 1").select("condition", "p").distinct(), "condition")
-    sizes = sizes.withColumn("per", F.greatest(F.floor(F.lit(BLOCK_CELLS) / F.col("p")), 8 * F.col("p")))
+    sizes = sizes.withColumn("per", rows_of_block(F.col("p")))
     block = F.floor((F.col("at") - 1) / F.col("per")).cast("int")
     dealt = samples.join(sizes, "condition").withColumn("block", block).withColumn("start", F.col("block") * F.col("per"))
     dealt = dealt.select("condition", "sample_id", "block", "start", F.least("per", F.col("n") - F.col("start")).alias("rows"), "n", "p", (F.col("at") - 1 - F.col("start")).cast("int").alias("r"))
@@ -145,6 +122,12 @@ def spread(df: DataFrame, *by: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
 
 
+def named(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """(condition, repeat, left, right, value) of (condition, repeat, i, j, value), i and j being numbers of features_of()."""
+    left, right = (names.select("condition", F.col("c").alias(c), F.col("feature").alias(side)) for c, side in (("i", "left"), ("j", "right")))
+    return rows.join(left, ["condition", "i"]).join(right, ["condition", "j"]).select("condition", "repeat", "left", "right", "value")
+
+
 def in_lanes(parts: DataFrame, names: DataFrame, n: int, kernel) -> DataFrame:
     """kernel(table of parts, repeats) -> pairs of a repeat and a symmetric matrix; rows (condition, repeat, left, right, value).
 
@@ -164,8 +147,7 @@ def in_lanes(parts: DataFrame, names: DataFrame, n: int, kernel) -> DataFrame:
         return pa.concat_tables(out) if out else pa.table({"condition": pa.array([], pa.string()), "repeat": pa.array([], pa.int64()), "i": pa.array([], pa.int32()), "j": pa.array([], pa.int32()), "value": pa.array([], pa.float64())})
 
     rows = spread(parts.withColumn("lane", F.explode(lane)), "condition", "lane").groupBy("condition", "lane").applyInArrow(run, "condition string, repeat long, i int, j int, value double")
-    left, right = (names.select("condition", F.col("c").alias(c), F.col("feature").alias(side)) for c, side in (("i", "left"), ("j", "right")))
-    return rows.join(left, ["condition", "i"]).join(right, ["condition", "j"]).select("condition", "repeat", "left", "right", "value")
+    return named(rows, names)
 
 
 def sums_of(table: pa.Table) -> tuple[dict[int, np.ndarray], int]:
@@ -173,32 +155,12 @@ def sums_of(table: pa.Table) -> tuple[dict[int, np.ndarray], int]:
     return {k: np.frombuffer(b) for k, b in zip(table.column("repeat").to_pylist(), table.column("sums").to_pylist(), strict=True)}, table.column("p")[0].as_py()
 
 
-def matrix(table: pa.Table, drop_empty: bool = False) -> tuple[np.ndarray, list[str]]:
-    def numbered(column: str) -> tuple[list, np.ndarray]:
-        coded = table.column(column).combine_chunks().dictionary_encode()
-        names = coded.dictionary.to_pylist()
-        place = np.empty(len(names), np.int64)
-        place[sorted(range(len(names)), key=names.__getitem__)] = np.arange(len(names))
-        return sorted(names), place[coded.indices.to_numpy()]
-
-    (rows, at_r), (columns, at_c) = numbered("sample_id"), numbered("feature")
-    x = np.zeros((len(rows), len(columns)))
-    x[at_r, at_c] = table.column("value").to_numpy()
-    if (x < 0).any() or not np.isfinite(x).all():
-        raise ValueError("abundances must be finite and not negative")
-    if drop_empty:
-        x = x[x.sum(axis=1) > 0]
-    vary = (x != x[:1]).any(axis=0) if len(x) else np.zeros(x.shape[1], bool)
-    return x[:, vary], [c for c, v in zip(columns, vary, strict=True) if v]
-
-
 # --- SparCC (Friedman & Alm 2012) ------------------------------------------------------------------
 
 
-def basis_correlation(logs: np.ndarray, exclusions: int, cutoff: float = 0.1) -> np.ndarray:
-    """Correlations of the unknown basis from log-ratio variances, leaving out strongly related pairs."""
-    p = logs.shape[1]
-    cov = np.cov(logs, rowvar=False)
+def basis_correlation(cov: np.ndarray, exclusions: int, cutoff: float = 0.1) -> np.ndarray:
+    """Correlations of the unknown basis from the variances of log-ratios, leaving out strongly related pairs; cov is of the logs."""
+    p = len(cov)
     d = np.diag(cov)
     t = d[:, None] + d[None, :] - 2 * cov
     used = ~np.eye(p, dtype=bool)
@@ -217,12 +179,89 @@ def basis_correlation(logs: np.ndarray, exclusions: int, cutoff: float = 0.1) ->
     return rho
 
 
-def sparcc_matrix(x: np.ndarray, rng: np.random.Generator, iterations: int, exclusions: int) -> np.ndarray:
-    draws = []
+def log_sums(x: np.ndarray, rng: np.random.Generator, iterations: int) -> np.ndarray:
+    """Per iteration the samples, the sums of the logs of drawn abundances and those of their products. A sample's draws are not divided by
+    their sum, which cancels in every log-ratio."""
+    out = []
     for _ in range(iterations):
-        g = rng.gamma(x + 1.0)
-        draws.append(basis_correlation(np.log(g / g.sum(axis=1, keepdims=True)), exclusions))
-    return np.median(draws, axis=0)
+        z = np.log(rng.standard_gamma(x + 1.0))
+        out.append(np.concatenate(([len(z)], z.sum(axis=0), (z.T @ z).ravel())))
+    return np.array(out)
+
+
+def dealt(counts: np.ndarray, sizes: list[int], last: int, rng: np.random.Generator) -> list[np.ndarray]:
+    """How often each value comes into groups 0 to `last`, if the values, each `counts` times, are dealt into groups of these sizes in random order."""
+    left, out = counts.copy(), []
+    for at, size in enumerate(sizes[: last + 1]):
+        out.append(left.copy() if at == len(sizes) - 1 else rng.multivariate_hypergeometric(left, size, method="marginals"))
+        left -= out[-1]
+    return out
+
+
+def groups_of(n: int, size: int) -> list[int]:
+    return [min(size, n - at) for at in range(0, n, size)]
+
+
+def permuted(columns: list[tuple[np.ndarray, np.ndarray]], slices: list[int], part: int, per: int, seed: list[int]):
+    """Blocks of up to `per` rows of a slice of the matrix whose columns (values and their counts) are each in random order. Slices and blocks are
+    drawn one after the other from generators of the repeat and the column, so the slices of a repeat, made in different tasks, are one permutation."""
+    inner = groups_of(slices[part], per)
+    own = []
+    for c, (_, counts) in enumerate(columns):
+        mine = dealt(counts, slices, part, np.random.default_rng([*seed, 0, c]))[part]
+        own.append(dealt(mine, inner, len(inner) - 1, np.random.default_rng([*seed, 1, c, part])))
+    rng = np.random.default_rng([*seed, 2, part])
+    for b in range(len(inner)):
+        yield np.column_stack([rng.permutation(np.repeat(values, own[c][b])) for c, (values, _) in enumerate(columns)])
+
+
+def block_parts(blocked: DataFrame, iterations: int, seed: int) -> DataFrame:
+    """(condition, n, p, part, c, sums, counts) of every block, as bytes: with c = -1 log_sums() of the data, else the values of column c and their counts."""
+    schema = "condition string, n long, p int, part int, c int, sums binary, counts binary"
+
+    def of_block(table: pa.Table) -> pa.Table:
+        condition, block, n, p = (table.column(c)[0].as_py() for c in ("condition", "block", "n", "p"))
+        x = dense(table)
+        found = [np.unique(column, return_counts=True) for column in x.T]
+        sums = [log_sums(x, np.random.default_rng([seed, 0, block]), iterations), *(v for v, _ in found)]
+        m = p + 1
+        return pa.table([pa.array([condition] * m, pa.string()), pa.array([n] * m, pa.int64()), pa.array([p] * m, pa.int32()), pa.array([block] * m, pa.int32()), pa.array(range(-1, p), pa.int32()), pa.array([v.tobytes() for v in sums], pa.binary()), pa.array([None, *(k.astype(np.int64).tobytes() for _, k in found)], pa.binary())], names=["condition", "n", "p", "part", "c", "sums", "counts"])
+
+    return cut(blocked.groupBy("condition", "block").applyInArrow(of_block, schema), "blocks")
+
+
+def columns_of(parts: DataFrame) -> DataFrame:
+    """(condition, n, p, c, values, counts): the distinct values of every column of a condition and how often they occur."""
+
+    def united(table: pa.Table) -> pa.Table:
+        values, at = np.unique(np.concatenate([np.frombuffer(b) for b in table.column("sums").to_pylist()]), return_inverse=True)
+        counts = np.zeros(len(values), np.int64)
+        np.add.at(counts, at, np.concatenate([np.frombuffer(b, np.int64) for b in table.column("counts").to_pylist()]))
+        return table.slice(0, 1).select(["condition", "n", "p", "c"]).append_column("values", pa.array([values.tobytes()], pa.binary())).append_column("counts", pa.array([counts.tobytes()], pa.binary()))
+
+    return cut(parts.where("c >= 0").groupBy("condition", "c").applyInArrow(united, "condition string, n long, p int, c int, values binary, counts binary"), "columns")
+
+
+def repeats(columns: DataFrame, n: int, iterations: int, seed: int) -> DataFrame:
+    """(condition, repeat, part, p, sums) of repeats 1 to n: log_sums() of the slices of the matrix with every column in random order."""
+    lanes = math.ceil(n / PER_LANE)
+    most = SLICE_BLOCKS
+    own = columns.withColumn("per", rows_of_block(F.col("p")))
+    parts = F.sequence(F.lit(0), F.ceil(F.col("n") / (F.col("per") * most)).cast("int") - 1)
+    sent = own.withColumn("part", F.explode(parts)).withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
+
+    def run(table: pa.Table) -> pa.Table:
+        condition, total, p, per, part, own = (table.column(c)[0].as_py() for c in ("condition", "n", "p", "per", "part", "lane"))
+        rows = sorted(zip(table.column("c").to_pylist(), table.column("values").to_pylist(), table.column("counts").to_pylist(), strict=True))
+        held = [(np.frombuffer(v), np.frombuffer(k, np.int64)) for _, v, k in rows]
+        out = []
+        for k in range(own + 1, n + 1, lanes):
+            rng = np.random.default_rng([seed, k, 3, part])
+            sums = sum(log_sums(x, rng, iterations) for x in permuted(held, groups_of(total, per * most), part, per, [seed, k]))
+            out.append({"condition": condition, "repeat": k, "part": part, "p": p, "sums": sums.tobytes()})
+        return pa.Table.from_pylist(out, SUMS_ARROW)
+
+    return spread(sent, "condition", "lane", "part").groupBy("condition", "lane", "part").applyInArrow(run, SUMS)
 
 
 def sparcc(cells: DataFrame, iterations: int = 20, exclusions: int = 10, permutations: int = 100, seed: int = 17) -> DataFrame:
@@ -230,13 +269,22 @@ def sparcc(cells: DataFrame, iterations: int = 20, exclusions: int = 10, permuta
     if permutations < 10:
         raise ValueError("at least 10 permutations are needed")
 
-    def kernel(x, k):
-        rng = np.random.default_rng([seed, k])
-        if k:
-            x = np.column_stack([rng.permutation(c) for c in x.T])
-        return sparcc_matrix(x, rng, iterations, exclusions)
-
-    rows = cut(repeats(cells, permutations + 1, kernel), "permutations")
+    def united(table: pa.Table) -> pa.Table:
+        condition, k, p = (table.column(c)[0].as_py() for c in ("condition", "repeat", "p"))
+        order = np.argsort(table.column("part").to_numpy())  # one order of additions in any run
+        total = np.sum([np.frombuffer(table.column("sums")[int(i)].as_py()) for i in order], axis=0).reshape(iterations, -1)
+        rho = np.median([basis_correlation(covariance(s, p), exclusions) for s in total], axis=0)
+        i, j = np.triu_indices(p, 1)
+        some = np.isfinite(rho[i, j])
+        i, j = i[some], j[some]
+        return pa.table([pa.array([condition] * len(i), pa.string()), pa.array([k] * len(i), pa.int64()), pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(rho[i, j], pa.float64())], names=["condition", "repeat", "i", "j", "value"])
+
+    blocked, names = blocks(cells, 3)
+    parts = block_parts(blocked, iterations, seed)
+    data = parts.where("c = -1").select("condition", F.lit(0).alias("repeat"), "part", "p", "sums")
+    sums = cut(data.unionByName(repeats(columns_of(parts), permutations, iterations, seed)), "sums")
+    pairs = spread(sums, "condition", "repeat").groupBy("condition", "repeat").applyInArrow(united, "condition string, repeat long, i int, j int, value double")
+    rows = cut(named(pairs, names), "permutations")
     own = rows.where("repeat = 0").select("condition", "left", "right", F.col("value").alias("rho"))
     by = ["condition", "left", "right"]
     beyond = rows.where("repeat > 0").join(own, by).groupBy(*by).agg(F.count_if(F.abs("value") >= F.abs("rho")).alias("k"), F.count("*").alias("n"))

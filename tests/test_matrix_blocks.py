@@ -64,3 +64,57 @@ def test_taus_of_picks():
         pick[rng.choice(n, max(2, n // 2), replace=False)] = True
         a, b = (np.unique(c, return_inverse=True)[1].astype(np.int32) for c in x.T)
         assert MD.taus(a, b, [None, pick]) == pytest.approx([MD.kendall_matrix(x)[0, 1], MD.kendall_matrix(x[pick])[0, 1]], abs=1e-12)
+
+
+def test_slices_of_a_permutation_hold_every_value_once():
+    rng = np.random.default_rng(1)
+    x = np.column_stack([rng.integers(0, 4, 103), rng.integers(0, 60, 103), np.arange(103)]).astype(float)
+    columns = [np.unique(c, return_counts=True) for c in x.T]
+    for slices, per in (([103], 200), ([103], 10), ([40, 40, 23], 9)):
+        rows = [np.concatenate(list(MD.permuted(columns, slices, part, per, [3, 1]))) for part in range(len(slices))]
+        assert [len(r) for r in rows] == slices
+        got = np.concatenate(rows)
+        assert (np.sort(got, axis=0) == np.sort(x, axis=0)).all()
+        assert abs(np.corrcoef(got[:, 2], x[:, 2])[0, 1]) < 0.4 and (got[:, 2] != x[:, 2]).any()
+        other = np.concatenate([np.concatenate(list(MD.permuted(columns, slices, part, per, [3, 2]))) for part in range(len(slices))])
+        assert (other[:, 2] != got[:, 2]).any()
+
+
+def test_places_of_dealt_values_are_even():
+    places = np.zeros((12, 12))
+    for k in range(3000):
+        own = MD.permuted([(np.arange(12.0), np.ones(12, np.int64))], [5, 5, 2], k % 3, 2, [9, k])
+        for at, v in enumerate(np.concatenate(list(own)).ravel(), 5 * (k % 3)):
+            places[at, int(v)] += 1
+    assert abs(places / 1000 * 12 - 1).max() < 0.5  # a thousand draws of each place
+
+
+def test_sparcc_over_blocks(spark, monkeypatch):
+    """The data's blocks are summed as they are, permutations over slices of blocks of the values of their columns."""
+    x, cells = table(spark)
+    monkeypatch.setattr(MD, "BLOCK_CELLS", 60)  # 48 samples a block
+    monkeypatch.setattr(MD, "SLICE_BLOCKS", 1)
+    got = {(r["left"], r["right"]): (r["rho"], r["p"]) for r in MD.sparcc(cells, iterations=4, permutations=40).collect()}
+    rho = lambda sums: np.median([MD.basis_correlation(MD.covariance(s, 6), 10) for s in sums], axis=0)
+    own = rho(sum(MD.log_sums(x[48 * b : 48 * b + 48], np.random.default_rng([17, 0, b]), 4) for b in range(2)))
+    columns, beyond = [np.unique(c, return_counts=True) for c in x.T], np.ones((6, 6))
+    for k in range(1, 41):
+        parts = [MD.log_sums(y, np.random.default_rng([17, k, 3, part]), 4) for part in range(2) for y in MD.permuted(columns, [48, 42], part, 48, [17, k])]
+        beyond += np.abs(rho(sum(parts))) >= np.abs(own)
+    assert got == {(f"f{i}", f"f{j}"): (pytest.approx(own[i, j], abs=1e-9), pytest.approx(beyond[i, j] / 41)) for i in range(6) for j in range(i + 1, 6)}
+    assert got["f0", "f1"][1] == pytest.approx(1 / 41)
+
+
+def test_sparcc_sends_no_cells_to_its_permutations(spark):
+    """What shuffles write does not grow with the permutations by the cells."""
+    x, cells = table(spark, n=1500)
+
+    def records(permutations):
+        store, sc = spark._jsc.sc().statusStore(), spark.sparkContext
+        none, empty = sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList
+        written = lambda: {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in sc._jvm.scala.jdk.javaapi.CollectionConverters.asJava(store.stageList(empty(), False, False, none, empty()))}
+        before = written()
+        assert MD.sparcc(cells, iterations=1, permutations=permutations).count() == 15
+        return sum(n for k, n in written().items() if k not in before)
+
+    assert records(100) < records(10) + 18_000  # there are 9,000 cells, and 22 lanes more; 90 permutations more return 1,350 pairs
