@@ -276,3 +276,28 @@ def test_two_offsets_at_once_lose_no_alignment(monkeypatch):
     pairs = lambda r: (min(r["query"], r["o"]), max(r["query"], r["o"]))
     assert {pairs(r) for r in found} == set(true) and len(true) > 20 and sum(compared) > 0
     assert all(abs(r["errors"] - true[pairs(r)]) < 1e-9 for r in found)
+
+
+def test_a_tile_transforms_its_classes_once(monkeypatch):
+    """Several blocks of queries share the transforms, unless they are too many to keep; errors are those of all offsets, one by one."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+    prints = [np.repeat(rng.integers(0, 2**32, n // 4 + 1, dtype=np.uint32), 4)[:n] for n in [41] * 300 + [38] * 20]
+    for k in range(20):
+        prints[300 + k][: 9 + k] = prints[k][32 - k :]
+    ids = pa.array(range(320), pa.int64())
+    table = pa.table({"key": ids, "center": ids, "id": ids, "ints": pa.array([x.view(np.int32).tolist() for x in prints], pa.list_(pa.int32()))})
+    asked, seen = chroma._Offsets.asked, []
+    monkeypatch.setattr(chroma._Offsets, "asked", lambda self, y: seen.append(len(y)) or asked(self, y))
+    rows = chroma._aligned(8, 0.2)(table.slice(0, 300), table.slice(300)).to_pylist()
+    assert sum(seen) == 20
+    monkeypatch.setattr(chroma, "ASKED", 0)
+    assert chroma._aligned(8, 0.2)(table.slice(0, 300), table.slice(300)).to_pylist() == rows and sum(seen) == 60
+    assert {(k, 300 + k, 0.0, k - 32) for k in range(20)} <= {(r["query"], r["o"], r["errors"], r["offset"]) for r in rows}
+    for d in range(-33, 31):
+        n, i, j = int(min(41 - max(0, -d), 38 - max(0, d))), max(0, -d), max(0, d)
+        two = chroma._Offsets(41, 38, 8, 1.0)
+        row, col, at, size, wrong = two.exact(np.stack(prints[:3]), np.stack(prints[300:303]), np.array([0, 1, 2]), np.array([2, 0, 1]), np.full(3, d // 2))
+        own = {(int(a), int(b), int(s)): int(w) for a, b, k, s, w in zip(row, col, at, size, wrong, strict=True) if k == d}
+        assert own == {(a, b, n): int(np.bitwise_count(prints[a][i : i + n] ^ prints[300 + b][j : j + n]).sum()) for a, b in ((0, 2), (1, 0), (2, 1))}
